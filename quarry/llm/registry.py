@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .byte_bpe import round_trip_digest
 from .common import table
+from .language_id import fit, identify
 from .packing import pack
 from .token_files import token_file_digest
 
@@ -25,10 +26,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_byte_bpe": op4_byte_bpe,
     "op8_token_files": op8_token_files,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
