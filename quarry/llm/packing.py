@@ -42,8 +42,8 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, size: int, end_id: int) ->
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+                ids += end
                 total = len(ids) // 4
                 for at in range(0, total, size):
                     part = ids[4 * at : 4 * (at + size)]

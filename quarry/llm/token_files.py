@@ -49,8 +49,8 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_i
             held, size = [], 0
             for batch in batches:
                 ids.append(np.asarray(batch.column(0), "<i8"))
-                for text in batch.column(1).to_pylist():
-                    found = encoder.encode(text) + end
+                for found in encoder.encode_all(batch.column(1).to_pylist()):
+                    found += end
                     lengths.append(len(found) // 4)
                     held.append(found)
                     size += len(found)

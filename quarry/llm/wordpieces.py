@@ -6,13 +6,17 @@ is cut there and each piece is encoded once per worker: prose repeats its words.
 
 from __future__ import annotations
 
+import os
 import re
+from array import array
+from collections.abc import Iterable, Iterator
 
-import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces kept per worker; when full, the worker starts anew.
-KEPT_PIECES = 600_000
+KEPT_PIECES = 1_200_000
+#: Characters of text between two calls of the tokenizer.
+GROUP_CHARS = 1 << 20
 #: A space that does not simply lead the next word: such a text is encoded whole.
 _UNEVEN_SPACE = re.compile(r" (?:\s|\Z)")
 
@@ -20,32 +24,60 @@ _workers: dict[tuple[int, bool], PieceIds] = {}
 
 
 class PieceIds(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers."""
+    """word -> its ids as unsigned 32-bit integers, with the space before it where that counts.
+
+    (text,) stands for a text as it is, such as the first word. What was not met before gets an empty buffer
+    and a place in a list; a group of texts later, the tokenizer takes the list at once and fills the buffers.
+    """
 
     def __init__(self, vocabulary: bytes, drops_space: bool):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        self.new: list[str | tuple[str]] = []
 
-    def ids(self, piece: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(piece) > 200:
-            return self.ids(piece)
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        self[piece] = found = self.ids(piece)
-        return found
+    def __missing__(self, piece: str | tuple[str]) -> bytearray:
+        self.new.append(piece)
+        self[piece] = buffer = bytearray()
+        return buffer
 
-    def encode(self, text: str) -> bytes:
+    def _pieces(self, text: str) -> list[bytes | bytearray]:
+        get = self.__getitem__
         if self.drops_space:
-            return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+            return list(map(get, text.replace("\n", " ").split(" ")))
         if _UNEVEN_SPACE.search(text):
-            return self.ids(text)
+            return [get((text,))]
         first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + word] for word in rest])
+        return [get((first,)), *map(get, rest)]
+
+    def _group(self, texts: list[str]) -> Iterator[bytes]:
+        found = [self._pieces(text) for text in texts]
+        lead = "" if self.drops_space else " "
+        new = [x[0] if isinstance(x, tuple) else lead + x for x in self.new]
+        for piece, ids in zip(self.new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            buffer = self[piece]
+            buffer += array("I", ids.ids).tobytes()
+            if len(buffer) <= 400:
+                self[piece] = bytes(buffer)
+            else:
+                del self[piece]
+        self.new.clear()
+        yield from map(b"".join, found)
+        if len(self) >= KEPT_PIECES:
+            self.clear()
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text, in order."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP_CHARS:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
 
 
 def piece_ids(vocabulary: bytes, drops_space: bool) -> PieceIds:
