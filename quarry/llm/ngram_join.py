@@ -190,15 +190,15 @@ def postings(entries: DataFrame) -> DataFrame:
     return entries.mapInArrow(run, "posting long, a long, b long")
 
 
-def grouped(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]], schema: str = "a long, b long") -> DataFrame:
+def grouped(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, ...]]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """work on each group of rows with equal keys, one after the other: a shuffle, a sort and one pass over Arrow batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            for a, b in work(table):
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for columns in work(table):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], list(names))
 
         last = None
         for batch in batches:
@@ -225,7 +225,7 @@ def grouped(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[
             yield from done(pa.concat_tables(held))
 
     spark = rows.sparkSession
-    return rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return rows.repartition(partitions(spark), *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def forest(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

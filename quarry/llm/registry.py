@@ -12,13 +12,20 @@ from .common import table
 from .language_id import fit, identify
 from .ngram_join import jaccard_components
 from .packing import pack
+from .projection_forest import near_duplicates
 from .token_files import token_file_digest
+from .topk_search import top_k
+from .warc_zip import package_round_trip
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return package_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -27,10 +34,18 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify(docs, fit(docs))
@@ -38,9 +53,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op3_warc_packages": op3_warc_packages,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_projection_forest": op7_projection_forest,
     "op8_token_files": op8_token_files,
+    "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
 }
 
