@@ -13,11 +13,17 @@ from .language_id import fit, identify
 from .ngram_join import jaccard_components
 from .packing import pack
 from .projection_forest import near_duplicates
+from .quotes import link_quotations
+from .secrets import fit_network, scan
 from .token_files import token_file_digest
 from .topk_search import top_k
 from .warc_zip import package_round_trip
 
 
+def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -30,6 +36,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan(docs, fit_network(docs))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -52,9 +63,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quotation_links": op1_quotation_links,
     "op2_packing": op2_packing,
     "op3_warc_packages": op3_warc_packages,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op7_projection_forest": op7_projection_forest,
     "op8_token_files": op8_token_files,
