@@ -199,30 +199,45 @@ def fit(docs: DataFrame) -> Model:
 _workers: dict[str, Model] = {}
 
 
+def _predictions(key: str, shared, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """predict over groups of texts of bounded size; the worker keeps the model's tables."""
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = shared.value
+    own, texts = _workers[key], [x or "" for x in texts]
+    languages, scores, rejected, at = [], [np.zeros(0)], [np.zeros(0, bool)], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
+            size += len(texts[end])
+            end += 1
+        found = own.predict(texts[at:end])
+        languages += found[0]
+        scores.append(found[1])
+        rejected.append(found[2])
+        at = end
+    return languages, np.concatenate(scores), np.concatenate(rejected)
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score, rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MODEL_CHARS
-    key = model.key
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key  # bounded by MODEL_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _workers:
-            _workers.clear()
-            _workers[key] = shared.value
-        own = _workers[key]
         for batch in batches:
-            texts, languages, scores, rejected = [x or "" for x in batch.column(2).to_pylist()], [], [], []
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
-                    size += len(texts[end])
-                    end += 1
-                a, b, c = own.predict(texts[at:end])
-                languages += a
-                scores.append(b)
-                rejected.append(c)
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(np.concatenate(scores or [np.zeros(0)])), pa.array(np.concatenate(rejected or [np.zeros(0, bool)]))], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
+            languages, scores, rejected = _predictions(key, shared, batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+
+
+def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that are not rejected."""
+    shared, key, text_at = docs.sparkSession.sparkContext.broadcast(model), model.key, docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(~_predictions(key, shared, batch.column(text_at).to_pylist())[2]))
+
+    return docs.mapInArrow(run, docs.schema)
