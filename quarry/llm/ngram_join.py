@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import free_shuffles, partitions, text_of, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -41,9 +41,9 @@ LOCAL_COMMON, COMMON = 4, 64
 #: Common shingles to know of at most (8 bytes each to every task); the rest only cost time.
 COMMON_KNOWN = 1 << 20
 STRETCH_SHINGLES = 4 << 20
-LARGE = 128
+LARGE = 512
 BLOCK = 64
-DEALS = 3
+DEALS = 2
 #: Columns of the incidence matrix that are multiplied at once.
 COLUMNS = 4096
 
@@ -56,8 +56,8 @@ def signature(s: np.ndarray) -> int:
 
 
 def sketch(s: np.ndarray) -> bytes:
-    """A bit for each cell that an odd number of shingles falls in; about as many cells as shingles, a power of 2."""
-    cells = max(64, 1 << max(0, len(s) - 1).bit_length())
+    """A bit for each cell that an odd number of shingles falls in; a power of 2 of cells, 2 to 4 times as many as shingles."""
+    cells = max(64, 2 << max(0, len(s) - 1).bit_length())
     return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) & (cells - 1), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
 
 
@@ -248,14 +248,20 @@ def similar_sketches(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]
     if len(node) < 2:
         return
     bits = [np.frombuffer(x, "<u8") for x in table.column("sketch").to_pylist()]
-    words = min(map(len, bits))
-    folded = np.stack([np.bitwise_xor.reduce(x.reshape(-1, words), axis=0) for x in bits])
-    both = n[:, None] + n[None, :]
-    linked = 5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :])
-    step = max(1, (4 << 20) // (len(node) * words))
-    for i in range(0, len(node), step):
-        differ = np.bitwise_count(folded[i : i + step, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
-        linked[i : i + step] &= 9 * differ <= both[i : i + step]
+    width = np.array([len(x) for x in bits])
+    linked = np.eye(len(node), dtype=bool)
+    for words in np.unique(width).tolist():  # sets of compatible size have sketches of one width or the next
+        own, other = np.flatnonzero(width == words), np.flatnonzero((width == words) | (width == 2 * words))
+        folded = np.stack([np.bitwise_xor.reduce(bits[i].reshape(-1, words), axis=0) for i in other.tolist()])
+        mine = folded[np.searchsorted(other, own)]
+        step = max(1, (4 << 20) // (len(other) * words))
+        for i in range(0, len(own), step):
+            left = own[i : i + step]
+            x, y = n[left][:, None], n[other][None, :]
+            differ = np.bitwise_count(mine[i : i + step, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+            close = (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)) & (9 * differ <= x + y)
+            linked[left[:, None], other[None, :]] |= close
+    linked |= linked.T
     a, b = forest(linked)
     if len(a):
         yield node[a], node[b]
@@ -329,34 +335,43 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     near = grouped(members, ["posting"], ["n", "signature"], similar_sketches)
     candidates = components(near.union(found.filter("posting is null").select("a", "b")))
 
-    part = candidates.select(F.col("node").alias("signature"), F.col("component").alias("part")).join(nodes.select("signature", "node"), "signature")
+    free_shuffles(spark)
+
+    part = candidates.select(F.col("node").alias("signature"), F.col("component").alias("part")).join(nodes.select("signature", "node"), "signature").select("part", "node")
     part = written(part, "parts")
     large = written(part.groupBy("part").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "large")
     part = part.join(large, "part", "left")
     compared = written(part.join(texts, part["node"] == texts["doc_id"]).select("part", "size", "node", "text"), "compared")
     if compared.groupBy("node").count().filter("count > 1").limit(1).count():
         compared = written(compared.dropDuplicates(["node", "text"]), "compared")
+    free_shuffles(spark)
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = compared.withColumn("deal", F.explode(F.when(F.col("size").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(DEALS - 1)))))
     dealt = dealt.withColumn("block", F.coalesce(F.pmod(F.xxhash64("node", "deal"), blocks), F.lit(0)).cast("int"))
     links = written(grouped(dealt.select("part", "deal", "block", "node", "text"), ["part", "deal", "block"], ["node"], links_within), "links")
+    free_shuffles(spark)
 
     if large.limit(1).count():
-        labels = components(links)
-        placed = compared.filter("size is not null").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).select("part", "node", "label", "text")
-        placed = written(placed, "placed")
-        counts = placed.groupBy("part", "label").agg(F.count("*").alias("n"))
-        main = counts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.max("n").alias("most")).filter("size > most")
-        main = written(main, "main")
-        marked = placed.join(main, "part").withColumn("strays", F.col("size") - F.col("most"))
-        rows, columns = F.ceil(F.col("strays") / BLOCK).cast("int"), F.ceil(F.col("size") / BLOCK).cast("int")
-        deal = F.xxhash64("node")
-        stray = marked.filter("label <> main").select("part", F.pmod(deal, rows).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("column"), "node", "text", F.lit(True).alias("stray"))
-        other = marked.select("part", F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"), F.pmod(deal, columns).cast("int").alias("column"), "node", "text", F.lit(False).alias("stray"))
-        links = links.union(grouped(stray.union(other), ["part", "row", "column"], ["stray", "node"], links_between))
+        found = written(grouped(_strays(compared, components(links)), ["part", "row", "column"], ["stray", "node"], links_between), "links")
+        links = links.union(found)
+        free_shuffles(spark)
 
     linked = components(links)
     final = nodes.select("signature", "node").join(linked, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
     final = written(final, "final")
     return own.join(final, "signature", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
+
+
+def _strays(compared: DataFrame, labels: DataFrame) -> DataFrame:
+    """What is still to compare in large parts: blocks of sets outside the part's main component by blocks of all its sets."""
+    placed = compared.filter("size is not null").select("part", "node").distinct().join(labels, "node", "left").select("part", "node", F.coalesce("component", "node").alias("label"))
+    placed = written(placed, "placed")
+    counts = placed.groupBy("part", "label").agg(F.count("*").alias("n"))
+    main = counts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
+    marked = placed.join(written(main, "main"), "part")
+    rows, columns = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    deal = F.xxhash64("node")
+    stray = marked.filter("label <> main").select("part", F.pmod(deal, rows).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("column"), "node", F.lit(True).alias("stray"))
+    other = marked.select("part", F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"), F.pmod(deal, columns).cast("int").alias("column"), "node", F.lit(False).alias("stray"))
+    return written(stray.union(other), "strays").join(compared.select("node", "text"), "node")
