@@ -1,0 +1,48 @@
+"""Tables as versions of Parquet folders: a commit writes new folders and then moves one pointer file."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class Catalog:
+    """Named tables under a root URI. Readers see the tables of one version; a version is never changed.
+
+    Spark has no row-level changes on Parquet, so every change is a new version of whole tables; tables
+    that a commit leaves out are carried over by name.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+
+    def _fs(self, path: str):
+        p = self._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def current(self) -> dict[str, str]:
+        """Name -> folder of the newest version."""
+        fs, path = self._fs(f"{self.root}/_tables")
+        if not fs.exists(path):
+            return {}
+        rows = self.spark.read.text(f"{self.root}/_tables").collect()  # a line per table
+        return dict(r[0].split("\t", 1) for r in rows if r[0])
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.current()[name])
+
+    def commit(self, tables: dict[str, DataFrame], partition_by: dict[str, list[str]] | None = None) -> None:
+        known = self.current()
+        version = self._jvm.java.util.UUID.randomUUID().toString()
+        for name, df in tables.items():
+            folder = f"{self.root}/{name}/{version}"
+            df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(folder)
+            known[name] = folder
+        fs, new = self._fs(f"{self.root}/_tables.{version}")
+        out = fs.create(new)
+        out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(known.items())), "utf-8"))
+        out.close()
+        _, pointer = self._fs(f"{self.root}/_tables")
+        if fs.exists(pointer):
+            fs.delete(pointer, False)
+        fs.rename(new, pointer)
