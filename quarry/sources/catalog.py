@@ -22,10 +22,10 @@ class Catalog:
 
     def current(self) -> dict[str, str]:
         """Name -> folder of the newest version."""
-        fs, path = self._fs(f"{self.root}/_tables")
+        fs, path = self._fs(f"{self.root}/current.tables")
         if not fs.exists(path):
             return {}
-        rows = self.spark.read.text(f"{self.root}/_tables").collect()  # a line per table
+        rows = self.spark.read.text(f"{self.root}/current.tables").collect()  # a line per table
         return dict(r[0].split("\t", 1) for r in rows if r[0])
 
     def read(self, name: str) -> DataFrame:
@@ -38,11 +38,11 @@ class Catalog:
             folder = f"{self.root}/{name}/{version}"
             df.write.partitionBy(*(partition_by or {}).get(name, [])).parquet(folder)
             known[name] = folder
-        fs, new = self._fs(f"{self.root}/_tables.{version}")
+        fs, new = self._fs(f"{self.root}/current.tables.{version}")
         out = fs.create(new)
         out.write(bytearray("".join(f"{k}\t{v}\n" for k, v in sorted(known.items())), "utf-8"))
         out.close()
-        _, pointer = self._fs(f"{self.root}/_tables")
+        _, pointer = self._fs(f"{self.root}/current.tables")
         if fs.exists(pointer):
             fs.delete(pointer, False)
         fs.rename(new, pointer)

@@ -54,7 +54,7 @@ def vin_fields(payloads: DataFrame) -> DataFrame:
     first = F.try_element_at(F.from_json("payload", schema)["Results"], F.lit(1))
     field = lambda k: F.nullif(F.try_element_at(first, F.lit(k)), F.lit(""))
     rows = payloads.filter(F.upper("vin").rlike(VIN)).withColumn("_first", first)
-    litres = F.when(field("DisplacementL").isNotNull(), F.concat(F.format_number(field("DisplacementL").cast("double"), "0.0"), F.lit("L")))
+    litres = F.when(field("DisplacementL").isNotNull(), F.concat(F.format_string("%.1f", field("DisplacementL").cast("double")), F.lit("L")))
     cylinders = F.when(field("EngineCylinders").isNotNull(), F.concat(field("EngineCylinders"), F.lit("cyl")))
     return rows.select(F.upper("vin").alias("vin"), F.initcap(field("Make")).alias("make"), field("Model").alias("model"), field("ModelYear").cast("int").alias("year"), F.concat_ws(" · ", field("Trim"), field("DriveType")).alias("trim"), F.concat_ws(" ", field("EngineModel"), cylinders, litres).alias("engine"))
 
