@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_of, worker_state
 
 #: Classes of characters. LEAD is a space that leads the next word; Q1 and Q2 are apostrophes before one or two letters of a contraction.
 LETTER, NUMBER, SPACE, OTHER, END, LEAD, Q1, Q2 = range(8)
@@ -195,14 +195,8 @@ class ByteBpe(dict):
         return self.flat[np.arange(at[-1]) + np.repeat(self.begin[ids] - at[:-1], length)].tobytes()
 
 
-_workers: dict[int, ByteBpe] = {}
-
-
 def _worker(ranks_file: bytes) -> ByteBpe:
-    key = hash(ranks_file)
-    if key not in _workers:
-        _workers[key] = ByteBpe(ranks_file)
-    return _workers[key]
+    return worker_state(hash(ranks_file), lambda: ByteBpe(ranks_file))
 
 
 def _mapped(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, columns: dict[str, pa.DataType], row, schema: str) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Hashable, Iterator
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,3 +61,22 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 def text_of(col: str = "text"):
     """A text column in which null counts as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+_state: dict[Hashable, object] = {}
+
+
+def worker_state(key: Hashable = None, build: Callable[[], object] | None = None) -> object:
+    """What a Python worker keeps between tasks: one operator's tables at a time, so that stages that follow each other do not add up. Without build, nothing."""
+    if key not in _state:
+        _state.clear()
+        if build is not None:
+            _state[key] = build()
+    return _state.get(key)
+
+
+def texts_of(column: pa.Array, rows: int = 256) -> Iterator[str]:
+    """The texts of an Arrow column, few at a time as Python objects; null as empty."""
+    for at in range(0, len(column), rows):
+        for text in column.slice(at, rows).to_pylist():
+            yield text or ""

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, partitions, text_of, written
+from .common import free_shuffles, partitions, text_of, texts_of, worker_state, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -40,7 +40,9 @@ from .shingles import mixed, shingle_sets
 LOCAL_COMMON, COMMON = 4, 64
 #: Common shingles to know of at most (8 bytes each to every task); the rest only cost time.
 COMMON_KNOWN = 1 << 20
-STRETCH_SHINGLES = 4 << 20
+STRETCH_SHINGLES = 2 << 20
+#: Prefix entries that a task packs at once.
+PACKED_ENTRIES = 1 << 18
 LARGE = 512
 BLOCK = 64
 DEALS = 2
@@ -65,19 +67,23 @@ def profiles(docs: DataFrame) -> DataFrame:
     """Rows of texts (common false: doc_id, signature, n, sketch) and of shingles common in a task (signature, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         names = ["common", "doc_id", "signature", "n", "sketch"]
         seen: set[int] = set()
         held, size = [], 0
 
         def common() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
+            sort = np.concatenate(held)
+            held.clear()
+            sort.sort()
+            begins, counts = _runs(sort)
             keep = counts >= LOCAL_COMMON
-            k = int(keep.sum())
+            values, k = sort[begins], int(keep.sum())
             return pa.RecordBatch.from_arrays([pa.array([True] * k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(values[keep].view(np.int64)), pa.array(counts[keep]), pa.nulls(k, pa.binary())], names)
 
         for batch in batches:
             signatures, counts, sketches = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(texts_of(batch.column(1))):
                 signatures.append(own := signature(s))
                 counts.append(len(s))
                 sketches.append(sketch(s))
@@ -88,7 +94,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     size += len(s)
                     if size >= STRETCH_SHINGLES:
                         yield common()
-                        held, size = [], 0
+                        size = 0
             yield pa.RecordBatch.from_arrays([pa.array([False] * len(counts), pa.bool_()), batch.column(0), pa.array(signatures, pa.int64()), pa.array(counts, pa.int64()), pa.array(sketches, pa.binary())], names)
         if held:
             yield common()
@@ -114,11 +120,12 @@ def prefix_entries(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
         return pa.RecordBatch.from_arrays([pa.array(bucket[begins]), pa.array(data, pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state()
         known = shared.value
         seen: set[int] = set()
         shingles, signatures, sizes, total = [], [], [], 0
         for batch in batches:
-            for s in shingle_sets(batch.column(1).to_pylist()):
+            for s in shingle_sets(texts_of(batch.column(1))):
                 own = signature(s)
                 if not len(s) or own in seen:
                     continue
@@ -133,7 +140,7 @@ def prefix_entries(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
                 signatures.append(own)
                 sizes.append(len(s))
                 total += length
-                if total >= 1 << 20:
+                if total >= PACKED_ENTRIES:
                     yield packed(shingles, signatures, sizes)
                     shingles, signatures, sizes, total = [], [], [], 0
         if shingles:

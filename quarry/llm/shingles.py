@@ -7,13 +7,13 @@ words there is none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 WIDTH = 5
 #: Bytes of text that go through the arrays at once.
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -72,7 +72,7 @@ def _group(texts: list[bytes]) -> Iterator[np.ndarray]:
         first = last
 
 
-def shingle_sets(texts: list[str]) -> Iterator[np.ndarray]:
+def shingle_sets(texts: Iterable[str]) -> Iterator[np.ndarray]:
     """For each text its distinct shingles, ascending."""
     group, size = [], 0
     for text in texts:

@@ -13,6 +13,8 @@ from collections.abc import Iterable, Iterator
 
 from tokenizers import Tokenizer
 
+from .common import worker_state
+
 #: Pieces kept per worker; when full, the worker starts anew.
 KEPT_PIECES = 1_200_000
 #: Characters of text between two calls of the tokenizer.
@@ -20,9 +22,6 @@ GROUP_CHARS = 1 << 20
 #: A space that does not simply lead the next word: such a text is encoded whole.
 _UNEVEN_SPACE = re.compile(r" (?:\s|\Z)")
 
-_workers: dict[tuple[int, bool], PieceIds] = {}
-
-
 class PieceIds(dict):
     """word -> its ids as unsigned 32-bit integers, with the space before it where that counts.
 
@@ -86,7 +85,4 @@ def piece_ids(vocabulary: bytes, drops_space: bool) -> PieceIds:
     drops_space: the tokenizer drops white space and never looks across it. Otherwise it must be a
     byte-level one that takes a single space with the word behind it.
     """
-    key = (hash(vocabulary), drops_space)
-    if key not in _workers:
-        _workers[key] = PieceIds(vocabulary, drops_space)
-    return _workers[key]
+    return worker_state((hash(vocabulary), drops_space), lambda: PieceIds(vocabulary, drops_space))
