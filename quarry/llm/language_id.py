@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import worker_state
+
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, MODEL_CHARS, LANGUAGES = 96, 4_000, 240_000, 32
 ALPHABET = 120
@@ -120,14 +122,13 @@ class Model:
         if "tables" not in self.__dict__:
             width, self.tables = len(self.letters) + 2, []
             for edges in self.edges:
-                root = np.zeros(width, np.int32)
+                states = int(edges[:, [0, 2]].max(initial=0)) + 1
+                root = np.full(width, states * width, np.int32)  # a symbol that no sample has is a phrase by itself
                 first = edges[edges[:, 0] == 0]
                 root[first[:, 1]] = first[:, 2] * width
-                states = int(edges[:, [0, 2]].max(initial=0)) + 1
-                table = np.tile(root | _NEW_PHRASE, (states, 1))
+                table = np.tile(root | _NEW_PHRASE, (states + 1, 1))
                 table[edges[:, 0], edges[:, 1]] = edges[:, 2] * width
                 table[0] = root  # the first phrase is counted from the start
-                table[0][root == 0] |= _NEW_PHRASE
                 self.tables.append(table.reshape(-1))
         return self.tables
 
@@ -196,15 +197,9 @@ def fit(docs: DataFrame) -> Model:
     return model
 
 
-_workers: dict[str, Model] = {}
-
-
 def _predictions(key: str, shared, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """predict over groups of texts of bounded size; the worker keeps the model's tables."""
-    if key not in _workers:
-        _workers.clear()
-        _workers[key] = shared.value
-    own, texts = _workers[key], [x or "" for x in texts]
+    own, texts = worker_state(key, lambda: shared.value), [x or "" for x in texts]
     languages, scores, rejected, at = [], [np.zeros(0)], [np.zeros(0, bool)], 0
     while at < len(texts):
         end, size = at, 0
