@@ -11,6 +11,7 @@ from .byte_bpe import round_trip_digest
 from .common import table
 from .language_id import fit, identify
 from .ngram_join import jaccard_components
+from .oracle import ORACLE_SQL
 from .packing import pack
 from .projection_forest import near_duplicates
 from .quotes import link_quotations
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
