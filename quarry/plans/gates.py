@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.gates import evaluate, parse_token, token
-from quarry.operators import packs, sessions, specs
+from quarry.operators import merge, packs, sessions, specs
 from quarry.streaming.sessions import OUTPUT, append_ledger, session_stream
 
 from .entities import table
@@ -172,3 +172,29 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
     append_ledger(session_stream(rows, PACK), f"{folder}/ledger", f"{folder}/state").awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{folder}/ledger")
+
+
+@query("""WITH readings AS (SELECT event_id AS reading, user_id, CASE event_id % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'ohm' END AS unit, CASE event_id % 4 WHEN 0 THEN 'KOEO' WHEN 1 THEN 'RUNNING' END AS state, CASE WHEN event_id % 2 = 0 THEN ['view', 'value'] ELSE [event_type, 'it'] END AS words, upper(event_type) AS current FROM events),
+gates(gate, type, gate_unit, condition, quantity_words) AS (VALUES ('VIEW', 'threshold', 'V', 'KOEO', ['view', 'value']), ('CLICK', 'window', 'V', 'KOEO', ['click', 'value']), ('ERROR', 'threshold', 'V', 'KOEO', ['error', 'value']), ('PURCHASE', 'boolean', NULL, NULL, ['purchase', 'value'])),
+scores AS (SELECT reading, gate, current, CASE WHEN type <> 'boolean' AND (unit IS NULL OR lower(unit) = lower(gate_unit)) AND (state IS NULL OR state = condition) THEN (CASE WHEN state IS NOT NULL THEN 2.0 ELSE 0.0 END) + len(list_intersect(words, quantity_words)) + (CASE WHEN gate = current THEN 0.5 ELSE 0.0 END) ELSE -1e9 END AS score FROM readings CROSS JOIN gates),
+ranked AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS next FROM scores WINDOW w AS (PARTITION BY reading ORDER BY score DESC, gate DESC))
+SELECT reading, gate, CAST(score AS DOUBLE) AS score FROM ranked WHERE place = 1 AND score >= 0 AND NOT (coalesce(next = score, false) AND gate <> current)""")
+def reading_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which gate each reading belongs to; none where two fit equally well."""
+    event, kind = F.col("event_id"), F.col("event_type")
+    readings = table(spark, sf_dir, "events").select(
+        event.alias("reading"), F.when(event % 3 == 0, "V").when(event % 3 == 1, "ohm").alias("unit"), F.when(event % 4 == 0, "KOEO").when(event % 4 == 1, "RUNNING").alias("state"),
+        F.when(event % 2 == 0, F.array(F.lit("view"), F.lit("value"))).otherwise(F.array(kind, F.lit("it"))).alias("words"), F.upper(kind).alias("current"),
+    )
+    gates = packs.gates_of(pack_rows(spark).filter("id = 'events_pack'")).select(F.col("id").alias("gate"), "type", F.col("unit").alias("gate_unit"), "condition", F.split("quantity", " ").alias("quantity_words"))
+    return merge.best_unless_tied(sessions.score_readings(readings, gates), ["reading"], "score", "gate", "current").select("reading", "gate", "score")
+
+
+@query("""WITH status AS (SELECT s_suppkey % 6 AS pack, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'UNVERIFIED' ELSE 'CONFLICT' END AS status, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS ref FROM supplier)
+SELECT CAST(pack AS VARCHAR) AS pack, count(*) AS numeric_gates, count(*) FILTER (status = 'RESOLVED') AS resolved, count(*) FILTER (status = 'UNVERIFIED') AS unverified, count(*) FILTER (status = 'CONFLICT') AS conflict,
+coalesce(string_agg('G' || CAST(s_suppkey AS VARCHAR) || ' (' || coalesce(ref, 'no spec_ref') || ')', '|' ORDER BY s_suppkey) FILTER (status <> 'RESOLVED'), '') AS needs FROM status GROUP BY 1""")
+def unverified_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    gates = table(spark, sf_dir, "supplier").select((key % 6).cast("string").alias("pack"), key.alias("gate_key"), key.alias("ord"), F.concat(F.lit("G"), key.cast("string")).alias("gate_id"), F.when(key % 4 > 0, F.col("s_name")).alias("spec_ref"))
+    resolved = gates.select("gate_key", F.when(F.col("gate_key") % 3 == 0, "RESOLVED").when(F.col("gate_key") % 3 == 1, "UNVERIFIED").otherwise("CONFLICT").alias("status"))
+    return specs.unverified_report(gates, resolved).withColumn("needs", F.array_join("needs", "|"))

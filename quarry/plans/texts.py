@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import audit, extraction
 from quarry.operators import packs, retrieval
+from quarry.sources import layout
 from quarry.sources.documents import sections
+from quarry.sources.sinks import vin_fields
 
 from .entities import table
 
@@ -126,3 +128,33 @@ SYMPTOMS = {"no_start": [r"\bth(en|is)\b", "crank"], "heat": ["ein", "hot"], "no
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)\\bth(en|is)\\b') OR regexp_matches(text, '(?i)crank') THEN 'no_start' WHEN regexp_matches(text, '(?i)ein') OR regexp_matches(text, '(?i)hot') THEN 'heat' WHEN regexp_matches(text, '(?i)eau') OR regexp_matches(text, '(?i)ci[oó]n') THEN 'noise' END AS pack FROM conversations")
 def symptom_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packs.route(table(spark, sf_dir, "conversations"), SYMPTOMS).select("conv_id", "turn", "pack")
+
+
+@query("""SELECT p_brand AS make, p_name AS model, p_type AS styles, CAST(p_size AS VARCHAR) || '.5' AS wheelbase, 'u' AS construction, CASE WHEN p_size % 2 = 0 THEN 'r,4' ELSE 'f' END AS drive, 1990 + p_size % 9 AS year_start, 2000 + p_size % 9 AS year_end,
+CASE WHEN p_size % 3 = 0 THEN 'alt ' || CAST(p_size AS VARCHAR) ELSE '' END AS alt_models, CASE WHEN p_size % 3 = 0 THEN 'seen ' || p_type ELSE '' END AS remarks, CASE WHEN p_size % 5 > 0 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') END AS cluster_id FROM part""")
+def layout_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts printed as pages of a fixed layout, a page per ten parts and the brand only where it changes, and parsed back."""
+    size, part = F.col("p_size"), table(spark, sf_dir, "part")
+    column = lambda x, n: F.rpad(x, n, " ")
+    over = Window.partitionBy("p_brand").orderBy("p_partkey")
+    rows = part.withColumns({"_at": F.row_number().over(over) - 1})
+    make = F.when(F.col("_at") % 10 == 0, F.concat(F.lit("  "), column(F.col("p_brand"), 16))).otherwise(F.rpad(F.lit(""), 18, " "))
+    tail = F.concat(F.lit("  "), column(F.when(size % 3 == 0, F.concat(F.lit("alt "), size.cast("string"))).otherwise(""), 16), column(F.when(size % 3 == 0, F.concat(F.lit("seen "), "p_type")).otherwise(""), 20), F.when(size % 5 > 0, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).otherwise(""))
+    head = F.concat(make, column(F.col("p_name"), 20), column(F.col("p_type"), 14), column(F.concat(size.cast("string"), F.lit(".5")), 10))
+    line = F.concat(head, F.lit("u   "), column(F.when(size % 2 == 0, "r,4").otherwise("f"), 6), (1990 + size % 9).cast("string"), F.lit(" "), (2000 + size % 9).cast("string"), tail)
+    titles = F.concat(F.lit("  MAKE            MODEL               STYLES        "), F.rpad(F.lit(""), 47, " "), F.lit("REMARKS"))
+    printed = rows.select("p_brand", "_at", F.when(F.col("_at") % 10 == 0, F.concat(F.when(F.col("_at") > 0, "\f").otherwise(""), titles, F.lit("\n"), line)).otherwise(line).alias("line"))
+    texts = printed.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    found, _ = layout.vehicle_rows(texts)
+    return found.select("make", "model", "styles", "wheelbase", "construction", "drive", "year_start", "year_end", "alt_models", "remarks", "cluster_id")
+
+
+@query("SELECT upper('1HGCM82633A' || lpad(CAST(c_custkey AS VARCHAR), 6, '0')) AS vin, c_mktsegment[1] || lower(substr(c_mktsegment, 2)) AS make, c_name AS model, CAST(1990 + c_nationkey AS INTEGER) AS year, CASE WHEN c_custkey % 2 = 0 THEN 'EX · AWD' ELSE 'AWD' END AS trim, 'K20 ' || CAST(c_nationkey % 8 + 1 AS VARCHAR) || 'cyl 2.0L' AS engine FROM customer")
+def vin_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    answer = F.to_json(F.struct(F.array(F.create_map(
+        F.lit("Make"), F.col("c_mktsegment"), F.lit("Model"), F.col("c_name"), F.lit("ModelYear"), (1990 + F.col("c_nationkey")).cast("string"), F.lit("Trim"), F.when(key % 2 == 0, "EX").otherwise(""),
+        F.lit("DriveType"), F.lit("AWD"), F.lit("EngineModel"), F.lit("K20"), F.lit("EngineCylinders"), (F.col("c_nationkey") % 8 + 1).cast("string"), F.lit("DisplacementL"), F.lit("2"),
+    )).alias("Results")))
+    rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("1hgcm82633a"), F.lpad(key.cast("string"), 6, "0")).alias("vin"), answer.alias("payload"))
+    return vin_fields(rows)
