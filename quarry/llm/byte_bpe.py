@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, worker_state
+from .common import text_of, texts_of, worker_state
 
 #: Classes of characters. LEAD is a space that leads the next word; Q1 and Q2 are apostrophes before one or two letters of a contraction.
 LETTER, NUMBER, SPACE, OTHER, END, LEAD, Q1, Q2 = range(8)
@@ -161,7 +161,7 @@ class ByteBpe(dict):
             self[piece] = found
         return found
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text, in order."""
         group, size = [], 0
         for text in texts:
@@ -206,7 +206,7 @@ def _mapped(docs: DataFrame, ranks_path: str, id_col: str, text_col: str, column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _worker(ranks_file)
         for batch in batches:
-            rows = [row(bpe, np.frombuffer(x, "<u4")) for x in bpe.encode_all(batch.column(1).to_pylist())]
+            rows = [row(bpe, np.frombuffer(x, "<u4")) for x in bpe.encode_all(texts_of(batch.column(1)))]
             own = list(zip(*rows)) or [[]] * len(columns)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, kind) for x, kind in zip(own, columns.values()))], ["doc_id", *columns])
 

@@ -19,6 +19,7 @@ text is `und`; a null doc_id is never learned from and counts as not held out.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import worker_state
+from .common import texts_of, worker_state
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, SAMPLE_DOC_CHARS, MODEL_CHARS, LANGUAGES = 96, 4_000, 240_000, 32
@@ -197,20 +198,21 @@ def fit(docs: DataFrame) -> Model:
     return model
 
 
-def _predictions(key: str, shared, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def _predictions(key: str, shared, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """predict over groups of texts of bounded size; the worker keeps the model's tables."""
-    own, texts = worker_state(key, lambda: shared.value), [x or "" for x in texts]
-    languages, scores, rejected, at = [], [np.zeros(0)], [np.zeros(0, bool)], 0
-    while at < len(texts):
-        end, size = at, 0
-        while end < len(texts) and (end == at or size + len(texts[end]) <= GROUP_CHARS):
-            size += len(texts[end])
-            end += 1
-        found = own.predict(texts[at:end])
-        languages += found[0]
-        scores.append(found[1])
-        rejected.append(found[2])
-        at = end
+    own = worker_state(key, lambda: shared.value)
+    languages, scores, rejected = [], [np.zeros(0)], [np.zeros(0, bool)]
+    group, size = [], 0
+    for text in itertools.chain(texts_of(column), [None]):
+        if group and (text is None or size + len(text) > GROUP_CHARS):
+            found = own.predict(group)
+            languages += found[0]
+            scores.append(found[1])
+            rejected.append(found[2])
+            group, size = [], 0
+        if text is not None:
+            group.append(text)
+            size += len(text)
     return languages, np.concatenate(scores), np.concatenate(rejected)
 
 
@@ -220,7 +222,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            languages, scores, rejected = _predictions(key, shared, batch.column(2).to_pylist())
+            languages, scores, rejected = _predictions(key, shared, batch.column(2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(languages, pa.string()), pa.array(scores), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
@@ -233,6 +235,6 @@ def drop_rejected(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(~_predictions(key, shared, batch.column(text_at).to_pylist())[2]))
+            yield batch.filter(pa.array(~_predictions(key, shared, batch.column(text_at))[2]))
 
     return docs.mapInArrow(run, docs.schema)

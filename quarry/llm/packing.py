@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of, written
+from .common import partitions, text_of, texts_of, written
 from .wordpieces import piece_ids
 
 #: Tokens per class of lengths: rounding up costs half of it per piece on average.
@@ -42,7 +42,7 @@ def cut_pieces(docs: DataFrame, vocabulary_path: str, size: int, end_id: int) ->
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(texts_of(batch.column(1)))):
                 ids += end
                 total = len(ids) // 4
                 for at in range(0, total, size):

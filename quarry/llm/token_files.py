@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, partitions, shared_dir, text_of, written
+from .common import filesystem, partitions, shared_dir, text_of, texts_of, written
 from .wordpieces import piece_ids
 
 MANIFEST = "part int, name string, wide boolean, docs long, tokens long"
@@ -49,7 +49,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_i
             held, size = [], 0
             for batch in batches:
                 ids.append(np.asarray(batch.column(0), "<i8"))
-                for found in encoder.encode_all(batch.column(1).to_pylist()):
+                for found in encoder.encode_all(texts_of(batch.column(1))):
                     found += end
                     lengths.append(len(found) // 4)
                     held.append(found)

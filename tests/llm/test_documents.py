@@ -240,3 +240,15 @@ def test_pipeline(spark):
     packed = corpus_pipeline.STAGES[3][1](spark, docs, "")
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == want
     assert packed.filter(F.col("length") <= 0).count() == 0
+
+
+def test_pipeline_on_nothing_and_on_nulls(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, first_id string, signature string"
+    for rows in ([], [(None, None, None, None, None, None, None), (1, None, "xx", None, None, "a", "b"), (2, "anta benti", None, "s", 1, "a", "b"), (None, "anta benti", "xx", "s", 1, "a", "b")]):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            out = stage(spark, docs, "")
+            assert out.schema.names == docs.schema.names and out.count() <= docs.count(), name
+        assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() == len(rows)
