@@ -21,6 +21,11 @@ KEPT_PIECES = 1_200_000
 GROUP_CHARS = 1 << 20
 #: A space that does not simply lead the next word: such a text is encoded whole.
 _UNEVEN_SPACE = re.compile(r" (?:\s|\Z)")
+#: An ASCII word, with or without one sign behind it: each part is one pre-token, so the library's model takes it as it is.
+_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
+#: What a byte-level vocabulary writes for a space.
+_SPACE_SIGN = "\u0120"
+
 
 class PieceIds(dict):
     """word -> its ids as unsigned 32-bit integers, with the space before it where that counts.
@@ -35,9 +40,17 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        self.model = self.tokenizer.model
         self.new: list[str | tuple[str]] = []
 
-    def __missing__(self, piece: str | tuple[str]) -> bytearray:
+    def __missing__(self, piece: str | tuple[str]) -> bytes | bytearray:
+        if isinstance(piece, str) and len(piece) <= 100 and (plain := _PLAIN.fullmatch(piece)):
+            word = plain[1].lower() if self.drops_space else _SPACE_SIGN + plain[1]
+            ids = [t.id for t in self.model.tokenize(word)]
+            if plain[2]:
+                ids += [t.id for t in self.model.tokenize(plain[2])]
+            self[piece] = found = array("I", ids).tobytes()
+            return found
         self.new.append(piece)
         self[piece] = buffer = bytearray()
         return buffer
