@@ -34,3 +34,15 @@ def offending(reply: Column | str, allowed: Column | str) -> Column:
     cited = F.transform(F.regexp_extract_all(blob, F.lit(CITATION), F.lit(1)), F.btrim)
     cites = F.filter(F.regexp_extract_all(body, F.lit(CITATION), F.lit(1)), lambda x: ~F.array_contains(cited, F.btrim(x)))
     return F.concat(wrong, words, F.transform(cites, lambda x: F.concat(F.lit("["), x, F.lit("]"))))
+
+
+#: Fixed value: words that only the engine itself may use.
+OUTCOME_WORDS = r"(?i)\b(pass(?:ed|es)?|fail(?:ed|s|ure)?|in[- ]spec|out of spec|too (?:low|high))\b"
+
+
+def guarded(body: Column | str, allowed: Column | str, plain_words_only: Column | None = None) -> Column:
+    """A worded reply without ledger lines, or null: where nothing is left, where it asks more than once, names
+    an outcome or says what no allowed text has, and always at steps that must keep the engine's own words."""
+    text = F.regexp_replace(F.regexp_replace(col(body), LEDGER_LINE, ""), r"(?U)^\s+|\s+$", "")
+    sound = (text != "") & (F.regexp_count(text, F.lit(r"\?")) <= 1) & ~text.rlike(OUTCOME_WORDS) & (F.size(offending(text, allowed)) == 0)
+    return F.when(sound if plain_words_only is None else sound & ~plain_words_only, text)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.gates import OPS, OUTCOMES, STATES, TERMINAL
@@ -19,6 +19,11 @@ IDENTIFIER, CODE, CITE = r"^[A-Za-z0-9_]+$", r"^[A-Z0-9_]+$", r"^\S.* p\.\d+$"
 PROSE = ("title", "instruction", "safeguard", "risk")
 
 
+def read_packs(spark: SparkSession, path: str) -> DataFrame:
+    """Packs out of JSON files, one a file, with the file's name; its order is the order of routing."""
+    return spark.read.schema(PACK_SCHEMA).json(path, multiLine=True).select("*", F.col("_metadata.file_name").alias("file")).orderBy("file")
+
+
 def gates_of(packs: DataFrame) -> DataFrame:
     return packs.select(F.col("id").alias("pack"), "start", "terminals", F.transform("gates", lambda g: g["id"]).alias("ids"), F.posexplode("gates").alias("ord", "g")).select("pack", "start", "terminals", "ids", "ord", "g.*")
 

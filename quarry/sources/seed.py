@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAIRS, SINGLES, FLAGGED = 907, 62, 110
+SCHEMA = "id long, make string, model string, styles string, wheelbase string, construction string, drive string, year_start int, year_end int, cluster_id string"
+#: Vehicles of four real clusters, in order.
+KNOWN = [
+    (-9, "Chevrolet", "Tahoe", "SUV", "116.0", "f", "r,4", 2007, 2014, "000100"),
+    (-8, "GMC", "Yukon", "SUV", "116.0", "f", "r,4", 2007, 2014, "000100"),
+    (-7, "Cadillac", "Escalade", "SUV", "116.0", "f", "r,4", 2007, 2014, "000100"),
+    (-6, "BMW", "528,535,550", "Sedan", "113.7", "u", "r", 2004, 2010, "005280"),
+    (-5, "BMW", "525,530", "Sedan", "113.7", "u", "r", 2004, 2007, "005280"),
+    (-4, "BMW", "M5", "Sedan", "113.7", "u", "r", 2006, 2010, "005280"),
+    (-3, "Scion", "FR-S", "Coupe", "101.2", "u", "r", 2013, 2016, "007710"),
+    (-2, "Subaru", "BRZ", "Coupe", "101.2", "u", "r", 2013, 2016, "007710"),
+    (-1, "Acura", "RL", "Sedan", "110.2", "u", "a", 2005, 2012, "009009"),
+]
+
+
+def known_vehicles(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(KNOWN, SCHEMA)
 
 
 def seed_vehicles(spark: SparkSession, pairs: int = PAIRS, singles: int = SINGLES, flagged: int = FLAGGED) -> DataFrame:

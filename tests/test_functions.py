@@ -109,3 +109,19 @@ def test_audit(spark):
 @pytest.mark.parametrize("word, stem", [("caresses", "caress"), ("ponies", "poni"), ("feed", "feed"), ("agreed", "agre"), ("plastered", "plaster"), ("motoring", "motor"), ("hopping", "hop"), ("falling", "fall"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("conditional", "condit"), ("electriciti", "electr"), ("adoption", "adopt"), ("controll", "control"), ("cranking", "crank")])
 def test_porter(word, stem):
     assert stemming.porter(word) == stem
+
+
+def test_guard(spark):
+    allowed = F.array(F.lit("12.4 V"))
+    cases = {"COMMIT: X\nMeasure it. Is it 12.4?": "Measure it. Is it 12.4?", "Why? How?": None, "It passed.": None, "It is 13.": None, "SAFEGUARD: x": None}
+    for body, want in cases.items():
+        assert one(spark, audit.guarded(F.lit(body), allowed)) == want
+    assert one(spark, audit.guarded(F.lit("fine"), allowed, F.lit(True))) is None
+
+
+def test_merge_extracted(spark):
+    own = F.array(F.struct(F.lit(1.0).alias("value"), F.lit("V").alias("unit"), F.lit(None).cast("string").alias("state"), F.lit("c").alias("clause")))
+    merge = lambda answer: one(spark, extraction.merge_extracted(own, F.array(F.lit("P0001")), F.lit(None).cast("boolean"), F.lit(answer), F.lit("while cranking")))
+    got = merge('{"readings":[{"value":"2.5","unit":"null","state":"ODD"},{"value":"x"},{"unit":"V"}],"dtcs":["p0001","u0100"],"yes_no":true}')
+    assert [(r.value, r.unit, r.state) for r in got.readings] == [(1.0, "V", None), (2.5, None, "CRANKING")] and got.codes == ["P0001", "U0100"] and got.yes_no is True
+    assert len(merge("no json").readings) == 1

@@ -128,3 +128,29 @@ def test_vin_fields(spark):
 
 def test_bundle():
     assert sinks.bundle("<script>__DATA__</script>", {"__DATA__": {"a": "</script>"}}) == '<script>{"a":"<\\/script>"}</script>'
+
+
+def test_known_pools(spark):
+    cars = seed.known_vehicles(spark).unionByName(seed.seed_vehicles(spark))
+    assert (cars.count(), cars.select("cluster_id").distinct().count()) == (1885, 973)
+    tables_ = seed.as_tables(cars)
+    found = lambda make, model, year: {(r.make, r.model) for r in pool.donor_pool(*tables_, make, model, year).collect()}
+    assert found("chevrolet", "tahoe", 2010) == {("GMC", "Yukon"), ("Cadillac", "Escalade")}
+    assert found("Subaru", "BRZ", 2013) == {("Scion", "FR-S")} and found("Acura", "RL", 2009) == set()
+    assert found("BMW", "528i", 2008) == {("BMW", "525,530"), ("BMW", "M5")}
+
+
+def test_pack_files(spark, tmp_path):
+    import json
+
+    from quarry.operators import packs
+    from quarry.plans.gates import LOST, PACK
+
+    for name, pack in (("b", PACK), ("a", LOST)):
+        (tmp_path / f"{name}.json").write_text(json.dumps(pack, indent=1))
+    rows = packs.read_packs(spark, str(tmp_path))
+    assert [r.id for r in rows.collect()] == ["lost", "events_pack"]
+    assert [(r.pack, r.gate) for r in packs.problems(rows).collect()] == [("lost", "ALONE")]
+    loop = {**PACK, "gates": [{**g, "next": {k: "VIEW" for k in g["next"]}} if g["id"] == "ERROR" else g for g in PACK["gates"]]}
+    cyclic = spark.createDataFrame([(json.dumps(loop),)], "v string").select(F.from_json("v", packs.PACK_SCHEMA).alias("p")).select("p.*")
+    assert {r.gate for r in packs.problems(cyclic).filter("problem like '%cycle%'").collect()} == {"VIEW", "CLICK", "ERROR"}
