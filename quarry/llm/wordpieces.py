@@ -19,12 +19,15 @@ from .common import worker_state
 KEPT_PIECES = 1_200_000
 #: Characters of text between two calls of the tokenizer.
 GROUP_CHARS = 1 << 20
-#: A space that does not simply lead the next word: such a text is encoded whole.
-_UNEVEN_SPACE = re.compile(r" (?:\s|\Z)")
-#: An ASCII word, with or without one sign behind it: each part is one pre-token, so the library's model takes it as it is.
-_PLAIN = re.compile(r"([A-Za-z]+)([.,]?)")
-#: What a byte-level vocabulary writes for a space.
-_SPACE_SIGN = "\u0120"
+#: White space that does not simply stand between two words or lines: such a text is encoded whole.
+_UNEVEN = re.compile(r" (?:\s|\Z)|\n(?:\s|\Z)")
+#: A word of Latin-1 letters, with or without one sign behind it: each part is one pre-token, so the library's model takes it as it is.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others from 256 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [b for b in range(256) if b not in _PRINTABLE]
+_SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+_BYTES = str.maketrans({chr(b): sign for b, sign in _SIGNS.items()})
 
 
 class PieceIds(dict):
@@ -41,15 +44,22 @@ class PieceIds(dict):
         self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
         self.model = self.tokenizer.model
+        self.line_end = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.new: list[str | tuple[str]] = []
 
+    def _plain(self, word: str, sign: str, lead: str) -> bytes:
+        word = word.lower() if self.drops_space else lead + word
+        if not word.isascii() or lead:
+            word = word.encode("utf-8").decode("latin-1").translate(_BYTES)
+        ids = [t.id for t in self.model.tokenize(word)]
+        if sign:
+            ids += [t.id for t in self.model.tokenize(sign)]
+        return array("I", ids).tobytes()
+
     def __missing__(self, piece: str | tuple[str]) -> bytes | bytearray:
-        if isinstance(piece, str) and len(piece) <= 100 and (plain := _PLAIN.fullmatch(piece)):
-            word = plain[1].lower() if self.drops_space else _SPACE_SIGN + plain[1]
-            ids = [t.id for t in self.model.tokenize(word)]
-            if plain[2]:
-                ids += [t.id for t in self.model.tokenize(plain[2])]
-            self[piece] = found = array("I", ids).tobytes()
+        text, lead = (piece[0], "") if isinstance(piece, tuple) else (piece, "" if self.drops_space else " ")
+        if len(text) <= 100 and (plain := _PLAIN.fullmatch(text)):
+            self[piece] = found = self._plain(plain[1], plain[2], lead)
             return found
         self.new.append(piece)
         self[piece] = buffer = bytearray()
@@ -59,10 +69,13 @@ class PieceIds(dict):
         get = self.__getitem__
         if self.drops_space:
             return list(map(get, text.replace("\n", " ").split(" ")))
-        if _UNEVEN_SPACE.search(text):
+        if _UNEVEN.search(text):
             return [get((text,))]
-        first, *rest = text.split(" ")
-        return [get((first,)), *map(get, rest)]
+        found = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            found += [get((first,)), *map(get, rest), self.line_end]
+        return found[:-1]
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
         found = [self._pieces(text) for text in texts]
