@@ -37,8 +37,8 @@ ALPHABET = 120
 STRETCH = 256
 #: Symbols that go through the automata at once.
 GROUP_CHARS = 1 << 21
-#: A text of at least so many symbols is rejected if it needs more bits a symbol than REJECT times the worst calibration text.
-REJECT_FROM, REJECT = 64, 1.25
+#: A text of at least so many symbols is rejected if it needs more bits a symbol than REJECT times the median calibration text.
+REJECT_FROM, REJECT = 128, 3.0
 UNDETERMINED = "und"
 _NEW_PHRASE = 1 << 30
 
@@ -94,7 +94,7 @@ class Model:
         bits, n = self.cross_bits(texts)
         own = bits.min(axis=1)[n >= REJECT_FROM] if len(self.languages) else np.zeros(0)
         if len(own):
-            self.limit = REJECT * float(own.max())
+            self.limit = REJECT * float(np.median(own))
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("tables", "codes")}
