@@ -131,12 +131,12 @@ def cluster_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{CHECKS}, flags AS (SELECT cluster_id FROM checks WHERE reasons LIKE '%year%'),
-reverted AS (SELECT vehicle_id, cluster_id, CASE WHEN CAST(cluster_id AS BIGINT) % 2 = 0 AND confidence = 'edc-flagged' THEN 'edc' ELSE confidence END AS confidence FROM order_members)
+reverted AS (SELECT vehicle_id, cluster_id, CASE WHEN cluster_id IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'F') AND confidence = 'edc-flagged' THEN 'edc' ELSE confidence END AS confidence FROM order_members)
 SELECT vehicle_id, cluster_id, CASE WHEN cluster_id IN (SELECT cluster_id FROM flags) AND confidence = 'edc' THEN 'edc-flagged' ELSE confidence END AS confidence FROM reverted""")
 def flag_revert_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = order_members(spark, sf_dir)
     flags = order_checks(spark, sf_dir).filter("reasons like '%year%'")
-    earlier = table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").cast("string").alias("cluster_id"))
+    earlier = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("cluster_id"))
     return quality.apply_flags(members, flags, earlier).select("vehicle_id", "cluster_id", "confidence")
 
 
@@ -170,19 +170,19 @@ def export_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "make", "model", "year_start", "year_end", "cluster_id", "type", "scope", "confidence", "note", "label")
 
 
-@query(f"WITH {ALL}, few AS (SELECT * FROM membership WHERE vehicle_id % 7 = 0) SELECT id, make, model, year_start, cluster_id, coalesce(scope, '') AS scope, coalesce(note, '') AS note FROM vehicles LEFT JOIN few ON id = vehicle_id")
+@query(f"WITH {ALL}, few AS (SELECT * FROM membership WHERE scope = 'engine-loop' AND note = 'R') SELECT id, make, model, year_start, cluster_id, coalesce(scope, '') AS scope, coalesce(note, '') AS note FROM vehicles LEFT JOIN few ON id = vehicle_id")
 def export_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = flat_rows(vehicles(spark, sf_dir), clusters(spark, sf_dir), membership(spark, sf_dir).filter("vehicle_id % 7 = 0"), keep_alone=True)
+    rows = flat_rows(vehicles(spark, sf_dir), clusters(spark, sf_dir), membership(spark, sf_dir).filter("scope = 'engine-loop' and note = 'R'"), keep_alone=True)
     return rows.select("id", "make", "model", "year_start", "cluster_id", F.coalesce("scope", F.lit("")).alias("scope"), "note")
 
 
 NEW = "SELECT l_suppkey AS k, l_orderkey * 10 + l_linenumber AS ord, l_returnflag AS v FROM lineitem"
-OLD = "SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_suppkey % 4 <> 0"
+OLD = "SELECT s_suppkey AS k, s_name AS v FROM supplier WHERE s_acctbal > 0"
 
 
 def _upsert_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     new = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.col("l_returnflag").alias("v"))
-    old = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
+    old = table(spark, sf_dir, "supplier").filter("s_acctbal > 0").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("v"))
     return old, new
 
 
@@ -192,10 +192,10 @@ def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.insert_or_ignore(old, new, ["k"], ["ord", "v"])
 
 
-@query(f"WITH new AS (SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY ord DESC, v DESC) AS place FROM ({NEW}) WHERE k % 3 = 1) WHERE place = 1) SELECT k, v FROM new UNION ALL SELECT k, v FROM ({OLD}) WHERE k NOT IN (SELECT k FROM new)")
+@query(f"WITH new AS (SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY ord DESC, v DESC) AS place FROM ({NEW}) WHERE v = 'R') WHERE place = 1) SELECT k, v FROM new UNION ALL SELECT k, v FROM ({OLD}) WHERE k NOT IN (SELECT k FROM new)")
 def upsert_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _upsert_tables(spark, sf_dir)
-    return merge.insert_or_replace(old, new.filter("k % 3 = 1"), ["k"], [F.desc("ord"), F.desc("v")])
+    return merge.insert_or_replace(old, new.filter("v = 'R'"), ["k"], [F.desc("ord"), F.desc("v")])
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT -c_custkey - 1, 'P', c_acctbal FROM customer")
