@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from .common import worker_state
 
 #: Pieces kept per worker; when full, the worker starts anew.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 900_000
 #: Characters of text between two calls of the tokenizer.
 GROUP_CHARS = 1 << 20
 #: White space that does not simply stand between two words or lines: such a text is encoded whole.
