@@ -181,6 +181,28 @@ def test_secret_scan(spark):
     assert secrets.scan(docs.limit(0), None).count() == 0
 
 
+def test_every_candidate_is_scored():
+    """Runs without digits, and what stands behind the first characters of a long run."""
+    rng = random.Random(3)
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    key = lambda n: "".join(rng.choices(letters, k=n))
+    plain = lambda n: "-".join(rng.choices(["ordinary", "compound", "word", "and", "some"], k=n))
+    runs = [[f"the {w} end" for w in ws] for ws in ([key(i % 90 + 20) for i in range(300)], [plain(i % 30 + 4) if i % 3 else "".join(rng.choices(digits, k=40)) for i in range(300)])]
+    sides = [[secrets.window(t, a, b) for t in own for a, b in secrets.trained_pieces(4, len(t) - 4)] for own in runs]
+    x, y = np.stack(sides[0] + sides[1]), np.repeat([1, 0], [len(s) for s in sides])
+    network = secrets.CharNetwork()
+    network.fit(x, y)
+    network.calibrate(x, y)
+    low = plain(40)
+    texts = [f"use {key(24)} here", f"see /{low}/{key(48)} here", f"see /{low}/{key(80)}/{low} here", f"see /{low}/{low} here", "the ordinary-compound-word here"]
+    found = [[t[a:b] for a, k, b in s if secrets.KINDS[k] == "cnn"] for t, s in zip(texts, secrets.find_all(texts, network))]
+    assert found == [[texts[0].split()[1]], [texts[1].split()[1]], [texts[2].split()[1]], [], []]
+    assert secrets.pieces(3, 19) == [(3, 19)] and secrets.pieces(3, 51) == [(3, 51)]
+    for n in (49, 72, 73, 500):
+        own = secrets.pieces(7, 7 + n)
+        assert own[0][0] == 7 and own[-1][1] == 7 + n and all(b - a == secrets.INSIDE for a, b in own) and all(0 < c - a <= secrets.SLIDE for (a, _), (c, _) in itertools.pairwise(own))
+
+
 def test_network_holds_out():
     rng = np.random.default_rng(1)
     random_hex = ["key " + "".join(rng.choice(list("0123456789abcdef"), 30)) + " end" for _ in range(300)]
