@@ -3,12 +3,12 @@
 A line's level is the number of > before its text. Consecutive lines of one level are a passage. Quoted
 passages, and their lines, are normalised (lower case, white space as single spaces) and hashed, and so
 are unquoted passages, their paragraphs and lines. A quoted hash links to the first message that says it
-unquoted: in the same conversation before the quoting turn, or else in any conversation. A message
+unquoted: in the same conversation before the quoting turn, or else in any other conversation. A message
 replies to the latest turn of its own conversation that it quotes at level 1; a thread's root is found by
 doubling. Ordered by thread and turn, every message stands behind the one it replies to.
 
-Originals are reduced to one per hash (and conversation) before the join, so a passage that every
-conversation shares is one row on that side.
+Originals are reduced to one per hash and conversation, and to the first two conversations of a hash,
+before the join, so a passage that every conversation shares is one row on that side.
 
 Defined cases: a null or empty text has no passages and stays; messages with a null conv_id or turn quote
 nothing in their conversation and are quoted by none; repeated rows get the same links each; an empty
@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -91,11 +91,15 @@ def quotation_links(rows: DataFrame) -> DataFrame:
     # only what is quoted at all need be looked for
     asked = said.filter("level = 0").join(quoted.select("hash").distinct(), "hash", "left_semi")
     near = written(asked.groupBy("conv_id", "hash").agg(F.min("turn").alias("near")), "originals")
-    far = written(near.groupBy("hash").agg(F.min(F.struct("conv_id", "near")).alias("far")), "originals")
+    # the first two conversations, so that one is left where the other is the quoting message's own; each task sends two at most
+    ranked = near.withColumn("place", F.row_number().over(Window.partitionBy("hash").orderBy("conv_id"))).filter("place <= 2")
+    original = lambda place: F.min(F.when(F.col("place") == place, F.struct("conv_id", "near")))
+    far = written(ranked.groupBy("hash").agg(original(1).alias("first"), original(2).alias("second")), "originals")
     linked = quoted.join(near, ["conv_id", "hash"], "left").join(far, "hash", "left")
     own = F.col("near") < F.col("turn")
-    elsewhere = F.col("far.conv_id") != F.col("conv_id")
-    return linked.select("conv_id", "turn", "level", "hash", "whole", F.when(own, F.col("conv_id")).when(elsewhere, F.col("far.conv_id")).alias("to_conv"), F.when(own, F.col("near")).when(elsewhere, F.col("far.near")).alias("to_turn")).filter("to_conv is not null")
+    elsewhere = F.when(F.col("first.conv_id") != F.col("conv_id"), F.col("first")).otherwise(F.col("second"))
+    linked = linked.withColumn("to", F.when(own, F.struct("conv_id", "near")).otherwise(elsewhere)).filter("to is not null")
+    return linked.select("conv_id", "turn", "level", "hash", "whole", F.col("to.conv_id").alias("to_conv"), F.col("to.near").alias("to_turn"))
 
 
 def thread_roots(replies: DataFrame) -> DataFrame:

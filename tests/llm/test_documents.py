@@ -236,6 +236,23 @@ def test_quotes(spark):
     assert quotes.link_quotations(df.limit(0)).count() == 0
 
 
+def test_original_elsewhere_when_own_conversation_is_first(spark):
+    """Against every pair of messages; a passage that the own conversation says only later links to the next conversation."""
+    rng = random.Random(12)
+    talk = {(c, t): (rng.sample("abcdef", 2), rng.sample("abcdef", 1) if rng.random() < 0.6 else []) for c in range(6) for t in range(4)}
+    talk |= {(10, 0): ([], ["x"]), (10, 3): (["x"], []), (11, 1): (["x"], []), (11, 0): ([], ["x"]), (12, 0): (["y"], ["y"]), (12, 1): ([], ["z"]), (13, 0): (["z"], []), (10, 1): ([], ["y"])}
+    want = set()
+    for (c, t), (_, quoted) in talk.items():
+        for q in quoted:
+            said = sorted(k for k, (own, _) in talk.items() if q in own)
+            near, far = [k for k in said if k[0] == c and k[1] < t], [k for k in said if k[0] != c]
+            want |= {(c, t, quotes.normalised_hash(q), *(near or far)[0])} if near or far else set()
+    assert any(k[:2] == (10, 0) and k[3:] == (11, 1) for k in want) and not any(k[:2] == (12, 0) for k in want)
+    rows = [(c, t, "u", "\n".join([*(f"> {q}" for q in quoted), *own])) for (c, t), (own, quoted) in talk.items()]
+    links = quotes.quotation_links(quotes.parsed(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    assert {(r.conv_id, r.turn, r.hash, r.to_conv, r.to_turn) for r in links.collect()} == want
+
+
 def test_long_reply_chains(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, t, "u", f"> line {t - 1}\nline {t}") for t in range(1, 20)]
     got = {r.turn: (r.thread, r.depth, r.reply_to) for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
