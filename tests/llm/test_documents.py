@@ -281,6 +281,17 @@ def test_pipeline(spark):
     assert packed.filter(F.col("length") <= 0).count() == 0
 
 
+def test_near_copies_where_texts_share_an_id(spark):
+    import corpus_pipeline
+
+    a, b, c = ("a b c d e f g h", "i j k l m n o p", "q r s t u v w x")
+    rows = [(1, a), (5, a), (5, b), (5, b), (5, c), (6, c), (7, "y"), (7, "y"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.ngram_jaccard_join(spark, docs, "").collect()]
+    assert Counter(t for _, t in kept) == {a: 2, b: 1, c: 1, "y": 1}
+    assert {(1, a), (5, b), (7, "y"), (None, a)} <= set(kept) and set(kept) <= set(rows)
+
+
 def test_pipeline_on_nothing_and_on_nulls(spark):
     import corpus_pipeline
 
