@@ -2,6 +2,10 @@
 
 Both pre-tokenisers used here never join what stands on the two sides of a chosen cut, so a text
 is cut there and each piece is encoded once per worker: prose repeats its words.
+
+A choice: the library's encode_special_tokens is on, so that the string of a special token that stands
+in a text, such as <|endoftext|>, is text like any other and never forges the end of a document. With
+the library's default it would become the special id.
 """
 
 from __future__ import annotations

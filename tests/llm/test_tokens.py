@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,30 @@ def test_slices_equal_the_pattern(tik, text):
     assert ids.tolist() == tik.encode_ordinary(text) and bpe.decode(ids) == text.encode()
 
 
+def test_long_words(tik):
+    """Merges of words without a boundary take n log n: a million letters in seconds, with the library's ids."""
+    rng = np.random.default_rng(2)
+    bpe = byte_bpe.ByteBpe(open(P.path("byte_bpe_50k.tiktoken"), "rb").read())
+    for alphabet, n in (("ab", 3000), ("etaoinshrdlu", 3000), ("あいう", 1000), ("a", 4097)):
+        word = "".join(rng.choice(list(alphabet), n))
+        assert np.frombuffer(next(bpe.encode_all([word])), "<u4").tolist() == tik.encode_ordinary(word)
+    begun = time.perf_counter()
+    ids = np.frombuffer(next(bpe.encode_all([word := "".join(rng.choice(list("etaoinshrdlu"), 1_000_000))])), "<u4")
+    assert time.perf_counter() - begun < 10 and bpe.decode(ids) == word.encode()
+
+
+def test_special_tokens_in_texts_are_text(spark):
+    """The stated choice: encode_special_tokens is on, so their strings are ordinary text; the library's default would give one id."""
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "<|startoftext|>\n<|endoftext|> x", "a<|endoftext|>", "< |endoftext|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    files = token_files.token_file_digest(docs, P.path("byte_bpe_50k.json"), 0).collect()
+    assert {r.doc_id: r.ids_crc32 for r in files} == {i: zlib.crc32(ids_of("byte_bpe_50k.json", t, 0).tobytes()) for i, t in enumerate(texts)}
+    packed = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
+    assert {r.doc_id: r.ids_crc32 for r in packed} == {i: zlib.crc32(ids_of("word_bpe_49k.json", t, 2).tobytes()) for i, t in enumerate(texts)}
+    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [50256] and len(ids_of("byte_bpe_50k.json", texts[0], 0)) > 2
+
+
 def test_token_files(spark):
     got = token_files.token_file_digest(frame(spark), P.path("byte_bpe_50k.json"), 0).orderBy("start").collect()
     at = 0
