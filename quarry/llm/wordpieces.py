@@ -31,6 +31,7 @@ _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)")
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHERS = [b for b in range(256) if b not in _PRINTABLE]
 _SIGNS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+_SPACE_SIGN = _SIGNS[0x20]
 _BYTES = str.maketrans({chr(b): sign for b, sign in _SIGNS.items()})
 
 
@@ -50,20 +51,31 @@ class PieceIds(dict):
         self.model = self.tokenizer.model
         self.line_end = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
         self.new: list[str | tuple[str]] = []
+        self.signs: dict[str, bytes] = {}
 
-    def _plain(self, word: str, sign: str, lead: str) -> bytes:
-        word = word.lower() if self.drops_space else lead + word
-        if not word.isascii() or lead:
-            word = word.encode("utf-8").decode("latin-1").translate(_BYTES)
-        ids = [t.id for t in self.model.tokenize(word)]
-        if sign:
-            ids += [t.id for t in self.model.tokenize(sign)]
-        return array("I", ids).tobytes()
+    def _word(self, word: str, lead: str) -> bytes:
+        if self.drops_space:
+            word = word.lower()
+        if word.isascii():
+            word = _SPACE_SIGN + word if lead else word
+        else:
+            word = (lead + word).encode("utf-8").decode("latin-1").translate(_BYTES)
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def _sign(self, sign: str) -> bytes:
+        if sign not in self.signs:
+            self.signs[sign] = array("I", [t.id for t in self.model.tokenize(sign)]).tobytes()
+        return self.signs[sign]
 
     def __missing__(self, piece: str | tuple[str]) -> bytes | bytearray:
         text, lead = (piece[0], "") if isinstance(piece, tuple) else (piece, "" if self.drops_space else " ")
         if len(text) <= 100 and (plain := _PLAIN.fullmatch(text)):
-            self[piece] = found = self._plain(plain[1], plain[2], lead)
+            word, sign = plain.groups()
+            if sign:
+                found = self[(word,) if isinstance(piece, tuple) else word] + self._sign(sign)
+            else:
+                found = self._word(word, lead)
+            self[piece] = found
             return found
         self.new.append(piece)
         self[piece] = buffer = bytearray()
