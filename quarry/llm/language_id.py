@@ -1,27 +1,37 @@
 """Language identification by cross-parsing against suffix automata of labelled text.
 
-Every language has a suffix automaton of a bounded sample of its labelled text. A document is parsed
-greedily into the longest phrases that occur in the sample; the number of phrases times the bits of a
-place in the sample estimates the cross entropy, and the language that needs fewest wins.
-
-Texts are lower-cased and every run of other characters than letters becomes one space. A text is
-parsed whole, in stretches of STRETCH symbols that run side by side through the automaton's table
-(each stretch begins a phrase of its own, for every language alike).
+Every language has a suffix automaton of a bounded sample of its labelled text. Reading a document, it
+yields the longest match at every place; a document is parsed greedily into longest matches, and the
+number of these phrases times the bits of a place in the sample, for each symbol, estimates the cross
+entropy. The language that needs fewest wins.
+
+Texts are lower-cased and every run of other characters than letters becomes one space; every letter of
+any sample is a symbol. The automata are those of the reversed samples and read texts from behind, so that
+the matches begin at a place and not end there. A text is read whole, in stretches of STRETCH symbols side by
+side: each begins WARM symbols early, and again from further off while its match still spans all it has
+read, so that the matches, and the phrases, are those of one reading from end to end.
+
+A text is rejected by its parse against all languages together, where each phrase is the longest match in any
+sample (so mixtures of learned languages stay): if its bits a symbol, with PRIOR symbols of the median
+calibration text added to it, are more than the limit. The limit is REJECT times that median, or, if that
+is more, SLACK times what the calibration texts and their short pieces need, and at least FLOOR bits. It holds
+for every length.
 
 Learned from: text and lang only, of rows whose crc32(doc_id as text) mod FOLDS is not HELD_OUT. The
-sample is bounded by SAMPLE_DOCS texts of SAMPLE_DOC_CHARS characters for each language and
-MODEL_CHARS characters over all languages; the languages are the LANGUAGES most common labels.
-
-Defined cases: a null text, or one without letters, is `und` with score 0 and is rejected; ties go to
-the language first in the alphabet; repeated rows get the same result; without labelled rows every
-text is `und`; a null doc_id is never learned from and counts as not held out.
+sample is, for each label, at most SAMPLE_DOCS texts chosen by hash, of each a stretch of at most
+SAMPLE_CHARS characters from a hashed place, and as many others for calibration. Every label is learned; the
+model grows with the number of labels only.
+
+Defined cases: a null text, or one without letters, is `und` with score 0 and is rejected; an empty table
+gives no rows; ties go to the language first in the alphabet; repeated rows get the same result; without
+labelled rows every text is `und`; very long texts are parsed whole; a null doc_id is never learned from and
+counts as not held out; other columns do not matter, and drop_rejected keeps them.
 """
 
 from __future__ import annotations
 
 import itertools
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,19 +42,22 @@ from pyspark.sql import functions as F
 from .common import texts_of, worker_state
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_DOCS, SAMPLE_DOC_CHARS, MODEL_CHARS, LANGUAGES = 96, 4_000, 240_000, 32
-ALPHABET = 120
-STRETCH = 256
+SAMPLE_DOCS, SAMPLE_CHARS = 96, 320
+#: Symbols of a sample at most, so that a match's length fits 16 bits; 96 stretches of 320 characters stay below it.
+SAMPLE_SYMBOLS = 32_000
+#: A language's commonest letters have columns in its table; its rarer ones go through sorted edges.
+DENSE = 62
+STRETCH, WARM = 512, 32
 #: Symbols that go through the automata at once.
 GROUP_CHARS = 1 << 21
-#: A text of at least so many symbols is rejected if it needs more bits a symbol than REJECT times the median calibration text.
-REJECT_FROM, REJECT = 128, 3.0
+REJECT, SLACK, PRIOR, FLOOR = 1.85, 1.1, 16, 3.5
+PIECES = (8, 16, 32, 64, 128, 256)
 UNDETERMINED = "und"
-_NEW_PHRASE = 1 << 30
+_OWN = np.int16(32_767)
 
 
-def suffix_automaton(symbols: list[int]) -> np.ndarray:
-    """Its edges as rows (state, symbol, target); state 0 is the root."""
+def suffix_automaton(symbols: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Edges as rows (state, symbol, target), and of each state its suffix link and length; state 0 is the root."""
     edges: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -71,104 +84,202 @@ def suffix_automaton(symbols: list[int]) -> np.ndarray:
                     p = link[p]
                 link[q] = link[current] = clone
         last = current
-    return np.array([(s, c, t) for s, own in enumerate(edges) for c, t in own.items()] or np.zeros((0, 3)), np.int32).reshape(-1, 3)
+    rows = np.array([(s, c, t) for s, own in enumerate(edges) for c, t in own.items()] or np.zeros((0, 3)), np.int32).reshape(-1, 3)
+    return rows, np.array(link, np.int32), np.array(length, np.int32)
+
+
+class Reader:
+    """An automaton as arrays that many places of a text go through side by side.
+
+    Of a state and a column: the state after the symbol, suffix links followed where there is no edge, and
+    the length that the match is cut to before the symbol joins it (_OWN: not at all; -1: nothing is left).
+    """
+
+    def __init__(self, edges: np.ndarray, link: np.ndarray, length: np.ndarray, symbols: int):
+        self.link, self.length, self.symbols = link, length, symbols
+        letters, counts = np.unique(edges[:, 1], return_counts=True)
+        dense = np.sort(letters[np.argsort(-counts, kind="stable")[:DENSE]])
+        self.width = len(dense) + 2
+        self.rare, unknown = len(dense), len(dense) + 1
+        self.columns = np.full(symbols, unknown, np.uint8)
+        self.columns[letters] = self.rare
+        self.columns[dense] = np.arange(len(dense))
+        goto = np.full((len(link), self.width), -1, np.int32)
+        cut = np.full((len(link), self.width), -1, np.int16)
+        column = self.columns[edges[:, 1]]
+        own = column < self.rare
+        goto[edges[own, 0], column[own]] = edges[own, 2] * self.width
+        cut[edges[own, 0], column[own]] = _OWN
+        goto[0, goto[0] < 0] = 0
+        depth, above = np.zeros(len(link), np.int32), link.copy()
+        while (above >= 0).any():
+            depth += above >= 0
+            above = np.where(above >= 0, link[above], -1)
+        order = np.argsort(depth, kind="stable")
+        for level in np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]:
+            up = link[level]
+            none = goto[level] < 0
+            cut[level] = np.where(none, np.minimum(cut[up], length[up, None]), cut[level])
+            goto[level] = np.where(none, goto[up], goto[level])
+        self.goto, self.cut = goto.reshape(-1), cut.reshape(-1)
+        rest = edges[~own]
+        key = rest[:, 0].astype(np.int64) * symbols + rest[:, 1]
+        self.keys, self.targets = np.sort(key), rest[np.argsort(key, kind="stable"), 2]
+
+    def step(self, state: np.ndarray, length: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States (times width) and match lengths after one more symbol each."""
+        column = self.columns[symbol]
+        place = state + column
+        new, size = self.goto[place], np.minimum(length, self.cut[place]) + np.int16(1)
+        if len(self.keys) and (rare := np.flatnonzero(column == self.rare)).size:
+            s, n = state[rare] // self.width, length[rare].copy()
+            new[rare], size[rare] = 0, 0
+            while rare.size:
+                key = s.astype(np.int64) * self.symbols + symbol[rare]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                hit = self.keys[at] == key
+                new[rare[hit]], size[rare[hit]] = self.targets[at[hit]] * self.width, n[hit] + 1
+                on = ~hit & (s > 0)
+                rare, s = rare[on], self.link[s[on]]
+                n = np.minimum(n[on], self.length[s]).astype(np.int16)
+        return new, size
+
+
+class Stretches:
+    """Where the stretches of some texts lie among their symbols, and the symbols that they read, step by step."""
+
+    def __init__(self, symbols: np.ndarray, counts: np.ndarray):
+        self.symbols = symbols
+        pieces = -(-counts // STRETCH)
+        ends = np.repeat(np.cumsum(counts), pieces)
+        rank = np.repeat(np.cumsum(pieces), pieces) - 1 - np.arange(int(pieces.sum()))  # the text's last stretch is 0 and begins nowhere before
+        self.after = rank * STRETCH  # symbols of the text behind the stretch
+        self.last = ends - self.after - 1
+        self.size = np.minimum(np.repeat(counts, pieces) - self.after, STRETCH)
+        self.order = np.argsort(-self.size, kind="stable")
+        last, size = self.last[self.order], self.size[self.order]
+        active = np.searchsorted(-size, -np.arange(STRETCH), side="left")  # stretches longer than j
+        self.rows = [symbols[last[:k] - j] for j, k in enumerate(active.tolist()) if k]
+
+    def match_lengths(self, reader: Reader) -> np.ndarray:
+        """Of every symbol, in order, the length of the longest match that begins there."""
+        state, length = np.zeros(len(self.size), np.int32), np.zeros(len(self.size), np.int16)
+        todo, warm = np.flatnonzero(self.after), WARM
+        while todo.size:
+            w = np.minimum(self.after[todo], warm)
+            s, n = np.zeros(len(todo), np.int32), np.zeros(len(todo), np.int16)
+            for j in range(int(w.max()), 0, -1):
+                on = np.flatnonzero(w >= j)
+                s[on], n[on] = reader.step(s[on], n[on], self.symbols[self.last[todo[on]] + j])
+            state[todo], length[todo] = s, n
+            todo, warm = todo[(n == w) & (w < self.after[todo])], 8 * warm
+        state, length = state[self.order], length[self.order]
+        found = np.zeros((STRETCH, len(self.size)), np.int16)
+        for j, row in enumerate(self.rows):
+            k = len(row)
+            state[:k], length[:k] = reader.step(state[:k], length[:k], row)
+            found[j, :k] = length[:k]
+        by_lane = np.empty((len(self.size), STRETCH), np.int16)
+        by_lane[self.order] = found.T
+        return by_lane[:, ::-1][np.arange(STRETCH)[::-1] < self.size[:, None]]
+
+
+def phrases(lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Of each text the number of phrases of its greedy parse; a symbol without a match is one by itself."""
+    steps = memoryview(np.maximum(lengths, 1))
+    found, at = [], 0
+    for end in np.cumsum(counts).tolist():
+        n = 0
+        while at < end:
+            at += steps[at]
+            n += 1
+        found.append(n)
+    return np.array(found, np.int64)
 
 
 class Model:
-    """Alphabet, and for each language its automaton's edges and the bits of a place in its sample."""
+    """Alphabet, and for each language its automaton and the bits of a place in its sample."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.key = uuid.uuid4().hex
         self.languages = sorted(samples)
-        counts = Counter(c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha())
-        self.letters = "".join(sorted(c for c, _ in counts.most_common(ALPHABET)))
-        self.edges, self.bits = [], []
-        self.limit = np.inf
-        size = MODEL_CHARS // max(1, len(self.languages))
+        self.letters = "".join(sorted({c for texts in samples.values() for x in texts for c in x.lower() if c.isalpha()}))
+        self.automata, self.bits, self.total_bits = [], [], 0.0
+        self.limit, self.median = np.inf, 0.0
+        total = 0
         for language in self.languages:
-            symbols = np.concatenate([self.symbols([x])[0] for x in samples[language]] or [np.zeros(0, np.uint8)])[:size]
-            self.edges.append(suffix_automaton(symbols.tolist()))
+            symbols = self.symbols(samples[language])[0][:SAMPLE_SYMBOLS]
+            self.automata.append(suffix_automaton(symbols[::-1].tolist()))
             self.bits.append(float(np.log2(max(2, len(symbols)))))
+            total += len(symbols)
+        self.total_bits = float(np.log2(max(2, total)))
 
     def calibrate(self, texts: list[str]) -> None:
-        bits, n = self.cross_bits(texts)
-        own = bits.min(axis=1)[n >= REJECT_FROM] if len(self.languages) else np.zeros(0)
-        if len(own):
-            self.limit = REJECT * float(np.median(own))
+        """The limit of what is kept, from texts that were not learned from, whole and cut into pieces."""
+        whole, n = self.parse(texts)[1:]
+        if not self.languages or not (n > 0).any():
+            return
+        self.median = float(np.median(whole[n > 0] / n[n > 0]))
+        pieces = [x[i : i + size] for x in texts for size in PIECES for i in (0, len(x) // 2) if len(x) >= size]
+        need = [self.needed(*self.parse(group)[1:]) for group in (texts, pieces)]
+        self.limit = max(FLOOR, REJECT * self.median, SLACK * max(float(np.quantile(x, 0.995)) for x in need if len(x)))
+
+    def needed(self, bits: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (bits + PRIOR * self.median) / (n + PRIOR)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("tables", "codes")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("readers", "codes")}
 
     def _codes(self) -> np.ndarray:
-        """Symbol of each code point: 0 for what is no letter, the last for a letter not in the alphabet."""
+        """Symbol of each code point: 0 for what is no letter, the last for a letter of no sample."""
         if "codes" not in self.__dict__:
-            codes = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.uint8) * (len(self.letters) + 1)
+            codes = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000).astype(np.int32) * (len(self.letters) + 1)
             codes[[ord(c) for c in self.letters]] = np.arange(1, len(self.letters) + 1)
             self.codes = codes
         return self.codes
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts, each begun by one space, and how many each has; runs of spaces are one."""
-        joined = "".join(" " + x.lower() for x in texts)
-        lengths = np.array([len(x.lower()) + 1 for x in texts], np.int64)
-        found = self._codes()[np.frombuffer(joined.encode("utf-32-le"), "<u4")]
+        lower = [" " + x.lower() for x in texts]
+        lengths = np.array([len(x) for x in lower], np.int64)
+        found = self._codes()[np.frombuffer("".join(lower).encode("utf-32-le"), "<u4")]
         keep = np.ones(len(found), bool)
         keep[1:] = (found[1:] > 0) | (found[:-1] > 0)
         begins = np.cumsum(lengths) - lengths
         keep[begins] = True
         return found[keep], np.add.reduceat(keep, begins) if len(texts) else lengths
 
-    def _tables(self) -> list[np.ndarray]:
-        """For each language [state * symbols + symbol]: the target's first place, marked where a new phrase begins."""
-        if "tables" not in self.__dict__:
-            width, self.tables = len(self.letters) + 2, []
-            for edges in self.edges:
-                states = int(edges[:, [0, 2]].max(initial=0)) + 1
-                root = np.full(width, states * width, np.int32)  # a symbol that no sample has is a phrase by itself
-                first = edges[edges[:, 0] == 0]
-                root[first[:, 1]] = first[:, 2] * width
-                table = np.tile(root | _NEW_PHRASE, (states + 1, 1))
-                table[edges[:, 0], edges[:, 1]] = edges[:, 2] * width
-                table[0] = root  # the first phrase is counted from the start
-                self.tables.append(table.reshape(-1))
-        return self.tables
-
-    def cross_bits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits a symbol of each text under each language, and the texts' numbers of symbols (0 without letters)."""
-        symbols, counts = self.symbols(texts)
-        pieces = -(-counts // STRETCH)
-        owner = np.repeat(np.arange(len(texts)), pieces)
-        rank = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        begins = np.repeat(np.cumsum(counts) - counts, pieces) + rank * STRETCH
-        size = np.minimum(np.repeat(counts, pieces) - rank * STRETCH, STRETCH)
-        order = np.argsort(-size, kind="stable")
-        size, begins, owner = size[order], begins[order], owner[order]
-        active = np.searchsorted(-size, -np.arange(STRETCH), side="left")  # stretches longer than j
-        padded = np.append(symbols, np.zeros(STRETCH, np.uint8))
+    def _readers(self) -> list[Reader]:
+        if "readers" not in self.__dict__:
+            self.readers = [Reader(*a, len(self.letters) + 2) for a in self.automata]
+        return self.readers
+
+    def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each text under each language, under all together, and the texts' numbers of symbols (0 without letters)."""
         bits = np.zeros((len(texts), len(self.languages)))
-        rows = [padded[begins[:k] + j].astype(np.int32) for j, k in enumerate(active.tolist()) if k]
-        for column, (table, weight) in enumerate(zip(self._tables(), self.bits)):
-            state, phrases = np.zeros(len(size), np.int32), np.ones(len(size), np.int32)
-            for row in rows:
-                k = len(row)
-                row = table[state[:k] + row]
-                phrases[:k] += row >> 30
-                state[:k] = row & (_NEW_PHRASE - 1)
-            bits[:, column] = np.bincount(owner, phrases, len(texts)) * weight
-        letters = np.add.reduceat(symbols > 0, np.cumsum(counts) - counts) if len(texts) else counts
-        return bits / np.maximum(counts, 1)[:, None], np.where(letters > 0, counts, 0)
+        if not texts or not self.languages:
+            return bits, np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        symbols, counts = self.symbols(texts)
+        stretches = Stretches(symbols, counts)
+        longest = np.zeros(len(symbols), np.int16)
+        for column, (reader, weight) in enumerate(zip(self._readers(), self.bits)):
+            own = stretches.match_lengths(reader)
+            bits[:, column] = phrases(own, counts) * weight
+            np.maximum(longest, own, out=longest)
+        letters = np.add.reduceat(symbols > 0, np.cumsum(counts) - counts)
+        return bits, phrases(longest, counts) * self.total_bits, np.where(letters > 0, counts, 0)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score from 0 to 1 (1 less the best over the second best), and whether the text is rejected."""
         if not texts or not self.languages:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        bits, n = self.cross_bits(texts)
+        bits, together, n = self.parse(texts)
         best = bits.argmin(axis=1)
         low = bits[np.arange(len(texts)), best]
         second = np.partition(bits, 1, axis=1)[:, 1] if bits.shape[1] > 1 else np.full(len(texts), np.inf)
         known = n > 0
         score = np.where(known, np.clip(1 - low / np.maximum(second, 1e-12), 0, 1), 0.0)
-        return [self.languages[i] if k else UNDETERMINED for i, k in zip(best.tolist(), known.tolist())], score, ~known | (n >= REJECT_FROM) & (low > self.limit)
+        return [self.languages[i] if k else UNDETERMINED for i, k in zip(best.tolist(), known.tolist())], score, ~known | (self.needed(together, n) > self.limit)
 
 
 def held_out() -> F.Column:
@@ -177,18 +288,16 @@ def held_out() -> F.Column:
 
 def fit(docs: DataFrame) -> Model:
     """Learn from a bounded sample: counts of labels first, then rows below a hash limit for each label."""
-    known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model({})
+    known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    counts = known.groupBy("lang").count()
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
-    limit = F.element_at(F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], 6.0 * SAMPLE_DOCS / r["count"]))), F.col("lang"))
-    rows = known.filter(F.col("lang").isin([r["lang"] for r in counts])).filter(share < limit)
-    rows = rows.select("lang", F.xxhash64("doc_id").alias("place"), F.substring("text", 1, SAMPLE_DOC_CHARS).alias("text"))
+    rows = known.join(counts, "lang").filter(share < 6.0 * SAMPLE_DOCS / F.col("count"))
+    begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
+    rows = rows.select("lang", F.xxhash64("doc_id").alias("place"), F.substring("text", (begin + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text"))
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))).filter(F.col("rank") <= 2 * SAMPLE_DOCS)
     samples: dict[str, list[str]] = {}
     other: list[str] = []
-    for r in rows.orderBy("lang", "rank").collect():  # at most LANGUAGES * 2 * SAMPLE_DOCS short texts
+    for r in rows.orderBy("lang", "rank").collect():  # at most 2 * SAMPLE_DOCS short stretches a label
         if r["rank"] % 2:
             samples.setdefault(r["lang"], []).append(r["text"])
         else:
@@ -218,7 +327,7 @@ def _predictions(key: str, shared, column: pa.Array) -> tuple[list[str], np.ndar
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """A row per document: doc_id, held_out, lang_pred, score, rejected."""
-    shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key  # bounded by MODEL_CHARS
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), model.key  # bounded by the number of labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -130,14 +130,65 @@ def longest_phrases(text, sample):
 
 
 def test_parse_equals_search():
+    """Also texts of many stretches, with copies of the sample longer than a stretch and its warm-up."""
     rng = random.Random(5)
-    sample = {"aa": ["".join(rng.choices("abc ", k=300)).strip() or "a"]}
+    sample = {"aa": ["".join(rng.choices("abc ", k=3000)).strip()]}
     model = language_id.Model(sample)
     clean = lambda x: " " + re.sub(" +", " ", x).strip()
+    own = clean(sample["aa"][0])
     texts = ["".join(rng.choices("abcd", k=rng.randint(1, 200))) for _ in range(40)]
-    bits, counts = model.cross_bits(texts)
+    texts += ["".join(rng.choices("abcd", k=5000)), own.strip(), "d".join([own[100:2600].strip(), own[7:900].strip(), "".join(rng.choices("abc", k=700))]), own[300:2800].strip()]
+    bits, _, counts = model.parse(texts)
     for row, n, t in zip(bits[:, 0], counts, texts):
-        assert round(row * n / model.bits[0]) == longest_phrases(clean(t), clean(sample["aa"][0]))
+        assert n == len(clean(t)) and round(row / model.bits[0]) == longest_phrases(clean(t), own)
+    assert longest_phrases(clean(texts[-1]), own) <= 2
+
+
+def test_parse_with_large_alphabets():
+    """Letters beyond the dense columns, and letters that only another language or none has."""
+    rng = random.Random(6)
+    signs = [chr(0x4E00 + i) for i in range(300)] + [" "] * 30
+    sample = {"aa": ["".join(rng.choices(signs, weights=[1 + 300 // (i + 1) for i in range(330)], k=6000)).strip()], "bb": ["".join(rng.choices("abcdefg ", k=500)).strip()]}
+    model = language_id.Model(sample)
+    clean = lambda x: " " + re.sub(" +", " ", x).strip()
+    own = clean(sample["aa"][0])
+    texts = ["".join(rng.choices(signs + list("abz"), k=rng.randint(1, 900))).strip() or "a" for _ in range(20)] + [own[50:1700].strip()]
+    bits = model.parse(texts)[0]
+    assert [round(x / model.bits[0]) for x in bits[:, 0]] == [longest_phrases(clean(t), own) for t in texts]
+    assert [round(x / model.bits[1]) for x in bits[:, 1]] == [longest_phrases(clean(t), clean(sample["bb"][0])) for t in texts]
+
+
+def test_forty_languages(spark):
+    """Every label is learned and told apart on rows that were held out."""
+    rng = random.Random(7)
+    rows = []
+    for k in range(40):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 7))) for _ in range(60)]
+        rows += [(len(rows) + i, " ".join(rng.choices(words, k=rng.randint(15, 40))), f"l{k:02}") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 40
+    got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
+    held = [r for r in rows if got[r[0]].held_out]
+    assert len(held) > 200 and np.mean([got[d].lang_pred == lang for d, _, lang in held]) >= 0.98
+    assert not any(got[d].rejected for d, _, _ in held)
+
+
+def test_rejection_by_whole_texts_of_any_length(spark):
+    """On documents held out: learned languages and their mixtures stay, what was not learned and short junk go."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = language_id.fit(docs.filter("lang <> 'fr'"))
+    rows = docs.filter(language_id.held_out()).select("text", "lang").filter("text is not null and lang is not null").collect()
+    own, other = [r.text for r in rows if r.lang != "fr"], [r.text for r in rows if r.lang == "fr"]
+    found = model.predict(own)
+    assert np.mean([a == r.lang for a, r in zip(found[0], (r for r in rows if r.lang != "fr"))]) >= 0.98
+    assert found[2].mean() <= 0.005 and model.predict([x[:40] for x in own])[2].mean() <= 0.01
+    assert model.predict([a[:300] + " " + b[:300] for a, b in itertools.pairwise(own)])[2].mean() <= 0.01
+    long = [x for x in other if len(x) > 100]
+    assert model.predict(long)[2].mean() >= 0.7
+    rng = random.Random(2)
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n)) for n in range(30, 130)]
+    assert model.predict(junk)[2].mean() >= 0.9
 
 
 def secret_rows(seed=2, n=400):
