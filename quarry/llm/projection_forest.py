@@ -1,9 +1,12 @@
 """Near-duplicate vectors by a forest of random projections.
 
-Every tree splits the space again and again by a random direction at the median of a bounded sample;
-vectors within SPILL of the median (as a share of the sample) go to both sides. Vectors are compared
-only within leaves and only where labels and dimensions agree; every pair in a leaf is verified in double
-precision, and links are united into components.
+Every tree splits the space again and again by random directions, at the median of a bounded sample;
+vectors within SPILL of the median (as a share of the sample) go to both sides. A tree is as deep as the
+number of vectors of a label asks for, so that leaves stay near LEAF vectors at every size: where a cell
+holds fewer than MIN_SPLIT of the sample, its further splits take the limits that the last cell above it
+with as many has along the next directions. Vectors are compared only within leaves and only where
+labels and dimensions agree; every pair in a leaf is verified in double precision, and links are united
+into components.
 
 Equal vectors of a label are one node with a multiplicity. A leaf of more than BLOCK nodes is compared
 block by block, each pair of blocks a task's work of its own. A pair that meets in several leaves counts
@@ -15,7 +18,9 @@ the README give the measured figure against brute force.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components, and rows with a
 null label, link with nothing (no links, own component, kept); a null vec_id has no component and is not
-kept; repeated rows are vectors like any other; vectors of different dimension are never linked.
+kept; repeated rows are vectors like any other; vectors of different dimension are never linked; pairs at
+the threshold itself are links; an empty table gives no rows; very long vectors cost in proportion; other
+columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,61 +36,71 @@ from .common import partitions, written
 from .components import components
 from .ngram_join import forest, grouped
 
-TREES = 4
-LEAF = 256
+TREES = 8
+LEAF = 32
 BLOCK = 128
-SPILL = 0.05
+SPILL = 0.02
 SAMPLE = 20_000
-MIN_SPLIT = 32
-MAX_DEPTH = 24
+MIN_SPLIT = 64
+MAX_DEPTH = 40
 
 
 class Forest:
-    """Per tree, nodes in heap order: seeds of directions, and the lower and upper limit of the spill zone."""
+    """Per tree, cells in heap order (the root is 1) with the lower and upper limit of their spill zones.
+
+    The splits of a tree's level share one direction. low and high [tree, cell, level] are known for the cells
+    that the sample reaches: at their own level and, where a cell's children would hold too little of the
+    sample, at all levels below it (elsewhere NaN).
+    """
 
     def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 17):
-        self.depth, self.trees, self.seed = depth, trees, seed
-        self.limits: list[dict[int, tuple[float, float]]] = []
+        self.depth, self.trees = depth, trees
         self.width = sample.shape[1] if sample.ndim == 2 and len(sample) else 1
+        self.directions = np.random.default_rng(seed).standard_normal((trees, self.width, max(1, depth)))
+        cells = 2 << min(depth, max(1, len(sample) // MIN_SPLIT).bit_length())
+        self.low, self.high = np.full((2, trees, cells, max(1, depth)), np.nan)
         for t in range(trees):
-            limits: dict[int, tuple[float, float]] = {}
-            level = {1: np.arange(len(sample))}
-            for _ in range(depth):
+            x = sample @ self.directions[t] if len(sample) else np.zeros((1, max(1, depth)))
+            level = {1: np.arange(len(x))}
+            for at in range(depth):
                 below: dict[int, np.ndarray] = {}
-                for node, rows in level.items():
-                    if len(rows) < MIN_SPLIT:
-                        continue
-                    x = sample[rows] @ self.direction(t, node)
-                    limits[node] = tuple(np.quantile(x, [0.5 - spill, 0.5 + spill]))
-                    middle = np.median(x)
-                    below[2 * node], below[2 * node + 1] = rows[x <= middle], rows[x > middle]
+                for cell, rows in level.items():
+                    last = len(rows) < 2 * MIN_SPLIT or 2 * cell + 1 >= cells
+                    to = depth if last else at + 1
+                    low, middle, high = np.quantile(x[rows, at:to], [0.5 - spill, 0.5, 0.5 + spill], axis=0)
+                    self.low[t, cell, at:to], self.high[t, cell, at:to] = low, high
+                    left = x[rows, at] <= middle[0]
+                    if not last and left.all():  # all alike: no sample to the right
+                        self.low[t, 2 * cell + 1, at + 1 :] = self.high[t, 2 * cell + 1, at + 1 :] = middle[0]
+                        below[2 * cell] = rows
+                    elif not last:
+                        below[2 * cell], below[2 * cell + 1] = rows[left], rows[~left]
                 level = below
-            self.limits.append(limits)
 
-    def direction(self, tree: int, node: int) -> np.ndarray:
-        return np.random.default_rng([self.seed, tree, node]).standard_normal(self.width)
-
-    def leaves(self, vectors: np.ndarray) -> list[list[int]]:
-        """Of each vector the codes of its leaves, ascending; a code names the tree and the node."""
+    def leaves(self, vectors: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows, and codes of the leaves that they are in at their own depth, ascending; a code names the tree and the cell."""
         x = np.zeros((len(vectors), self.width))
         x[:, : min(self.width, vectors.shape[1])] = vectors[:, : self.width]
-        found: list[list[int]] = [[] for _ in range(len(x))]
+        rows, codes = [], []
         for t in range(self.trees):
-            level = {1: np.arange(len(x))}
-            while level:
-                below: dict[int, np.ndarray] = {}
-                for node, rows in level.items():
-                    if node not in self.limits[t]:
-                        for r in rows.tolist():
-                            found[r].append((t << 32) | node)
-                        continue
-                    low, high = self.limits[t][node]
-                    p = x[rows] @ self.direction(t, node)
-                    for child, part in ((2 * node, rows[p <= high]), (2 * node + 1, rows[p >= low])):
-                        if len(part):
-                            below[child] = part
-                level = below
-        return [sorted(c) for c in found]
+            projected = x @ self.directions[t]
+            row, cell, known = np.arange(len(x)), np.ones(len(x), np.int64), np.ones(len(x), np.int64)
+            for level in range(self.depth + 1):
+                on = depths[row] > level
+                rows.append(row[~on])
+                codes.append(cell[~on] | (t << 48))
+                row, cell, known = row[on], cell[on], known[on]
+                if not len(row):
+                    break
+                own = np.minimum(cell, self.low.shape[1] - 1)
+                known = np.where((own == cell) & ~np.isnan(self.low[t, own, level]), cell, known)
+                p = projected[row, level]
+                left, right = p <= self.high[t, known, level], p >= self.low[t, known, level]
+                row, known = np.concatenate([row[left], row[right]]), np.concatenate([known[left], known[right]])
+                cell = np.concatenate([2 * cell[left], 2 * cell[right] + 1])
+        row, code = np.concatenate(rows), np.concatenate(codes)
+        order = np.lexsort((code, row))
+        return row[order], code[order]
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -105,7 +120,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")
     good = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))) & F.exists(x, lambda v: v != 0)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), x.alias("vector"), F.coalesce(good & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("good"))
+    kept = F.col("embedding") if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else x  # half the bytes to move
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), kept.alias("vector"), F.coalesce(good & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)).alias("good"))
     nodes = written(rows.filter("good").groupBy("label", "vector").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors")
 
     sample = nodes.select("vector").orderBy(F.xxhash64("node"), "node").limit(SAMPLE).collect()
@@ -113,22 +129,29 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     points = np.zeros((len(sample), width))
     for i, r in enumerate(sample):
         points[i, : len(r[0])] = r[0]
-    largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    depth = min(MAX_DEPTH, max(0, int(np.ceil(np.log2(max(1, largest) / LEAF)))))
-    shared = spark.sparkContext.broadcast(Forest(unit(points) if len(points) else points, depth, trees, spill))
+    # of each label as many halvings as bring it to LEAF vectors
+    counts = nodes.groupBy("label").agg(F.count("*").alias("_n"))
+    depth = F.least(F.lit(MAX_DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / LEAF)))).cast("int")
+    counts = written(counts.select("label", depth.alias("depth")), "label-depths")
+    deepest = counts.agg(F.max("depth")).first()[0] or 0
+    shared = spark.sparkContext.broadcast(Forest(unit(points) if len(points) else points, deepest, trees, spill))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            lists = batch.column(1).to_pylist()
-            codes: list[list[int]] = [[] for _ in lists]
+            lists, depths = batch.column(1).to_pylist(), np.asarray(batch.column(4))
+            rows, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for size in {len(v) for v in lists}:
-                places = [i for i, v in enumerate(lists) if len(v) == size]
-                for i, c in zip(places, own.leaves(unit(np.array([lists[i] for i in places])))):
-                    codes[i] = c
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(codes, pa.list_(pa.int64()))], ["node", "vector", "kind", "weight", "codes"])
-
-    routed = nodes.select("node", "vector", F.xxhash64("label", F.size("vector")).alias("kind"), "weight").mapInArrow(route, "node long, vector array<double>, kind long, weight long, codes array<long>")
+                places = np.array([i for i, v in enumerate(lists) if len(v) == size])
+                row, code = own.leaves(unit(np.array([lists[i] for i in places], float)), depths[places])
+                rows.append(places[row])
+                codes.append(code)
+            row, code = np.concatenate(rows), np.concatenate(codes)
+            offsets = np.append(0, np.cumsum(np.bincount(row, minlength=len(lists))))
+            found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(code[np.argsort(row, kind="stable")]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], found], ["node", "vector", "kind", "weight", "codes"])
+
+    routed = nodes.join(counts, "label").select("node", "vector", F.xxhash64("label", F.size("vector")).alias("kind"), "weight", "depth").mapInArrow(route, f"node long, vector {nodes.schema['vector'].dataType.simpleString()}, kind long, weight long, codes array<long>")
     routed = written(routed, "routed")
     placed = routed.withColumn("leaf", F.explode("codes"))
     sizes = written(routed.select("kind", F.explode("codes").alias("leaf")).groupBy("kind", "leaf").count().filter(F.col("count") > BLOCK), "large-leaves")
@@ -166,9 +189,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
 
     found = grouped(placed.select("kind", "leaf", "low", "high", "block", "node", "weight", "vector", "codes"), ["kind", "leaf", "low", "high"], ["block", "node"], compare, ("a", "b", "links"))
     found = written(found, "vector-links")
-    counts = found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    links = found.filter("links > 0").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
     groups = components(found.filter("links = 0").select("a", "b"))
-    nodes = nodes.join(counts, "node", "left").join(groups, "node", "left")
+    nodes = nodes.join(links, "node", "left").join(groups, "node", "left")
     nodes = written(nodes.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "vector-nodes")
     joined = rows.filter("good").join(nodes, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = rows.filter("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

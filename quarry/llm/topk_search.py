@@ -1,15 +1,19 @@
 """Exact top-k by integer inner product: exhaustive term-at-a-time accumulation.
 
-A vector's components are its terms. A block of candidates keeps, for each term, the rows that have it
-and their weights; the non-zero terms of the query rows scatter their products into a dense array of
-scores, partition selection keeps the best of each block, and a ranked merge keeps the best of all.
+A vector's components are its terms. A block of candidates keeps, for each term, the postings: the rows
+that have it and their weights. The non-zero terms of the sparse query rows scatter their products into a
+dense array of scores, partition selection keeps the best of each block, and a ranked merge keeps the best
+of all.
 
-Queries come in blocks of at most QUERY_BLOCK rows on average (by a hash of their id), so what a task is
-given is bounded; all candidates are read once for each block.
+Queries are written to the shared folder in blocks of about QUERY_BLOCK rows (by a hash of their id). One
+job reads the candidates: a task gathers up to HELD of them, then reads one query block after the other, so
+what it holds is bounded and no query passes the driver.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; missing
 terms of shorter vectors count as zero; a repeated query id asks once, with its smallest vector; repeated
-candidates rank each by itself; scores beyond 64 bits are kept in order and returned as null.
+candidates rank each by itself; ties go to the smaller vec_id; scores beyond 64 bits are kept in order and
+returned as null; an empty table gives no rows; very long vectors have as many terms; other columns do not
+matter.
 """
 
 from __future__ import annotations
@@ -18,12 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import filesystem, shared_dir
+
 QUERY_BLOCK = 8192
 CANDIDATE_BLOCK = 4096
 QUERIES_AT_ONCE = 64
+#: Candidates that a task holds while the query blocks pass.
+HELD = 1 << 17
 SCALE = 256
 
 
@@ -46,19 +56,34 @@ def weights(vectors: list[list[float]]) -> np.ndarray:
     return np.array([[int(x) if np.isfinite(x) else 0 for x in row] for row in grid.tolist()], object)
 
 
-def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+class Postings:
+    """Of a block of candidates, for each term the rows that have it and their weights; None for rows where all have it."""
+
+    def __init__(self, ids: np.ndarray, grid: np.ndarray):
+        self.ids, self.size = ids, len(grid)
+        self.most = int(np.abs(grid).max(initial=0))
+        self.terms: list[tuple[np.ndarray | None, np.ndarray]] = []
+        for column in grid.T:
+            rows = np.flatnonzero(column)
+            self.terms.append((None, np.ascontiguousarray(column)) if len(rows) == len(grid) else (rows, column[rows]))
+
+
+def accumulate(queries: np.ndarray, postings: Postings) -> np.ndarray:
     """Scores [query, candidate], one term after the other."""
-    terms = min(queries.shape[1], candidates.shape[1])
-    reach = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(1, terms)
+    terms = min(queries.shape[1], len(postings.terms))
+    reach = int(np.abs(queries).max(initial=0)) * postings.most * max(1, terms)
     kind = np.int32 if reach < 2**31 else np.int64 if reach < 2**63 else object
-    queries, candidates = queries.astype(kind), candidates.astype(kind)
-    scores = np.zeros((len(queries), len(candidates)), kind)
-    for t in range(terms):
-        asks, has = np.flatnonzero(queries[:, t]), np.flatnonzero(candidates[:, t])
-        if len(asks) == len(queries) and len(has) == len(candidates):
-            scores += queries[:, t, None] * candidates[None, :, t]
-        elif len(asks) and len(has):
-            scores[np.ix_(asks, has)] += queries[asks, t, None] * candidates[None, has, t]
+    queries = queries.astype(kind)
+    scores = np.zeros((len(queries), postings.size), kind)
+    for t, (rows, weight) in enumerate(postings.terms[:terms]):
+        asks = np.flatnonzero(queries[:, t])
+        product = queries[asks, t, None] * weight.astype(kind)[None, :]
+        if rows is None and len(asks) == len(queries):
+            scores += product
+        elif rows is None:
+            scores[asks] += product
+        elif len(asks) and len(rows):
+            scores[np.ix_(asks, rows)] += product
     return scores
 
 
@@ -76,28 +101,54 @@ def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> list[t
     return found
 
 
-def _search_block(candidates: DataFrame, asked: list, k: int) -> DataFrame:
-    ids = np.array([r["vec_id"] for r in asked], np.int64)
-    shared = candidates.sparkSession.sparkContext.broadcast((ids, weights([r["vector"] for r in asked])))  # one block
+def _query_blocks(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and weights of each block of queries in the shared folder."""
+    fs, path = filesystem(folder)
+    names = sorted(f.path for f in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if f.path.endswith(".parquet"))
+    for name in names:
+        with fs.open_input_file(name) as f:
+            found = pq.read_table(f, columns=["vec_id", "vector"])
+        if found.num_rows:
+            yield np.asarray(found.column("vec_id")), weights(found.column("vector").to_pylist())
+
+
+def _merged(kept: list, found: list[tuple[np.ndarray, np.ndarray]], first: int, k: int) -> None:
+    """The k best of what is kept and found, for the queries from first on."""
+    for j, (s, n) in enumerate(found, first):
+        s, n = np.concatenate([kept[j][0], s.astype(object if s.dtype == object else np.int64)]), np.concatenate([kept[j][1], n])
+        order = sorted(range(len(s)), key=lambda x: (-s[x], n[x]))[:k]
+        kept[j] = (s[order], n[order])
+
+
+def search(candidates: DataFrame, folder: str, k: int) -> DataFrame:
+    """query_id, vec_id, score, coarse: the k best for every query in folder, of each HELD candidates that a task reads."""
+
+    def answered(held: list[Postings]) -> Iterator[pa.RecordBatch]:
+        for own, queries in _query_blocks(folder):
+            kept = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
+            for postings in held:
+                for i in range(0, len(own), QUERIES_AT_ONCE):
+                    scores = accumulate(queries[i : i + QUERIES_AT_ONCE], postings)
+                    _merged(kept, best(scores, postings.ids, own[i : i + QUERIES_AT_ONCE], k), i, k)
+            sizes = [len(n) for _, n in kept]
+            if sum(sizes):
+                score = [int(x) for s, _ in kept for x in s.tolist()]
+                fits = [x if -(2**63) <= x < 2**63 else None for x in score]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([n for _, n in kept])), pa.array(fits, pa.int64()), pa.array([float(x) for x in score])], ["query_id", "vec_id", "score", "coarse"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, queries = shared.value
-        kept: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(own)
+        held: list[Postings] = []
+        size = 0
         for batch in batches:
             for at in range(0, batch.num_rows, CANDIDATE_BLOCK):
                 part = batch.slice(at, CANDIDATE_BLOCK)
-                names, postings = np.asarray(part.column(0)), weights(part.column(1).to_pylist())
-                for i in range(0, len(own), QUERIES_AT_ONCE):
-                    scores = accumulate(queries[i : i + QUERIES_AT_ONCE], postings)
-                    for j, (s, n) in enumerate(best(scores, names, own[i : i + QUERIES_AT_ONCE], k), i):
-                        s, n = np.concatenate([kept[j][0], s.astype(object if s.dtype == object else np.int64)]), np.concatenate([kept[j][1], n])
-                        order = sorted(range(len(s)), key=lambda x: (-s[x], n[x]))[:k]
-                        kept[j] = (s[order], n[order])
-        sizes = [len(n) for _, n in kept]
-        if sum(sizes):
-            score = [int(x) for s, _ in kept for x in s.tolist()]
-            fits = [x if -(2**63) <= x < 2**63 else None for x in score]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([n for _, n in kept])), pa.array(fits, pa.int64()), pa.array([float(x) for x in score])], ["query_id", "vec_id", "score", "coarse"])
+                held.append(Postings(np.asarray(part.column(0)), weights(part.column(1).to_pylist())))
+                size += part.num_rows
+            if size >= HELD:
+                yield from answered(held)
+                held, size = [], 0
+        if held:
+            yield from answered(held)
 
     return candidates.mapInArrow(run, "query_id long, vec_id long, score long, coarse double")
 
@@ -106,11 +157,8 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose vec_id is divisible by every, its k best others."""
     rows = usable(vectors)
     queries = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    found = None
-    for b in range(max(1, blocks)):
-        asked = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, blocks))) == b).collect()  # about QUERY_BLOCK rows
-        part = _search_block(rows, asked, k)
-        found = part if found is None else found.union(part)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    folder = shared_dir(vectors.sparkSession, "queries")
+    queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition(blocks, "block").write.mode("overwrite").parquet(folder, partitionBy="block")
     order = Window.partitionBy("query_id").orderBy(F.desc("coarse"), F.desc_nulls_first("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return search(rows, folder, k).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

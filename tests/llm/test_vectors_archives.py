@@ -44,7 +44,7 @@ def brute_links(rows, threshold=0.98):
     return {i: (len(near[i]), seen[i], seen[i] == i) for i in near}
 
 
-@pytest.mark.parametrize("leaf, block", [(256, 128), (16, 8)])
+@pytest.mark.parametrize("leaf, block", [(256, 128), (32, 128), (16, 8)])
 def test_near_duplicates(spark, monkeypatch, leaf, block):
     monkeypatch.setattr(projection_forest, "LEAF", leaf)
     monkeypatch.setattr(projection_forest, "BLOCK", block)
@@ -56,6 +56,38 @@ def test_near_duplicates(spark, monkeypatch, leaf, block):
     assert found >= 0.95 * links and (leaf < 256 or got == want)
 
 
+def test_forest_at_every_size():
+    """Leaves stay near LEAF vectors from 60 to 100,000 in one label, beyond what the sample can split by itself, and planted pairs meet."""
+    rng = np.random.default_rng(5)
+    for n in (60, 3_000, 100_000):
+        points = rng.normal(size=(n, 32))
+        copies = points[: n // 3] + rng.normal(size=(n // 3, 32)) * 0.02
+        x = projection_forest.unit(np.concatenate([points, copies]))
+        depth = int(np.ceil(np.log2(len(x) / projection_forest.LEAF)))
+        forest = projection_forest.Forest(x[rng.permutation(len(x))[:4_000]], depth)
+        row, code = forest.leaves(x, np.full(len(x), depth))
+        assert depth > 0 and len(row) >= len(x) * forest.trees
+        sizes = np.unique(code, return_counts=True)[1]
+        assert np.average(sizes, weights=sizes) < 8 * projection_forest.LEAF
+        own = [set() for _ in range(len(x))]
+        for r, c in zip(row.tolist(), code.tolist()):
+            own[r].add(c)
+        assert np.mean([bool(own[i] & own[n + i]) for i in range(n // 3)]) >= 0.99
+
+
+def test_recall_with_many_vectors_in_one_label(spark):
+    rng = np.random.default_rng(6)
+    n, dim = 20_000, 24
+    base = rng.normal(size=(n // 2, dim)).astype(np.float32)
+    near = base[rng.integers(0, n // 2, n - n // 2)] + rng.normal(size=(n - n // 2, dim)).astype(np.float32) * rng.choice([0.05, 0.12, 0.2], (n - n // 2, 1)).astype(np.float32)
+    x = np.concatenate([base, near])
+    u = projection_forest.unit(x.astype(float))
+    want = sum(int((u[i : i + 2000] @ u.T >= 0.98).sum()) for i in range(0, n, 2000)) - n
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int")
+    got = projection_forest.near_duplicates(df).agg({"n_links": "sum"}).first()[0]
+    assert 0.95 * want <= got <= want and want > 5_000
+
+
 def test_near_duplicates_of_nothing(spark):
     assert projection_forest.near_duplicates(vectors(spark, sample()).limit(0)).count() == 0
     rows = [(None, [1.0, 2.0], 1), (3, [1.0, 2.0], 1), (3, [1.0, 2.0], 1)]
@@ -89,6 +121,22 @@ def test_top_k_small_and_large(spark, monkeypatch):
     assert topk_search.top_k(vectors(spark, rows)).count() == 30
 
 
+def test_ties_across_blocks_and_tasks(spark, monkeypatch):
+    """Equal scores in several candidate blocks, tasks and query blocks, also with sparse rows: the smaller ids win."""
+    monkeypatch.setattr(topk_search, "CANDIDATE_BLOCK", 7)
+    monkeypatch.setattr(topk_search, "HELD", 20)
+    monkeypatch.setattr(topk_search, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in (rng.integers(0, 2, 6) * 0.25 if i % 4 else np.zeros(6))], 0) for i in range(400)]
+    got = {}
+    for r in topk_search.top_k(vectors(spark, rows).repartition(5)).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    grid = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v, _ in rows]
+    for q, v in grid[::50]:
+        want = sorted((-int(v @ w), i) for i, w in grid if i != q)[:5]
+        assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(want, 1)]
+
+
 PAGES = [(1, "http://a/1", "<p>same</p>"), (2, "http://a/2\r\nX: y", "<p>same</p>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 70000), (None, "u", "<p>same</p>"), (7, "u", "alone"), (7, "u", "alone")]
 
 
