@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import col, cost, slug, year_label
 
-from .merge import first_labels, insert_or_replace
+from .merge import first_labels, insert_or_replace, placed
 
 PLANNED_OUTPUT, MOST_OUTPUT, SIBLINGS = 3500, 8000, 8
 
@@ -59,7 +59,6 @@ def batch_summary(rows: DataFrame) -> DataFrame:
 
 def spread_sample(rows: DataFrame, limit: int) -> DataFrame:
     """Every n-th target in order, at most limit."""
-    over = Window.orderBy("scope", "cluster_id", "job_ord")
-    total = rows.count()
-    step = max(1, total // max(1, limit))
-    return rows.withColumn("_at", F.row_number().over(over) - 1).filter((F.col("_at") % step == 0) & (F.col("_at") < step * limit)).drop("_at")
+    step = max(1, rows.count() // max(1, limit))
+    own = placed(rows, ["scope", "cluster_id", "job_ord"])
+    return own.filter((F.col("_place") % step == 0) & (F.col("_place") < step * limit)).drop("_place")

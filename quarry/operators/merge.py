@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .pool import keep_first
+from .shared import written
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -24,16 +26,27 @@ def replace_tier(existing: DataFrame, new: DataFrame, old: Column) -> DataFrame:
     return existing.filter(~F.coalesce(old, F.lit(False))).unionByName(new.select(*existing.columns))
 
 
-def numbered(rows: DataFrame, order: list[Column | str], first: int = 1, column: str = "id") -> DataFrame:
-    """Ids in a stated order. Counts of ranges give the bases, so that no task ranks the whole table."""
-    spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
-    within = F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
-    counts = ranged.groupBy("_part").count()
+def placed(rows: DataFrame, order: list[Column | str]) -> DataFrame:
+    """rows with _place, their places from 0 in a stated order, as a table in the shared folder.
+
+    The rows are brought into ascending ranges and written once, each with its range and its place there;
+    counts of ranges give the bases. No task ranks the whole table, and every later step reads the same
+    ranges. Rows that tie in the order follow their other columns, so that only equal rows are interchangeable.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = {x for x in order if isinstance(x, str)}
+    order = [*order, *(f"`{f.name}`" for f in rows.schema if f.name not in named and not isinstance(f.dataType, (T.MapType, T.VariantType)))]
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    ranged = written(ranged.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)}), "placed")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
-    bases = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    return ranged.withColumn("_within", within).join(F.broadcast(bases), "_part").withColumn(column, F.col("_base") + F.col("_within") + (first - 1)).drop("_part", "_at", "_within", "_base")
+    bases = ranged.groupBy("_part").count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    # as many rows as ranges, a setting of the session
+    return ranged.join(F.broadcast(bases), "_part").withColumn("_place", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base")
+
+
+def numbered(rows: DataFrame, order: list[Column | str], first: int = 1, column: str = "id") -> DataFrame:
+    """Ids from first on in a stated order, without a gap."""
+    return placed(rows, order).withColumn(column, F.col("_place") + first).drop("_place")
 
 
 def carry_forward(rows: DataFrame, column: str, by: list[str], order: list[Column | str]) -> DataFrame:
@@ -43,10 +56,15 @@ def carry_forward(rows: DataFrame, column: str, by: list[str], order: list[Colum
 
 
 def stride_sample(rows: DataFrame, by: list[str], order: list[Column | str], limit: int) -> DataFrame:
-    """Of each group every n-th row, n so that about limit rows span the group, and no more than limit."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    step = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(*by)) / limit))
-    return rows.withColumns({"_place": place, "_step": step}).filter((F.col("_place") % F.col("_step") == 0) & (F.col("_place") / F.col("_step") < limit)).drop("_place", "_step")
+    """Of each group every n-th row, n so that about limit rows span the group, and no more than limit.
+
+    Places in the group come from places in the whole table, so that no task holds a group.
+    """
+    own = placed(rows, [*by, *order])
+    groups = own.groupBy(*(F.col(c).alias(f"_by{i}") for i, c in enumerate(by))).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    joined = own.join(groups, [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)])
+    nth, step = F.col("_place") - F.col("_first"), F.greatest(F.lit(1), F.floor(F.col("_n") / limit))
+    return joined.filter((nth % step == 0) & (nth < step * limit)).select(*rows.columns)
 
 
 def first_labels(rows: DataFrame, by: list[str], label: str, order: Column | str, limit: int = 8) -> DataFrame:

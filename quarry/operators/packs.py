@@ -5,14 +5,14 @@ A pack is a row: id, start, symptoms, terminals (map) and gates (array of struct
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.gates import OPS, OUTCOMES, STATES, TERMINAL
 from quarry.functions.text import any_of
 
+from .shared import checkpoint_dir
+
 GATE = "struct<id:string,type:string,title:string,quantity:string,condition:string,unit:string,op:string,spec_ref:string,literal:struct<value:double,min:double,max:double,unit:string,cite:string>,instruction:string,safeguard:string,risk:string,cuts_power:boolean,captures_dtcs:boolean,next:map<string,string>>"
 PACK_SCHEMA = f"id string, title string, ecu_family string, symptoms array<string>, start string, terminals map<string,string>, gates array<{GATE}>"
 IDENTIFIER, CODE, CITE = r"^[A-Za-z0-9_]+$", r"^[A-Z0-9_]+$", r"^\S.* p\.\d+$"
@@ -33,20 +33,13 @@ def edges_of(packs: DataFrame) -> DataFrame:
     return gates_of(packs).select("pack", F.col("id").alias("gate"), F.explode("next").alias("outcome", "target"))
 
 
-def _with_checkpoints(spark) -> None:
-    """A checkpoint folder: the session's, or in tests without one a temporary one."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarry-"))
-
-
 def closure(seen: DataFrame, edges: DataFrame) -> DataFrame:
     """pack, gate: everything that seen leads to over edges (pack, gate, target), itself included.
 
     A frontier of new places grows until it is empty; each round is checkpointed, so that the plan does
     not grow with the rounds.
     """
-    _with_checkpoints(seen.sparkSession)
+    checkpoint_dir(seen.sparkSession)
     seen = front = seen.select("pack", "gate").distinct().checkpoint()
     while True:
         front = front.join(edges, ["pack", "gate"]).select("pack", F.col("target").alias("gate")).distinct().join(seen, ["pack", "gate"], "left_anti").checkpoint()

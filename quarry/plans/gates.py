@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.gates import evaluate, parse_token, token
 from quarry.operators import merge, packs, sessions, specs
+from quarry.operators.shared import shared_dir
 from quarry.streaming.sessions import OUTPUT, append_ledger, session_stream
 
 from .entities import table
@@ -168,8 +167,7 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("turn"), kind.alias("kind"), F.upper("event_type").alias("gate"),
         F.when(F.col("event_type") != "purchase", F.col("value")).alias("num"), F.when(F.col("event_type") == "purchase", F.col("value") > 10).alias("flag"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("state"),
     )
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = shared_dir(spark, "stream")
     append_ledger(session_stream(rows, PACK), f"{folder}/ledger", f"{folder}/state").awaitTermination()
     return spark.read.schema(OUTPUT).parquet(f"{folder}/ledger")
 

@@ -205,9 +205,18 @@ def replace_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.replace_tier(old, new, F.col("o_orderstatus") == "P")
 
 
-@query("SELECT o_orderkey, 900000 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders")
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice, 900000 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id FROM orders")
 def numbered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.numbered(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], first=900_001).select("o_orderkey", "id")
+    """Ids by date; the other columns stay with their rows."""
+    return merge.numbered(table(spark, sf_dir, "orders"), ["o_orderdate", "o_orderkey"], first=900_001).select("o_orderkey", "o_orderstatus", "o_totalprice", "id")
+
+
+@query("""WITH placed AS (SELECT o_orderpriority AS scope, CAST(o_custkey AS VARCHAR) AS cluster_id, o_orderkey AS job_ord, row_number() OVER (ORDER BY o_orderpriority, CAST(o_custkey AS VARCHAR), o_orderkey) - 1 AS place, count(*) OVER () // 97 AS step FROM orders)
+SELECT scope, cluster_id, job_ord FROM placed WHERE place % step = 0 AND place < step * 97""")
+def spread_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A trial run's targets: 97 of all, spread evenly over their order."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scope"), F.col("o_custkey").cast("string").alias("cluster_id"), F.col("o_orderkey").alias("job_ord"))
+    return jobs.spread_sample(rows, 97)
 
 
 @query("""WITH tagged AS (SELECT p_partkey AS id, trim(t) AS tag FROM (SELECT p_partkey, unnest(string_split(p_brand || ':' || p_type || '; ;' || p_name || ';', ';')) AS t FROM part))

@@ -2,9 +2,11 @@ import io
 import sqlite3
 import zipfile
 
+import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import merge, pool, quality, retrieval
+from quarry.operators import merge, pool, quality, retrieval, shared
 from quarry.sources import documents, layout, seed, sinks, tables
 from quarry.sources.catalog import Catalog
 
@@ -154,3 +156,30 @@ def test_pack_files(spark, tmp_path):
     loop = {**PACK, "gates": [{**g, "next": {k: "VIEW" for k in g["next"]}} if g["id"] == "ERROR" else g for g in PACK["gates"]]}
     cyclic = spark.createDataFrame([(json.dumps(loop),)], "v string").select(F.from_json("v", packs.PACK_SCHEMA).alias("p")).select("p.*")
     assert {r.gate for r in packs.problems(cyclic).filter("problem like '%cycle%'").collect()} == {"VIEW", "CLICK", "ERROR"}
+
+
+def test_numbered_keeps_other_columns_and_gives_each_id_once(spark):
+    """400,000 rows in 8 ranges, with ties in the order, other columns and a map."""
+    rows = spark.range(400_000).select((F.col("id") * 7919 % 50_021).alias("k"), F.col("id").alias("own"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.create_map(F.lit("a"), "id").alias("m"))
+    folder = shared.shared_dir(spark, "numbered-test")
+    merge.numbered(rows, ["k"], column="n").write.parquet(f"{folder}/t")
+    got = spark.read.parquet(f"{folder}/t")
+    facts = got.agg(F.count("*"), F.count_distinct("n"), F.min("n"), F.max("n"), F.count_distinct("own")).first()
+    assert tuple(facts) == (400_000, 400_000, 1, 400_000, 400_000)
+    wrong = got.withColumn("want", F.row_number().over(Window.partitionBy("k").orderBy("own"))).withColumn("low", F.min("n").over(Window.partitionBy("k"))).filter("n - low + 1 <> want")
+    assert wrong.count() == 0
+    assert merge.numbered(rows.limit(0), ["k"]).count() == 0
+
+
+def test_a_cluster_needs_a_named_folder():
+    class Context:
+        master = "spark://there:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.checkpoint_dir(type("Session", (), {"sparkContext": Context()})())
