@@ -1,10 +1,8 @@
-"""Shared folder, intermediate tables and files that every executor can reach."""
+"""Tables, texts and files of the training-data operators, and what their workers keep."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Hashable, Iterator
 
 import pyarrow as pa
@@ -12,33 +10,21 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import shared_dir, written
+
+__all__ = ["delete_written", "filesystem", "free_shuffles", "partitions", "shared_dir", "table", "text_of", "texts_of", "worker_state", "written"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; it goes when the session ends.
-
-    Only where the setting is missing (local tests) is a temporary folder used.
-    """
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-        base = sc.getCheckpointDir()
-    path = sc._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}")
-    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-    fs.deleteOnExit(path)
-    return fs.makeQualified(path).toString()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends there and a lost executor costs nothing."""
-    path = shared_dir(df.sparkSession, name) + "/table"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def delete_written(df: DataFrame) -> None:
+    """Delete a table of written() that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def free_shuffles(spark: SparkSession) -> None:

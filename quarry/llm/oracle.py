@@ -5,26 +5,33 @@ from __future__ import annotations
 #: Lines with their quote level, passages (runs of one level), their paragraphs and lines, normalised; then links and threads.
 QUOTES = r"""WITH RECURSIVE messages AS (SELECT row_number() OVER () AS id, conv_id, turn, role, text FROM conversations),
 lines AS (SELECT id, generate_subscripts(l, 1) AS n, unnest(l) AS line FROM (SELECT id, string_split(text, chr(10)) AS l FROM messages WHERE text IS NOT NULL)),
-marked AS (SELECT id, n, length(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS line FROM lines),
-runs AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY id ORDER BY n) IS DISTINCT FROM level THEN 1 ELSE 0 END AS new FROM marked)),
+split AS (SELECT id, n, line, regexp_extract(line, '^[ \t]*((?:[>|][ \t]?)+)', 1) AS marks, regexp_replace(line, '^[ \t]*(?:[>|][ \t]?)+', '') AS rest FROM lines),
+levels_of AS (SELECT id, n, CASE WHEN contains(marks, '|') AND contains(rest, '|') THEN 0 ELSE length(regexp_replace(marks, '[^>|]', '', 'g')) END AS level, CASE WHEN contains(marks, '|') AND contains(rest, '|') THEN line ELSE rest END AS line FROM split),
+following AS (SELECT *, regexp_matches(lower(line), '^[ \t]*(?:on|le|am|el)[ \t].*(?:wrote|a écrit|schrieb|escribió)[^:]*:[ \t\r]*$') AND level < first_value(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) <> '' THEN level END IGNORE NULLS) OVER (PARTITION BY id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS names FROM levels_of),
+named AS (SELECT *, sum(CASE WHEN coalesce(names, false) THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY n) AS before FROM following),
+marked AS (SELECT id, n, level, line, before FROM named WHERE NOT coalesce(names, false)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY n) AS run FROM (SELECT *, CASE WHEN lag(level) OVER (PARTITION BY id ORDER BY n) IS DISTINCT FROM level OR lag(before) OVER (PARTITION BY id ORDER BY n) <> before THEN 1 ELSE 0 END AS new FROM marked)),
 paragraphs AS (SELECT *, sum(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) = '' THEN 1 ELSE 0 END) OVER (PARTITION BY id, run ORDER BY n) AS para FROM runs),
 said AS (SELECT id, run, level, true AS whole, string_agg(line, chr(10) ORDER BY n) AS words FROM paragraphs GROUP BY ALL
   UNION ALL SELECT id, run, level, false, string_agg(line, chr(10) ORDER BY n) FROM paragraphs GROUP BY id, run, level, para UNION ALL SELECT id, run, level, false, line FROM paragraphs),
 units AS (SELECT id, level, words, bool_or(whole) AS whole FROM (SELECT id, run, level, whole, trim(regexp_replace(lower(words), '\s+', ' ', 'g')) AS words FROM said) WHERE words <> '' GROUP BY id, level, words),
 own AS (SELECT DISTINCT conv_id, turn, level, words, whole FROM units JOIN messages USING (id) WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 near AS (SELECT conv_id, words, min(turn) AS near FROM own WHERE level = 0 GROUP BY 1, 2),
-far AS (SELECT words, min(struct_pack(conv_id := conv_id, near := near)) AS far FROM near GROUP BY 1),
-links AS (SELECT q.conv_id, q.turn, level, q.words, whole, CASE WHEN near < q.turn THEN q.conv_id WHEN far.conv_id <> q.conv_id THEN far.conv_id END AS to_conv, CASE WHEN near < q.turn THEN near WHEN far.conv_id <> q.conv_id THEN far.near END AS to_turn
-  FROM own q LEFT JOIN near ON near.conv_id = q.conv_id AND near.words = q.words LEFT JOIN far ON far.words = q.words WHERE level > 0),
+far AS (SELECT q.conv_id, q.words, min(o.conv_id) AS far_conv, arg_min(o.near, o.conv_id) AS far_turn FROM (SELECT DISTINCT conv_id, words FROM own WHERE level > 0) q JOIN near o ON o.words = q.words AND o.conv_id <> q.conv_id GROUP BY 1, 2),
+links AS (SELECT q.conv_id, q.turn, level, q.words, whole, CASE WHEN near < q.turn THEN q.conv_id ELSE far_conv END AS to_conv, CASE WHEN near < q.turn THEN near ELSE far_turn END AS to_turn
+  FROM own q LEFT JOIN near ON near.conv_id = q.conv_id AND near.words = q.words LEFT JOIN far ON far.conv_id = q.conv_id AND far.words = q.words WHERE level > 0),
 replies AS (SELECT conv_id, turn, max(to_turn) AS reply_to FROM links WHERE to_conv = conv_id AND level = 1 GROUP BY 1, 2),
 walk AS (SELECT conv_id, turn, reply_to AS root, 1 AS depth FROM replies UNION ALL SELECT w.conv_id, w.turn, r.reply_to, depth + 1 FROM walk w JOIN replies r ON r.conv_id = w.conv_id AND r.turn = w.root),
 threads AS (SELECT conv_id, turn, arg_max(root, depth) AS root, max(depth) AS depth FROM walk GROUP BY 1, 2),
 counts AS (SELECT conv_id, turn, count(DISTINCT CASE WHEN whole THEN level || ' ' || words END) AS n_linked FROM links WHERE to_conv IS NOT NULL GROUP BY 1, 2),
 quoted AS (SELECT id, level, run FROM paragraphs WHERE level > 0 GROUP BY ALL HAVING bool_or(trim(line, ' ' || chr(9) || chr(13)) <> '')),
 levels AS (SELECT id, CAST(count(*) AS INTEGER) AS n_quotes, CAST(max(level) AS INTEGER) AS max_level FROM quoted GROUP BY 1),
-plain AS (SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS words FROM paragraphs GROUP BY 1)
-SELECT m.conv_id, m.turn, role, CASE WHEN n_quotes > 0 THEN plain.words ELSE text END AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(max_level, 0) AS max_level, coalesce(n_linked, 0) AS n_linked, reply_to, coalesce(root, m.turn) AS thread, coalesce(CAST(depth AS INTEGER), 0) AS depth
-FROM messages m LEFT JOIN levels USING (id) LEFT JOIN plain USING (id) LEFT JOIN counts c ON c.conv_id = m.conv_id AND c.turn = m.turn LEFT JOIN replies r ON r.conv_id = m.conv_id AND r.turn = m.turn LEFT JOIN threads t ON t.conv_id = m.conv_id AND t.turn = m.turn"""
+plain AS (SELECT id, regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (level = 0), ''), '^\s+|\s+$', '', 'g') AS words FROM paragraphs GROUP BY 1),
+told AS (SELECT m.conv_id, m.turn, role, CASE WHEN n_quotes > 0 THEN plain.words ELSE text END AS text, coalesce(n_quotes, 0) AS n_quotes, coalesce(max_level, 0) AS max_level, coalesce(n_linked, 0) AS n_linked, reply_to, coalesce(root, m.turn) AS thread, coalesce(CAST(depth AS INTEGER), 0) AS depth
+FROM messages m LEFT JOIN levels USING (id) LEFT JOIN plain USING (id) LEFT JOIN counts c ON c.conv_id = m.conv_id AND c.turn = m.turn LEFT JOIN replies r ON r.conv_id = m.conv_id AND r.turn = m.turn LEFT JOIN threads t ON t.conv_id = m.conv_id AND t.turn = m.turn),
+ordered AS (SELECT *, CASE WHEN conv_id IS NOT NULL AND turn IS NOT NULL THEN row_number() OVER (PARTITION BY conv_id, conv_id IS NOT NULL AND turn IS NOT NULL ORDER BY thread, turn, role, text NULLS FIRST) - 1 END AS position FROM told),
+parts AS (SELECT conv_id, position // 1000 AS part, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY position) AS conversation FROM ordered WHERE position IS NOT NULL GROUP BY 1, 2)
+SELECT ordered.*, parts.conversation FROM ordered LEFT JOIN parts ON parts.conv_id = ordered.conv_id AND parts.part * 1000 = ordered.position"""
 
 #: Twenty bits of the digest at a time become four base32 letters.
 PACKAGES = """WITH own AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages)

@@ -14,7 +14,7 @@ from .ngram_join import jaccard_components
 from .oracle import ORACLE_SQL
 from .packing import pack
 from .projection_forest import near_duplicates
-from .quotes import link_quotations
+from .quotes import conversations_without_quotes
 from .secrets import fit_network, scan
 from .token_files import token_file_digest
 from .topk_search import top_k
@@ -22,7 +22,7 @@ from .warc_zip import package_round_trip
 
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_quotations(table(spark, sf_dir, "conversations"))
+    return conversations_without_quotes(table(spark, sf_dir, "conversations"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,6 +383,60 @@ def test_original_elsewhere_when_own_conversation_is_first(spark):
     assert {(r.conv_id, r.turn, r.hash, r.to_conv, r.to_turn) for r in links.collect()} == want
 
 
+MAIL = [
+    (1, 0, "ann", "Shall we meet on Friday?\n\nI can book the small room."),
+    (1, 1, "bob", "On Mon, 3 May, Ann wrote:\n\n> Shall we meet on Friday?\n\nYes, at ten."),
+    (1, 2, "cy", "| I can book the small room.\nThe large one, please."),
+    (1, 3, "ann", "Bob schrieb gestern:\n>> Shall we meet on Friday?\n> Yes, at ten.\nTen it is."),
+    (1, 4, "dee", "> On Mon, 3 May, Ann wrote:\n>> I can book the small room.\n> The large one, please.\nToo dear.\n| item | price |\n| room | 90 |"),
+    (1, 5, "eve", "On reflection nobody wrote:\nnothing is quoted here"),
+    (2, 0, "fay", "Le 4 mai, Bob a écrit :\n> Yes, at ten.\nSo they meet."),
+]
+
+
+def walked(rows):
+    """Thread, position and texts by plain Python over pairs of messages, without hashes, joins or doubling."""
+
+    def parts_of(text):
+        out, lines = [], text.split("\n")
+        for i, line in enumerate(lines):
+            rest = line.lstrip(" >|")
+            lead = line[: len(line) - len(rest)]
+            level = 0 if "|" in lead and "|" in rest else len(lead.replace(" ", ""))
+            out.append((level, rest if level else line))
+        named = re.compile(r"(on|le|am|el)\s.*(wrote|a écrit|schrieb|escribió)[^:]*:\s*", re.I)
+        return [(lv, x) for i, (lv, x) in enumerate(out) if not (named.fullmatch(x) and next((m for m, y in out[i + 1 :] if y.strip()), 0) > lv)]
+
+    parts = {(c, t): parts_of(x) for c, t, _, x in rows}
+    plain = {k: "\n".join(x for lv, x in p if not lv).strip() if any(lv for lv, _ in p) else dict(((c, t), x) for c, t, _, x in rows)[k] for k, p in parts.items()}
+    reply = {}
+    for (c, t), p in parts.items():
+        asked = [x.strip().lower() for lv, x in p if lv == 1 and x.strip()]
+        found = [u for (d, u), q in parts.items() if d == c and u < t and any(x.strip().lower() in asked for lv, x in q if not lv)]
+        first = {x: min((u for u in found if any(y.strip().lower() == x for lv, y in parts[c, u] if not lv)), default=None) for x in asked}
+        reply[c, t] = max((u for u in first.values() if u is not None), default=None)
+
+    def root(c, t):
+        return t if reply[c, t] is None else root(c, reply[c, t])
+
+    order = sorted(parts, key=lambda k: (k[0], root(*k), k[1]))
+    return {k: (reply[k], root(*k), order.index(k) - min(i for i, o in enumerate(order) if o[0] == k[0]), plain[k]) for k in parts}, order
+
+
+def test_mail_quotes_equal_a_plain_walk(spark):
+    """Nested quotes, bars, named quotes and tables; reply order and the conversations put together."""
+    df = spark.createDataFrame(MAIL, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations_without_quotes(df).collect()}
+    want, order = walked(MAIL)
+    assert {k: (r.reply_to, r.thread, r.position, r.text) for k, r in got.items()} == want
+    roles = {(c, t): role for c, t, role, _ in MAIL}
+    assert got[1, 0].conversation == "\n".join(f"{roles[k]}: {want[k][3]}" for k in order if k[0] == 1)
+    assert [r.conversation for r in got.values() if r.position] == [None] * 5
+    assert (got[1, 4].reply_to, got[1, 4].max_level, got[1, 4].n_quotes, got[1, 4].n_linked) == (2, 2, 2, 2)
+    assert got[1, 3].text.startswith("Bob schrieb") and got[1, 5].n_quotes == 0 and got[2, 0].n_linked == 1 and got[2, 0].reply_to is None
+    assert quotes.conversations_without_quotes(df.limit(0)).count() == 0
+
+
 def test_long_reply_chains(spark):
     rows = [(1, 0, "u", "line 0")] + [(1, t, "u", f"> line {t - 1}\nline {t}") for t in range(1, 20)]
     got = {r.turn: (r.thread, r.depth, r.reply_to) for r in quotes.link_quotations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}

@@ -46,7 +46,12 @@ def made(tmp_path_factory):
         said = []
         for t in range(8):
             lines = [" ".join(rng.choices(words[:12], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 3))]
-            quote = [f"{'>' * rng.randint(1, 3)}{rng.choice(['', ' '])}{x}" for x in rng.choice(said)] if said and rng.random() < 0.6 else []
+            mark = rng.choice([">", ">", "|", ">|"]) * rng.randint(1, 2)
+            quote = [f"{mark}{rng.choice(['', ' '])}{x}" for x in rng.choice(said)] if said and rng.random() < 0.6 else []
+            if quote and rng.random() < 0.5:
+                quote = [rng.choice(["On Monday W3 wrote:", "Am 3. Mai schrieb w4 :", "> Le soir, w1 a écrit:", "on time wrote nothing"]), *([""] if rng.random() < 0.5 else []), *quote]
+            if rng.random() < 0.2:
+                lines = ["| a | b |", *lines]
             talk.append((c, t, "user", None if rng.random() < 0.05 else "\n".join([*quote, *([""] if rng.random() < 0.3 else []), *lines])))
             said.append(lines)
     pd.DataFrame(talk, columns=["conv_id", "turn", "role", "text"]).to_parquet(folder / "conversations.parquet")
