@@ -20,6 +20,27 @@ TOKEN = r"^COMMIT: DEV-BRANCH-(?:(INTAKE)|GATE-([A-Za-z0-9_]+)-(PASS|FAIL|LOW|HI
 TERMINAL = r"^TERMINAL-([A-Z0-9_]+)$"
 
 
+#: What a spec's limits make of a number: the outcomes in ascending order, and the limits between them. A limit that is included belongs to the outcome above it.
+BANDS = {
+    "window": (("LOW", "PASS", "HIGH"), (("min", True), ("max", False))),
+    ">=": (("FAIL", "PASS"), (("low", True),)),
+    ">": (("FAIL", "PASS"), (("low", False),)),
+    "<=": (("PASS", "FAIL"), (("high", False),)),
+    "<": (("PASS", "FAIL"), (("high", True),)),
+}
+
+
+def band(kind: str, op: str | None, spec: dict, number: float) -> str | None:
+    """One number's outcome under one spec (value, min, max); None where the spec lacks a limit. The rule of evaluate for keyed state."""
+    outcomes, limits = BANDS["window" if kind == "window" else op]
+    one = spec.get("value")
+    known = {"min": spec.get("min"), "max": spec.get("max")}
+    known |= {"low": known["min"] if one is None else one, "high": known["max"] if one is None else one}
+    if any(known[name] is None for name, _ in limits):
+        return None
+    return outcomes[sum(number >= known[name] if included else number > known[name] for name, included in limits)]
+
+
 def limit(op: Column | str, value: Column | str, vmin: Column | str, vmax: Column | str) -> Column:
     return F.coalesce(col(value), F.when(col(op).isin(">=", ">"), col(vmin)).otherwise(col(vmax)))
 
@@ -31,10 +52,23 @@ def spec_fits(kind: Column | str, op: Column | str, value: Column | str, vmin: C
 def evaluate(kind: Column | str, op: Column | str, num: Column | str, flag: Column | str, value: Column | str, vmin: Column | str, vmax: Column | str) -> Column:
     """The outcome; null where the spec does not fit or the reading is of the other kind."""
     kind, op, num, flag = col(kind), col(op), col(num), col(flag)
-    bound = limit(op, value, vmin, vmax)
-    holds = F.when(op == ">=", num >= bound).when(op == ">", num > bound).when(op == "<=", num <= bound).when(op == "<", num < bound)
-    window = F.when(num < col(vmin), "LOW").when(num > col(vmax), "HIGH").when(num.isNotNull() & col(vmin).isNotNull() & col(vmax).isNotNull(), "PASS")
-    return F.when(kind == "boolean", F.when(flag, "YES").when(~flag, "NO")).when(kind == "window", F.when(spec_fits(kind, op, value, vmin, vmax), window)).when(kind == "threshold", F.when(holds, "PASS").when(~holds, "FAIL"))
+    known = {"min": col(vmin), "max": col(vmax), "low": F.coalesce(col(value), col(vmin)), "high": F.coalesce(col(value), col(vmax))}
+    found = F.when(kind == "boolean", F.when(flag, "YES").when(~flag, "NO"))
+    for rule, (outcomes, limits) in BANDS.items():
+        above = [(num >= known[name] if included else num > known[name]).cast("int") for name, included in limits]
+        place = above[0] if len(above) == 1 else above[0] + above[1]  # null if a limit or the number is
+        applies = kind == "window" if rule == "window" else (kind == "threshold") & (op == rule)
+        found = found.when(applies, F.get(F.array(*map(F.lit, outcomes)), place))
+    return found
+
+
+def captured_spec(kind: Column | str, values: Column | str) -> Column:
+    """value, vmin, vmax out of an operator's numbers: two for a window, in either order, one for a threshold; null otherwise."""
+    kind, values = col(kind), F.array_sort(col(values))
+    none = F.lit(None).cast("double")
+    one, pair = (kind == "threshold") & (F.size(values) == 1), (kind == "window") & (F.size(values) == 2)
+    first, last = F.get(values, F.lit(0)), F.get(values, F.lit(1))
+    return F.when(one, F.struct(first.alias("value"), none.alias("vmin"), none.alias("vmax"))).when(pair, F.struct(none.alias("value"), first.alias("vmin"), last.alias("vmax")))
 
 
 def reading_problem(kind: Column | str, gate_unit: Column | str, condition: Column | str, num: Column | str, flag: Column | str, unit: Column | str, state: Column | str) -> Column:
@@ -81,4 +115,4 @@ def parse_token(line: Column | str) -> Column:
     return F.when(line.rlike(TOKEN), F.struct(kind.alias("kind"), F.coalesce(part(2), part(6), part(7), F.lit("")).alias("gate"), F.coalesce(part(3), F.lit("")).alias("outcome")))
 
 
-__all__ = ["citation", "evaluate", "limit", "parse_token", "reading_problem", "spec_body", "spec_fits", "spec_text", "status", "token"]
+__all__ = ["BANDS", "band", "captured_spec", "citation", "evaluate", "limit", "parse_token", "reading_problem", "spec_body", "spec_fits", "spec_text", "status", "token"]

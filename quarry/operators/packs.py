@@ -87,6 +87,7 @@ def problems(packs: DataFrame) -> DataFrame:
         when(F.coalesce(F.size("gates"), F.lit(0)) <= 0, "pack has no gates"),
         when((F.size("gates") > 0) & (F.size(F.array_distinct(ids)) < F.size("gates")), "duplicate gate ids"),
         when((F.size("gates") > 0) & ~F.coalesce(F.array_contains(ids, F.col("start")), F.lit(False)), "start gate does not exist"),
+        when(F.exists("symptoms", lambda s: F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), s).isNull()), "bad symptom pattern"),
         when(F.exists(F.map_keys(terminals), lambda c: ~c.rlike(CODE)), "terminal code must be A-Z, 0-9, underscore"),
         when(F.exists(F.map_values(terminals), lambda t: t.rlike(r"\d")), "digits in terminal text"),
     ]

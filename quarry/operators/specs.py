@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.matching import model_matches
 from quarry.functions.text import citation, col
 
 UNVERIFIED = "No cited spec — confirm from your manual"
+SPEC = ("value", "vmin", "vmax", "unit", "cite")
 IGNORED = " (vehicle unknown, so vehicle-specific rows were not used)"
 
 
@@ -44,30 +45,36 @@ def merged(rows: DataFrame, by: list[str]) -> DataFrame:
     return groups.select(*by, "first_id", "spec.*", "cite")
 
 
-def resolve(gates: DataFrame, specs: DataFrame, literals: DataFrame | None = None) -> DataFrame:
+def resolve(gates: DataFrame, specs: DataFrame, literals: DataFrame | None = None, choices: DataFrame | None = None, operator: DataFrame | None = None) -> DataFrame:
     """gate_key, status (RESOLVED, CONFLICT, UNVERIFIED), n_candidates, value, vmin, vmax, unit, cite, note.
 
     literals: gate_key, value, vmin, vmax, unit, cite; they count only where no table row applies. Among
-    conflicting candidates the order is that of their first rows.
+    conflicting candidates the order is that of their first rows. choices (gate_key, choice from 0) settle a
+    conflict, else the operator's own spec (operator: gate_key, value, vmin, vmax, unit, cite) does, and so it
+    does where there is no candidate. A choice that names no candidate counts as none.
     """
     rows = candidates(gates, specs)
     found = merged(rows, ["gate_key"])
     facts = rows.groupBy("gate_key").agg(F.count_if(F.col("spec_id").isNotNull() & ~F.col("used")).alias("ignored"), F.bool_or((F.coalesce("asked_make", F.lit("")) != "") | (F.coalesce("asked_model", F.lit("")) != "") | F.col("asked_year").isNotNull()).alias("known"))
     if literals is not None:
-        spare = literals.join(found.select("gate_key").distinct(), "gate_key", "left_anti").select("gate_key", F.lit(0).cast("long").alias("first_id"), "value", "vmin", "vmax", "unit", "cite")
+        spare = literals.join(found.select("gate_key").distinct(), "gate_key", "left_anti").select("gate_key", F.lit(0).cast("long").alias("first_id"), *SPEC)
         found = found.unionByName(spare)
-    one = found.groupBy("gate_key").agg(F.count("*").alias("n"), F.min_by(F.struct("value", "vmin", "vmax", "unit", "cite"), "first_id").alias("spec"))
+    one = found.groupBy("gate_key").agg(F.count("*").alias("n"), F.min_by(F.struct(*SPEC), "first_id").alias("spec"))
     rows = facts.join(one, "gate_key", "left").withColumn("n_candidates", F.coalesce("n", F.lit(0)))
-    status = F.when(F.col("n_candidates") == 1, "RESOLVED").when(F.col("n_candidates") > 1, "CONFLICT").otherwise("UNVERIFIED")
+    none = F.lit(None).cast(one.schema["spec"].dataType)
+    picked = chosen(found, choices).select("gate_key", F.struct(*SPEC).alias("_chosen")) if choices is not None else None
+    given = operator.select("gate_key", F.struct(*SPEC).alias("_given")) if operator is not None else None
+    rows = rows.join(picked, "gate_key", "left") if picked is not None else rows.withColumn("_chosen", none)
+    rows = rows.join(given, "gate_key", "left") if given is not None else rows.withColumn("_given", none)
+    spec = F.when(F.col("n_candidates") == 1, F.col("spec")).when(F.col("n_candidates") > 1, F.coalesce("_chosen", "_given")).otherwise(F.col("_given"))
+    rows = rows.withColumn("_spec", spec)
+    status = F.when(F.col("_spec").isNotNull(), "RESOLVED").when(F.col("n_candidates") > 1, "CONFLICT").otherwise("UNVERIFIED")
     note = F.when(status == "CONFLICT", "sources disagree").when(status == "UNVERIFIED", F.concat(F.lit(UNVERIFIED), F.when((F.col("ignored") > 0) & ~F.col("known"), IGNORED).otherwise(""))).otherwise("")
-    only = lambda c: F.when(status == "RESOLVED", F.col(f"spec.{c}")).alias(c)
-    return rows.select("gate_key", status.alias("status"), "n_candidates", *(only(c) for c in ("value", "vmin", "vmax", "unit", "cite")), note.alias("note"))
+    return rows.select("gate_key", status.alias("status"), "n_candidates", *(F.col(f"_spec.{c}").alias(c) for c in SPEC), note.alias("note"))
 
 
 def chosen(found: DataFrame, choices: DataFrame) -> DataFrame:
     """The conflict candidate that an operator chose by its place (from 0)."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("gate_key").orderBy("first_id")) - 1
     return found.withColumn("place", place).join(choices.select("gate_key", F.col("choice").alias("place")), ["gate_key", "place"]).drop("place")
 

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.gates import evaluate, parse_token, token
+from quarry.functions.gates import captured_spec, evaluate, parse_token, reading_problem, token
 from quarry.operators import merge, packs, sessions, specs
 from quarry.operators.shared import shared_dir
 from quarry.streaming.sessions import OUTPUT, append_ledger, session_stream
@@ -41,26 +41,36 @@ PACK = {
         gate("PURCHASE", "boolean", {"YES": "TERMINAL-DONE", "NO": "TERMINAL-STOP"}),
     ],
 }
-BROKEN = {
-    **PACK, "id": "broken", "start": "VIEW",
-    "gates": [
-        gate("VIEW", "threshold", {"PASS": "CLICK"}, "=", {"value": 5.0}),
-        gate("CLICK", "window", {"LOW": "TERMINAL-NOWHERE", "PASS": "nowhere", "HIGH": "TERMINAL-STOP"}, None, None, unit="", instruction="Wait 5 minutes."),
-        gate("CLICK", "other", {}),
-    ],
-}
-LOST = {**PACK, "id": "lost", "gates": [*PACK["gates"], gate("ALONE", "boolean", {"YES": "VIEW", "NO": "TERMINAL-STOP"})]}
+def _broken_packs() -> list[str]:
+    """Eleven packs as JSON, each but the first with one fault; @ stands for the supplier's key."""
+    own = {
+        "id": "p@", "title": "Two gates", "ecu_family": "", "symptoms": ["no start"], "start": "A", "terminals": {"DONE": "All good."},
+        "gates": [gate("A", "threshold", {"PASS": "B", "FAIL": "TERMINAL-DONE"}, ">=", {"value": 5.0}), gate("B", "boolean", {"YES": "TERMINAL-DONE", "NO": "TERMINAL-DONE"})],
+    }
+    first = lambda **more: {"gates": [own["gates"][0] | more, own["gates"][1]]}
+    last = lambda **more: {"gates": [own["gates"][0], own["gates"][1] | more]}
+    faults = [
+        {}, {"id": "p @"}, {"start": "Z"}, first(unit=""), first(op="="), first(instruction="Wait 5 minutes."), last(next={"YES": "TERMINAL-DONE"}),
+        first(next={"PASS": "C", "FAIL": "TERMINAL-DONE"}), {"symptoms": ["no start", "(crank"]}, {"gates": [*own["gates"], gate("LOST", "boolean", {"YES": "A", "NO": "B"})]},
+        last(next={"YES": "A", "NO": "TERMINAL-DONE"}),
+    ]
+    return [json.dumps(own | f) for f in faults]
 
 
 def pack_rows(spark: SparkSession) -> DataFrame:
-    """The packs above, by the schema that pack files are read with."""
-    return spark.createDataFrame([(json.dumps(p),) for p in (PACK, BROKEN, LOST)], "value string").select(F.from_json("value", packs.PACK_SCHEMA).alias("p")).select("p.*")
+    """The events' pack, by the schema that pack files are read with."""
+    return spark.createDataFrame([(json.dumps(PACK),)], "value string").select(F.from_json("value", packs.PACK_SCHEMA).alias("p")).select("p.*")
 
 
-@query("""SELECT * FROM (VALUES ('broken', NULL, 'duplicate gate ids'), ('broken', 'CLICK', 'unknown type'), ('broken', 'CLICK', 'numeric gate needs a unit'), ('broken', 'CLICK', 'numeric gate needs spec_ref or a cited literal'), ('broken', 'CLICK', 'digits in instruction'),
-('broken', 'VIEW', 'threshold needs an op'), ('broken', 'VIEW', 'next must map exactly the outcomes'), ('broken', 'CLICK', 'PASS -> neither gate nor terminal'), ('broken', 'CLICK', 'LOW -> undefined terminal'), ('lost', 'ALONE', 'unreachable from start')) AS t(pack, gate, problem)""")
+@query("""WITH faults(kind, gate, problem) AS (VALUES (1, NULL, 'pack id missing or invalid'), (2, NULL, 'start gate does not exist'), (3, 'A', 'numeric gate needs a unit'), (4, 'A', 'threshold needs an op'), (5, 'A', 'digits in instruction'), (6, 'B', 'next must map exactly the outcomes'),
+(7, 'A', 'PASS -> neither gate nor terminal'), (8, NULL, 'bad symptom pattern'), (9, 'LOST', 'unreachable from start'), (10, 'A', 'on or before a cycle'), (10, 'B', 'on or before a cycle'))
+SELECT CASE WHEN kind = 1 THEN 'p ' ELSE 'p' END || CAST(s_suppkey AS VARCHAR) AS pack, gate, problem FROM supplier JOIN faults ON kind = s_suppkey % 11""")
 def pack_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packs.problems(pack_rows(spark)).select("pack", "gate", "problem")
+    """A pack for each supplier, with a fault by its key."""
+    key = F.col("s_suppkey")
+    text = F.replace(F.element_at(F.array(*map(F.lit, _broken_packs())), (key % 11 + 1).cast("int")), F.lit("@"), key.cast("string"))
+    rows = table(spark, sf_dir, "supplier").select(F.from_json(text, packs.PACK_SCHEMA).alias("p")).select("p.*")
+    return packs.problems(rows).select("pack", "gate", "problem")
 
 
 @query("""WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey % 4 AS pack, o_custkey AS gate, (o_custkey * 7 + o_orderkey % 3 * 11) % 1500 AS target FROM orders),
@@ -94,7 +104,7 @@ def _readings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gates(spark: SparkSession) -> DataFrame:
-    own = pack_rows(spark).filter("id = 'events_pack'")
+    own = pack_rows(spark)
     return packs.gates_of(own).select(F.col("id").alias("gate"), "type", "op", "literal.value", F.col("literal.min").alias("vmin"), F.col("literal.max").alias("vmax"), "next")
 
 
@@ -123,17 +133,22 @@ def gate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ledger(spark, sf_dir)
 
 
-@query(f"{LEDGER} SELECT session, arg_max(target, step) AS position, true AS sound FROM ledger GROUP BY 1")
+@query(f"""{LEDGER}, kept AS (SELECT session, step, CASE WHEN session % 7 = 0 AND step = 0 THEN 'ERROR' ELSE gate END AS gate, outcome FROM ledger WHERE NOT (session % 5 = 0 AND step = 1)),
+led AS (SELECT k.session, k.step, k.gate, e.target FROM kept k LEFT JOIN edges e ON e.gate = k.gate AND e.outcome = k.outcome),
+expected AS (SELECT *, CASE WHEN step = first_value(step) OVER w THEN 'VIEW' ELSE coalesce(lag(target) OVER w, 'VIEW') END AS place FROM led WINDOW w AS (PARTITION BY session ORDER BY step))
+SELECT session, arg_max(target, step) AS position, bool_and(target IS NOT NULL AND gate = place) AS sound FROM expected GROUP BY 1""")
 def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger's tokens, parsed again, lead back to every session's place."""
-    parsed = _ledger(spark, sf_dir).select("session", F.col("step").alias("ord"), parse_token(F.concat(F.lit("COMMIT: "), token(F.lit("GATE"), "gate", "outcome"))).alias("t"))
+    """The ledger's tokens, parsed again, lead back to every session's place. In some sessions a commit is missing or names another gate: they are not sound."""
+    step, session = F.col("step"), F.col("session")
+    told = F.when((session % 7 == 0) & (step == 0), "ERROR").otherwise(F.col("gate"))
+    parsed = _ledger(spark, sf_dir).filter(~((session % 5 == 0) & (step == 1))).select("session", step.alias("ord"), parse_token(F.concat(F.lit("COMMIT: "), token(F.lit("GATE"), told, "outcome"))).alias("t"))
     commits = parsed.select("session", "ord", "t.gate", "t.outcome")
-    edges = packs.edges_of(pack_rows(spark).filter("id = 'events_pack'")).select("gate", "outcome", "target")
-    starts = commits.select("session").distinct().withColumn("start", F.lit("VIEW"))
+    edges = packs.edges_of(pack_rows(spark)).select("gate", "outcome", "target")
+    starts = _readings(spark, sf_dir).select("session").distinct().withColumn("start", F.lit("VIEW"))
     return sessions.replay(commits, edges, starts)
 
 
-@query("""WITH specs AS (SELECT p_partkey AS spec_id, p_type AS spec_key, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS make, CASE WHEN p_size % 5 = 0 THEN 1990 + p_size % 20 END AS y0, CASE WHEN p_size % 5 = 0 THEN 2000 + p_size % 20 END AS y1,
+RESOLVED = """WITH specs AS (SELECT p_partkey AS spec_id, p_type AS spec_key, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_brand END AS make, CASE WHEN p_size % 5 = 0 THEN 1990 + p_size % 20 END AS y0, CASE WHEN p_size % 5 = 0 THEN 2000 + p_size % 20 END AS y1,
   CAST(p_size % 4 AS DOUBLE) AS value, CASE WHEN p_size % 7 = 0 THEN 'V' ELSE '' END AS unit, 'f' || CAST(p_partkey % 9 AS VARCHAR) || ' p.' || CAST(p_size AS VARCHAR) AS cite FROM part),
 gates AS (SELECT s_suppkey AS gate_key, CASE s_suppkey % 7 WHEN 0 THEN 'ECONOMY' WHEN 1 THEN 'SMALL' WHEN 2 THEN 'MEDIUM' WHEN 3 THEN 'PROMO' WHEN 4 THEN 'STANDARD' WHEN 5 THEN 'LARGE' ELSE 'NONE' END AS spec_ref, CASE WHEN s_suppkey % 2 = 0 THEN 'v' ELSE 'ohm' END AS gate_unit,
   CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'brand#' || CAST(1 + s_suppkey % 25 AS VARCHAR) END AS asked, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 1995 + s_suppkey % 10 END AS asked_year FROM supplier),
@@ -141,8 +156,10 @@ pairs AS (SELECT g.*, s.*, spec_id IS NOT NULL AND (make = '' OR (asked <> '' AN
 merged AS (SELECT gate_key, value, CASE WHEN unit = '' THEN gate_unit ELSE unit END AS u, string_agg(cite, '; ' ORDER BY spec_id) AS cite, arg_min(CASE WHEN unit = '' THEN gate_unit ELSE unit END, spec_id) AS spec_unit FROM pairs WHERE used GROUP BY gate_key, value, lower(CASE WHEN unit = '' THEN gate_unit ELSE unit END), CASE WHEN unit = '' THEN gate_unit ELSE unit END),
 one AS (SELECT gate_key, count(*) AS n, any_value(value) AS value, any_value(cite) AS cite FROM (SELECT gate_key, value, lower(u) AS u, string_agg(cite, '; ') AS cite FROM (SELECT gate_key, value, CASE WHEN unit = '' THEN gate_unit ELSE unit END AS u, string_agg(cite, '; ' ORDER BY spec_id) AS cite FROM (SELECT *, lower(CASE WHEN unit = '' THEN gate_unit ELSE unit END) AS lu FROM pairs WHERE used) GROUP BY gate_key, value, lu, u) GROUP BY 1, 2, 3) GROUP BY 1),
 facts AS (SELECT gate_key, count(*) FILTER (spec_id IS NOT NULL AND NOT used) AS ignored, bool_or(asked <> '' OR asked_year IS NOT NULL) AS known FROM pairs GROUP BY 1)
-SELECT gate_key, CASE WHEN coalesce(n, 0) = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'CONFLICT' ELSE 'UNVERIFIED' END AS status, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN value END AS value, ignored > 0 AND NOT known AND n IS NULL AS needs_vehicle FROM facts LEFT JOIN one USING (gate_key)""")
-def spec_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT gate_key, CASE WHEN coalesce(n, 0) = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'CONFLICT' ELSE 'UNVERIFIED' END AS status, coalesce(n, 0) AS n_candidates, CASE WHEN n = 1 THEN value END AS value, ignored > 0 AND NOT known AND n IS NULL AS needs_vehicle FROM facts LEFT JOIN one USING (gate_key)"""
+
+
+def _specs_and_gates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     size, supplier = F.col("p_size"), F.col("s_suppkey")
     rows = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("spec_id"), F.col("p_type").alias("spec_key"), F.when(size % 3 == 0, "").otherwise(F.col("p_brand")).alias("make"), F.lit("").alias("model"),
@@ -154,22 +171,64 @@ def spec_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
         supplier.alias("gate_key"), F.element_at(kinds, (supplier % 7 + 1).cast("int")).alias("spec_ref"), F.when(supplier % 2 == 0, "v").otherwise("ohm").alias("unit"),
         F.when(supplier % 3 == 0, "").otherwise(F.concat(F.lit("brand#"), (1 + supplier % 25).cast("string"))).alias("asked_make"), F.lit("").alias("asked_model"), F.when(supplier % 4 != 0, 1995 + supplier % 10).alias("asked_year"),
     )
+    return rows, gates
+
+
+@query(RESOLVED)
+def spec_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, gates = _specs_and_gates(spark, sf_dir)
     found = specs.resolve(gates, rows)
     return found.select("gate_key", "status", "n_candidates", "value", F.endswith("note", F.lit(specs.IGNORED)).alias("needs_vehicle"))
 
 
-@query()
+@query(RESOLVED[: RESOLVED.rindex("SELECT gate_key, CASE")] + """, every AS (SELECT gate_key, value, lower(u) AS lu, min(spec_id) AS first_id FROM (SELECT *, CASE WHEN unit = '' THEN gate_unit ELSE unit END AS u FROM pairs WHERE used) GROUP BY 1, 2, 3),
+places AS (SELECT *, row_number() OVER (PARTITION BY gate_key ORDER BY first_id) - 1 AS place, count(*) OVER (PARTITION BY gate_key) AS n FROM every),
+own AS (SELECT gate_key, n, max(value) FILTER (n = 1) AS alone, max(value) FILTER (place = gate_key % 3) AS picked FROM places GROUP BY 1, 2),
+settled AS (SELECT f.gate_key, coalesce(n, 0) AS n, CASE WHEN n = 1 THEN alone WHEN n > 1 THEN coalesce(picked, CASE WHEN f.gate_key % 2 = 0 THEN 9.5 END) WHEN f.gate_key % 2 = 0 THEN 9.5 END AS value FROM facts f LEFT JOIN own USING (gate_key))
+SELECT gate_key, CASE WHEN value IS NOT NULL THEN 'RESOLVED' WHEN n > 1 THEN 'CONFLICT' ELSE 'UNVERIFIED' END AS status, value FROM settled""")
+def spec_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conflict with a choice that may name no candidate, and for every other gate a spec of the operator's."""
+    rows, gates = _specs_and_gates(spark, sf_dir)
+    key = F.col("gate_key")
+    choices = gates.select("gate_key", (key % 3).alias("choice"))
+    none = F.lit(None).cast("double")
+    operator = gates.filter(key % 2 == 0).select("gate_key", F.lit(9.5).alias("value"), none.alias("vmin"), none.alias("vmax"), "unit", F.lit("operator").alias("cite"))
+    return specs.resolve(gates, rows, choices=choices, operator=operator).select("gate_key", "status", "value")
+
+
+@query(f"{LEDGER} SELECT CAST(session AS VARCHAR) AS session, ord, gate, outcome FROM ledger")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions as a stream of events with keyed state, run until all has arrived: intake first, then readings for the current gate or held for later ones."""
-    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
-    kind = F.when(F.col("event_type") == "signup", "intake").when(F.col("event_type") == "view", "read").otherwise("hold")
-    rows = events.select(
-        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("turn"), kind.alias("kind"), F.upper("event_type").alias("gate"),
-        F.when(F.col("event_type") != "purchase", F.col("value")).alias("num"), F.when(F.col("event_type") == "purchase", F.col("value") > 10).alias("flag"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("state"),
+    """The same sessions as a stream of events with keyed state, run until all has arrived: the commits of its ledger, with the place of the event that led to them."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parquet*")
+    kind = F.col("event_type")
+    rows = events.filter(kind != "signup").select(
+        F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("turn"), F.lit("hold").alias("kind"), F.upper(kind).alias("gate"),
+        F.when(kind != "purchase", F.col("value")).alias("num"), F.when(kind == "purchase", F.col("value") > 10).alias("flag"),
     )
     folder = shared_dir(spark, "stream")
-    append_ledger(session_stream(rows, PACK), f"{folder}/ledger", f"{folder}/state").awaitTermination()
-    return spark.read.schema(OUTPUT).parquet(f"{folder}/ledger")
+    append_ledger(session_stream(rows, PACK, intake=False), f"{folder}/ledger", f"{folder}/state").awaitTermination()
+    ledger = spark.read.schema(OUTPUT).parquet(f"{folder}/ledger").select("session", (F.col("turn") + 1).alias("ord"), F.explode("commits").alias("commit"))
+    return ledger.select("session", "ord", parse_token(F.concat(F.lit("COMMIT: "), "commit")).alias("t")).filter("t.kind = 'GATE'").select("session", "ord", "t.gate", "t.outcome")
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'That step is a yes/no check.' ELSE CASE WHEN event_id % 3 = 1 THEN 'That step needs V, you gave ohm.' WHEN event_id % 4 = 1 THEN 'That step is measured key on, engine off, not running.' END END AS problem
+FROM events WHERE event_type <> 'signup' AND (event_type = 'purchase' OR event_id % 3 = 1 OR event_id % 4 = 1)""")
+def reading_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers with units and states against the gates of their kind: why some cannot belong there."""
+    event = F.col("event_id")
+    readings = table(spark, sf_dir, "events").filter("event_type <> 'signup'").select("event_id", F.upper("event_type").alias("gate"), "value", F.when(event % 3 == 0, "v").when(event % 3 == 1, "ohm").alias("given_unit"), F.when(event % 4 == 0, "KOEO").when(event % 4 == 1, "RUNNING").alias("given_state"))
+    gates = packs.gates_of(pack_rows(spark)).select(F.col("id").alias("gate"), "type", "unit", "condition")
+    problem = reading_problem("type", "unit", "condition", "value", F.lit(None).cast("boolean"), "given_unit", "given_state")
+    return readings.join(sessions.few(gates), "gate").select("event_id", problem.alias("problem")).filter("problem is not null")
+
+
+@query("""WITH told AS (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'window' ELSE 'threshold' END AS kind, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN kind = 'threshold' THEN v[1] END AS value, CASE WHEN kind = 'window' THEN v[1] END AS vmin, CASE WHEN kind = 'window' THEN v[2] END AS vmax FROM told WHERE (kind = 'window' AND len(v) = 2) OR (kind = 'threshold' AND len(v) = 1)""")
+def captured_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's quantities as an operator's numbers: two make a window, one a threshold, other counts nothing."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("double")).alias("v"))  # an order's few lines
+    spec = captured_spec(F.when(F.col("l_orderkey") % 2 == 0, "window").otherwise("threshold"), "v")
+    return rows.select("l_orderkey", spec.alias("s")).filter("s is not null").select("l_orderkey", "s.*")
 
 
 @query("""WITH readings AS (SELECT event_id AS reading, user_id, CASE event_id % 3 WHEN 0 THEN 'V' WHEN 1 THEN 'ohm' END AS unit, CASE event_id % 4 WHEN 0 THEN 'KOEO' WHEN 1 THEN 'RUNNING' END AS state, CASE WHEN event_id % 2 = 0 THEN ['view', 'value'] ELSE [event_type, 'it'] END AS words, upper(event_type) AS current FROM events),
@@ -184,15 +243,16 @@ def reading_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
         event.alias("reading"), F.when(event % 3 == 0, "V").when(event % 3 == 1, "ohm").alias("unit"), F.when(event % 4 == 0, "KOEO").when(event % 4 == 1, "RUNNING").alias("state"),
         F.when(event % 2 == 0, F.array(F.lit("view"), F.lit("value"))).otherwise(F.array(kind, F.lit("it"))).alias("words"), F.upper(kind).alias("current"),
     )
-    gates = packs.gates_of(pack_rows(spark).filter("id = 'events_pack'")).select(F.col("id").alias("gate"), "type", F.col("unit").alias("gate_unit"), "condition", F.split("quantity", " ").alias("quantity_words"))
+    gates = packs.gates_of(pack_rows(spark)).select(F.col("id").alias("gate"), "type", F.col("unit").alias("gate_unit"), "condition", F.split("quantity", " ").alias("quantity_words"))
     return merge.best_unless_tied(sessions.score_readings(readings, gates), ["reading"], "score", "gate", "current").select("reading", "gate", "score")
 
 
-@query("""WITH status AS (SELECT s_suppkey % 6 AS pack, s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'UNVERIFIED' ELSE 'CONFLICT' END AS status, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS ref FROM supplier)
+@query(f"""WITH found AS ({RESOLVED}), status AS (SELECT gate_key % 6 AS pack, gate_key, status, spec_ref FROM found JOIN (SELECT s_suppkey AS gate_key, CASE WHEN s_suppkey % 4 > 0 THEN s_name END AS spec_ref FROM supplier) USING (gate_key))
 SELECT CAST(pack AS VARCHAR) AS pack, count(*) AS numeric_gates, count(*) FILTER (status = 'RESOLVED') AS resolved, count(*) FILTER (status = 'UNVERIFIED') AS unverified, count(*) FILTER (status = 'CONFLICT') AS conflict,
-coalesce(string_agg('G' || CAST(s_suppkey AS VARCHAR) || ' (' || coalesce(ref, 'no spec_ref') || ')', '|' ORDER BY s_suppkey) FILTER (status <> 'RESOLVED'), '') AS needs FROM status GROUP BY 1""")
+coalesce(string_agg('G' || CAST(gate_key AS VARCHAR) || ' (' || coalesce(spec_ref, 'no spec_ref') || ')', '|' ORDER BY gate_key) FILTER (status <> 'RESOLVED'), '') AS needs FROM status GROUP BY 1""")
 def unverified_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs of suppliers as gates, with the statuses that their specs resolve to."""
+    rows, asked = _specs_and_gates(spark, sf_dir)
     key = F.col("s_suppkey")
     gates = table(spark, sf_dir, "supplier").select((key % 6).cast("string").alias("pack"), key.alias("gate_key"), key.alias("ord"), F.concat(F.lit("G"), key.cast("string")).alias("gate_id"), F.when(key % 4 > 0, F.col("s_name")).alias("spec_ref"))
-    resolved = gates.select("gate_key", F.when(F.col("gate_key") % 3 == 0, "RESOLVED").when(F.col("gate_key") % 3 == 1, "UNVERIFIED").otherwise("CONFLICT").alias("status"))
-    return specs.unverified_report(gates, resolved).withColumn("needs", F.array_join("needs", "|"))
+    return specs.unverified_report(gates, specs.resolve(asked, rows)).withColumn("needs", F.array_join("needs", "|"))

@@ -102,15 +102,36 @@ def answer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", extraction.answers("text").alias("a"), extraction.find_state("text").alias("state")).select("conv_id", "turn", "a.yes", "a.approximate", "a.question", "state")
 
 
-@query()
+#: What a mechanic might write, by a part's size modulo nine; {n} is the size.
+MESSAGES = [
+    "It reads {n} volts when cranking", "the pump hums for {n} minutes after the start and then it simply stops again", "{n} kohms with the plug out, connector off; supply 5.02 V at key on",
+    "we have had this car in the shop since 2004 and now the meter was showing {n}", "P0{n}3 stored. U01{n}0 too", "a {n}i with the big engine, got about {n}.5", "{n}", "pressure at idle {n}.25 kPa. 3 mA leak, 12 Hz", "between the two connectors there are some {n} old wires, which we did not count",
+]
+
+
+@query("""WITH own AS (SELECT p_partkey AS part, CAST(p_size AS DOUBLE) AS n, p_size % 9 AS kind FROM part),
+found(kind, ord, plus, fixed, unit, state) AS (VALUES (0, 0, 0.0, NULL, 'V', 'CRANKING'), (2, 0, 0.0, NULL, 'kohm', NULL), (2, 1, NULL, 5.02, 'V', 'KOEO'), (3, 0, 0.0, NULL, NULL, NULL), (5, 0, 0.5, NULL, NULL, NULL), (6, 0, 0.0, NULL, NULL, NULL),
+(7, 0, 0.25, NULL, 'kPa', 'RUNNING'), (7, 1, NULL, 3.0, 'mA', NULL), (7, 2, NULL, 12.0, 'Hz', NULL))
+SELECT part, ord, coalesce(fixed, n + plus) AS value, unit, state FROM own JOIN found USING (kind)""")
 def text_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(extraction.readings("text")).alias("ord", "r"))
-    return rows.select("doc_id", "ord", "r.value", "r.unit", "r.state")
+    """A message for each part: readings with unit and state, among durations, counts, years, codes and badges that are none."""
+    size = F.col("p_size")
+    text = F.replace(F.element_at(F.array(*map(F.lit, MESSAGES)), (size % 9 + 1).cast("int")), F.lit("{n}"), size.cast("string"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.posexplode(extraction.readings(text)).alias("ord", "r"))
+    return rows.select("part", "ord", "r.value", "r.unit", "r.state")
 
 
-@query()
+@query("""WITH own AS (SELECT p_partkey AS part, p_name AS name, 1990 + p_size % 40 AS year, p_size % 6 AS kind, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)
+SELECT part, CASE kind WHEN 2 THEN a ELSE 'Acme' END AS make, CASE kind WHEN 0 THEN name WHEN 1 THEN a WHEN 2 THEN b || ' Acme' ELSE name END AS model, CAST(year AS INTEGER) AS year FROM own WHERE kind < 4""")
 def text_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", extraction.subject("text").alias("s")).filter("s.make is not null").select("doc_id", "s.*")
+    """Vehicles named behind or before a year; none without one or where it has a unit."""
+    year, name = (1990 + F.col("p_size") % 40).cast("string"), F.col("p_name")
+    kinds = [
+        F.concat(F.lit("my "), year, F.lit(" Acme "), name, F.lit(" with a miss")), F.concat(year, F.lit(" Acme "), F.substring_index(name, " ", 1), F.lit(" keeps stalling")), F.concat(F.lit("The "), name, F.lit(" Acme, "), year, F.lit(", and it dies")),
+        F.concat(F.lit("customer came in with a: "), year, F.lit("/Acme/"), name, F.lit("/x")), F.concat(year, F.lit(" ohms on the "), name), F.concat(F.lit("an Acme "), name),
+    ]
+    text = F.get(F.array(*kinds), (F.col("p_size") % 6).cast("int"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), extraction.subject(text).alias("s")).filter("s.make is not null").select("part", "s.*")
 
 
 @query("""WITH own AS (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents),

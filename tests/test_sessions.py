@@ -1,11 +1,16 @@
 import uuid
 
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.functions import gates
 from quarry.plans.gates import PACK, gate
-from quarry.streaming.sessions import OUTPUT, Walk, append_ledger, session_stream
+from quarry.streaming.sessions import OUTPUT, Session, append_ledger, session_stream
 
 
-def event(turn, kind, gate=None, num=None, flag=None, unit=None, state=None):
-    return {"turn": turn, "kind": kind, "gate": gate, "num": num, "flag": flag, "unit": unit, "state": state}
+def event(turn, kind, gate=None, **more):
+    return {"turn": turn, "kind": kind, "gate": gate} | more
 
 
 RISKY = {
@@ -19,38 +24,104 @@ RISKY = {
 
 
 def test_protocol():
-    w = Walk(RISKY)
+    w = Session(RISKY)
     assert w.status() == "INTAKE"
-    w.handle(event(0, "intake"))
-    assert w.handle(event(1, "read", num=1.0)) == ([], "wrong kind of reading")
-    assert w.handle(event(2, "hold", "BATT", num=12.6, unit="v")) == (["DEV-BRANCH-PENDING-BATT"], None)
-    assert w.handle(event(3, "read", flag=False)) == (["DEV-BRANCH-GATE-CODES-NO"], None)
+    assert w.handle(event(0, "read", flag=True)) == ([], "not ready for a reading")
+    w.handle(event(1, "intake"))
+    assert w.handle(event(2, "read", num=1.0)) == ([], "wrong kind of reading")
+    assert w.handle(event(3, "hold", "BATT", num=12.6, unit="v")) == (["DEV-BRANCH-PENDING-BATT"], None)
+    assert w.handle(event(4, "read", flag=False)) == (["DEV-BRANCH-GATE-CODES-NO"], None)
     assert w.status() == "NEED_DTCS"
-    assert w.handle(event(4, "codes_captured")) == ([], None) and w.status() == "NEED_ACK"
-    assert w.handle(event(4, "ack")) == ([], "late turn")
-    assert w.handle(event(5, "ack")) == (["DEV-BRANCH-RISK-ACK-BATT", "DEV-BRANCH-GATE-BATT-PASS"], None)
-    assert w.handle(event(6, "read", num=3.0, unit="V")) == ([], None) and w.status() == "NEED_SPEC"
-    assert w.handle(event(7, "spec", num=1.0, unit="2.0")) == (["DEV-BRANCH-GATE-WIRE-HIGH", "DEV-BRANCH-TERMINAL-OK"], None)
+    assert w.handle(event(5, "codes", text="p0101 P0101 u0100")) == ([], None) and w.facts["codes"] == ["P0101", "U0100"] and w.status() == "NEED_DTCS"
+    assert w.handle(event(6, "codes_captured")) == ([], None) and w.status() == "NEED_ACK"
+    assert w.handle(event(6, "ack")) == ([], "late turn")
+    assert w.handle(event(7, "ack")) == (["DEV-BRANCH-RISK-ACK-BATT", "DEV-BRANCH-GATE-BATT-PASS"], None)
+    assert w.handle(event(8, "hold", "BATT", num=1.0)) == ([], "nothing to hold that for")
+    assert w.handle(event(9, "read", num=3.0, unit="ohm")) == ([], "wrong unit") and w.handle(event(10, "read", num=3.0, state="RUNNING")) == ([], "wrong condition")
+    assert w.handle(event(11, "read", num=3.0, unit="V")) == ([], None) and w.status() == "NEED_SPEC"
+    assert w.handle(event(12, "spec", low=1.0)) == ([], "that is no limit for this gate") and w.handle(event(13, "spec")) == ([], "that is no limit for this gate")
+    assert w.handle(event(14, "spec", low=1.0, high=2.0)) == (["DEV-BRANCH-GATE-WIRE-HIGH", "DEV-BRANCH-TERMINAL-OK"], None)
     assert w.status() == "TERMINAL"
+    for kind in ("read", "spec", "choose", "ack", "hold", "nonsense", None):
+        assert w.handle(event(w.facts["turn"] + 1, kind, num=1.0))[0] == []
+
+
+def test_a_capturing_yes_notes_the_codes():
+    w = Session(RISKY, intake=False)
+    assert w.handle(event(0, "read", flag=True)) == (["DEV-BRANCH-GATE-CODES-YES"], None) and w.status() == "NEED_ACK"
+
+
+CONFLICT = {
+    "id": "c", "start": "A", "terminals": {"OK": ""},
+    "gates": [gate("A", "threshold", {"PASS": "B", "FAIL": "TERMINAL-OK"}, "<=", candidates=[{"value": 5.0}, {"value": 9.0}]), gate("B", "threshold", {"PASS": "TERMINAL-OK", "FAIL": "TERMINAL-OK"}, ">", candidates=[{"value": 1.0}, {"value": 2.0}])],
+}
+
+
+def test_conflicting_specs_wait_for_a_choice_or_the_operators_own():
+    w = Session(CONFLICT, intake=False)
+    assert w.handle(event(0, "read", num=7.0)) == ([], None) and w.status() == "NEED_CHOICE"
+    assert w.handle(event(1, "choose", num=2.0)) == ([], "no such choice") and w.handle(event(2, "choose")) == ([], "no such choice") and w.handle(event(3, "choose", num=0.5)) == ([], "no such choice")
+    assert w.handle(event(4, "choose", num=1.0)) == (["DEV-BRANCH-GATE-A-PASS"], None)
+    w.handle(event(5, "read", num=1.5))
+    assert w.status() == "NEED_CHOICE" and w.handle(event(6, "spec", num=1.6)) == (["DEV-BRANCH-GATE-B-FAIL", "DEV-BRANCH-TERMINAL-OK"], None)
+
+
+def test_a_proposal_counts_only_with_a_yes_right_behind_it():
+    w = Session(PACK, intake=False)
+    assert w.handle(event(0, "yes")) == ([], "nothing to confirm")
+    assert w.handle(event(1, "propose", num=9.0, unit="V")) == ([], None) and w.status() == "NEED_READING"
+    assert w.handle(event(2, "codes", text="P0001")) == ([], None) and w.handle(event(3, "yes")) == ([], "nothing to confirm")
+    assert w.handle(event(4, "propose", num=9.0, unit="ohm")) == ([], "wrong unit") and w.handle(event(5, "yes")) == ([], "nothing to confirm")
+    w.handle(event(6, "propose", num=9.0))
+    assert w.handle(event(7, "yes")) == (["DEV-BRANCH-GATE-VIEW-PASS"], None)
+    w.handle(event(8, "propose", "PURCHASE", flag=True))
+    assert w.handle(event(9, "yes")) == (["DEV-BRANCH-PENDING-PURCHASE"], None) and w.handle(event(10, "yes")) == ([], "nothing to confirm")
+    assert w.handle(event(11, "read", num=20.0))[0] == ["DEV-BRANCH-GATE-CLICK-PASS", "DEV-BRANCH-GATE-PURCHASE-YES", "DEV-BRANCH-TERMINAL-DONE"]
+
+
+def test_bands_and_columns_agree(spark):
+    """The keyed state's rule and the column expression, at, between and beyond the limits, with and without them."""
+    numbers = [-1.0, 0.0, 1.0, 1.5, 2.0, 3.0]
+    specs = [(v, a, b) for v in (None, 1.0) for a in (None, 1.0) for b in (None, 2.0)]
+    rows = [("window", None, n, *s) for n in numbers for s in specs] + [("threshold", op, n, *s) for op in gates.OPS for n in numbers for s in specs]
+    df = spark.createDataFrame(rows, "kind string, op string, num double, value double, vmin double, vmax double")
+    got = df.select("*", gates.evaluate("kind", "op", "num", F.lit(None).cast("boolean"), "value", "vmin", "vmax").alias("o")).collect()
+    for r in got:
+        assert r.o == gates.band(r.kind, r.op, {"value": r.value, "min": r.vmin, "max": r.vmax}, r.num), r
+
+
+SCHEMA = "session string, turn long, kind string, gate string, num double, flag boolean, unit string, state string"
 
 
 def test_stream_in_two_runs_equals_one_walk(spark, tmp_path):
-    schema = "session string, turn long, kind string, gate string, num double, flag boolean, unit string, state string"
-    script = [("intake", None, None, None), ("read", "VIEW", 9.0, None), ("hold", "PURCHASE", None, True), ("read", "CLICK", 20.0, None)]
-    rows = [(s, t, k, g, n, f, None, None) for s in ("a", "b") for t, (k, g, n, f) in enumerate(script)]
+    """The first half of the turns, a restart from the stored state, then the second half: the same ledger as one walk, row by row."""
+    script = [("intake", None, None, None), ("read", "VIEW", 9.0, None), ("hold", "PURCHASE", None, True), ("spec", None, None, None), ("nonsense", None, None, None), ("read", "CLICK", 20.0, None)]
+    rows = [(s, t, k, g, n, f, None, None) for s in ("a", "b", None) for t, (k, g, n, f) in enumerate(script)]
     folder = f"file://{tmp_path}/{uuid.uuid4().hex}"
-    for half in (rows[::2], rows[1::2]):
-        spark.createDataFrame(sorted(half, key=lambda r: r[1]), schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        append_ledger(session_stream(stream, PACK), f"{folder}/out", f"{folder}/state").awaitTermination()
-    got = spark.read.schema(OUTPUT).parquet(f"{folder}/out").collect()
-    assert len(got) == len(rows)
-    assert {r.problem for r in got if r.turn in (1, 3)} <= {None, "late turn"}
-    ordered = spark.createDataFrame(rows, schema)
-    ordered.write.parquet(f"{folder}/whole")
-    append_ledger(session_stream(spark.readStream.schema(schema).parquet(f"{folder}/whole"), PACK), f"{folder}/out2", f"{folder}/state2").awaitTermination()
-    commits = [c for r in spark.read.schema(OUTPUT).parquet(f"{folder}/out2").filter("session = 'a'").orderBy("turn").collect() for c in r.commits]
-    walk, want = Walk(PACK), []
-    for t, (k, g, n, f) in enumerate(script):
-        want += walk.handle(event(t, k, g, n, f))[0]
-    assert commits == want and commits[-1] == "DEV-BRANCH-TERMINAL-DONE"
+    for low, high in ((0, 3), (3, 6)):
+        spark.createDataFrame([r for r in rows if low <= r[1] < high], SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        append_ledger(session_stream(spark.readStream.schema(SCHEMA).parquet(f"{folder}/in"), PACK), f"{folder}/out", f"{folder}/state").awaitTermination()
+    got = {(r.session, r.turn): (r.commits, r.problem, r.status, r.gate) for r in spark.read.schema(OUTPUT).parquet(f"{folder}/out").collect()}
+    want = {}
+    for s in ("a", "b", None):
+        walk = Session(PACK)
+        for t, (k, g, n, f) in enumerate(script):
+            commits, wrong = walk.handle(event(t, k, g, num=n, flag=f))
+            want[s, t] = (commits, wrong, walk.status(), walk.facts["at"])
+    assert got == want and want["a", 5][0][-1] == "DEV-BRANCH-TERMINAL-DONE" and want["a", 3][1] and want["a", 4][1] == "unknown kind of event"
+
+
+@pytest.mark.parametrize("kind, values, expected", [("window", [3.0, 1.0], (None, 1.0, 3.0)), ("threshold", [2.0], (2.0, None, None)), ("window", [1.0], None), ("threshold", [1.0, 2.0], None), ("boolean", [1.0], None), ("window", [], None)])
+def test_captured_spec(spark, kind, values, expected):
+    got = spark.createDataFrame([(kind, values)], "k string, v array<double>").select(gates.captured_spec("k", "v").alias("s")).first()["s"]
+    assert got == expected if expected is None else tuple(got) == expected
+
+
+def test_unsound_ledgers_are_seen(spark):
+    from quarry.plans import registry
+
+    folder = "/root/testdata/sf0.01"
+    got = {r.sound for r in registry.QUERIES["ledger_replay"](spark, folder).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+    assert got == {True, False} == {r[0] for r in con.sql(f"SELECT DISTINCT sound FROM ({registry.ORACLE_SQL['ledger_replay']})").fetchall()}

@@ -110,8 +110,15 @@ def test_bm25_equals_an_fts_index(spark):
 
 
 def test_windows_overlap():
-    pieces = retrieval.windows("word " * 600)
-    assert len(pieces) > 3 and all(len(p) <= 800 for p in pieces) and retrieval.windows(" a \n b ") == ["a b"] and retrieval.windows("  ") == []
+    """Several texts at once: windows never reach into the next text, overlap, end at spaces, and hold every word."""
+    texts = ["word " * 600, " a \n b ", "  ", "x" * 2000, " ".join(f"w{i}" for i in range(900)), "é " * 401]
+    found = retrieval.windows(texts)
+    assert found[1] == ["a b"] and found[2] == [] and found[3] == ["x" * 800, "x" * 800, "x" * 600]
+    assert len(found[0]) > 3 and all(len(p) <= 800 for own in found for p in own)
+    for text, own in zip(texts, found):
+        assert set(text.split()) <= {w for p in own for w in p.split()} or "x" * 2000 in text
+        assert all(b[:50] in a or len(b) < 50 for a, b in zip(own, own[1:]))
+    assert all(found[i] == retrieval.windows([t])[0] for i, t in enumerate(texts)) and retrieval.windows([]) == []
 
 
 def test_merges(spark):
