@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_of, worker_state
+from .common import texts_of, worker_state, written
 
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_DOCS, SAMPLE_CHARS = 96, 320
@@ -51,6 +51,8 @@ STRETCH, WARM = 512, 32
 #: Symbols that go through the automata at once.
 GROUP_CHARS = 1 << 21
 REJECT, SLACK, PRIOR, FLOOR = 1.85, 1.1, 16, 3.5
+#: More labels than these are joined by a shuffle.
+MANY_LABELS = 20_000
 PIECES = (8, 16, 32, 64, 128, 256)
 UNDETERMINED = "und"
 _OWN = np.int16(32_767)
@@ -289,7 +291,9 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame) -> Model:
     """Learn from a bounded sample: counts of labels first, then rows below a hash limit for each label."""
     known = docs.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").count()
+    counts = written(known.groupBy("lang").count(), "labels")
+    if counts.count() <= MANY_LABELS:  # a row of a few bytes each
+        counts = F.broadcast(counts)
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)
     rows = known.join(counts, "lang").filter(share < 6.0 * SAMPLE_DOCS / F.col("count"))
     begin = F.pmod(F.xxhash64("doc_id", F.lit("place")), F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1)
