@@ -102,3 +102,9 @@ def apply_overlay(vehicles: DataFrame, clusters: DataFrame, membership: DataFram
         kept.unionByName(known),
         membership.filter(F.col("confidence") != tier).unionByName(edges.select("vehicle_id", "cluster_id", "scope", "confidence", "note")),
     )
+
+
+def apply_curated(membership: DataFrame, curated: DataFrame) -> tuple[DataFrame, int]:
+    """Membership with its curated tier replaced by curated (vehicle_id, cluster_id, scope, note), each edge once, and how many edges that tier now has."""
+    new = curated.dropDuplicates(["vehicle_id", "cluster_id", "scope"]).withColumn("confidence", F.lit("curated")).select(*membership.columns)
+    return membership.filter(~F.coalesce(F.col("confidence") == "curated", F.lit(False))).unionByName(new), new.count()

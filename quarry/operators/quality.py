@@ -71,10 +71,31 @@ def verdict_report(log: DataFrame) -> DataFrame:
     return log.groupBy("method", "cluster_id", "result").agg(F.count("*").alias("n")).orderBy("method", "cluster_id", "result")
 
 
+TUPLE = ["make", "model", "styles", "year_start", "year_end", "cluster_id"]
+
+
 def validate(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame, log: DataFrame, date: Column) -> tuple[DataFrame, DataFrame]:
-    """Membership and verdict log after a check of all structural clusters; earlier flags are replaced."""
+    """Membership and verdict log after a check of all structural clusters; earlier flags are replaced. Members that occur twice are refused."""
+    twice = duplicate_tuples(membership, vehicles, TUPLE).count()
+    if twice:
+        raise ValueError(f"{twice} combinations of vehicle and cluster occur more than once")
     structural = clusters.filter("type = 'structural'").select("cluster_id")
     members = membership.join(structural, "cluster_id", "left_semi").join(vehicles, membership["vehicle_id"] == vehicles["id"])
     flags = flagged(consistency(members))
     old = (F.col("method") == METHOD) & (F.col("result") == "flag")
     return apply_flags(membership, flags, log.filter(old)), log.filter(~old).unionByName(verdicts(flags, date), allowMissingColumns=True)
+
+
+def summary(clusters: DataFrame, membership: DataFrame, log: DataFrame) -> DataFrame:
+    """One row of a validation's result: structural_clusters, flagged_clusters, verdict_rows."""
+    flags = log.filter((F.col("method") == METHOD) & (F.col("result") == "flag"))
+    counts = flags.agg(F.count_distinct("cluster_id").alias("flagged_clusters"), F.count("*").alias("verdict_rows"))
+    total = clusters.agg(F.count_if(F.col("type") == "structural").alias("structural_clusters"))
+    return total.join(F.broadcast(counts)).select("structural_clusters", "flagged_clusters", "verdict_rows")
+
+
+def parse_gate(counts: DataFrame, most_skipped: float = 0.01, least_unique: int = 1800) -> DataFrame:
+    """counts (raw, skipped, unique) with skipped_ratio and why a parse must not go on; null if it may."""
+    ratio = F.col("skipped") / F.greatest(F.col("raw"), F.lit(1))
+    problem = F.when(ratio > most_skipped, "too many rows skipped").when(F.col("unique") < least_unique, "too few vehicles")
+    return counts.withColumns({"skipped_ratio": ratio, "problem": problem})

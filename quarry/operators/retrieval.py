@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quarry.functions.stemming import fold_and_stem
 from quarry.functions.text import col
 
+from .shared import written
+
 SIZE, OVERLAP, REACH = 800, 100, 120
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Words that a query does without.
@@ -79,31 +81,37 @@ def query_terms(query: Column | str) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
 
 
-def postings(rows: DataFrame, key: str, text: Column | str, stem: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(term, key, tf) and (key, length). With stem, each distinct term is folded and stemmed once and joined back."""
-    words = rows.select(key, F.explode(terms(text)).alias("term"))
-    if stem:
-        vocabulary = words.select("term").distinct().withColumn("stem", fold_and_stem("term"))
-        words = words.join(vocabulary, "term").select(key, F.col("stem").alias("term"))
-    index = words.groupBy("term", key).agg(F.count("*").alias("tf"))
-    return index, index.groupBy(key).agg(F.sum("tf").alias("length"))
+#: As many asked forms of words are sent to every task; more are joined by Spark's own choice.
+FEW_FORMS = 200_000
 
 
-def bm25(queries: DataFrame, rows: DataFrame, key: str, text: Column | str, k: int | None = 4, stem: bool = False) -> DataFrame:
+def bm25(queries: DataFrame, rows: DataFrame, key: str, text: Column | str | list[str], k: int | None = 4, stem: bool = False) -> DataFrame:
     """query_id, key, score and place of the k best rows for each query (all matches with k None); lower scores are better.
 
-    Only postings of the queries' terms take part in what follows the index. Query terms are distinct
-    before stemming, so two forms of one word count twice.
+    text may be several columns, such as a text and its section, which count as one. A row's length is told
+    from its own terms; only terms that are asked for become postings and are moved. With stem, each
+    distinct term of the rows is folded and stemmed once, and those of an asked stem are looked for. Query
+    terms are distinct before stemming, so two forms of one word count twice.
     """
-    index, lengths = postings(rows, key, text, stem)
+    text = F.concat_ws(" ", *text) if isinstance(text, list) else text
+    own = rows.select(key, terms(F.coalesce(col(text), F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
+    words = own.select(key, "length", F.explode("terms").alias("form"))
     asked = queries.select("query_id", F.explode(query_terms("query")).alias("term"))
     if stem:
         asked = asked.select("query_id", fold_and_stem("term").alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    total = lengths.agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))  # one row
-    hits = index.join(asked.select("term").distinct(), "term", "left_semi")
+    asked = written(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    wanted = asked.select("term").distinct()
+    if stem:
+        forms = words.select("form").distinct().withColumn("term", fold_and_stem("form")).join(wanted, "term", "left_semi")
+    else:
+        forms = wanted.select("term", F.col("term").alias("form"))
+    forms = written(forms, "forms")
+    if forms.count() <= FEW_FORMS:
+        forms = F.broadcast(forms)
+    hits = written(words.join(forms, "form").groupBy("term", key).agg(F.count("*").alias("tf"), F.max("length").alias("length")), "postings")
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(frequency, "term").join(asked, "term").join(lengths, key).join(F.broadcast(total))
+    total = own.agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))  # one row
+    scored = hits.join(frequency, "term").join(asked, "term").join(F.broadcast(total))
     idf = F.ln((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))

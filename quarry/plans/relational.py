@@ -174,6 +174,25 @@ def seed_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.groupBy("reasons").agg(F.count("*").alias("n")).join(F.broadcast(totals)).select("clusters", "vehicles", "reasons", "n")
 
 
+@query("""WITH own AS (SELECT p_brand AS make, count(*) AS raw, count(*) FILTER (p_size % 50 = 0) AS skipped, count(DISTINCT p_name || p_type) AS n FROM part GROUP BY 1)
+SELECT make, raw, skipped, n AS "unique", round(skipped / raw, 6) AS skipped_ratio, CASE WHEN skipped / raw > 0.03 THEN 'too many rows skipped' WHEN n < 20 THEN 'too few vehicles' END AS problem FROM own""")
+def parse_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand as a parsed source: its share of skipped rows and its number of vehicles against limits."""
+    counts = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("make")).agg(F.count("*").alias("raw"), F.count_if(F.col("p_size") % 50 == 0).alias("skipped"), F.count_distinct(F.concat("p_name", "p_type")).alias("unique"))
+    return quality.parse_gate(counts, 0.03, 20).withColumn("skipped_ratio", F.round("skipped_ratio", 6))
+
+
+@query(f"""WITH {ALL}, curated AS (SELECT id AS vehicle_id, CAST(1 + id % 7 AS VARCHAR) AS cluster_id, 'platform' AS scope, 'curated' AS confidence, make AS note FROM vehicles WHERE id % 3 = 0)
+SELECT vehicle_id, cluster_id, scope, confidence, note FROM membership WHERE confidence <> 'curated' UNION ALL SELECT * FROM curated""")
+def curated_tier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curated tier of edges, laid over the others twice with the same result."""
+    key = F.col("id")
+    new = vehicles(spark, sf_dir).filter(key % 3 == 0).select(key.alias("vehicle_id"), (1 + key % 7).cast("string").alias("cluster_id"), F.lit("platform").alias("scope"), F.col("make").alias("note"))
+    edges = membership(spark, sf_dir).select("vehicle_id", "cluster_id", "scope", "confidence", "note")
+    once, _ = pool.apply_curated(edges, new)
+    return pool.apply_curated(once, new)[0]
+
+
 @query(f"WITH {ALL} SELECT id, make, model, year_start, year_end, cluster_id, type, scope, confidence, note, label FROM membership JOIN clusters USING (cluster_id) JOIN vehicles ON id = vehicle_id")
 def export_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flat_rows(vehicles(spark, sf_dir), clusters(spark, sf_dir), membership(spark, sf_dir))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import audit, extraction
 from quarry.operators import packs, retrieval
 from quarry.sources import layout
-from quarry.sources.documents import sections
+from quarry.sources.documents import ingest, no_knowledge, sections, with_reasons
 from quarry.sources.sinks import vin_fields
 
 from .entities import table
@@ -54,28 +54,88 @@ QUESTIONS = "SELECT item_id AS query_id, text AS query FROM benchmark"
 BM25 = f"""WITH asked AS (SELECT DISTINCT query_id, lower(t) AS term FROM (SELECT query_id, unnest(regexp_extract_all(query, '[A-Za-z0-9]{{2,}}')) AS t FROM ({QUESTIONS})) WHERE lower(t) NOT IN ({", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)})),
 words AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS term FROM documents),
 post AS (SELECT term, doc_id, count(*) AS tf FROM words GROUP BY 1, 2),
-lengths AS (SELECT doc_id, sum(tf) AS length FROM post GROUP BY 1),
+lengths AS (SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS length FROM documents),
 total AS (SELECT count(*) AS n_rows, avg(length) AS mean_length FROM lengths),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
 scores AS (SELECT query_id, doc_id, -sum(CASE WHEN ln((n_rows - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score
   FROM asked JOIN post USING (term) JOIN df USING (term) JOIN lengths USING (doc_id) CROSS JOIN total GROUP BY 1, 2)
-SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS place FROM scores) WHERE place <= 4"""
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), doc_id) AS place FROM scores) WHERE place <= {{k}}"""
 
 
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query(BM25)
+@query(BM25.replace("{k}", "4"))
 def bm25_unstemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.bm25(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
 
 
-@query()
+@query(f"""WITH found AS ({BM25.replace("{k}", "12")}), marked AS (SELECT f.*, doc_id % 5 = query_id % 5 AS mentions FROM found f)
+SELECT query_id, doc_id, CAST(place AS INTEGER) AS place FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY mentions DESC, place) AS place FROM marked) WHERE place <= 4""")
+def bm25_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three times as many candidates, those that are marked first, cut to four."""
+    docs = table(spark, sf_dir, "documents")
+    found = retrieval.bm25(_questions(spark, sf_dir), docs, "doc_id", "text", k=12).drop("place")
+    return retrieval.rerank(found, docs.select("doc_id"), "doc_id", F.col("doc_id") % 5 == F.col("query_id") % 5, 4).select("query_id", "doc_id", "place")
+
+
+#: A small vocabulary, form and Porter stem, to print sections of. The stems are fixed values.
+STEMS = {
+    "crank": "crank", "cranks": "crank", "cranking": "crank", "cranked": "crank", "battery": "batteri", "batteries": "batteri", "voltage": "voltag", "voltages": "voltag", "relational": "relat", "relate": "relat",
+    "sensor": "sensor", "sensors": "sensor", "hopping": "hop", "hopefulness": "hope", "hope": "hope", "ground": "ground", "grounded": "ground", "fuses": "fuse", "fuse": "fuse", "running": "run", "runs": "run", "dry": "dry", "dries": "dri",
+}
+ASKED = ["cranking batteries", "the voltages of a sensor", "hoping to relate grounds", "fused running crank cranked", "dry"]
+_asked_stems = {"hoping": "hope", "grounds": "ground", "fused": "fuse"}
+
+
+@query(f"""WITH stems(form, stem) AS (VALUES {", ".join(f"('{a}', '{b}')" for a, b in (STEMS | _asked_stems).items())}),
+forms AS (SELECT list(form ORDER BY n) AS f FROM (VALUES {", ".join(f"('{a}', {i})" for i, a in enumerate(STEMS))}) t(form, n)),
+asked AS (SELECT query_id, stem AS term, count(*) AS times FROM (SELECT query_id, unnest(string_split(q, ' ')) AS form FROM (VALUES {", ".join(f"({i}, '{q}')" for i, q in enumerate(ASKED))}) q(query_id, q)) JOIN stems USING (form) GROUP BY 1, 2),
+rows AS (SELECT p_partkey AS part, f[1 + p_partkey % 23] || ' ' || f[1 + p_size % 23] || ' ' || f[1 + (p_partkey * 7 + p_size) % 23] || ' ' || repeat(f[1 + p_size % 5] || ' ', CAST(p_size % 4 AS BIGINT)) AS text, f[1 + p_partkey % 11] AS section FROM part, forms),
+words AS (SELECT part, form, stem FROM (SELECT part, unnest(string_split(trim(text) || ' ' || section, ' ')) AS form FROM rows) JOIN stems USING (form)),
+lengths AS (SELECT part, count(*) AS length FROM words GROUP BY 1), total AS (SELECT count(*) AS n_rows, avg(length) AS mean_length FROM lengths),
+post AS (SELECT stem AS term, part, count(*) AS tf FROM words GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+scores AS (SELECT query_id, part, -sum(times * CASE WHEN ln((n_rows - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n_rows - df + 0.5) / (df + 0.5)) END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean_length))) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN lengths USING (part) CROSS JOIN total GROUP BY 1, 2)
+SELECT CAST(query_id AS BIGINT) AS query_id, part, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), part) AS place FROM scores) WHERE place <= 4""")
 def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.bm25(_questions(spark, sf_dir), table(spark, sf_dir, "documents"), "doc_id", "text", stem=True)
-    return found.select("query_id", "doc_id", F.round("score", 6).alias("score"), "place")
+    """Retrieval by stems over text and section, on sections printed from a vocabulary whose stems are known."""
+    part, size, forms = F.col("p_partkey"), F.col("p_size"), F.array(*map(F.lit, STEMS))
+    form = lambda x: F.get(forms, x.cast("int"))
+    text = F.concat_ws(" ", form(part % 23), form(size % 23), form((part * 7 + size) % 23), F.repeat(F.concat(form(size % 5), F.lit(" ")), (size % 4).cast("int")))
+    rows = table(spark, sf_dir, "part").select(part.alias("part"), text.alias("text"), form(part % 11).alias("section"))
+    questions = spark.createDataFrame(list(enumerate(ASKED)), "query_id long, query string")
+    found = retrieval.bm25(questions, rows, "part", ["text", "section"], stem=True)
+    return found.select("query_id", "part", F.round("score", 6).alias("score"), "place")
+
+
+@query("""WITH RECURSIVE files AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' WHEN 2 THEN '.csv' WHEN 3 THEN '.png' WHEN 4 THEN '' WHEN 5 THEN '.pdf' ELSE '.TXT' END AS suffix, coalesce(text, '') AS text, doc_id % 11 = 0 AS known FROM documents),
+plain AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM files WHERE lower(suffix) IN ('.md', '.txt', '.pdf') AND NOT known),
+cuts AS (SELECT doc_id, t, 0 AS a, CASE WHEN length(t) <= 800 THEN length(t) WHEN instr(reverse(substr(t, 681, 120)), ' ') = 0 THEN 800 ELSE 800 - instr(reverse(substr(t, 681, 120)), ' ') END AS b FROM plain WHERE t <> ''
+  UNION ALL SELECT doc_id, t, greatest(b - 100, a + 1) AS a, CASE WHEN length(t) <= greatest(b - 100, a + 1) + 800 THEN length(t) WHEN instr(reverse(substr(t, greatest(b - 100, a + 1) + 681, 120)), ' ') = 0 THEN greatest(b - 100, a + 1) + 800
+    ELSE greatest(b - 100, a + 1) + 800 - instr(reverse(substr(t, greatest(b - 100, a + 1) + 681, 120)), ' ') END AS b FROM cuts WHERE b < length(t)),
+counts AS (SELECT doc_id, count(*) FILTER (trim(substr(t, a + 1, b - a)) <> '') AS n FROM cuts GROUP BY 1),
+told AS (SELECT f.*, CASE WHEN suffix IN ('', '.png') THEN 'unsupported type ' || CASE suffix WHEN '' THEN '(none)' ELSE suffix END WHEN known THEN 'unchanged' WHEN suffix = '.pdf' AND contains(text, '@') THEN 'unreadable pdf: an address' WHEN suffix <> '.csv' AND coalesce(n, 0) = 0 THEN 'no extractable text' END AS reason, coalesce(n, 0) AS n FROM files f LEFT JOIN counts USING (doc_id))
+SELECT 'sub' || CAST(doc_id % 3 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) || suffix AS path, reason, CASE WHEN reason IS NULL AND suffix <> '.csv' THEN 1 ELSE 0 END AS pages, CASE WHEN reason IS NULL AND suffix <> '.csv' THEN n ELSE 0 END AS chunks,
+CASE WHEN reason IS NULL AND suffix = '.csv' THEN 2 ELSE 0 END AS spec_rows, CASE WHEN reason IS NULL AND suffix = '.csv' THEN 1 ELSE 0 END AS skipped_rows FROM told""")
+def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of several kinds, some of them known already, some of no known type, some unreadable: what an ingest makes of each."""
+
+    def extract(content: bytes) -> list[str]:
+        if b"@" in content:
+            raise ValueError("an address")
+        return [content.decode("utf-8")]
+
+    key = F.col("doc_id")
+    suffix = F.get(F.array(*map(F.lit, (".md", ".txt", ".csv", ".png", "", ".pdf", ".TXT"))), (key % 7).cast("int"))
+    csv = F.concat(F.lit("Parameter,Nominal,Units\nsupply,"), key.cast("string"), F.lit(",V\nnothing,,V\nbus,60,ohm\n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("sub"), (key % 3).cast("string"), F.lit("/"), key.cast("string"), suffix).alias("path"), F.when(key % 7 == 2, csv).otherwise(F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    files = with_reasons(rows)
+    known = no_knowledge(spark)
+    seen = with_reasons(rows.filter(key % 11 == 0)).select("path", "sha256", *(F.lit(0).cast("long").alias(c) for c in ("pages", "chunks", "spec_rows")))
+    _, report = ingest(files, known._replace(files=seen), extract)
+    return report
 
 
 @query("SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS numbers FROM (SELECT doc_id, generate_subscripts(n, 1) AS i, unnest(n) AS x FROM (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents)) GROUP BY doc_id")

@@ -1,26 +1,57 @@
-"""Folders of documents: sections, change detection by content hash, and incremental ingest."""
+"""Folders of documents: sections and pages, spec tables, change detection by content hash, and incremental ingest."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
+from quarry.operators.retrieval import chunks as cut_chunks
+from quarry.operators.shared import written
+
+from .tables import cells_of, specs_of_cells
 
 TEXT, TABLES, PAGES = ("md", "txt"), ("csv", "xlsx"), ("pdf",)
 HEADING = r"^#{1,6}\s+(.*\S)\s*$"
+FILES = "path string, suffix string, sha256 string, content binary, reason string"
+NO_TEXT = "no extractable text"
+FILE_ROWS = "path string, sha256 string, pages long, chunks long, spec_rows long"
+CHUNK_ROWS = "path string, page int, place long, section string, ord int, text string, sha256 string"
+SPEC_ROWS = "path string, row long, make string, model string, year_start int, year_end int, ecu_family string, quantity string, value double, vmin double, vmax double, unit string, measurement_state string, page int, source_file string, spec_key string"
+
+
+class Knowledge(NamedTuple):
+    """The tables that an ingest keeps: files (FILE_ROWS), chunks (CHUNK_ROWS) and specs (SPEC_ROWS)."""
+
+    files: DataFrame
+    chunks: DataFrame
+    specs: DataFrame
+
+
+def no_knowledge(spark: SparkSession) -> Knowledge:
+    return Knowledge(*(spark.createDataFrame([], x) for x in (FILE_ROWS, CHUNK_ROWS, SPEC_ROWS)))
+
+
+def with_reasons(files: DataFrame) -> DataFrame:
+    """path, suffix, sha256, content of files (path, content), and a reason for those of no known type."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    reason = F.when(~suffix.isin(*TEXT, *TABLES, *PAGES), F.concat(F.lit("unsupported type "), F.when(suffix == "", "(none)").otherwise(F.concat(F.lit("."), suffix))))
+    return files.select("path", suffix.alias("suffix"), F.sha2("content", 256).alias("sha256"), "content", reason.alias("reason"))
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """path, suffix, sha256, content of every file below a folder, and a reason for those of no known type."""
+    """with_reasons for every file below a folder, by paths relative to it; if it is none, one row that says so."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not (fs.exists(path) and fs.getFileStatus(path).isDirectory()):
+        return spark.createDataFrame([(root, "", "", None, "not a directory")], FILES)
+    base = fs.makeQualified(path).toString().rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    known = suffix.isin(*TEXT, *TABLES, *PAGES)
-    reason = F.when(~known, F.concat(F.lit("unsupported type "), F.when(suffix == "", "(none)").otherwise(F.concat(F.lit("."), suffix))))
-    return rows.select("path", suffix.alias("suffix"), F.sha2("content", 256).alias("sha256"), "content", reason.alias("reason"))
+    return with_reasons(rows.select(F.substring("path", F.lit(len(base) + 2), F.length("path")).alias("path"), "content"))
 
 
 def changed(files: DataFrame, known: DataFrame) -> DataFrame:
@@ -41,15 +72,18 @@ def sections(rows: DataFrame, key: str = "path", text: str = "text", headings: s
 
 
 def pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """path, page, text of paged files by an extractor that gives a text for each page. Pages count from 1."""
+    """path, page, text, error of paged files by an extractor that gives a text for each page. Pages count from 1; a file that cannot be read is one row with its error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for path, content in zip(part["path"], part["content"]):
-                texts = extract(bytes(content))
-                yield pd.DataFrame({"path": path, "page": range(1, len(texts) + 1), "text": texts})
+                try:
+                    texts, error = extract(bytes(content)), None
+                except Exception as e:  # what an extractor raises for a malformed file is its own
+                    texts, error = [""], f"unreadable pdf: {e}"
+                yield pd.DataFrame({"path": path, "page": range(1, len(texts) + 1), "text": texts, "error": error})
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
 
 
 def pdf_pages(content: bytes) -> list[str]:
@@ -63,21 +97,46 @@ def pdf_pages(content: bytes) -> list[str]:
     return [p.extract_text() or "" for p in PdfReader(io.BytesIO(content)).pages]
 
 
-def ingest(files: DataFrame, known_files: DataFrame, known_chunks: DataFrame, chunk: Callable[[DataFrame], DataFrame], prune: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Files and chunks after an ingest: chunks of new and changed text files replace those of the same path.
+def text_sections(files: DataFrame) -> DataFrame:
+    """path, page (always 1), place, section, text of text files; bytes that are no UTF-8 are replaced."""
+    texts = files.filter(F.col("suffix").isin(*TEXT)).select("path", "suffix", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return sections(texts, headings="suffix = 'md'").select("path", F.lit(1).alias("page"), F.col("place").cast("long").alias("place"), "section", "text")
+
+
+def ingest(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[str]] = pdf_pages, chunk: Callable[[DataFrame], DataFrame] = cut_chunks, prune: bool = False) -> tuple[Knowledge, DataFrame]:
+    """Knowledge after an ingest of files (with_reasons' columns), and a report: path, reason (null if ingested), pages, chunks, spec_rows, skipped_rows.
 
-    Files that are gone keep their rows unless prune is set, and files without text are left as they were.
+    Chunks and specs of new and changed files replace all that was known of the same path; a file that cannot
+    be read, or that gives nothing, leaves what was known. Files that are gone keep their rows unless prune is
+    set. What a run reads is written before it is counted and joined, so every file is parsed once.
     """
-    rows = changed(files.filter(F.col("reason").isNull()), known_files).filter("status <> 'unchanged'")
-    texts = rows.filter(F.col("suffix").isin(*TEXT)).withColumn("text", F.decode("content", "UTF-8"))
-    own = sections(texts, headings="suffix = 'md'") if "suffix" not in texts.columns else sections(texts.select("path", "text", "suffix"), headings="suffix = 'md'")
-    new = chunk(own).join(texts.select("path", "sha256"), "path")
-    done = new.select("path", "sha256").distinct()
-    counts = new.groupBy("path", "sha256").agg(F.count("*").alias("chunks"))
+    rows = changed(files, known.files)
+    work = rows.filter(F.col("reason").isNull() & (F.col("status") != "unchanged"))
+    paged = written(pages(work.filter(F.col("suffix").isin(*PAGES)), extract), "pages")
+    parts = text_sections(work).unionByName(paged.filter("error is null").select("path", "page", F.col("page").cast("long").alias("place"), F.lit("").alias("section"), "text"))
+    hashes = work.select("path", "sha256")
+    new_chunks = written(chunk(parts).join(hashes, "path"), "chunks")
+    cells = written(cells_of(work.filter(F.col("suffix").isin(*TABLES))), "cells")
+    good, bad, unusable = specs_of_cells(cells.filter("error is null"))
+    new_specs = written(good, "specs")
+
+    # pages without text have no chunk but count
+    n_pages = parts.groupBy("path").agg(F.count_distinct("page").alias("pages"))
+    n_chunks = new_chunks.groupBy("path").agg(F.count("*").alias("chunks"))
+    n_specs, n_bad = new_specs.groupBy("path").agg(F.count("*").alias("spec_rows")), bad.groupBy("path").agg(F.count("*").alias("skipped_rows"))
+    errors = paged.filter("error is not null").select("path", "error").unionByName(cells.filter("error is not null").select("path", "error")).unionByName(unusable)
+    told = rows.select("path", "sha256", "status", "reason")
+    for counts in (n_pages, n_chunks, n_specs, n_bad, errors):
+        told = told.join(counts, "path", "left")
+    none = F.coalesce("chunks", F.lit(0)) + F.coalesce("spec_rows", F.lit(0)) == 0
+    reason = F.coalesce("reason", F.when(F.col("status") == "unchanged", "unchanged"), "error", F.when(none, NO_TEXT))
+    count = lambda c: F.when(reason.isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
+    report = written(told.select("path", "sha256", reason.alias("reason"), count("pages"), count("chunks"), count("spec_rows"), F.coalesce("skipped_rows", F.lit(0)).cast("long").alias("skipped_rows")), "report")
+
+    done = report.filter("reason is null")
     if prune:
         present = files.select("path").distinct()
-        known_files, known_chunks = known_files.join(present, "path", "left_semi"), known_chunks.join(present, "path", "left_semi")
-    return (
-        known_files.join(done.select("path"), "path", "left_anti").unionByName(counts, allowMissingColumns=True),
-        known_chunks.join(done.select("path"), "path", "left_anti").unionByName(new, allowMissingColumns=True),
-    )
+        known = Knowledge(*(x.join(present, "path", "left_semi") for x in known))
+    kept = Knowledge(*(x.join(done.select("path"), "path", "left_anti") for x in known))
+    fresh = (done.select("path", "sha256", "pages", "chunks", "spec_rows"), new_chunks, new_specs)
+    return Knowledge(*(old.unionByName(new) for old, new in zip(kept, fresh))), report.drop("sha256")

@@ -1,4 +1,4 @@
-"""Exports: flat rows, compact JSON, one file per row, and results of remote calls."""
+"""Exports: flat rows, JSON documents, one file per row, and results of remote calls."""
 
 from __future__ import annotations
 
@@ -6,9 +6,13 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyarrow import fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import slug
+from quarry.operators.merge import placed
+
 VIN = r"^[A-HJ-NPR-Z0-9]{17}$"
 
 
@@ -27,10 +31,42 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.write.json(path, mode="overwrite")
 
 
-def compact(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame) -> dict:
-    """Tables of a small catalogue (a bundle's size) as {v, m, c}: arrays of rows, and a map of clusters."""
-    rows = lambda df: [list(r) for r in df.collect()]
-    return {"v": rows(vehicles), "m": rows(membership), "c": {r["cluster_id"]: [r["type"], r["label"]] for r in clusters.collect()}}
+def json_document(sections: list[tuple[str, DataFrame | None, list[Column | str]]], close: str, path: str) -> None:
+    """One JSON document as text files whose names' order is its order; nothing passes the driver.
+
+    sections: text before a list, its items (a column value of JSON) and their order. Behind each item but a
+    list's last comes a comma.
+    """
+    spark = SparkSession.active()
+    lines = spark.createDataFrame([(2 * i, -1, text) for i, (text, _, _) in enumerate(sections)] + [(2 * len(sections), 0, close)], "section int, place long, value string")
+    for i, (_, items, order) in enumerate(sections):
+        if items is not None:
+            own = placed(items, order)
+            n = items.count()
+            lines = lines.unionByName(own.select(F.lit(2 * i + 1).alias("section"), F.col("_place").alias("place"), F.concat("value", F.when(F.col("_place") < n - 1, ",").otherwise("")).alias("value")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines.repartitionByRange(parts, "section", "place").sortWithinPartitions("section", "place").select("value").write.text(path)
+
+
+def _array(columns: list[str]) -> Column:
+    """A row's values as a JSON array."""
+    text = lambda c: F.coalesce(F.regexp_replace(F.to_json(F.struct(F.col(c).alias("x"))), r'(?s)^\{(?:"x":(.*))?\}$', "$1"), F.lit(""))
+    return F.concat(F.lit("["), F.concat_ws(",", *(F.coalesce(F.nullif(text(c), F.lit("")), F.lit("null")) for c in columns)), F.lit("]"))
+
+
+def export_document(rows: DataFrame, columns: list[str], order: list[Column | str], path: str, generated_at: str) -> None:
+    """{generated_at, row_count, rows}: rows as arrays of the columns, in order."""
+    head = f'{{"generated_at":{json.dumps(generated_at)},"row_count":{rows.count()},"rows":['
+    items = rows.withColumn("value", _array(columns))
+    json_document([(head, items, order)], "]}", path)
+
+
+def compact(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame, path: str) -> None:
+    """{v, m, c}: vehicles and membership as arrays of rows, and a map from clusters to type and label."""
+    name = F.regexp_replace(F.to_json(F.array(F.col("cluster_id").cast("string"))), r"(?s)^\[(.*)\]$", "$1")
+    groups = clusters.withColumn("value", F.concat(name, F.lit(":"), _array(["type", "label"])))
+    rows = lambda df: df.withColumn("value", _array(df.columns))
+    json_document([('{"v":[', rows(vehicles), vehicles.columns), ('],"m":[', rows(membership), membership.columns), ('],"c":{', groups, ["cluster_id"])], "}}", path)
 
 
 def bundle(template: str, parts: dict[str, object], required: str = "__DATA__") -> str:
@@ -43,9 +79,29 @@ def bundle(template: str, parts: dict[str, object], required: str = "__DATA__")
     return template
 
 
-def write_text_files(rows: DataFrame, name: str, content: str, path: str) -> None:
-    """A folder per name with its text; nothing passes the driver."""
-    rows.select(F.col(name).alias("name"), F.col(content).alias("value")).write.partitionBy("name").text(path, lineSep="\n")
+def write_text_files(files: DataFrame, root: str) -> DataFrame:
+    """Write content to root/path for every row of files (path, content), each in its task; returns path and bytes. A repeated task writes the same again."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, folder = (pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")) if root.startswith(("file:", "/")) else pafs.FileSystem.from_uri(root)
+        for part in parts:
+            sizes = []
+            for path, content in zip(part["path"], part["content"]):
+                fs.create_dir(f"{folder}/{path}".rpartition("/")[0], recursive=True)
+                with fs.open_output_stream(f"{folder}/{path}") as out:
+                    sizes.append(out.write(content.encode("utf-8")))
+            yield pd.DataFrame({"path": part["path"], "bytes": sizes})
+
+    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
+
+
+def write_job_files(rows: DataFrame, root: str) -> None:
+    """A Markdown file for each finished job under its cluster's folder, and their index as one JSON document. rows: cluster_id, scope, job, model, content, created_at."""
+    own = rows.withColumn("path", F.concat(slug("cluster_id"), F.lit("/"), slug("job"), F.lit(".md")))
+    files = own.select("path", F.concat(F.lit("# "), "cluster_id", F.lit(": "), "job", F.lit("\n\n"), "content", F.lit("\n")).alias("content"))
+    write_text_files(files, root).count()
+    index = own.select("scope", "cluster_id", "job", F.to_json(F.struct("cluster_id", "scope", "job", "model", "created_at", "path")).alias("value"))
+    json_document([("[", index, ["scope", "cluster_id", "job"])], "]", f"{root}/index")
 
 
 def vin_fields(payloads: DataFrame) -> DataFrame:
@@ -69,7 +125,7 @@ def fetched(requests: DataFrame, fetch: Callable[[str], str], column: str = "vin
     return requests.select(column).mapInPandas(run, f"{column} string, payload string")
 
 
-def request_lines(targets: DataFrame, prompt: F.Column, model: str, max_tokens: int) -> DataFrame:
+def request_lines(targets: DataFrame, prompt: Column, model: str, max_tokens: int) -> DataFrame:
     """JSON lines for a batch interface: custom_id and the parameters of one request each."""
     message = F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content")))
     return targets.select(F.to_json(F.struct("custom_id", F.struct(F.lit(model).alias("model"), F.lit(max_tokens).alias("max_tokens"), message.alias("messages")).alias("params"))).alias("value"))

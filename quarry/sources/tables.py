@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import csv
+import io
+import re
+import zipfile
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,43 +25,60 @@ ALIASES = {
     "measurement_state": ("measurement_state", "state", "condition"), "page": ("page", "pg"),
 }
 
+NO_SPECS = "a spec table needs a quantity and a value, min or max"
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, by the header."""
     return spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """A row per line of the first sheet: file, row, cells (array of text). A workbook is one unit of work."""
+def _xlsx_cells(content: bytes) -> list[list[str | None]]:
+    """The first sheet's rows; places without a cell are None."""
+    ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    texts = lambda x: "".join(t.text or "" for t in x.iter(f"{ns}t"))
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        names = book.namelist()
+        shared = [texts(x) for x in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")] if "xl/sharedStrings.xml" in names else []
+        first = min((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: (len(n), n))
+        sheet = ElementTree.fromstring(book.read(first))
+    rows = []
+    for line in sheet.iter(f"{ns}row"):
+        cells: dict[int, str | None] = {}
+        for cell in line.iter(f"{ns}c"):
+            at = 0
+            for letter in re.match(r"[A-Z]+", cell.get("r", "A1"))[0]:
+                at = at * 26 + ord(letter) - 64
+            value = cell.find(f"{ns}v")
+            text = texts(cell) if cell.get("t") == "inlineStr" else None if value is None else value.text
+            cells[at] = shared[int(text)] if cell.get("t") == "s" and text is not None else text
+        rows.append([cells.get(i) for i in range(1, max(cells, default=0) + 1)])
+    return rows
+
+
+def _csv_cells(content: bytes) -> list[list[str | None]]:
+    return [[x or None for x in row] for row in csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))]
+
+
+def cells_of(files: DataFrame) -> DataFrame:
+    """path, row, cells (array of text), error of table files (path, suffix, content). A file is one unit of work; one that cannot be read is a row with its error."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-        import re
-        import zipfile
-        from xml.etree import ElementTree as ET
-
-        ns = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
         for part in parts:
-            for name, content in zip(part["path"], part["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as book:
-                    shared = []
-                    if "xl/sharedStrings.xml" in book.namelist():
-                        shared = ["".join(t.text or "" for t in si.iter(f"{ns}t")) for si in ET.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{ns}si")]
-                    sheet = min(n for n in book.namelist() if re.match(r"xl/worksheets/sheet\d+\.xml", n))
-                    rows = []
-                    for line in ET.fromstring(book.read(sheet)).iter(f"{ns}row"):
-                        cells: dict[int, str] = {}
-                        for cell in line.iter(f"{ns}c"):
-                            at = 0
-                            for letter in re.match(r"[A-Z]+", cell.get("r", "A1"))[0]:
-                                at = at * 26 + ord(letter) - 64
-                            value = cell.find(f"{ns}v")
-                            text = "".join(t.text or "" for t in cell.iter(f"{ns}t")) if cell.get("t") == "inlineStr" else (value.text if value is not None else None)
-                            cells[at] = shared[int(text)] if cell.get("t") == "s" and text is not None else text
-                        rows.append([cells.get(i) for i in range(1, max(cells, default=0) + 1)])
-                    yield pd.DataFrame({"file": name, "row": range(len(rows)), "cells": rows})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, row long, cells array<string>")
+            for path, suffix, content in zip(part["path"], part["suffix"], part["content"]):
+                try:
+                    rows, error = (_xlsx_cells if suffix == "xlsx" else _csv_cells)(bytes(content)), None
+                except (csv.Error, ElementTree.ParseError, zipfile.BadZipFile, KeyError, ValueError, IndexError) as e:
+                    rows, error = [[]], f"unreadable table: {e}"
+                yield pd.DataFrame({"path": path, "row": range(len(rows)), "cells": rows, "error": error})
+
+    return files.select("path", "suffix", "content").mapInPandas(run, "path string, row long, cells array<string>, error string")
+
+
+def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
+    """A row per line of the first sheet: file, row, cells (array of text)."""
+    files = spark.read.format("binaryFile").load(path).select("path", F.lit("xlsx").alias("suffix"), "content")
+    return cells_of(files).filter("error is null").select(F.col("path").alias("file"), "row", "cells")
 
 
 def text_value(x: Column) -> Column:
@@ -65,17 +87,11 @@ def text_value(x: Column) -> Column:
     return F.when(F.lower(text) == "nan", "").otherwise(text)
 
 
-def spec_rows(table: DataFrame, source_file: Column) -> tuple[DataFrame, DataFrame]:
-    """Normalised rows of specs and the rows left out, which lack a quantity or any of value, min and max."""
-    names = {c.strip().lower(): c for c in table.columns}
-    found = {k: next((names[a] for a in aliases if a in names), None) for k, aliases in ALIASES.items()}
-    if found["quantity"] is None or not any(found[k] for k in ("value", "min", "max")):
-        raise ValueError("a spec table needs a quantity and a value, min or max")
-    raw = lambda k: F.col(f"`{found[k]}`") if found[k] else F.lit(None).cast("string")
+def _normalised(table: DataFrame, raw: Callable[[str], Column], source_file: Column, *keep: str) -> tuple[DataFrame, DataFrame]:
     low, high = year_range(raw("years"))
     given = number(raw("year_start")).isNotNull() | number(raw("year_end")).isNotNull()
     rows = table.select(
-        text_value(raw("make")).alias("make"), text_value(raw("model")).alias("model"),
+        *keep, text_value(raw("make")).alias("make"), text_value(raw("model")).alias("model"),
         F.when(given, number(raw("year_start")).cast("int")).otherwise(low).alias("year_start"), F.when(given, number(raw("year_end")).cast("int")).otherwise(high).alias("year_end"),
         text_value(raw("ecu_family")).alias("ecu_family"), text_value(raw("quantity")).alias("quantity"),
         number(raw("value")).alias("value"), number(raw("min")).alias("vmin"), number(raw("max")).alias("vmax"), text_value(raw("unit")).alias("unit"),
@@ -83,3 +99,24 @@ def spec_rows(table: DataFrame, source_file: Column) -> tuple[DataFrame, DataFra
     ).withColumn("spec_key", spec_key("ecu_family", "quantity", "measurement_state"))
     usable = (F.col("quantity") != "") & (F.col("value").isNotNull() | F.col("vmin").isNotNull() | F.col("vmax").isNotNull())
     return rows.filter(usable), rows.filter(~usable)
+
+
+def spec_rows(table: DataFrame, source_file: Column) -> tuple[DataFrame, DataFrame]:
+    """Normalised rows of specs and the rows left out, which lack a quantity or any of value, min and max."""
+    names = {c.strip().lower(): c for c in table.columns}
+    found = {k: next((names[a] for a in aliases if a in names), None) for k, aliases in ALIASES.items()}
+    if found["quantity"] is None or not any(found[k] for k in ("value", "min", "max")):
+        raise ValueError(NO_SPECS)
+    return _normalised(table, lambda k: F.col(f"`{found[k]}`") if found[k] else F.lit(None).cast("string"), source_file)
+
+
+def specs_of_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of many tables, each with a header of its own (path, row, cells): normalised rows, rows left out, and the files without the columns that specs need (path, error)."""
+    names = F.transform("cells", lambda c: F.lower(strip(F.coalesce(c, F.lit("")))))
+    place = lambda k: F.array_position("names", F.try_element_at(F.filter(F.array(*map(F.lit, ALIASES[k])), lambda a: F.array_contains(F.col("names"), a)), F.lit(1)))
+    heads = cells.filter("row = 0").select("path", names.alias("names")).select("path", *(place(k).cast("int").alias(f"_{k}") for k in ALIASES))
+    usable = F.col("_quantity").isNotNull() & F.coalesce("_value", "_min", "_max").isNotNull()
+    body = cells.filter("row > 0").join(heads.filter(usable), "path")
+    good, bad = _normalised(body, lambda k: F.get("cells", F.col(f"_{k}") - 1), F.element_at(F.split("path", "/"), -1), "path", "row")
+    empty = heads.filter(~usable).select("path", F.lit(NO_SPECS).alias("error"))
+    return good, bad, empty

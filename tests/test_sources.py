@@ -1,4 +1,5 @@
 import io
+import json
 import sqlite3
 import zipfile
 
@@ -7,8 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import merge, pool, quality, retrieval, shared
-from quarry.sources import documents, layout, seed, sinks, tables
-from quarry.sources.catalog import Catalog
+from quarry.sources import documents, layout, seed, sinks, tables, versions
 
 LAYOUT = """   MAKE      MODEL        STYLES       WB                              ALT MODELS        REMARKS
 ACME      Roadster     Coupe        101.2   u   r,4   2001 2005   Spyder            note here     000123
@@ -46,31 +46,77 @@ def test_xlsx(spark, tmp_path):
     assert [r.cells for r in tables.read_xlsx(spark, str(tmp_path / "b.xlsx")).orderBy("row").collect()] == [["quantity", None, "value"], ["supply", None, "5.5"]]
 
 
-def test_ingest_is_incremental(spark, tmp_path):
+def workbook(rows):
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    book = io.BytesIO()
+    lines = "".join(f'<row r="{i}">' + "".join(f'<c r="{chr(65 + j)}{i}" t="inlineStr"><is><t>{x}</t></is></c>' for j, x in enumerate(r)) + "</row>" for i, r in enumerate(rows, 1))
+    with zipfile.ZipFile(book, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f"<worksheet {ns}><sheetData>{lines}</sheetData></worksheet>")
+    return book.getvalue()
+
+
+def test_ingest_reads_every_kind_and_reports(spark, tmp_path):
+    def told(content):  # an extractor for tests: pages parted by form feeds
+        if content.startswith(b"%broken"):
+            raise ValueError("no trailer")
+        return content.decode().split("\f")
+
     docs = tmp_path / "docs"
-    docs.mkdir()
+    (docs / "sub").mkdir(parents=True)
     (docs / "sop.md").write_text("intro\n# CAN bus\nterminate the bus\n## Ground\nground strap\n")
     (docs / "notes.txt").write_text("# not a heading\nword " + "word " * 600)
+    (docs / "sub" / "latin.txt").write_bytes("caf\xe9 au lait".encode("latin-1"))
     (docs / "image.png").write_bytes(b"x")
-    none = spark.createDataFrame([], "path string, sha256 string, chunks long")
-    no_chunks = spark.createDataFrame([], "path string, place long, section string, ord int, text string, sha256 string")
+    (docs / "README").write_bytes(b"x")
+    (docs / "empty.md").write_text(" \n")
+    (docs / "manual.pdf").write_bytes(b"first page\f\fground strap on page three")
+    (docs / "bad.pdf").write_bytes(b"%broken")
+    (docs / "specs.csv").write_text("Make,Years,ECU,Parameter,Nominal,Min,Max,Units,State\nAcme,2001-2005,SynthMarelli,ECU supply,,1.11,2.22,V,koeo\n,,,,5,,,,\n,,,Bus,60,,,ohm,\n")
+    (docs / "sub" / "more.xlsx").write_bytes(workbook([["Quantity", "Value", "Unit"], ["fuel rail", "3.5", "bar"]]))
+    (docs / "list.csv").write_text("name,colour\na,b\n")
+    (docs / "broken.xlsx").write_bytes(b"no archive")
     files = documents.read_files(spark, str(docs))
-    assert [r.reason for r in files.filter("reason is not null").collect()] == ["unsupported type .png"]
-    known, chunks = (x.persist() for x in documents.ingest(files, none, no_chunks, retrieval.chunks))
-    assert {r.section for r in chunks.filter("path like '%md'").collect()} == {"", "CAN bus", "Ground"}
-    assert chunks.filter("path like '%txt'").count() > 3 and chunks.agg(F.max(F.length("text"))).first()[0] <= 800
-    assert documents.changed(files, known).filter("status <> 'unchanged' and reason is null").count() == 0
+    known, report = documents.ingest(files, documents.no_knowledge(spark), told)
+    rows = {r.path: r for r in report.collect()}
+    assert {p: r.reason for p, r in rows.items() if r.reason} == {
+        "image.png": "unsupported type .png", "README": "unsupported type (none)", "empty.md": "no extractable text", "bad.pdf": "unreadable pdf: no trailer",
+        "list.csv": tables.NO_SPECS, "broken.xlsx": "unreadable table: File is not a zip file",
+    }
+    assert (rows["manual.pdf"].pages, rows["manual.pdf"].chunks) == (3, 2) and (rows["sop.md"].pages, rows["sop.md"].chunks) == (1, 3) and rows["notes.txt"].chunks > 3
+    assert (rows["specs.csv"].spec_rows, rows["specs.csv"].skipped_rows, rows["specs.csv"].pages) == (2, 1, 0) and rows["sub/more.xlsx"].spec_rows == 1
+    assert {r.section for r in known.chunks.filter("path = 'sop.md'").collect()} == {"", "CAN bus", "Ground"}
+    assert known.chunks.filter("path = 'sub/latin.txt'").first().text == "caf\ufffd au lait" and known.chunks.agg(F.max(F.length("text"))).first()[0] <= 800
+    assert known.chunks.filter("path = 'manual.pdf'").agg(F.max("page")).first()[0] == 3
+    specs = {r.spec_key: r for r in known.specs.collect()}
+    assert set(specs) == {"synthmarelli.ecu_supply_koeo", "bus", "fuel_rail"} and specs["fuel_rail"].source_file == "more.xlsx" and specs["synthmarelli.ecu_supply_koeo"].year_end == 2005
+    found = retrieval.bm25(spark.createDataFrame([(0, "CAN bus"), (1, "ground strap")], "query_id long, query string"), known.chunks.withColumn("key", F.concat_ws("|", "path", "page", "section")), "key", ["text", "section"], k=1, stem=True).collect()
+    assert {r.query_id: r.key.split("|")[0] for r in found}[0] == "sop.md"
+
+    again, report = documents.ingest(documents.read_files(spark, str(docs)), known, told)
+    assert {r.reason for r in report.collect()} >= {"unchanged"} and report.filter("reason is null").count() == 0
+    assert [x.count() for x in again] == [x.count() for x in known]
     (docs / "sop.md").write_text("only this\n")
-    _, again = documents.ingest(documents.read_files(spark, str(docs)), known, chunks, retrieval.chunks)
-    assert [r.text for r in again.filter("path like '%md'").collect()] == ["only this"]
-
-
-def test_catalog_versions(spark, tmp_path):
-    catalog = Catalog(spark, f"file://{tmp_path}/tables")
-    catalog.commit({"a": spark.range(3), "b": spark.range(1)})
-    before = catalog.read("a")
-    catalog.commit({"a": spark.range(5)})
-    assert (before.count(), catalog.read("a").count(), catalog.read("b").count()) == (3, 5, 1)
+    (docs / "specs.csv").write_text("quantity,value\nbus,120\n")
+    (docs / "notes.txt").unlink()
+    third, report = documents.ingest(documents.read_files(spark, str(docs)), again, told)
+    assert sorted(r.path for r in report.filter("reason is null").collect()) == ["sop.md", "specs.csv"]
+    assert [r.text for r in third.chunks.filter("path = 'sop.md'").collect()] == ["only this"] and third.chunks.filter("path = 'notes.txt'").count() > 3
+    assert [(r.spec_key, r.value) for r in third.specs.filter("path = 'specs.csv'").collect()] == [("bus", 120.0)]
+    pruned, _ = documents.ingest(documents.read_files(spark, str(docs)), again, told, prune=True)
+    assert pruned.chunks.filter("path = 'notes.txt'").count() == 0 and pruned.files.filter("path = 'notes.txt'").count() == 0
+    nowhere = documents.ingest(documents.read_files(spark, str(docs / "none")), third, told)
+    assert [r.reason for r in nowhere[1].collect()] == ["not a directory"] and nowhere[0].chunks.count() == third.chunks.count()
+
+
+def test_versions(spark, tmp_path):
+    root = f"file://{tmp_path}/tables"
+    assert versions.tables(spark, root) == {}
+    versions.commit(spark, root, {"a": spark.range(3), "b": spark.range(1)})
+    before = versions.read(spark, root, "a")
+    versions.commit(spark, root, {"a": spark.range(5)})
+    assert (before.count(), versions.read(spark, root, "a").count(), versions.read(spark, root, "b").count()) == (3, 5, 1)
+    spark.range(9).write.parquet(f"{root}/9999999999999-unfinished/a")  # a writer that never finished
+    assert versions.read(spark, root, "a").count() == 5
 
 
 def test_seed_validate_is_idempotent(spark):
@@ -150,11 +196,10 @@ def test_known_pools(spark):
 
 
 def test_pack_files(spark, tmp_path):
-    import json
-
     from quarry.operators import packs
-    from quarry.plans.gates import LOST, PACK
+    from quarry.plans.gates import PACK, gate
 
+    LOST = {**PACK, "id": "lost", "gates": [*PACK["gates"], gate("ALONE", "boolean", {"YES": "VIEW", "NO": "TERMINAL-STOP"})]}
     for name, pack in (("b", PACK), ("a", LOST)):
         (tmp_path / f"{name}.json").write_text(json.dumps(pack, indent=1))
     rows = packs.read_packs(spark, str(tmp_path))
@@ -190,3 +235,49 @@ def test_a_cluster_needs_a_named_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.checkpoint_dir(type("Session", (), {"sparkContext": Context()})())
+
+
+def test_documents_of_json(spark, tmp_path):
+    """Files that make one JSON document when read behind each other: an export, a compact catalogue, an index of job files."""
+    rows = spark.range(1000).select((F.lit(1000) - F.col("id")).alias("id"), F.concat(F.lit('a "quoted" é '), "id").alias("make"))
+
+    def read(path):
+        return json.loads("".join(p.read_text() for p in sorted((tmp_path / path).glob("part-*.txt"))))
+
+    sinks.export_document(rows, ["id", "make"], ["id"], f"{tmp_path}/flat", "2024-01-01T00:00:00Z")
+    got = read("flat")
+    assert got["row_count"] == 1000 and got["generated_at"] == "2024-01-01T00:00:00Z" and got["rows"] == [[i, f'a "quoted" é {1000 - i}'] for i in range(1, 1001)]
+    sinks.export_document(rows.limit(0), ["id", "make"], ["id"], f"{tmp_path}/none", "now")
+    assert read("none") == {"generated_at": "now", "row_count": 0, "rows": []}
+    groups = spark.createDataFrame([("c1", "structural", None), ("c2", "engine_family", "x")], "cluster_id string, type string, label string")
+    sinks.compact(rows, groups, rows.select("id"), f"{tmp_path}/compact")
+    got = read("compact")
+    assert len(got["v"]) == 1000 and len(got["m"]) == 1000 and got["c"] == {"c1": ["structural", None], "c2": ["engine_family", "x"]}
+    jobs_done = spark.createDataFrame([("C 2", "s", "Job B", "m", "text b", "t2"), ("C 1", "s", "Job A", "m", "text a", "t1")], "cluster_id string, scope string, job string, model string, content string, created_at string")
+    sinks.write_job_files(jobs_done, f"{tmp_path}/sops")
+    assert (tmp_path / "sops" / "c_1" / "job_a.md").read_text() == "# C 1: Job A\n\ntext a\n"
+    assert [(r["cluster_id"], r["path"]) for r in read("sops/index")] == [("C 1", "c_1/job_a.md"), ("C 2", "c_2/job_b.md")]
+
+
+def test_validation_refuses_duplicates(spark):
+    cars, groups, edges = seed.as_tables(seed.seed_vehicles(spark))
+    log = spark.createDataFrame([], "date string, part string, method string, cluster_id string, result string, notes string")
+    assert tuple(quality.summary(groups, *quality.validate(cars, groups, edges, log, F.lit("2024-01-01"))).first()) == (969, 110, 110)
+    with pytest.raises(ValueError, match="1 combinations"):
+        quality.validate(cars, groups, edges.union(edges.limit(1)), log, F.lit("2024-01-01"))
+
+
+def test_curated_tier_is_replaced(spark):
+    edges = spark.createDataFrame([(1, "c1", "structural", "edc", ""), (2, "c1", "structural", "curated", "old")], "vehicle_id long, cluster_id string, scope string, confidence string, note string")
+    new = spark.createDataFrame([(3, "c1", "platform", "new"), (4, "c2", "platform", "new")], "vehicle_id long, cluster_id string, scope string, note string")
+    once, n = pool.apply_curated(edges, new)
+    twice, again = pool.apply_curated(once, new)
+    assert n == again == 2 and sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect()))
+    assert sorted(r.vehicle_id for r in once.collect()) == [1, 3, 4]
+
+
+def test_rerank_prefers_mentions(spark):
+    found = spark.createDataFrame([(0, 1, -3.0), (0, 2, -2.0), (0, 3, -1.0)], "query_id long, id long, score double")
+    texts = spark.createDataFrame([(1, "bus"), (2, "Acme bus"), (3, "bus acme")], "id long, text string")
+    got = retrieval.rerank(found, texts, "id", F.lower("text").contains("acme"), 2)
+    assert [(r["id"], r.place) for r in got.orderBy("place").collect()] == [(2, 1), (3, 2)]
