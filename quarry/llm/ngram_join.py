@@ -10,17 +10,20 @@ of each document. Texts with equal sets are one node from the start. The steps:
 3. Sets under one shingle are candidates if sizes allow it and the sketches differ in no more bits than
    linked sets could. Where a shingle holds more than LARGE sets, all of compatible size are candidates.
    Components of candidates bound what is compared next.
-4. Within each candidate component the document by shingle incidence matrix is multiplied by its
-   transpose, in blocks; overlap counts below the bound that the two sizes set are dropped. A component
-   of more than BLOCK sets is dealt into random blocks, several times over; what then is not in its main
-   part is compared with everything else of that component, again in blocks. So every pair that could
-   link is either known to be connected or compared, and no pair is ever written out.
+4. Within each candidate component the sparse document by shingle incidence matrix is multiplied by its
+   transpose, in blocks of documents: columns (shingles) with the same documents are one column with a
+   weight, and each column adds its weight to the pairs of its own documents only. Overlap counts below the
+   bound that the two sizes set are dropped. A component of more than BLOCK sets is dealt into random
+   blocks, several times over; what then is not in its main part is compared with all sets of that
+   component whose size allows a link, again in blocks. So every pair that could link is either known to
+   be connected or compared, and no pair is ever written out.
 
 The order, the sketches and the blocks only save work; every link is found, none is guessed.
 
 Defined cases: a null text, or one without words, has no shingles and links with nothing, itself its
-component; a null doc_id stays out of all links and has a null component; repeated rows and ties are
-exact copies; very long texts are sets like any other; other columns do not matter.
+component; a null doc_id stays out of all links and has a null component; repeated rows are exact copies;
+pairs at the threshold itself link; an empty table gives no rows; very long texts are sets like any other;
+other columns do not matter.
 """
 
 from __future__ import annotations
@@ -46,8 +49,8 @@ PACKED_ENTRIES = 1 << 18
 LARGE = 512
 BLOCK = 64
 DEALS = 2
-#: Columns of the incidence matrix that are multiplied at once.
-COLUMNS = 4096
+#: Sizes of sets fall in bands; linked sets (a ratio of at most 1.25) are in the same or in neighbouring ones.
+BAND = 1.26
 
 
 def signature(s: np.ndarray) -> int:
@@ -156,18 +159,12 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """Rows (posting, a, b): members a of a posting of at most LARGE sets, or with posting null a pair of candidates."""
+    """Rows (posting, a, b): members a of a posting of at most LARGE sets, or with posting null a pair of candidates. Buckets come one after the other and are all that a task holds."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, sizes = [], []
-        for batch in batches:
-            for data in batch.column(1).to_pylist():
-                n = len(data) // 20
-                keys.append(np.frombuffer(data, "<u8", 2 * n).reshape(n, 2))
-                sizes.append(np.frombuffer(data, "<u4", n, 16 * n))
-        if not keys:
-            return
-        key, size = np.concatenate(keys), np.concatenate(sizes)
+    def bucket(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        counts = [len(data) // 20 for data in held]
+        key = np.concatenate([np.frombuffer(data, "<u8", 2 * n).reshape(n, 2) for data, n in zip(held, counts)])
+        size = np.concatenate([np.frombuffer(data, "<u4", n, 16 * n) for data, n in zip(held, counts)])
         order = np.lexsort((key[:, 1], size, key[:, 0]))
         key, size = key[order], size[order]
         new = np.append(True, (key[1:] != key[:-1]).any(axis=1))  # one of equal sets
@@ -194,7 +191,20 @@ def postings(entries: DataFrame) -> DataFrame:
             pair = ~apart
             yield pa.RecordBatch.from_arrays([pa.nulls(int(pair.sum()), kinds[0]), pa.array(head[pair]), pa.array(tail[pair])], names)
 
-    return entries.mapInArrow(run, "posting long, a long, b long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        last = None
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if held and name != last:
+                    yield from bucket(held)
+                    held = []
+                held.append(data)
+                last = name
+        if held:
+            yield from bucket(held)
+
+    return entries.sortWithinPartitions("bucket").mapInArrow(run, "posting long, a long, b long")
 
 
 def grouped(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, ...]]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
@@ -275,24 +285,40 @@ def similar_sketches(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """Overlap counts: the incidence matrix of left by that of right (or of left), over blocks of shingles that two sets share."""
+    """Overlap counts: the sparse incidence matrix of left by the transpose of that of right (or of left).
+
+    A column that most documents have is kept as those that lack it: with a and b for lacking it, it adds
+    its weight times (1 - a)(1 - b) to a pair, so it costs as little as one that few have.
+    """
     sets = left + (right or [])
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    k, cut = len(sets), len(left)
+    owner = np.repeat(np.arange(k), [len(x) for x in sets])
     values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    begins, lengths = _runs(values)
-    shared = lengths > 1
-    owner = owner[np.repeat(shared, lengths)]
-    column = np.repeat(np.arange(int(shared.sum())), lengths[shared])
-    cut = len(left)
-    total = np.zeros((cut, len(sets) - cut if right is not None else cut), np.float64)
-    at = np.searchsorted(column, np.arange(0, (column[-1] + 1 if len(column) else 0) + COLUMNS, COLUMNS))
-    for k, (i, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
-        block = np.zeros((len(sets), min(COLUMNS, column[j - 1] + 1 - k * COLUMNS)), np.float32)
-        block[owner[i:j], column[i:j] - k * COLUMNS] = 1
-        total += block[:cut] @ (block[cut:] if right is not None else block).T
-    return total
+    begins, degree = _runs(values)
+    # columns of the same documents are one with a weight: their documents' hashes add up alike
+    name = np.add.reduceat(mixed(owner.astype(np.uint64) + np.uint64(1)), begins) if len(begins) else values
+    shared = np.flatnonzero(degree > 1)
+    _, first, weight = np.unique(name[shared], return_index=True, return_counts=True)
+    column = shared[first]
+    first_right = 0 if right is None else cut
+    rows, columns = slice(0, cut), slice(first_right, k)
+    total = np.zeros((k, k))
+    for d in np.unique(degree[column]).tolist():  # columns of d documents each
+        own = np.flatnonzero(degree[column] == d)
+        for part in np.array_split(own, max(1, len(own) * min(d, k - d) ** 2 >> 20)):
+            docs, w = owner[begins[column[part], None] + np.arange(d)], weight[part]
+            if 2 * d > k:
+                lacks = np.ones((len(part), k), bool)
+                lacks[np.arange(len(part))[:, None], docs] = False
+                docs = np.nonzero(lacks)[1].reshape(len(part), k - d)
+                without = np.bincount(docs.ravel(), np.repeat(w, k - d), k)
+                total += w.sum() - without[:, None] - without[None, :]
+            e = docs.shape[1]
+            pairs = (docs[:, :, None] * k + docs[:, None, :]).reshape(len(part), -1)
+            total += np.bincount(pairs.ravel(), np.repeat(w, e * e), k * k).reshape(k, k)
+    return total[rows, columns]
 
 
 def links_within(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -344,11 +370,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
     free_shuffles(spark)
 
-    part = candidates.select(F.col("node").alias("signature"), F.col("component").alias("part")).join(nodes.select("signature", "node"), "signature").select("part", "node")
+    part = candidates.select(F.col("node").alias("signature"), F.col("component").alias("part")).join(nodes.select("signature", "node", "n"), "signature").select("part", "node", F.floor(F.log(F.col("n")) / float(np.log(BAND))).cast("int").alias("band"))
     part = written(part, "parts")
     large = written(part.groupBy("part").agg(F.count("*").alias("size")).filter(F.col("size") > BLOCK), "large")
     part = part.join(large, "part", "left")
-    compared = written(part.join(texts, part["node"] == texts["doc_id"]).select("part", "size", "node", "text"), "compared")
+    compared = written(part.join(texts, part["node"] == texts["doc_id"]).select("part", "size", "band", "node", "text"), "compared")
     if compared.groupBy("node").count().filter("count > 1").limit(1).count():
         compared = written(compared.dropDuplicates(["node", "text"]), "compared")
     free_shuffles(spark)
@@ -360,7 +386,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
 
     if large.limit(1).count():
-        found = written(grouped(_strays(compared, components(links)), ["part", "row", "column"], ["stray", "node"], links_between), "links")
+        found = written(grouped(_strays(compared, components(links)), ["part", "near", "row", "column"], ["stray", "node"], links_between), "links")
         links = links.union(found)
         free_shuffles(spark)
 
@@ -371,14 +397,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _strays(compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """What is still to compare in large parts: blocks of sets outside the part's main component by blocks of all its sets."""
-    placed = compared.filter("size is not null").select("part", "node").distinct().join(labels, "node", "left").select("part", "node", F.coalesce("component", "node").alias("label"))
+    """What is still to compare in large parts: blocks of sets outside the part's main component by blocks of all its sets in the same or a neighbouring band of sizes (near is the stray's)."""
+    placed = compared.filter("size is not null").select("part", "node", "band").distinct().join(labels, "node", "left").select("part", "node", "band", F.coalesce("component", "node").alias("label"))
     placed = written(placed, "placed")
     counts = placed.groupBy("part", "label").agg(F.count("*").alias("n"))
     main = counts.groupBy("part").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most")).filter("all > most")
-    marked = placed.join(written(main, "main"), "part")
-    rows, columns = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+    marked = written(placed.join(written(main, "main").select("part", "main"), "part"), "marked")
+    around = marked.withColumn("near", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))))
+    sizes = around.groupBy("part", "near").agg(F.count_if((F.col("label") != F.col("main")) & (F.col("near") == F.col("band"))).alias("strays"), F.count("*").alias("others")).filter("strays > 0")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    sizes = written(sizes.select("part", "near", blocks("strays").alias("rows"), blocks("others").alias("columns")), "stray-blocks")
     deal = F.xxhash64("node")
-    stray = marked.filter("label <> main").select("part", F.pmod(deal, rows).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), columns - 1)).alias("column"), "node", F.lit(True).alias("stray"))
-    other = marked.select("part", F.explode(F.sequence(F.lit(0), rows - 1)).alias("row"), F.pmod(deal, columns).cast("int").alias("column"), "node", F.lit(False).alias("stray"))
+    stray = marked.filter("label <> main").withColumn("near", F.col("band")).join(sizes, ["part", "near"])
+    stray = stray.select("part", "near", F.pmod(deal, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "node", F.lit(True).alias("stray"))
+    other = around.join(sizes, ["part", "near"]).select("part", "near", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(deal, F.col("columns")).cast("int").alias("column"), "node", F.lit(False).alias("stray"))
     return written(stray.union(other), "strays").join(compared.select("node", "text"), "node")

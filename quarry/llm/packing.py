@@ -8,7 +8,9 @@ per class and salt, then say which sequence and slot each piece gets; nothing bu
 the driver, and no class, however common, is ranked in one task.
 
 Defined cases: a null or empty text is the end id alone; rows with a null doc_id are packed like any
-other; repeated rows are packed once each; an empty table gives no pieces.
+other; repeated rows are packed once each; pieces that tie in length rank by doc_id, start and checksum; very
+long texts are cut into as many pieces as they need; an empty table gives no pieces; other columns do not
+matter. The string of a special token in a text is text (wordpieces.py).
 """
 
 from __future__ import annotations

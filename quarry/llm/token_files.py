@@ -5,7 +5,9 @@ more than documents: where each document's ids begin) and NAME.docs (int64 docum
 ascending ranges of document ids; the manifest's bases are prefix sums over the parts' sizes.
 
 Defined cases: a null or empty text is the end id alone; rows with a null document id take no part;
-repeated ids keep all their rows, side by side; an empty table gives no documents.
+repeated ids keep all their rows, side by side in any order; very long texts are encoded whole, and ids go to
+the file every FLUSH_BYTES; an empty table gives no documents; other columns do not matter. The string of a
+special token in a text is text (wordpieces.py).
 """
 
 from __future__ import annotations

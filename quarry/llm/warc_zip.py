@@ -10,7 +10,8 @@ and the others as revisits of it.
 
 Defined cases: a null html is an empty payload; rows with equal page_id and payload are records of the
 same kind each; a page without page_id revisits the response of its payload, if there is one with an id;
-url may be null or hold anything (line ends are dropped from headers); other columns do not matter.
+url may be null or hold anything (line ends are dropped from headers); a very long payload is one record,
+and a package ends behind it; an empty table gives no packages and no rows; other columns do not matter.
 """
 
 from __future__ import annotations

@@ -71,6 +71,20 @@ def test_large_posting_and_small_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_overlaps_equal_counting():
+    """The sparse product against plain set intersections, within one block and between two; also empty blocks and sets."""
+    rng = np.random.default_rng(3)
+    vocabulary = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(rng.choice(vocabulary, rng.integers(0, 200))) for _ in range(40)] + [np.zeros(0, np.uint64)]
+    sets += [sets[0].copy(), np.sort(np.append(sets[1], np.uint64(5)))]
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    got = ngram_join.overlaps(sets)
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (got[off] == want[off]).all()
+    assert (ngram_join.overlaps(sets[:9], sets[9:]) == want[:9, 9:]).all()
+    assert ngram_join.overlaps([], []).shape == (0, 0) and ngram_join.overlaps([np.zeros(0, np.uint64)]).tolist() == [[0]]
+
+
 def test_jaccard_edges(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a"), (5, "A"), (6, "b b"), (7, "x y z w v"), (8, "x Y z w v"), (9, "x y z w v u"), (None, "x y z w v"), (7, "x y z w v")]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, n int, signature int")
