@@ -151,15 +151,17 @@ def code_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.array_join(extraction.trouble_codes(text), " ").alias("codes"))
 
 
-@query("""SELECT conv_id, turn, regexp_matches(text, '(?i)^\\s*(y|yes|yeah|yep|yup|correct|right|affirmative|confirmed?|sure|ok|okay)\\b[\\s.!]*$') AS yes, regexp_matches(text, '(?i)\\b(about|around|roughly|approximately|approx|give or take)\\b|~|-?ish\\b') AS approximate,
+@query("""SELECT conv_id, turn, regexp_matches(text, '(?i)^\\s*(y|yes|yeah|yep|yup|correct|right|affirmative|confirmed?|sure|ok|okay)\\b[\\s.!]*$') AS yes, regexp_matches(text, '(?i)^\\s*(n|no|nope|nah|negative|wrong|incorrect|not right)\\b[\\s.!]*$') AS no, regexp_matches(text, '(?i)^\\s*ack[\\s.!]*$') AS ack, regexp_matches(text, '(?i)\\bdtcs?\\b.*\\b(captured|recorded|saved|logged|written down)\\b') AS codes_captured,
+regexp_matches(text, '(?i)\\b(unknown|don''?t know|not sure|no idea|n/?a)\\b') AS unknown, regexp_matches(text, '(?i)\\b(about|around|roughly|approximately|approx|give or take)\\b|~|-?ish\\b') AS approximate,
 regexp_matches(text, '(?i)\\?|^\\s*(what|why|how|where|which|when|who|can|could|does|do|is|are|should|explain|tell me)\\b') AND NOT regexp_matches(text, '(?i)^\\s*(what now|what next|next|now what|continue|go on|and then|ready|ok go)\\W*$') AS question,
 CASE WHEN regexp_matches(text, '(?i)\\b(unplugged|disconnected|connector off|harness off)\\b') THEN 'UNPLUGGED' WHEN regexp_matches(text, '(?i)\\bcrank(?:ing|s|ed)?\\b|\\bon crank\\b') THEN 'CRANKING' WHEN regexp_matches(text, '(?i)\\b(running|idling|idle|koer|engine on|engine running)\\b') THEN 'RUNNING' WHEN regexp_matches(text, '(?i)\\bkoeo\\b|\\bkey[- ]?on\\b|\\bignition on\\b|\\bengine off\\b') THEN 'KOEO' WHEN regexp_matches(text, '(?i)\\bkey[- ]?off\\b|\\bkoff\\b|\\bignition off\\b') THEN 'KEY_OFF' END AS state
-FROM (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'is it idling ' || text WHEN 2 THEN 'about 5 at key-on ' || text ELSE text END AS text FROM conversations)""")
+FROM (SELECT conv_id, turn, CASE turn % 8 WHEN 0 THEN 'Yes.' WHEN 1 THEN 'is it idling ' || text WHEN 2 THEN 'about 5 at key-on ' || text WHEN 4 THEN ' nope!' WHEN 5 THEN 'ACK.' WHEN 6 THEN 'the DTCs are saved, ' || text WHEN 7 THEN 'I don''t know' ELSE text END AS text FROM conversations)""")
 def answer_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turn = F.col("turn") % 4
-    text = F.when(turn == 0, "Yes.").when(turn == 1, F.concat(F.lit("is it idling "), "text")).when(turn == 2, F.concat(F.lit("about 5 at key-on "), "text")).otherwise(F.col("text"))
+    turn = F.col("turn") % 8
+    led = lambda words: F.concat(F.lit(words), "text")
+    text = F.when(turn == 0, "Yes.").when(turn == 1, led("is it idling ")).when(turn == 2, led("about 5 at key-on ")).when(turn == 4, " nope!").when(turn == 5, "ACK.").when(turn == 6, led("the DTCs are saved, ")).when(turn == 7, "I don't know").otherwise(F.col("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("text"))
-    return rows.select("conv_id", "turn", extraction.answers("text").alias("a"), extraction.find_state("text").alias("state")).select("conv_id", "turn", "a.yes", "a.approximate", "a.question", "state")
+    return rows.select("conv_id", "turn", extraction.answers("text").alias("a"), extraction.find_state("text").alias("state")).select("conv_id", "turn", "a.*", "state")
 
 
 #: What a mechanic might write, by a part's size modulo nine; {n} is the size.
@@ -217,15 +219,16 @@ def layout_vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts printed as pages of a fixed layout, a page per ten parts and the brand only where it changes, and parsed back."""
     size, part = F.col("p_size"), table(spark, sf_dir, "part")
     column = lambda x, n: F.rpad(x, n, " ")
-    over = Window.partitionBy("p_brand").orderBy("p_partkey")
-    rows = part.withColumns({"_at": F.row_number().over(over) - 1})
+    file = F.expr("p_partkey div 1000")  # a file is a brand's share of a thousand parts, however many there are
+    over = Window.partitionBy("p_brand", "_file").orderBy("p_partkey")
+    rows = part.withColumn("_file", file).withColumn("_at", F.row_number().over(over) - 1)
     make = F.when(F.col("_at") % 10 == 0, F.concat(F.lit("  "), column(F.col("p_brand"), 16))).otherwise(F.rpad(F.lit(""), 18, " "))
     tail = F.concat(F.lit("  "), column(F.when(size % 3 == 0, F.concat(F.lit("alt "), size.cast("string"))).otherwise(""), 16), column(F.when(size % 3 == 0, F.concat(F.lit("seen "), "p_type")).otherwise(""), 20), F.when(size % 5 > 0, F.lpad(F.col("p_partkey").cast("string"), 6, "0")).otherwise(""))
     head = F.concat(make, column(F.col("p_name"), 20), column(F.col("p_type"), 14), column(F.concat(size.cast("string"), F.lit(".5")), 10))
     line = F.concat(head, F.lit("u   "), column(F.when(size % 2 == 0, "r,4").otherwise("f"), 6), (1990 + size % 9).cast("string"), F.lit(" "), (2000 + size % 9).cast("string"), tail)
     titles = F.concat(F.lit("  MAKE            MODEL               STYLES        "), F.rpad(F.lit(""), 47, " "), F.lit("REMARKS"))
-    printed = rows.select("p_brand", "_at", F.when(F.col("_at") % 10 == 0, F.concat(F.when(F.col("_at") > 0, "\f").otherwise(""), titles, F.lit("\n"), line)).otherwise(line).alias("line"))
-    texts = printed.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    printed = rows.select("p_brand", "_file", "_at", F.when(F.col("_at") % 10 == 0, F.concat(F.when(F.col("_at") > 0, "\f").otherwise(""), titles, F.lit("\n"), line)).otherwise(line).alias("line"))
+    texts = printed.groupBy(F.concat_ws("-", "p_brand", F.col("_file").cast("string")).alias("file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "line"))), lambda x: x["line"]), "\n").alias("text"))
     found, _ = layout.vehicle_rows(texts)
     return found.select("make", "model", "styles", "wheelbase", "construction", "drive", "year_start", "year_end", "alt_models", "remarks", "cluster_id")
 
