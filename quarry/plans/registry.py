@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gates, relational, texts
+from . import gates, outputs, relational, texts
 
-QUERIES = {**relational.QUERIES, **texts.QUERIES, **gates.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **texts.ORACLE_SQL, **gates.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **texts.QUERIES, **gates.QUERIES, **outputs.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **texts.ORACLE_SQL, **gates.ORACLE_SQL, **outputs.ORACLE_SQL}

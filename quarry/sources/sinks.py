@@ -14,6 +14,7 @@ from quarry.functions.text import slug
 from quarry.operators.merge import placed
 
 VIN = r"^[A-HJ-NPR-Z0-9]{17}$"
+VIN_OR_SHORTER = r"^[A-HJ-NPR-Z0-9]{11,17}$"
 
 
 def flat_rows(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame, keep_alone: bool = False) -> DataFrame:
@@ -115,6 +116,16 @@ def vin_fields(payloads: DataFrame) -> DataFrame:
     return rows.select(F.upper("vin").alias("vin"), F.initcap(field("Make")).alias("make"), field("Model").alias("model"), field("ModelYear").cast("int").alias("year"), F.concat_ws(" · ", field("Trim"), field("DriveType")).alias("trim"), F.concat_ws(" ", field("EngineModel"), cylinders, litres).alias("engine"))
 
 
+def vin_values(payloads: DataFrame) -> DataFrame:
+    """vin, year, make, model, trim, series, engine as the decoder words them, empty where it says nothing; numbers of 11 to 17 signs."""
+    first = F.try_element_at(F.from_json("payload", "Results array<map<string,string>>")["Results"], F.lit(1))
+    field = lambda k: F.coalesce(F.try_element_at(first, F.lit(k)), F.lit(""))
+    vin = F.upper(F.btrim("vin"))
+    engine = F.array_join(F.filter(F.array(*map(field, ("EngineModel", "EngineCylinders", "DisplacementL"))), lambda x: x != ""), " ")
+    rows = payloads.filter(vin.rlike(VIN_OR_SHORTER) & first.isNotNull())
+    return rows.select(vin.alias("vin"), field("ModelYear").alias("year"), field("Make").alias("make"), field("Model").alias("model"), field("Trim").alias("trim"), field("Series").alias("series"), engine.alias("engine"))
+
+
 def fetched(requests: DataFrame, fetch: Callable[[str], str], column: str = "vin") -> DataFrame:
     """Requests with the answers of an injected client; the library itself opens no connection."""
 
