@@ -211,6 +211,38 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("session", "ord", parse_token(F.concat(F.lit("COMMIT: "), "commit")).alias("t")).filter("t.kind = 'GATE'").select("session", "ord", "t.gate", "t.outcome")
 
 
+def _protocol(spark: SparkSession, sf_dir: str, pack: dict, kind, **columns) -> DataFrame:
+    """Commits of gates by sessions of users whose events are told by kind and columns, as a stream run until all has arrived."""
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/events.parquet*")
+    rows = events.select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("turn"), kind.alias("kind"), *(c.alias(k) for k, c in columns.items()))
+    folder = shared_dir(spark, "protocol")
+    append_ledger(session_stream(rows, pack, intake=False), f"{folder}/ledger", f"{folder}/state").awaitTermination()
+    ledger = spark.read.schema(OUTPUT).parquet(f"{folder}/ledger").select("session", "turn", F.explode("commits").alias("commit"))
+    return ledger.select("session", "turn", parse_token(F.concat(F.lit("COMMIT: "), "commit")).alias("t")).filter("t.kind = 'GATE'").select("session", "turn", "t.outcome")
+
+
+@query("""WITH told AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS before, lag(value) OVER w AS value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+first AS (SELECT user_id, min(event_id) AS event_id FROM told WHERE event_type = 'click' AND before = 'view' GROUP BY 1)
+SELECT CAST(user_id AS VARCHAR) AS session, event_id AS turn, CASE WHEN value >= 5 THEN 'PASS' ELSE 'FAIL' END AS outcome FROM first JOIN told USING (user_id, event_id)""")
+def confirmed_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A view proposes a reading, and only a click right behind it confirms it."""
+    pack = {"id": "c", "start": "VIEW", "terminals": {"DONE": ""}, "gates": [gate("VIEW", "threshold", {"PASS": "TERMINAL-DONE", "FAIL": "TERMINAL-DONE"}, ">=", {"value": 5.0})]}
+    kind = F.when(F.col("event_type") == "view", "propose").when(F.col("event_type") == "click", "yes").otherwise("codes")
+    return _protocol(spark, sf_dir, pack, kind, num=F.when(F.col("event_type") == "view", F.col("value")))
+
+
+@query("""WITH reads AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'view'), picks AS (SELECT user_id, event_id, event_id % 3 AS pick FROM events WHERE event_type = 'click' AND event_id % 3 < 2),
+ready AS (SELECT r.user_id, greatest(r.first, p.first) AS turn, p.pick FROM (SELECT user_id, min(event_id) AS first FROM reads GROUP BY 1) r JOIN (SELECT user_id, min(event_id) AS first, arg_min(pick, event_id) AS pick FROM picks GROUP BY 1) p USING (user_id))
+SELECT CAST(b.user_id AS VARCHAR) AS session, turn, CASE WHEN arg_max(value, r.event_id) <= CASE pick WHEN 0 THEN 4.0 ELSE 9.0 END THEN 'PASS' ELSE 'FAIL' END AS outcome FROM ready b JOIN reads r ON r.user_id = b.user_id AND r.event_id <= turn GROUP BY b.user_id, turn, pick""")
+def chosen_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources disagree: a click chooses one of them (or none there is), a view reads, and the last reading counts once both are there."""
+    one = gate("VIEW", "threshold", {"PASS": "TERMINAL-DONE", "FAIL": "TERMINAL-DONE"}, "<=", candidates=[{"value": 4.0}, {"value": 9.0}])
+    pack = {"id": "c", "start": "VIEW", "terminals": {"DONE": ""}, "gates": [one]}
+    view, click = F.col("event_type") == "view", F.col("event_type") == "click"
+    kind = F.when(view, "read").when(click, "choose").otherwise("codes")
+    return _protocol(spark, sf_dir, pack, kind, num=F.when(view, F.col("value")).when(click, (F.col("event_id") % 3).cast("double")))
+
+
 @query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'That step is a yes/no check.' ELSE CASE WHEN event_id % 3 = 1 THEN 'That step needs V, you gave ohm.' WHEN event_id % 4 = 1 THEN 'That step is measured key on, engine off, not running.' END END AS problem
 FROM events WHERE event_type <> 'signup' AND (event_type = 'purchase' OR event_id % 3 = 1 OR event_id % 4 = 1)""")
 def reading_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
