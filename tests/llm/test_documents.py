@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -479,6 +480,62 @@ def test_pipeline(spark):
     assert packed.filter(F.col("length") <= 0).count() == 0
 
 
+def test_pipeline_equals_a_plain_walk(spark, tmp_path):
+    """run() over whole documents with planted cases against single predictions, all pairs, separate searches and the tokenizers library."""
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rng = random.Random(13)
+    long = next(t for _, t, lang, _, _ in base if t and lang and len(t) > 900)
+    words = long.split()
+    near = " ".join([*words[:40], "otherwise", *words[41:]])
+    keys = bare_keys(4, 77)
+    planted = [long, near, long, f"{long[:300]} password = hunter2hunter2 {long[300:500]}", f"{long[200:420]} {keys[0]} {long[500:700]}", "".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=400)), "1234 5678", None, ""]
+    rows = base + [(10_000 + i, t, base[0][2], "planted", len(t or "")) for i, t in enumerate(planted)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+
+    model = language_id.fit(docs)
+    kept = {d: t for d, t, *_ in rows if not model.predict([t or ""])[2][0]}
+    assert {10_005, 10_006, 10_007, 10_008} & set(kept) == set() and {10_000, 10_003, 10_004} <= set(kept)
+    groups = brute(list(kept.items()))
+    kept = {d: t for d, t in kept.items() if groups[d][1] == d}
+    assert 10_001 not in kept and 10_002 not in kept
+    network = secrets.fit_network(spark.createDataFrame(list(kept.items()), "doc_id long, text string"))
+    clean = {}
+    for d, t in kept.items():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in plain_spans(t, network)[0].split(",") if x]
+        for a, b in reversed(covered_plainly(spans)):
+            t = t[:a] + "[SECRET]" + t[b:]
+        clean[d] = t
+    assert "hunter2" not in clean[10_003] and keys[0] not in clean[10_004]
+
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert set(got) == set(clean)
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    for d, t in clean.items():
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        for r in got[d]:
+            assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+        assert sum(r.length for r in got[d]) == len(ids)
+
+
+def covered_plainly(spans):
+    """Spans that overlap as one, by marking every character; spans that only touch stay two."""
+    found = []
+    for a, b in sorted(spans):
+        if found and a < found[-1][1]:
+            found[-1] = (found[-1][0], max(b, found[-1][1]))
+        else:
+            found.append((a, b))
+    return found
+
+
 def test_near_copies_where_texts_share_an_id(spark):
     import corpus_pipeline
 
