@@ -6,7 +6,8 @@ of each document. Texts with equal sets are one node from the start. The steps:
 1. One pass takes each text's set (shingles.py): its size, a 64-bit signature and a parity sketch, and
    counts shingles that are common within a task.
 2. Linked sets share one of the first n/5 + 1 shingles in any fixed order (prefix filter). Known common
-   shingles come last in the order. Prefix entries go to the task of their shingle as packed arrays.
+   shingles come last in the order, the commonest of all at its end. Prefix entries go to the task of their
+   shingle as packed arrays.
 3. Sets under one shingle are candidates if sizes allow it and the sketches differ in no more bits than
    linked sets could. Where a shingle holds more than LARGE sets, all of compatible size are candidates.
    Components of candidates bound what is compared next.
@@ -41,7 +42,7 @@ from .shingles import mixed, shingle_sets
 
 #: A shingle is common from so many sets within one task's stretch of shingles, and so many over all.
 LOCAL_COMMON, COMMON = 4, 64
-#: Common shingles to know of at most (8 bytes each to every task); the rest only cost time.
+#: Common shingles to know of at most (16 bytes each to every task); the rest only cost time.
 COMMON_KNOWN = 1 << 20
 STRETCH_SHINGLES = 2 << 20
 #: Prefix entries that a task packs at once.
@@ -105,8 +106,18 @@ def profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "common boolean, doc_id long, signature long, n long, sketch binary")
 
 
-def prefix_entries(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFrame:
-    """bucket, data: entries (shingle, signature, size) of the prefixes of the texts' sets."""
+def in_order(s: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A set's shingles in the order of the prefix filter: those not known as common, then known ones from the rarest on; ties by value."""
+    if not len(known):
+        return s
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    last = known[at] == s
+    often = s[last]
+    return np.concatenate([s[~last], often[np.argsort(counts[at[last]], kind="stable")]])
+
+
+def prefix_entries(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
+    """bucket, data: entries (shingle, signature, size) of the prefixes of the texts' sets. common: values, ascending, and counts."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # at most COMMON_KNOWN values
 
     def packed(shingles: list, signatures: list, sizes: list) -> pa.RecordBatch:
@@ -135,10 +146,7 @@ def prefix_entries(docs: DataFrame, common: np.ndarray, buckets: int) -> DataFra
                 if len(seen) < 1 << 20:
                     seen.add(own)
                 length = len(s) // 5 + 1
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    last = known[at] == s
-                    s = np.concatenate([s[~last], s[last]])
+                s = in_order(s, *known)
                 shingles.append(s[:length])
                 signatures.append(own)
                 sizes.append(len(s))
@@ -359,7 +367,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     own = profile.filter("not common").select("doc_id", "signature", "n", "sketch")
     nodes = written(own.filter("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
     common = profile.filter("common").groupBy("signature").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "signature").limit(COMMON_KNOWN)
-    known = np.sort(np.array([r[0] for r in common.select("signature").collect()], np.int64).view(np.uint64))
+    common = np.array([tuple(r) for r in common.select("signature", "n").collect()], np.int64).reshape(-1, 2)
+    order = np.argsort(common[:, 0].copy().view(np.uint64))
+    known = common[order, 0].copy().view(np.uint64), common[order, 1].copy()
 
     parts = partitions(spark)
     entries = prefix_entries(texts, known, 8 * parts).repartition(parts, "bucket")
