@@ -5,13 +5,18 @@ A pack is a row: id, start, symptoms, terminals (map) and gates (array of struct
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.gates import OPS, OUTCOMES, STATES, TERMINAL
 from quarry.functions.text import any_of
 
-from .shared import checkpoint_dir
+from .shared import written
+
+#: Rounds of a closure whose places are one table each.
+MERGED = 16
 
 GATE = "struct<id:string,type:string,title:string,quantity:string,condition:string,unit:string,op:string,spec_ref:string,literal:struct<value:double,min:double,max:double,unit:string,cite:string>,instruction:string,safeguard:string,risk:string,cuts_power:boolean,captures_dtcs:boolean,next:map<string,string>>"
 PACK_SCHEMA = f"id string, title string, ecu_family string, symptoms array<string>, start string, terminals map<string,string>, gates array<{GATE}>"
@@ -36,16 +41,20 @@ def edges_of(packs: DataFrame) -> DataFrame:
 def closure(seen: DataFrame, edges: DataFrame) -> DataFrame:
     """pack, gate: everything that seen leads to over edges (pack, gate, target), itself included.
 
-    A frontier of new places grows until it is empty; each round is checkpointed, so that the plan does
-    not grow with the rounds.
+    A frontier of new places grows until it is empty. Edges and every round's places are written, so neither is
+    computed twice and the plan of a round holds scans only; after MERGED rounds their tables become one.
     """
-    checkpoint_dir(seen.sparkSession)
-    seen = front = seen.select("pack", "gate").distinct().checkpoint()
+    edges = written(edges.select("pack", "gate", "target"), "edges")
+    found = [written(seen.select("pack", "gate").distinct(), "places")]
     while True:
-        front = front.join(edges, ["pack", "gate"]).select("pack", F.col("target").alias("gate")).distinct().join(seen, ["pack", "gate"], "left_anti").checkpoint()
+        known = reduce(DataFrame.union, found)
+        front = found[-1].join(edges, ["pack", "gate"]).select("pack", F.col("target").alias("gate")).distinct()
+        front = written(front.join(known, ["pack", "gate"], "left_anti"), "places")
         if front.isEmpty():
-            return seen
-        seen = seen.union(front).checkpoint()
+            return known
+        found.append(front)
+        if len(found) > MERGED:
+            found = [written(known, "places"), front]
 
 
 def _targets(gate: Column) -> Column:
