@@ -72,6 +72,26 @@ def test_large_posting_and_small_blocks(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_texts_of_common_passages_only(spark, monkeypatch):
+    """Texts put together from a few passages that many share: all shingles are known as common, postings are large, parts hold many groups."""
+    monkeypatch.setattr(ngram_join, "LOCAL_COMMON", 2)
+    monkeypatch.setattr(ngram_join, "COMMON", 3)
+    monkeypatch.setattr(ngram_join, "LARGE", 12)
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    rng = random.Random(31)
+    passages = [" ".join(rng.choices([f"p{i}" for i in range(60)], k=rng.randint(9, 30))) for _ in range(9)]
+    rows = [(d, " ".join(passages[i] for i in sorted(rng.sample(range(9), rng.randint(1, 5))))) for d in range(220)]
+    rows += [(1000 + d, f"{rows[d][1]} tail{d}") for d in range(60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_order_of_the_prefix_filter():
+    s, known, counts = np.array([1, 3, 5, 7, 9], np.uint64), np.array([3, 5, 9], np.uint64), np.array([70, 64, 70])
+    assert ngram_join.in_order(s, known, counts).tolist() == [1, 7, 5, 3, 9]
+    assert ngram_join.in_order(s, known[:0], counts[:0]).tolist() == s.tolist() and ngram_join.in_order(s[:0], known, counts).tolist() == []
+
+
 def test_overlaps_equal_counting():
     """The sparse product against plain set intersections, within one block and between two; also empty blocks and sets."""
     rng = np.random.default_rng(3)
