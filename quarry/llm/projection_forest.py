@@ -1,8 +1,11 @@
 """Near-duplicate vectors by a forest of random projections.
 
-Every tree splits the space again and again by random directions, at the median of a bounded sample;
-vectors within SPILL of the median (as a share of the sample) go to both sides. A tree is as deep as the
-number of vectors of a label asks for, so that leaves stay near LEAF vectors at every size: where a cell
+Every tree splits the space again and again by random directions. Links are pairs at a small angle, so a
+split has a spill zone of fixed width in the space of unit vectors, REACH of the distance that the threshold
+allows to each side, and what is in it goes to both sides. The split is where the zone holds least of a
+bounded sample, between its quartiles; where even that is more than MOST_SPILL, as inside a dense group
+of near copies, that direction does not split. A tree is as deep as the number of vectors of a label asks
+for, so that leaves stay near LEAF vectors, or as large as their group, at every size: where a cell
 holds fewer than MIN_SPLIT of the sample, its further splits take the limits that the last cell above it
 with as many has along the next directions. Vectors are compared only within leaves and only where
 labels and dimensions agree; every pair in a leaf is verified in double precision, and links are united
@@ -36,13 +39,16 @@ from .common import partitions, written
 from .components import components
 from .ngram_join import forest, grouped
 
-TREES = 8
+TREES = 6
 LEAF = 32
 BLOCK = 128
-SPILL = 0.02
+REACH = 0.5
+MOST_SPILL = 0.25
 SAMPLE = 20_000
 MIN_SPLIT = 64
 MAX_DEPTH = 40
+#: Places between a sample's quartiles that a split may take.
+PLACES = 33
 
 
 class Forest:
@@ -50,14 +56,16 @@ class Forest:
 
     The splits of a tree's level share one direction. low and high [tree, cell, level] are known for the cells
     that the sample reaches: at their own level and, where a cell's children would hold too little of the
-    sample, at all levels below it (elsewhere NaN).
+    sample, at all levels below it (elsewhere NaN). Where a direction does not split, both are infinite and all
+    goes to the left.
     """
 
-    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, spill: float = SPILL, seed: int = 17):
+    def __init__(self, sample: np.ndarray, depth: int, trees: int = TREES, threshold: float = 0.98, reach: float = REACH, seed: int = 17):
         self.depth, self.trees = depth, trees
         self.width = sample.shape[1] if sample.ndim == 2 and len(sample) else 1
+        self.zone = reach * float(np.sqrt(max(0.0, 2 - 2 * threshold)))  # of directions of unit variance
         self.directions = np.random.default_rng(seed).standard_normal((trees, self.width, max(1, depth)))
-        cells = 2 << min(depth, max(1, len(sample) // MIN_SPLIT).bit_length())
+        cells = 2 << min(depth, max(1, len(sample) // MIN_SPLIT).bit_length() + 2)
         self.low, self.high = np.full((2, trees, cells, max(1, depth)), np.nan)
         for t in range(trees):
             x = sample @ self.directions[t] if len(sample) else np.zeros((1, max(1, depth)))
@@ -66,17 +74,22 @@ class Forest:
                 below: dict[int, np.ndarray] = {}
                 for cell, rows in level.items():
                     last = len(rows) < 2 * MIN_SPLIT or 2 * cell + 1 >= cells
-                    to = depth if last else at + 1
-                    low, middle, high = np.quantile(x[rows, at:to], [0.5 - spill, 0.5, 0.5 + spill], axis=0)
-                    self.low[t, cell, at:to], self.high[t, cell, at:to] = low, high
-                    left = x[rows, at] <= middle[0]
-                    if not last and left.all():  # all alike: no sample to the right
-                        self.low[t, 2 * cell + 1, at + 1 :] = self.high[t, 2 * cell + 1, at + 1 :] = middle[0]
-                        below[2 * cell] = rows
-                    elif not last:
-                        below[2 * cell], below[2 * cell + 1] = rows[left], rows[~left]
+                    for k in range(at, depth if last else at + 1):
+                        self.low[t, cell, k], self.high[t, cell, k] = self.split(x[rows, k])
+                    if not last:
+                        middle = (self.low[t, cell, at] + self.high[t, cell, at]) / 2
+                        left = x[rows, at] <= middle
+                        below |= {2 * cell + side: part for side, part in enumerate((rows[left], rows[~left])) if len(part)}
                 level = below
 
+    def split(self, p: np.ndarray) -> tuple[float, float]:
+        """The zone, between the quartiles, that holds least of p, the nearest to the middle; infinite limits if it holds too much."""
+        p = np.sort(p)
+        places = p[(np.linspace(0.25, 0.75, PLACES) * (len(p) - 1)).astype(int)]
+        held = np.searchsorted(p, places + self.zone, "right") - np.searchsorted(p, places - self.zone, "left")
+        best = min(range(PLACES), key=lambda i: (held[i], abs(i - PLACES // 2)))
+        return (places[best] - self.zone, places[best] + self.zone) if held[best] <= MOST_SPILL * len(p) else (np.inf, np.inf)
+
     def leaves(self, vectors: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows, and codes of the leaves that they are in at their own depth, ascending; a code names the tree and the cell."""
         x = np.zeros((len(vectors), self.width))
@@ -115,7 +128,7 @@ def _first_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.any(axis=2), a, np.iinfo(np.int64).max).min(axis=1)
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, spill: float = SPILL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TREES, reach: float = REACH) -> DataFrame:
     """A row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     x = F.col("embedding").cast("array<double>")
@@ -134,7 +147,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, trees: int = TR
     depth = F.least(F.lit(MAX_DEPTH), F.greatest(F.lit(0), F.ceil(F.log2(F.col("_n") / LEAF)))).cast("int")
     counts = written(counts.select("label", depth.alias("depth")), "label-depths")
     deepest = counts.agg(F.max("depth")).first()[0] or 0
-    shared = spark.sparkContext.broadcast(Forest(unit(points) if len(points) else points, deepest, trees, spill))
+    shared = spark.sparkContext.broadcast(Forest(unit(points) if len(points) else points, deepest, trees, threshold, reach))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
