@@ -160,3 +160,39 @@ def scoped_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("scope"), F.col("o_custkey").cast("string").alias("cluster_id"), F.lit("m").alias("make"), F.lit("x").alias("model"), F.lit(2000).alias("year_start"), F.lit(2001).alias("year_end"), F.lit("").alias("note"), F.col("o_orderkey").alias("ord"))
     own = spark.createDataFrame([("1-URGENT", "brakes", 0), ("1-URGENT", "fuel", 1), ("2-HIGH", "brakes", 0), ("3-MEDIUM", "fuel", 0)], "scope string, job string, ord int")
     return jobs.targets(rows, own, ["1-URGENT", "2-HIGH"], ["1", "2", "5", "77"]).select("scope", "cluster_id", "job")
+
+
+@query("""SELECT p_partkey AS place, CAST(p_partkey AS VARCHAR) || '|' || p_name || ' "x"|' || CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'null' END AS row, (SELECT count(*) FROM part) AS row_count FROM part""")
+def export_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export as one JSON document, its rows and its count read back line by line."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(' "x"')).alias("name"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("brand"))
+    path = f"{shared_dir(spark, 'export')}/t"
+    sinks.export_document(rows, rows.columns, ["id"], path, "2024-01-01T00:00:00Z")
+    lines = spark.read.text(path)
+    count = lines.filter("value like '{%'").select(F.regexp_extract("value", '"row_count":([0-9]+)', 1).cast("long").alias("row_count"))  # one line
+    cells = F.from_json(F.rtrim("value", F.lit(",")), "array<string>")
+    found = lines.filter("value like '[%'").select(cells.alias("c"))
+    told = F.array_join("c", "|", "null")
+    return found.select(F.get("c", F.lit(0)).cast("long").alias("place"), told.alias("row")).join(F.broadcast(count))
+
+
+@query("""SELECT 'nation' AS part, CAST(n_nationkey AS VARCHAR) || '|' || n_name AS row FROM nation UNION ALL SELECT 'edge', CAST(n_regionkey AS VARCHAR) || '|' || CAST(n_nationkey AS VARCHAR) || '|e' FROM nation UNION ALL SELECT 'region', '"' || CAST(r_regionkey AS VARCHAR) || '":["structural","' || r_name || '"]' FROM region""")
+def compact_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A compact catalogue of nations, edges and regions, read back line by line."""
+    nations = table(spark, sf_dir, "nation")
+    path = f"{shared_dir(spark, 'compact')}/t"
+    groups = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("string").alias("cluster_id"), F.lit("structural").alias("type"), F.col("r_name").alias("label"))
+    sinks.compact(nations.select("n_nationkey", "n_name"), groups, nations.select("n_regionkey", "n_nationkey", F.lit("e").alias("scope")), path)
+    line = F.rtrim("value", F.lit(","))
+    cells = F.from_json(line, "array<string>")
+    rows = spark.read.text(path).filter("value rlike '^[\\\\[\"]'")
+    part = F.when(F.col("value").startswith('"'), "region").when(F.size(cells) == 2, "nation").otherwise("edge")
+    return rows.select(part.alias("part"), F.when(part == "region", line).otherwise(F.array_join(cells, "|")).alias("row"))
+
+
+@query("""SELECT '<script>const D=["' || string_agg(r_name || '<\\/b>', '","' ORDER BY r_regionkey) || '"],T="a page";</script>' AS page FROM region""")
+def bundled_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions' few names inside a page, safe within its script."""
+    names = [r[0] for r in table(spark, sf_dir, "region").orderBy("r_regionkey").select(F.concat("r_name", F.lit("</b>"))).collect()]
+    page = sinks.bundle('<script>const D=__DATA__,T="__TITLE__";</script>', {"__DATA__": names, "__TITLE__": "a page"})
+    return spark.createDataFrame([(page,)], "page string")
