@@ -59,4 +59,30 @@ TOP = """WITH own AS (SELECT vec_id, list_transform(embedding, lambda x: floor(2
 pairs AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM own q JOIN own c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM pairs) WHERE place <= 5"""
 
-ORACLE_SQL = {"op1_quotation_links": QUOTES, "op3_warc_packages": PACKAGES, "op6_ngram_jaccard_join": JACCARD, "op7_projection_forest": NEAR, "op9_exact_top_k": TOP}
+#: crc32 of a number's digits bit by bit; of each rebuilt conversation every prefix as one digest.
+TRIE = r"""WITH ordered AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda d: [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) % 6 AS heads FROM (SELECT DISTINCT conv_id FROM ordered)),
+parts AS (SELECT c.conv_id, 0 AS part, place, role, text FROM convs c JOIN ordered r ON r.conv_id = c.base AND place < heads UNION ALL SELECT c.conv_id, 1, place, role, text FROM convs c JOIN ordered r ON r.conv_id = c.conv_id AND place >= heads),
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(length(role) || ':' || role || text) AS key, length(text) AS size FROM parts),
+paths AS (SELECT conv_id, depth, size, sha256(string_agg(key, '' ) OVER (PARTITION BY conv_id ORDER BY depth)) AS path, depth = count(*) OVER (PARTITION BY conv_id) AS last FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '', conv_id NOT IN (SELECT conv_id FROM turns) FROM convs),
+named AS (SELECT *, min(conv_id) OVER (PARTITION BY depth, path) AS node FROM paths),
+nodes AS (SELECT node, depth, count(*) AS n_convs, min(size) AS size, sha256(coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM named GROUP BY 1, 2),
+linked AS (SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN named p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+children AS (SELECT parent AS node, depth - 1 AS depth, count(*) AS n_children FROM linked WHERE parent IS NOT NULL GROUP BY 1, 2),
+leaves AS (SELECT l.* FROM linked l LEFT JOIN children c USING (node, depth) WHERE n_children IS NULL),
+leaf_counts AS (SELECT a.node, a.depth, count(*) AS n_leaves FROM leaves l JOIN named a ON a.conv_id = l.node AND a.depth <= l.depth GROUP BY 1, 2),
+saved AS (SELECT a.node, a.depth, CAST(sum((n.n_convs - 1) * n.size) AS BIGINT) AS saved_tokens FROM nodes n JOIN named a ON a.conv_id = n.node AND a.depth <= n.depth GROUP BY 1, 2)
+SELECT node AS conv_id, depth, parent AS parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256 FROM linked LEFT JOIN children USING (node, depth) JOIN leaf_counts USING (node, depth) JOIN saved USING (node, depth)"""
+
+RANKED = r"""WITH doc_words AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents),
+sizes AS (SELECT row, doc_id, CAST(len(t) AS BIGINT) AS n FROM doc_words),
+totals AS (SELECT count(*) FILTER (n > 0) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM sizes),
+entries AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(t) AS term FROM doc_words) GROUP BY 1, 2),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(min(coalesce(text, '')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL GROUP BY item_id) GROUP BY 1, 2),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM entries, totals GROUP BY term, n_docs),
+scores AS (SELECT item_id, doc_id, row, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN entries USING (term) JOIN sizes USING (row), totals WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0) WHERE rank <= 20"""
+
+ORACLE_SQL = {"op1_quotation_links": QUOTES, "op3_warc_packages": PACKAGES, "op6_ngram_jaccard_join": JACCARD, "op7_projection_forest": NEAR, "op9_exact_top_k": TOP, "op12_prefix_trie": TRIE, "op13_ranked_search": RANKED}

@@ -13,8 +13,11 @@ from .language_id import fit, identify
 from .ngram_join import jaccard_components
 from .oracle import ORACLE_SQL
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .projection_forest import near_duplicates
+from .quality import quality_scores
 from .quotes import conversations_without_quotes
+from .ranked_search import ranked
 from .secrets import fit_network, scan
 from .token_files import token_file_digest
 from .topk_search import top_k
@@ -63,6 +66,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quotation_links": op1_quotation_links,
     "op2_packing": op2_packing,
@@ -74,6 +89,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_language_id": op10_language_id,
+    "op11_quality_classifier": op11_quality_classifier,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -9,7 +9,7 @@ import pytest
 from quarry.llm import registry
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = ("documents", "conversations", "pages", "embeddings")
+TABLES = ("documents", "conversations", "pages", "embeddings", "benchmark")
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
