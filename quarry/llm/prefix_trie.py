@@ -36,7 +36,7 @@ from .common import partitions, text_of, written
 #: Of the first turns of its hundred's conversation, one takes crc32(conv_id) % HEADS.
 FAMILY, HEADS = 100, 6
 #: Turns of a class that a task splits by itself, of all classes of a task about, and of a block of a chain.
-LOCAL, GROUP, CHAIN = 4096, 1 << 16, 4096
+LOCAL, GROUP, CHAIN = 1024, 1 << 16, 4096
 #: Ids in a piece of an end digest.
 PIECE = 1 << 16
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, top boolean, ender long"
