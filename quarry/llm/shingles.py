@@ -16,13 +16,12 @@ WIDTH = 5
 GROUP_BYTES = 1 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PLACE = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) | np.uint64(1)
 _SHORT = _rng.integers(1, 1 << 63, WIDTH + 1, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -34,14 +33,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, as often as needed."""
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        inverse = np.uint64(pow(int(_ODD), -1, 1 << 64))
-        for k, base in enumerate((_ODD, inverse)):
-            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, base, np.uint64)]))
-    return _powers[0][:n], _powers[1][:n]
+def word_hashes(joined: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A hash of each word joined[start:stop]: its blocks of eight bytes are mixed, each with its place, before they are added up."""
+    padded = np.append(_LOWER[joined], np.zeros(8, np.uint8))
+    eight = np.ndarray(len(joined), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    length = stops - starts
+    blocks = (length + 7) >> 3
+    begins = np.cumsum(blocks) - blocks
+    place = np.arange(int(blocks.sum())) - np.repeat(begins, blocks)
+    value = eight[np.repeat(starts, blocks) + 8 * place]
+    rest = np.minimum(np.repeat(length, blocks) - 8 * place, 8)
+    value &= ~np.uint64(0) >> (64 - 8 * rest).astype(np.uint64)
+    value = mixed(mixed(value) + mixed((place + 1).astype(np.uint64) * _ODD))
+    total = np.add.reduceat(value, begins) if len(begins) else value
+    return mixed(total + length.astype(np.uint64) * _ODD)
 
 
 def _group(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -51,10 +56,7 @@ def _group(texts: list[bytes]) -> Iterator[np.ndarray]:
     word = ~space
     starts = np.flatnonzero(word & np.append(True, space[:-1]))
     stops = np.flatnonzero(space & np.append(False, word[:-1]))
-    power, inverse = _power_table(len(joined) + 1)
-    total = np.zeros(len(joined) + 1, np.uint64)
-    np.cumsum(_BYTE[joined] * power[:-1], out=total[1:])
-    words = mixed((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * _ODD)
+    words = word_hashes(joined, starts, stops)
     cut = np.searchsorted(starts, ends)
     full = np.zeros(max(0, len(words) - WIDTH + 1), np.uint64)
     for k in range(WIDTH):
