@@ -2,10 +2,11 @@
 
 Every tree splits the space again and again by random directions. Links are pairs at a small angle, so a
 split has a spill zone of fixed width in the space of unit vectors, REACH of the distance that the threshold
-allows to each side, and what is in it goes to both sides. The split is where the zone holds least of a
-bounded sample, between its quartiles; where even that is more than MOST_SPILL, as inside a dense group
-of near copies, that direction does not split. A tree is as deep as the number of vectors of a label asks
-for, so that leaves stay near LEAF vectors, or as large as their group, at every size: where a cell
+allows to each side, and what is in it goes to both sides. The split is the place nearest the middle of a
+bounded sample, between its quartiles, where the zone holds at most LITTLE_MORE times the least; where even the
+least is more than MOST_SPILL, as inside a dense group of near copies, that direction does not split. A tree is
+as deep as the number of vectors of a label asks for, so that leaves stay within a few times LEAF vectors (the
+zones' copies come on top), or as large as their group, at every size: where a cell
 holds fewer than MIN_SPLIT of the sample, its further splits take the limits that the last cell above it
 with as many has along the next directions. Vectors are compared only within leaves and only where
 labels and dimensions agree; every pair in a leaf is verified in double precision, and links are united
@@ -44,6 +45,8 @@ LEAF = 32
 BLOCK = 128
 REACH = 0.5
 MOST_SPILL = 0.25
+#: Times what the emptiest zone holds that a zone nearer the middle may hold: without dense groups, splits are near the middle.
+LITTLE_MORE = 1.5
 SAMPLE = 20_000
 MIN_SPLIT = 64
 MAX_DEPTH = 40
@@ -83,12 +86,15 @@ class Forest:
                 level = below
 
     def split(self, p: np.ndarray) -> tuple[float, float]:
-        """The zone, between the quartiles, that holds least of p, the nearest to the middle; infinite limits if it holds too much."""
+        """The zone, between the quartiles, nearest the middle of those that hold little more of p than the one that holds least; infinite limits if that holds too much."""
         p = np.sort(p)
         places = p[(np.linspace(0.25, 0.75, PLACES) * (len(p) - 1)).astype(int)]
         held = np.searchsorted(p, places + self.zone, "right") - np.searchsorted(p, places - self.zone, "left")
-        best = min(range(PLACES), key=lambda i: (held[i], abs(i - PLACES // 2)))
-        return (places[best] - self.zone, places[best] + self.zone) if held[best] <= MOST_SPILL * len(p) else (np.inf, np.inf)
+        if held.min() > MOST_SPILL * len(p):
+            return np.inf, np.inf
+        few = np.flatnonzero(held <= LITTLE_MORE * held.min() + 0.25 * np.sqrt(len(p)))
+        place = places[few[np.argmin(np.abs(few - PLACES // 2))]]
+        return place - self.zone, place + self.zone
 
     def leaves(self, vectors: np.ndarray, depths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows, and codes of the leaves that they are in at their own depth, ascending; a code names the tree and the cell."""
