@@ -10,7 +10,8 @@ the driver, and no class, however common, is ranked in one task.
 Defined cases: a null or empty text is the end id alone; rows with a null doc_id are packed like any
 other; repeated rows are packed once each; pieces that tie in length rank by doc_id, start and checksum; very
 long texts are cut into as many pieces as they need; an empty table gives no pieces; other columns do not
-matter. The string of a special token in a text is text (wordpieces.py).
+matter. The string of a special token in a text becomes its id, as with the library's default, or with
+special_as_text is text.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ GAP = 1e-3
 MAX_ROUNDS = 20_000
 
 
-def cut_pieces(docs: DataFrame, vocabulary_path: str, size: int, end_id: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, vocabulary_path: str, size: int, end_id: int, special_as_text: bool = False) -> DataFrame:
     """A row per piece of at most size ids: doc_id, start, length, ids_crc32, doc_tokens, salt."""
     with open(vocabulary_path, "rb") as f:
         vocabulary = f.read()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "salt"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = piece_ids(vocabulary, True)
+        encoder = piece_ids(vocabulary, True, special_as_text)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
@@ -149,11 +150,11 @@ def slots(patterns: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pack(docs: DataFrame, vocabulary_path: str, size: int = 4096, end_id: int = 2) -> DataFrame:
+def pack(docs: DataFrame, vocabulary_path: str, size: int = 4096, end_id: int = 2, special_as_text: bool = False) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     spark = docs.sparkSession
     salts = max(64, partitions(spark))
-    pieces = written(cut_pieces(docs, vocabulary_path, size, end_id).withColumns({"class": F.ceil(F.col("length") / GRAIN).cast("int"), "salt": F.pmod("salt", F.lit(salts)).cast("int")}), "pieces")
+    pieces = written(cut_pieces(docs, vocabulary_path, size, end_id, special_as_text).withColumns({"class": F.ceil(F.col("length") / GRAIN).cast("int"), "salt": F.pmod("salt", F.lit(salts)).cast("int")}), "pieces")
     capacity = -(-size // GRAIN)
 
     counts = pieces.groupBy("class", "salt").count()

@@ -7,7 +7,7 @@ ascending ranges of document ids; the manifest's bases are prefix sums over the
 Defined cases: a null or empty text is the end id alone; rows with a null document id take no part;
 repeated ids keep all their rows, side by side in any order; very long texts are encoded whole, and ids go to
 the file every FLUSH_BYTES; an empty table gives no documents; other columns do not matter. The string of a
-special token in a text is text (wordpieces.py).
+special token in a text becomes its id, as with the library's default, or with special_as_text is text.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ MANIFEST = "part int, name string, wide boolean, docs long, tokens long"
 FLUSH_BYTES = 8 << 20
 
 
-def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False) -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", drops_space: bool = False, special_as_text: bool = False) -> DataFrame:
     """Encode every text, append end_id, write the parts; returns the manifest with each part's base.
 
     One shuffle brings ascending ranges of document ids together. A task writes under a name of its
@@ -41,7 +41,7 @@ def write_token_files(docs: DataFrame, out_dir: str, vocabulary_path: str, end_i
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(out_dir)
-        encoder = piece_ids(vocabulary, drops_space)
+        encoder = piece_ids(vocabulary, drops_space, special_as_text)
         wide = max(end_id, encoder.tokenizer.get_vocab_size() - 1) > 0xFFFF
         kind = "<u4" if wide else "<u2"
         end = np.asarray([end_id], "<u4").tobytes()

@@ -3,9 +3,9 @@
 Both pre-tokenisers used here never join what stands on the two sides of a chosen cut, so a text
 is cut there and each piece is encoded once per worker: prose repeats its words.
 
-A choice: the library's encode_special_tokens is on, so that the string of a special token that stands
-in a text, such as <|endoftext|>, is text like any other and never forges the end of a document. With
-the library's default it would become the special id.
+The string of a special token that stands in a text, such as <|endoftext|>, becomes its id, as is the library's
+default. No such string holds white space, so each stands in one piece. With special_as_text it is text like any
+other and forges no id.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ class PieceIds(dict):
     and a place in a list; a group of texts later, the tokenizer takes the list at once and fills the buffers.
     """
 
-    def __init__(self, vocabulary: bytes, drops_space: bool):
+    def __init__(self, vocabulary: bytes, drops_space: bool, special_as_text: bool = False):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         self.tokenizer = Tokenizer.from_str(vocabulary.decode("utf-8"))
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.drops_space = drops_space
         self.model = self.tokenizer.model
         self.line_end = array("I", self.tokenizer.encode("\n", add_special_tokens=False).ids).tobytes()
@@ -121,10 +121,10 @@ class PieceIds(dict):
         yield from self._group(group)
 
 
-def piece_ids(vocabulary: bytes, drops_space: bool) -> PieceIds:
+def piece_ids(vocabulary: bytes, drops_space: bool, special_as_text: bool = False) -> PieceIds:
     """One per worker process and vocabulary.
 
     drops_space: the tokenizer drops white space and never looks across it. Otherwise it must be a
     byte-level one that takes a single space with the word behind it.
     """
-    return worker_state((hash(vocabulary), drops_space), lambda: PieceIds(vocabulary, drops_space))
+    return worker_state((hash(vocabulary), drops_space, special_as_text), lambda: PieceIds(vocabulary, drops_space, special_as_text))

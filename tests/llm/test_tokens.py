@@ -30,7 +30,6 @@ def tik():
 
 def ids_of(name, text, end):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -74,16 +73,21 @@ def test_long_words(tik):
     assert time.perf_counter() - begun < 10 and bpe.decode(ids) == word.encode()
 
 
-def test_special_tokens_in_texts_are_text(spark):
-    """The stated choice: encode_special_tokens is on, so their strings are ordinary text; the library's default would give one id."""
-    texts = ["<|endoftext|>", "one <|endoftext|> two", "<|startoftext|>\n<|endoftext|> x", "a<|endoftext|>", "< |endoftext|>"]
+def test_special_tokens_in_texts(spark):
+    """Their strings become their ids, as with the library's default, wherever they stand; with special_as_text they are text."""
+    rng = np.random.default_rng(3)
+    texts = ["<|endoftext|>", "one <|endoftext|> two", "<|startoftext|>\n<|endoftext|> x", "a<|endoftext|>", "< |endoftext|>", "<|ENDOFTEXT|>"]
+    parts = ["<|endoftext|>", "<|startoftext|>", " ", "\n", "a", "Word", "don't", "é", ".", "<|", "  ", "12"]
+    texts += ["".join(rng.choice(parts, rng.integers(1, 12))) for _ in range(400)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     files = token_files.token_file_digest(docs, P.path("byte_bpe_50k.json"), 0).collect()
     assert {r.doc_id: r.ids_crc32 for r in files} == {i: zlib.crc32(ids_of("byte_bpe_50k.json", t, 0).tobytes()) for i, t in enumerate(texts)}
     packed = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
     assert {r.doc_id: r.ids_crc32 for r in packed} == {i: zlib.crc32(ids_of("word_bpe_49k.json", t, 2).tobytes()) for i, t in enumerate(texts)}
-    plain = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    assert plain.encode(texts[0], add_special_tokens=False).ids == [50256] and len(ids_of("byte_bpe_50k.json", texts[0], 0)) > 2
+    plain = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    plain.encode_special_tokens = True
+    as_text = packing.pack(docs, P.path("word_bpe_49k.json"), special_as_text=True).collect()
+    assert {r.doc_id: r.doc_tokens for r in as_text} == {i: len(plain.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
 
 
 def test_token_files(spark):
