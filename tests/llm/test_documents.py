@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import language_id, ngram_join, quotes, secrets
 from quarry.llm.components import components
-from quarry.llm.shingles import shingle_sets
+from quarry.llm.shingles import shingle_sets, word_hashes
 
 
 def words_of(text):
@@ -297,11 +297,12 @@ def plain_spans(text, network):
     spans = list(base)
     for m in re.finditer("[A-Za-z0-9+/_=-]+", text):
         a, b = m.span()
-        if b - a >= 16 or b - a >= 8 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]):
+        word = re.fullmatch("[A-Za-z]{0,2}[a-z]+|[A-Z]+", m[0])
+        if re.search("[A-Za-z]", m[0]) and (b - a >= 16 or b - a >= 8 and not word):
             if not any(x < b and a < y for _, x, y in base):
                 cuts = sorted({*range(a, max(a, b - 48), 24), max(a, b - 48)})
                 windows = np.stack([secrets.window(text, c, min(b, c + 48)) for c in cuts])
-                if network.probabilities(windows).max() >= network.threshold:
+                if network.probabilities(windows).max() >= network.thresholds[sum(b - a >= n for n in (12, 16, 24))]:
                     spans.append(("cnn", a, b))
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))), base
 
@@ -338,7 +339,7 @@ def test_scan_equals_separate_searches_and_holds_out(spark):
     caught = [("cnn" in got[i].spans) or (len(keys[i]) >= 32 and "hex" in got[i].spans) for i in range(300)]
     wrong = ["cnn" in got[300 + i].spans for i in range(400)]
     assert np.mean(caught) >= 0.9 and np.mean(wrong) <= 0.05, (np.mean(caught), np.mean(wrong))
-    assert network.recall >= secrets.RECALL - 0.01 and network.false_rate <= 0.05
+    assert (network.recall >= np.array(secrets.RECALL) - 0.01).all() and (network.false_rate <= 0.05).all()
     for i, text in enumerate(texts):
         spans, base = plain_spans(text or "", network)
         assert got[i].spans == spans and (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(k == x for k, _, _ in base) for x in secrets.KINDS[:3])
@@ -346,10 +347,52 @@ def test_scan_equals_separate_searches_and_holds_out(spark):
         assert got[i].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
 
 
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.fit_network(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_recall_by_length(spark, trained):
+    """Bare keys of each length in text that was not learned from: at least 0.9 are found, whole; a plain word of one case is no candidate."""
+    rng = random.Random(6)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    texts = [r.text[:500] for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(400).collect()]
+    kinds = {n: (letters + "0123456789", n) for n in (8, 12, 16, 20, 32)} | {"12 letters": (letters, 12), "16 letters": (letters, 16), "base64 of 40": (letters + "0123456789+/", 40)}
+    for kind, (signs, n) in kinds.items():
+        found = []
+        for _ in range(400):
+            words = rng.choice(texts).split(" ")
+            words[at := rng.randrange(len(words))] = key = "".join(rng.choices(signs, k=n))
+            begin = sum(len(w) + 1 for w in words[:at])
+            spans = secrets.find_all([" ".join(words)], trained)[0]
+            found.append(any(a <= begin and begin + len(key) <= b for a, _, b in spans))
+        assert np.mean(found) >= 0.9, (kind, np.mean(found))
+
+
+def test_clean_runs_by_length(trained):
+    """At most 5 % of the clean runs of each class of lengths are told as keys, and of the corpus's own candidates at most 1 %."""
+    rng = random.Random(7)
+    runs = clean_runs(1200, 13)
+    words = "wave frame session page table model index server client query user group order total price value first last name list item count field event error input output".split()
+    runs += [f"{rng.choice(words)}{rng.choice(['-', '_', ''])}{rng.randint(1000, 9999)}" for _ in range(400)]
+    runs += ["".join(w.capitalize() for w in rng.sample(words, k)) for k in (2, 3) for _ in range(300)] + [rng.choice("-_/").join(rng.sample(words, 2)) for _ in range(400)]
+    runs = [r for r in runs if len(r) >= 8]
+    texts = [f"here is {r} and more" for r in runs]
+    told = np.array([any(k == 3 for _, k, _ in s) for s in secrets.find_all(texts, trained)])
+    own = secrets.length_class(np.array(list(map(len, runs))))
+    for k in range(len(secrets.CLASSES)):
+        assert told[own == k].mean() <= 0.05, (k, told[own == k].mean(), (own == k).sum())
+
+
+def test_plain_words_and_numbers_are_no_candidates():
+    text = "Ordinary SHOUTING lowercase SSbelich 2024-10-12 12345678901234567890 ---------- xKqPvBnM half-way CamelCase a1b2c3d4"
+    assert [text[a:b] for a, b in secrets.candidates(text, [])] == ["xKqPvBnM", "half-way", "CamelCase", "a1b2c3d4"]
+
+
 def test_a_network_without_any_finding(spark):
     """The starting set alone: an empty table has a network as well, with finite calibration."""
     network = secrets.fit_network(spark.createDataFrame([], "doc_id long, text string"))
-    assert 0 < network.scale < 50 and abs(network.offset) < 50 and 0 < network.threshold < 1
+    assert 0 < network.scale < 50 and abs(network.offset) < 50 and ((0 < network.thresholds) & (network.thresholds < 1)).all()
     texts = [f"see {k} there" for k in bare_keys(120, 3)]
     assert np.mean([bool(s) for s in secrets.find_all(texts, network)]) >= 0.9
 
@@ -357,8 +400,8 @@ def test_a_network_without_any_finding(spark):
 def test_calibration_of_separable_scores_is_finite():
     network = secrets.CharNetwork()
     network.logits = lambda x: np.where(np.arange(len(x)) < 50, 900.0, -900.0)
-    network.calibrate(np.zeros((100, secrets.WINDOW), np.uint8), np.repeat([1, 0], 50))
-    assert np.isfinite([network.scale, network.offset, network.threshold]).all() and 0 < network.scale <= 2 and network.recall == 1 and network.false_rate == 0
+    network.calibrate(np.ones((100, secrets.WINDOW), np.uint8), np.repeat([1, 0], 50))
+    assert np.isfinite([network.scale, network.offset, *network.thresholds]).all() and 0 < network.scale <= 2 and network.recall[-1] == 1 and network.false_rate[-1] == 0
 
 
 def test_many_spans_take_linear_time():
@@ -378,7 +421,7 @@ def test_network_holds_out():
     network = secrets.CharNetwork()
     network.fit(x[fold == 0], y[fold == 0])
     network.calibrate(x[fold == 1], y[fold == 1])
-    p = network.probabilities(x[fold == 2]) >= network.threshold
+    p = network.probabilities(x[fold == 2]) >= network.thresholds[-1]
     assert p[y[fold == 2] == 1].mean() >= 0.95 and p[y[fold == 2] == 0].mean() <= 0.05
 
 
@@ -537,7 +580,6 @@ def test_pipeline_equals_a_plain_walk(spark, tmp_path):
         got.setdefault(r.doc_id, []).append(r)
     assert set(got) == set(clean)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     for d, t in clean.items():
         ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
         for r in got[d]:
@@ -577,3 +619,53 @@ def test_pipeline_on_nothing_and_on_nulls(spark):
             out = stage(spark, docs, "")
             assert out.schema.names == docs.schema.names and out.count() <= docs.count(), name
         assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() == len(rows)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() % 2] for i in range(n))
+
+
+def test_words_that_sums_of_powers_confuse(spark):
+    """Words of 2^k letters that alternate as Thue and Morse have it agree in every sum of powers of an odd number modulo 2^64."""
+    word = thue_morse(2048)
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, word), (2, other), (3, f"{long} {word}"), (4, f"{long} {other}"), (5, other.upper())]
+    found = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute(rows) == {1: (1, 1), 2: (1, 2), 3: (37, 3), 4: (37, 3), 5: (1, 2)}
+    import corpus_pipeline
+
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), None)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+
+
+def test_hashes_of_words_by_blocks():
+    rng, words = random.Random(3), set()
+    while len(words) < 20_000:
+        words.add("".join(rng.choices("ab", k=rng.randint(1, 40))))
+    words = sorted(words)
+    data = np.frombuffer(" ".join(words).encode() + b" ", np.uint8)
+    stops = np.cumsum([len(w) + 1 for w in words]) - 1
+    found = word_hashes(data, stops - [len(w) for w in words], stops)
+    assert len(set(found.tolist())) == len(words)
+    one, two = word_hashes(np.frombuffer(b"ABCDEFGHIJ abcdefghij ", np.uint8), np.array([0, 11]), np.array([10, 21]))
+    assert one == two
+
+
+NAMES = ["_node", "_low", "_high", "_many", "_first", "_digest", "node", "low", "high", "many", "first", "row", "id", "digest", "signature", "n", "component_id", "spans", "held_out", "rejected", "bucket", "piece", "start", "place", "a-b c"]
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    rows = [(d, t, "en", "s", k) for k in range(4) for d, t in [(1, "some words of a text"), (2, "some words of a text"), (None, "no id"), (3, None), (4, "a password = abcdefgh12")]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit(f"{c} "), F.col("n_chars").cast("string")) for c in NAMES})
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        found = stage(spark, docs, "")
+        assert found.columns == docs.columns
+        for r in found.collect():
+            assert {r[c].rpartition(" ")[0] for c in NAMES} == set(NAMES) and len({r[c].rpartition(" ")[2] for c in NAMES}) == 1
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs.repartition(5), "")
+    assert sorted((r.doc_id or 0, r.n_chars) for r in kept.collect()) == [(0, 0), (0, 1), (0, 2), (0, 3), (1, 0), (3, 0), (4, 0)]
+    assert corpus_pipeline.packing(spark, docs, "").count() == len(rows)
