@@ -81,6 +81,14 @@ def query_terms(query: Column | str) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(STOP_WORDS)))
 
 
+def asked_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
+    """query_id, term and how many of the query's distinct terms have that stem."""
+    asked = queries.select("query_id", F.explode(query_terms("query")).alias("term"))
+    if stem:
+        asked = asked.select("query_id", fold_and_stem("term").alias("term"))
+    return asked.groupBy("query_id", "term").agg(F.count("*").alias("times"))
+
+
 #: As many asked forms of words are sent to every task; more are joined by Spark's own choice.
 FEW_FORMS = 200_000
 
@@ -95,27 +103,29 @@ def bm25(queries: DataFrame, rows: DataFrame, key: str, text: Column | str | lis
     """
     text = F.concat_ws(" ", *text) if isinstance(text, list) else text
     own = rows.select(key, terms(F.coalesce(col(text), F.lit(""))).alias("terms")).withColumn("length", F.size("terms"))
-    words = own.select(key, "length", F.explode("terms").alias("form"))
-    asked = queries.select("query_id", F.explode(query_terms("query")).alias("term"))
-    if stem:
-        asked = asked.select("query_id", fold_and_stem("term").alias("term"))
-    asked = written(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "asked")
+    asked = written(asked_terms(queries, stem), "asked")
     wanted = asked.select("term").distinct()
     if stem:
-        forms = words.select("form").distinct().withColumn("term", fold_and_stem("form")).join(wanted, "term", "left_semi")
+        forms = own.select(F.explode("terms").alias("form")).distinct().withColumn("term", fold_and_stem("form")).join(wanted, "term", "left_semi")
     else:
         forms = wanted.select("term", F.col("term").alias("form"))
     forms = written(forms, "forms")
     if forms.count() <= FEW_FORMS:
         forms = F.broadcast(forms)
+    words = own.select(key, "length", F.explode("terms").alias("form"))
     hits = written(words.join(forms, "form").groupBy("term", key).agg(F.count("*").alias("tf"), F.max("length").alias("length")), "postings")
+    total = own.agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))
+    return scored(hits, asked, total, key, k)
+
+
+def scored(hits: DataFrame, asked: DataFrame, total: DataFrame, key: str, k: int | None) -> DataFrame:
+    """query_id, key, score and place of the k best rows, from postings (term, key, tf, length), asked terms and one row of totals (n_rows, mean_length)."""
     frequency = hits.groupBy("term").agg(F.count("*").alias("df"))
-    total = own.agg(F.count("*").alias("n_rows"), F.avg("length").alias("mean_length"))  # one row
-    scored = hits.join(frequency, "term").join(asked, "term").join(F.broadcast(total))
+    rows = hits.join(frequency, "term").join(asked, "term").join(F.broadcast(total))
     idf = F.ln((F.col("n_rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     weight = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scores = scored.groupBy("query_id", key).agg((-F.sum(weight)).alias("score"))
+    scores = rows.groupBy("query_id", key).agg((-F.sum(weight)).alias("score"))
     if k is None:
         return scores
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9), key))
