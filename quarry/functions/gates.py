@@ -63,10 +63,11 @@ def evaluate(kind: Column | str, op: Column | str, num: Column | str, flag: Colu
 
 
 def captured_spec(kind: Column | str, values: Column | str) -> Column:
-    """value, vmin, vmax out of an operator's numbers: two for a window, in either order, one for a threshold; null otherwise."""
-    kind, values = col(kind), F.array_sort(col(values))
+    """value, vmin, vmax out of an operator's numbers as given: the first for a threshold, the first two in either order for a window; null where they are too few."""
+    kind, values = col(kind), col(values)
     none = F.lit(None).cast("double")
-    one, pair = (kind == "threshold") & (F.size(values) == 1), (kind == "window") & (F.size(values) == 2)
+    one, pair = (kind == "threshold") & (F.size(values) >= 1), (kind == "window") & (F.size(values) >= 2)
+    values = F.when(pair, F.array_sort(F.slice(values, 1, 2))).otherwise(values)
     first, last = F.get(values, F.lit(0)), F.get(values, F.lit(1))
     return F.when(one, F.struct(first.alias("value"), none.alias("vmin"), none.alias("vmax"))).when(pair, F.struct(none.alias("value"), first.alias("vmin"), last.alias("vmax")))
 
@@ -96,11 +97,6 @@ def spec_text(kind: Column | str, op: Column | str, value: Column | str, vmin: C
     return F.concat(body, F.lit(" ["), col(cite), F.lit("]"))
 
 
-def status(intake: Column, terminal: Column, needs_dtcs: Column, needs_ack: Column, has_reading: Column, resolution: Column, fits: Column) -> Column:
-    """What a session waits for, first reason first."""
-    return F.when(~intake, "INTAKE").when(terminal, "TERMINAL").when(needs_dtcs, "NEED_DTCS").when(needs_ack, "NEED_ACK").when(has_reading & (resolution == "CONFLICT"), "NEED_CHOICE").when(has_reading & ~((resolution == "RESOLVED") & fits), "NEED_SPEC").otherwise("NEED_READING")
-
-
 def token(kind: Column | str, gate: Column | str, outcome: Column | str) -> Column:
     kind, gate = col(kind), col(gate)
     body = F.when(kind == "INTAKE", F.lit("INTAKE")).when(kind == "HALT", F.lit("HALT-NO-TELEMETRY")).when(kind == "GATE", F.concat(F.lit("GATE-"), gate, F.lit("-"), col(outcome))).when(kind.isin("RISK-ACK", "PENDING", "TERMINAL"), F.concat(kind, F.lit("-"), gate))
@@ -115,4 +111,4 @@ def parse_token(line: Column | str) -> Column:
     return F.when(line.rlike(TOKEN), F.struct(kind.alias("kind"), F.coalesce(part(2), part(6), part(7), F.lit("")).alias("gate"), F.coalesce(part(3), F.lit("")).alias("outcome")))
 
 
-__all__ = ["BANDS", "band", "captured_spec", "citation", "evaluate", "limit", "parse_token", "reading_problem", "spec_body", "spec_fits", "spec_text", "status", "token"]
+__all__ = ["BANDS", "band", "captured_spec", "citation", "evaluate", "limit", "parse_token", "reading_problem", "spec_body", "spec_fits", "spec_text", "token"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import col, cost, slug, year_label
 
 from .merge import first_labels, insert_or_replace, placed
+from .shared import fresh
 
 PLANNED_OUTPUT, MOST_OUTPUT, SIBLINGS = 3500, 8000, 8
 
@@ -60,5 +61,6 @@ def batch_summary(rows: DataFrame) -> DataFrame:
 def spread_sample(rows: DataFrame, limit: int) -> DataFrame:
     """Every n-th target in order, at most limit."""
     step = max(1, rows.count() // max(1, limit))
-    own = placed(rows, ["scope", "cluster_id", "job_ord"])
-    return own.filter((F.col("_place") % step == 0) & (F.col("_place") < step * limit)).drop("_place")
+    (place,) = fresh(rows, "_place")
+    own = placed(rows, ["scope", "cluster_id", "job_ord"], place)
+    return own.filter((F.col(place) % step == 0) & (F.col(place) < step * limit)).drop(place)

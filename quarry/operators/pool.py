@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from quarry.functions.matching import model_matches, norm_make
 from quarry.functions.text import tags
 
+from .shared import fresh
+
 
 def subjects(vehicles: DataFrame, make: str, model: str, year: int, separators: bool = False) -> DataFrame:
     """Vehicles that a make, model and year can mean."""
@@ -26,7 +28,8 @@ def bucket(kind: Column) -> Column:
 
 def keep_first(rows: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in a stated order; rows that tie in all of it are alike in what is kept."""
-    return rows.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_place = 1").drop("_place")
+    (place,) = fresh(rows, "_place")
+    return rows.withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) == 1).drop(place)
 
 
 def sibling_pool(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame, found: DataFrame, case_sensitive: bool = False) -> DataFrame:

@@ -35,6 +35,18 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: its lineage ends there and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name) + "/table"

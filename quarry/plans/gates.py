@@ -254,11 +254,12 @@ def reading_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readings.join(sessions.few(gates), "gate").select("event_id", problem.alias("problem")).filter("problem is not null")
 
 
-@query("""WITH told AS (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'window' ELSE 'threshold' END AS kind, list_sort(list(l_quantity)) AS v FROM lineitem GROUP BY l_orderkey)
-SELECT l_orderkey, CASE WHEN kind = 'threshold' THEN v[1] END AS value, CASE WHEN kind = 'window' THEN v[1] END AS vmin, CASE WHEN kind = 'window' THEN v[2] END AS vmax FROM told WHERE (kind = 'window' AND len(v) = 2) OR (kind = 'threshold' AND len(v) = 1)""")
+@query("""WITH told AS (SELECT l_orderkey, CASE WHEN l_orderkey % 2 = 0 THEN 'window' ELSE 'threshold' END AS kind, list(l_quantity ORDER BY l_linenumber, l_quantity) AS v FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, CASE WHEN kind = 'threshold' THEN v[1] END AS value, CASE WHEN kind = 'window' THEN least(v[1], v[2]) END AS vmin, CASE WHEN kind = 'window' THEN greatest(v[1], v[2]) END AS vmax FROM told WHERE kind = 'threshold' OR len(v) >= 2""")
 def captured_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's quantities as an operator's numbers: two make a window, one a threshold, other counts nothing."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_quantity").cast("double")).alias("v"))  # an order's few lines
+    """An order's quantities, line by line, as an operator's numbers: the first two make a window, the first one a threshold."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("double").alias("q"))))  # an order's few lines
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(lines["q"].alias("v"))
     spec = captured_spec(F.when(F.col("l_orderkey") % 2 == 0, "window").otherwise("threshold"), "v")
     return rows.select("l_orderkey", spec.alias("s")).filter("s is not null").select("l_orderkey", "s.*")
 

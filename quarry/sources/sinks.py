@@ -43,7 +43,7 @@ def json_document(sections: list[tuple[str, DataFrame | None, list[Column | str]
     for i, (_, items, order) in enumerate(sections):
         if items is not None:
             own = placed(items, order)
-            n = items.count()
+            n = own.count()
             lines = lines.unionByName(own.select(F.lit(2 * i + 1).alias("section"), F.col("_place").alias("place"), F.concat("value", F.when(F.col("_place") < n - 1, ",").otherwise("")).alias("value")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines.repartitionByRange(parts, "section", "place").sortWithinPartitions("section", "place").select("value").write.text(path)

@@ -30,4 +30,7 @@ def commit(spark: SparkSession, root: str, new: dict[str, DataFrame]) -> None:
         df.write.parquet(f"{folder}/{name}")
         known[name] = f"{folder}/{name}"
     lines = spark.createDataFrame([(f"{k}\t{v}",) for k, v in sorted(known.items())], "value string")
-    lines.coalesce(1).write.text(f"{folder}/{MARKER}")
+    lines.coalesce(1).write.text(f"{folder}/{MARKER}.new")
+    # a marker has its name only when it is whole
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{MARKER}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(path.suffix(".new"), path)

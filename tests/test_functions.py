@@ -71,14 +71,6 @@ def test_tokens(spark):
     assert one(spark, gates.parse_token(F.lit("COMMIT: DEV-BRANCH-GATE-A-MAYBE"))) is None
 
 
-def test_status_order(spark):
-    no, yes = F.lit(False), F.lit(True)
-    assert one(spark, gates.status(no, yes, yes, yes, yes, F.lit("CONFLICT"), no)) == "INTAKE"
-    assert one(spark, gates.status(yes, no, no, yes, yes, F.lit("CONFLICT"), no)) == "NEED_ACK"
-    assert one(spark, gates.status(yes, no, no, no, yes, F.lit("CONFLICT"), no)) == "NEED_CHOICE"
-    assert one(spark, gates.status(yes, no, no, no, no, F.lit("CONFLICT"), no)) == "NEED_READING"
-
-
 @pytest.mark.parametrize(
     "message, expected",
     [

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions import gates
 from quarry.plans.gates import PACK, gate
-from quarry.streaming.sessions import OUTPUT, Session, append_ledger, session_stream
+from quarry.streaming import turns
+from quarry.streaming.sessions import EVENT, KINDS, OUTPUT, Session, append_ledger, session_stream
 
 
 def event(turn, kind, gate=None, **more):
@@ -79,6 +80,23 @@ def test_a_proposal_counts_only_with_a_yes_right_behind_it():
     assert w.handle(event(11, "read", num=20.0))[0] == ["DEV-BRANCH-GATE-CLICK-PASS", "DEV-BRANCH-GATE-PURCHASE-YES", "DEV-BRANCH-TERMINAL-DONE"]
 
 
+def test_a_proposal_of_several_readings_codes_and_a_spec():
+    """Applied together: codes, then the spec, then each reading for its gate; what cannot be applied is told and keeps nothing back."""
+    w = Session(RISKY, intake=False)
+    readings = [{"gate": "CODES", "flag": False}, {"gate": "BATT", "num": 12.5, "unit": "V"}, {"gate": "WIRE", "num": 3.0}]
+    assert w.handle(event(0, "propose", text="p0420 P0420", readings=readings)) == ([], None) and w.facts["codes"] == []
+    commits, problem = w.handle(event(1, "yes"))
+    assert commits == ["DEV-BRANCH-GATE-CODES-NO", "DEV-BRANCH-PENDING-BATT", "DEV-BRANCH-PENDING-WIRE"] and problem is None and w.facts["codes"] == ["P0420"]
+    w.handle(event(2, "codes_captured"))
+    assert w.handle(event(3, "ack"))[0] == ["DEV-BRANCH-RISK-ACK-BATT", "DEV-BRANCH-GATE-BATT-PASS"] and w.status() == "NEED_SPEC"
+    assert w.handle(event(4, "propose", low=1.0, high=2.0)) == ([], None)
+    assert w.handle(event(5, "yes"))[0] == ["DEV-BRANCH-GATE-WIRE-HIGH", "DEV-BRANCH-TERMINAL-OK"]
+    w = Session(PACK, intake=False)
+    w.handle(event(0, "propose", readings=[{"gate": "VIEW", "num": 9.0}, {"gate": "VIEW", "num": 8.0}, {"gate": "PURCHASE", "flag": True}]))
+    assert w.handle(event(1, "yes")) == (["DEV-BRANCH-GATE-VIEW-PASS", "DEV-BRANCH-PENDING-PURCHASE"], "nothing to hold that for")
+    assert w.handle(event(2, "propose"))[1] == "nothing is proposed" and w.handle(event(3, "propose", readings=[{"gate": "X", "num": 1.0}]))[1] == "no such gate"
+
+
 def test_bands_and_columns_agree(spark):
     """The keyed state's rule and the column expression, at, between and beyond the limits, with and without them."""
     numbers = [-1.0, 0.0, 1.0, 1.5, 2.0, 3.0]
@@ -111,7 +129,7 @@ def test_stream_in_two_runs_equals_one_walk(spark, tmp_path):
     assert got == want and want["a", 5][0][-1] == "DEV-BRANCH-TERMINAL-DONE" and want["a", 3][1] and want["a", 4][1] == "unknown kind of event"
 
 
-@pytest.mark.parametrize("kind, values, expected", [("window", [3.0, 1.0], (None, 1.0, 3.0)), ("threshold", [2.0], (2.0, None, None)), ("window", [1.0], None), ("threshold", [1.0, 2.0], None), ("boolean", [1.0], None), ("window", [], None)])
+@pytest.mark.parametrize("kind, values, expected", [("window", [3.0, 1.0], (None, 1.0, 3.0)), ("threshold", [2.0], (2.0, None, None)), ("window", [1.0], None), ("threshold", [3.0, 1.0, 2.0], (3.0, None, None)), ("window", [5.0, 1.0, 0.5, 9.0], (None, 1.0, 5.0)), ("threshold", [], None), ("window", None, None), ("boolean", [1.0], None), ("window", [], None)])
 def test_captured_spec(spark, kind, values, expected):
     got = spark.createDataFrame([(kind, values)], "k string, v array<double>").select(gates.captured_spec("k", "v").alias("s")).first()["s"]
     assert got == expected if expected is None else tuple(got) == expected
@@ -125,3 +143,87 @@ def test_unsound_ledgers_are_seen(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
     assert got == {True, False} == {r[0] for r in con.sql(f"SELECT DISTINCT sound FROM ({registry.ORACLE_SQL['ledger_replay']})").fetchall()}
+
+
+ODD = [None, float("nan"), float("inf"), float("-inf"), -1.0, 1e300]
+
+
+def test_no_event_ends_the_stream(spark, tmp_path):
+    """Nulls, NaN and infinities in every field, and events without turn or kind: a row each, and sessions go on."""
+    kinds = [*KINDS, "nonsense", None]
+    rows, turn = [], 0
+    for session in ("a", None):
+        for kind in kinds:
+            for x in ODD:
+                rows.append((session, None if turn % 5 == 4 else turn, kind, None if turn % 2 else "CLICK", x, x, x, [("VIEW", x, None)] if turn % 3 == 0 else None))
+                turn += 1
+        rows.append((session, 2**62 + 1, "intake", None, None, None, None, None))
+        rows.append((session, 2**62 + 2, "read", None, 7.0, None, None, None))
+    schema = "session string, turn long, kind string, gate string, num double, low double, high double, readings array<struct<gate string, num double, flag boolean>>"
+    spark.createDataFrame(rows, schema).withColumn("readings", F.col("readings").cast(EVENT["readings"].replace(", unit string, state string", ""))).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{tmp_path}/in").schema).parquet(f"{tmp_path}/in")
+    stream = stream.withColumn("readings", F.transform("readings", lambda r: F.struct(r["gate"].alias("gate"), r["num"].alias("num"), r["flag"].alias("flag"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("state"))))
+    append_ledger(session_stream(stream, PACK), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    got = spark.read.schema(OUTPUT).parquet(f"{tmp_path}/out").collect()
+    assert len(got) == len(rows) and sorted(map(str, (r.turn for r in got))) == sorted(str(r[1]) for r in rows)
+    assert all(r.problem == "no turn" for r in got if r.turn is None)
+    assert not any((r.problem or "").startswith(("TypeError", "OverflowError", "KeyError")) for r in got)
+    assert {r.gate for r in got if r.turn == 2**62 + 2} != {"VIEW"}
+
+
+BENCH = RISKY | {
+    "id": "bench", "symptoms": ["no start", "cranks but"],
+    "gates": [
+        RISKY["gates"][0] | {"title": "Codes", "quantity": "codes"},
+        RISKY["gates"][1] | {"title": "Battery", "quantity": "battery voltage", "unit": "V", "condition": "KOEO"},
+        RISKY["gates"][2] | {"title": "Wire", "quantity": "wire resistance", "unit": "ohm", "condition": "KEY_OFF"},
+    ],
+}
+
+#: Text, and what it leads to: context, commits, status, gate.
+SCRIPT = [
+    ("hello there", ("INTAKE", [], "INTAKE", None)),
+    ("1998 Acme Roadster, no start", ("TURN", [], "NEED_READING", "CODES")),
+    ("what is a ground strap?", ("CHAT-Q", [], "NEED_READING", "CODES")),
+    ("battery reads 12.6 V key on", ("CHAT-CONFIRM", [], "NEED_READING", "CODES")),
+    ("what now", ("TURN", [], "NEED_READING", "CODES")),
+    ("battery reads 12.4 V key on, wire is 3 ohm, p0420", ("CHAT-CONFIRM", [], "NEED_READING", "CODES")),
+    ("yes", ("CHAT-CONFIRM", ["PENDING-BATT", "PENDING-WIRE"], "NEED_READING", "CODES")),
+    ("no", ("TURN", ["GATE-CODES-NO"], "NEED_DTCS", "BATT")),
+    ("dtcs captured", ("TURN", [], "NEED_ACK", "BATT")),
+    ("ack", ("TURN", ["RISK-ACK-BATT", "GATE-BATT-PASS"], "NEED_SPEC", "WIRE")),
+    ("it says 5 ohm to 1 ohm", ("CHAT-CONFIRM", [], "NEED_SPEC", "WIRE")),
+    ("nope", ("CHAT-CONFIRM", [], "NEED_SPEC", "WIRE")),
+    ("it says 5 ohm to 1 ohm", ("CHAT-CONFIRM", [], "NEED_SPEC", "WIRE")),
+    ("yes", ("CHAT-CONFIRM", ["GATE-WIRE-PASS", "TERMINAL-OK"], "TERMINAL", "TERMINAL-OK")),
+    ("reads 3 ohm", ("TURN", [], "TERMINAL", "TERMINAL-OK")),
+]
+
+
+@pytest.mark.parametrize("cuts", [(0, 15), (0, 6, 11, 15)])
+def test_turns_of_a_script(spark, tmp_path, cuts):
+    """One script for two sessions, in one run or with restarts in the middle of proposals: contexts, commits, statuses and gates, row by row."""
+    for low, high in zip(cuts, cuts[1:]):
+        rows = [(s, t, SCRIPT[t][0]) for t in range(low, high) for s in ("a", "b")] + [("c", None, "no start"), ("d", low, None)]
+        spark.createDataFrame(rows, "session string, turn long, text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("session string, turn long, text string").parquet(f"{tmp_path}/in")
+        turns.run_turns(turns.turn_stream(stream, [BENCH]), f"{tmp_path}/out", f"{tmp_path}/state")
+    events = spark.read.schema(turns.OUTPUT).parquet(f"{tmp_path}/out")
+    got = events.collect()
+    for s in ("a", "b"):
+        own = {r.turn: (r.context, [c.removeprefix("DEV-BRANCH-") for c in r.commits], r.status, r.gate) for r in got if r.session == s}
+        assert own == {t: want for t, (_, want) in enumerate(SCRIPT)} and not any(r.problem for r in got if r.session == s)
+    assert {r.problem for r in got if r.session == "c"} == {"no turn"} and {r.status for r in got if r.session == "d"} == {"INTAKE"}
+    chunks = spark.createDataFrame([("m p.1", "The  ground\nstrap " + "long " * 90), ("m p.2", "Battery voltage, measured."), ("m p.3", "Codes here.")], "cite string, text string")
+    found = {(r.turn, r.place): r for r in turns.snippets(events.filter("session = 'a'"), chunks, "cite", "text").collect()}
+    assert found[2, 1].snippet == ("The ground strap " + "long " * 90)[:240] and found[1, 1].cite == "m p.3" and (6, 1) in found and (9, 1) not in found
+    assert {r.session for r in turns.newest(events, 2).collect()} == {"a", "b"}
+
+
+def test_silence_ends_a_session(spark, tmp_path):
+    rows = [("a", 0, "no start"), ("a", 3, "battery reads 12 V"), ("a", 9, "yes"), ("a", 10, "no start"), ("a", 12, "no")]
+    spark.createDataFrame(rows, "session string, turn long, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session string, turn long, text string").parquet(f"{tmp_path}/in")
+    turns.run_turns(turns.turn_stream(stream, [BENCH], silence=5, ttl_ms=60_000), f"{tmp_path}/out", f"{tmp_path}/state", one_batch=True)
+    got = {r.turn: (r.status, [c.removeprefix("DEV-BRANCH-") for c in r.commits]) for r in spark.read.schema(turns.OUTPUT).parquet(f"{tmp_path}/out").collect()}
+    assert got == {0: ("NEED_READING", []), 3: ("NEED_READING", []), 9: ("INTAKE", []), 10: ("NEED_READING", []), 12: ("NEED_DTCS", ["GATE-CODES-NO"])}

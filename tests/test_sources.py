@@ -1,5 +1,7 @@
 import io
 import json
+import random
+import re
 import sqlite3
 import zipfile
 
@@ -7,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import merge, pool, quality, retrieval, shared
+from quarry.operators import inverted, merge, pool, quality, retrieval, shared
 from quarry.sources import documents, layout, seed, sinks, tables, versions
 
 LAYOUT = """   MAKE      MODEL        STYLES       WB                              ALT MODELS        REMARKS
@@ -281,3 +283,99 @@ def test_rerank_prefers_mentions(spark):
     texts = spark.createDataFrame([(1, "bus"), (2, "Acme bus"), (3, "bus acme")], "id long, text string")
     got = retrieval.rerank(found, texts, "id", F.lower("text").contains("acme"), 2)
     assert [(r["id"], r.place) for r in got.orderBy("place").collect()] == [(2, 1), (3, 2)]
+
+
+def test_helper_columns_meet_no_columns_of_the_input(spark):
+    """Every name that the helpers use themselves, as a column of the input: kept, with its values."""
+    names = ["_part", "_at", "_base", "_own", "_first", "_n", "_by0", "_next", "_place_", "a b", "x.y"]
+    rows = spark.range(60).select(F.col("id").alias("k"), (F.col("id") % 3).alias("g"), *((F.col("id") * 2).alias(c) for c in names))
+    told = {tuple(r[c] for c in names) for r in rows.collect()}
+    for found in (merge.numbered(rows, [F.desc("k")], column="n"), merge.placed(rows, ["k"], "at"), merge.stride_sample(rows, ["g"], ["k"], 5), pool.keep_first(rows, ["k"], ["g"])):
+        assert {tuple(r[c] for c in names) for r in found.collect()} <= told and set(rows.columns) <= set(found.columns)
+    assert {r.n: r.k for r in merge.numbered(rows, [F.desc("k")], column="n").collect()} == {i + 1: 59 - i for i in range(60)}
+    assert sorted(r["x.y"] for r in merge.numbered(rows, ["x.y"], column="n").filter("n <= 2").collect()) == [0, 2]
+    with pytest.raises(ValueError, match="already"):
+        merge.numbered(rows, ["k"], column="G")
+    named = rows.withColumnRenamed("_first", "_place")
+    assert merge.stride_sample(named, ["g"], ["k"], 5).columns == named.columns and pool.keep_first(named, ["g"], ["k"]).columns == named.columns
+    labels = rows.select("g", F.col("k").cast("string").alias("_at"), F.col("k").alias("_place"))
+    assert [r.labels for r in merge.first_labels(labels, ["g"], "_at", "_place", 2).orderBy("g").collect()] == [["0", "3"], ["1", "4"], ["2", "5"]]
+
+
+def test_a_version_that_is_being_written_hides_nothing(spark, tmp_path):
+    root = str(tmp_path / "v")
+    versions.commit(spark, root, {"a": spark.range(3)})
+    for half in ("9999999999999-x/_TABLES.new", "9999999999999-y"):
+        (tmp_path / "v" / half).mkdir(parents=True)
+    assert versions.read(spark, root, "a").count() == 3
+
+
+def told_by(found, key):
+    return {(r.query_id, r[key]): (round(r.score, 6), r.place) for r in found.collect()}
+
+
+def test_a_kept_index_answers_as_a_search_of_the_live_rows(spark, tmp_path):
+    words = ["grounds", "grounding", "battery", "batteries", "fuse", "relay", "wire"]
+    rng = random.Random(3)
+    row = lambda f, i: (f, f"{f}#{i}", " ".join(rng.choices(words, k=rng.randint(1, 9))))
+    schema = "path string, chunk string, text string"
+    frame = lambda rows: spark.createDataFrame(rows, schema)
+    live = {f: [row(f, i) for i in range(rng.randint(1, 4))] for f in "abcdefgh"}
+    queries = spark.createDataFrame([(0, "ground battery"), (1, "fuses and relays"), (2, "nothing here"), (3, "the")], "query_id long, query string")
+    root = str(tmp_path / "index")
+    assert inverted.search(queries, root).count() == 0
+
+    def check():
+        own = frame([r for rows in live.values() for r in rows])
+        want = told_by(retrieval.bm25(queries, own, "chunk", "text", stem=True), "chunk")
+        assert told_by(inverted.search(queries, root), "row") == want and (want or not live)
+
+    assert inverted.add(frame([r for rows in live.values() for r in rows]), root, "path", "chunk", "text", stem=True) == 1
+    check()
+    for f in "bd":
+        live[f] = [row(f, i) for i in range(2)]
+    del live["h"]
+    inverted.add(frame(live["b"] + live["d"]), root, "path", "chunk", "text", gone=frame([("h", None, None), ("never", None, None)]), stem=True)
+    check()
+    live["h"] = [row("h", 0)]  # a file that is back
+    inverted.add(frame(live["h"]), root, "path", "chunk", "text", stem=True, number=7)
+    check()
+    inverted.add(frame([row("a", 9)]), root, "path", "chunk", "text", stem=True, number=7)  # counts already
+    check()
+    (tmp_path / "index/postings/segment=8/bucket=1").mkdir(parents=True)  # a run that broke
+    (tmp_path / "index/done/.8").write_text("{")
+    check()
+    assert inverted.merge(spark, root) == 8 and list(inverted.segments(spark, root)) == [8] and inverted.merge(spark, root) is None
+    check()
+    inverted.vacuum(spark, root)
+    assert sorted(p.name for p in (tmp_path / "index/postings").iterdir()) == ["segment=8"]
+    check()
+    with pytest.raises(ValueError):
+        inverted.add(frame(live["b"]), root, "path", "chunk", "text", stem=False)
+
+
+def test_a_search_reads_only_the_buckets_of_its_terms(spark, tmp_path):
+    root = str(tmp_path / "index")
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("row"), F.concat(F.lit("word"), F.col("id").cast("string")).alias("text"))
+    inverted.add(rows, root, "row", "row", "text")
+    asked = spark.createDataFrame([("word17",), ("word900",)], "term string")
+    found = inverted.postings_of(spark, root, asked)
+    assert sorted(r.row for r in found.collect()) == ["17", "900"]
+    own = sorted(r[0] for r in asked.select(inverted._bucket("term")).collect())
+    filters = re.findall(r"PartitionFilters: \[([^\]]*)", found._jdf.queryExecution().toString())
+    assert len(own) == 2 and any(all(str(b) in f for b in own) and f.startswith("bucket") for f in filters), filters
+
+
+def test_ingest_keeps_an_index(spark, tmp_path):
+    root = str(tmp_path / "index")
+    questions = spark.createDataFrame([(0, "ground strap")], "query_id long, query string")
+
+    def ingest(files, known):
+        rows = documents.with_reasons(spark.createDataFrame([(p, t.encode()) for p, t in files.items()], "path string, content binary"))
+        return documents.ingest(rows, known, prune=True, index=root)[0]
+
+    known = ingest({"a.md": "# Earth\nThe ground strap.", "b.txt": "Fuse seven.", "c.txt": "Ground it."}, documents.no_knowledge(spark))
+    hits = lambda: sorted(r.row.split("\n")[0] for r in inverted.search(questions, root).collect())
+    assert hits() == ["a.md", "c.txt"]
+    known = ingest({"a.md": "# Earth\nNothing.", "b.txt": "Fuse and ground straps."}, known)
+    assert hits() == ["b.txt"] and known.chunks.count() == 2
