@@ -9,8 +9,10 @@ from quarry.functions import audit, extraction
 from quarry.operators import inverted, packs, retrieval
 from quarry.operators.shared import shared_dir
 from quarry.sources import layout
+from quarry.sources.datasource import register
 from quarry.sources.documents import ingest, no_knowledge, sections, with_reasons
-from quarry.sources.sinks import vin_fields
+from quarry.sources.sinks import vin_fields, write_text_files
+from quarry.streaming.ingest import ingest_stream, reports, upsert
 
 from .entities import table
 
@@ -145,20 +147,55 @@ CASE WHEN reason IS NULL AND suffix = '.csv' THEN 2 ELSE 0 END AS spec_rows, CAS
 def ingest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files of several kinds, some of them known already, some of no known type, some unreadable: what an ingest makes of each."""
 
-    def extract(content: bytes) -> list[str]:
-        if b"@" in content:
-            raise ValueError("an address")
-        return [content.decode("utf-8")]
+    rows = _as_files(table(spark, sf_dir, "documents"))
+    files = with_reasons(rows)
+    known = no_knowledge(spark)
+    seen = with_reasons(rows.filter(F.col("doc_id") % 11 == 0)).select("path", "sha256", *(F.lit(0).cast("long").alias(c) for c in ("pages", "chunks", "spec_rows")))
+    _, report = ingest(files, known._replace(files=seen), _extract)
+    return report
+
+
+def _extract(content: bytes) -> list[str]:
+    if b"@" in content:
+        raise ValueError("an address")
+    return [content.decode("utf-8")]
 
+
+def _as_files(documents: DataFrame) -> DataFrame:
+    """doc_id, path and content of documents as files of several kinds."""
     key = F.col("doc_id")
     suffix = F.get(F.array(*map(F.lit, (".md", ".txt", ".csv", ".png", "", ".pdf", ".TXT"))), (key % 7).cast("int"))
     csv = F.concat(F.lit("Parameter,Nominal,Units\nsupply,"), key.cast("string"), F.lit(",V\nnothing,,V\nbus,60,ohm\n"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("sub"), (key % 3).cast("string"), F.lit("/"), key.cast("string"), suffix).alias("path"), F.when(key % 7 == 2, csv).otherwise(F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
-    files = with_reasons(rows)
-    known = no_knowledge(spark)
-    seen = with_reasons(rows.filter(key % 11 == 0)).select("path", "sha256", *(F.lit(0).cast("long").alias(c) for c in ("pages", "chunks", "spec_rows")))
-    _, report = ingest(files, known._replace(files=seen), extract)
-    return report
+    return documents.select("doc_id", F.concat(F.lit("sub"), (key % 3).cast("string"), F.lit("/"), key.cast("string"), suffix).alias("path"), F.when(key % 7 == 2, csv).otherwise(F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+
+
+#: Known are those of the first batch that could be ingested.
+STREAMED = ORACLE_SQL["ingest_report"].replace("doc_id % 11 = 0 AS known", "coalesce(doc_id % 11 = 0 AND (suffix = '.csv' OR (trim(regexp_replace(documents.text, '\\s+', ' ', 'g')) <> '' AND NOT (suffix = '.pdf' AND contains(documents.text, '@')))), false) AS known")
+
+
+@query(STREAMED)
+def streamed_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of ingest_report as a stream, upserted behind a first batch of some of them: the report of what the stream brought."""
+    root = shared_dir(spark, "ingested")
+    upsert(with_reasons(_as_files(table(spark, sf_dir, "documents").filter(F.col("doc_id") % 11 == 0))), 0, root, extract=_extract)
+    documents = spark.readStream.schema(table(spark, sf_dir, "documents").schema).option("maxFilesPerTrigger", 16).parquet(f"{sf_dir}/documents.parquet*")
+    ingest_stream(with_reasons(_as_files(documents)), root, f"{root}/checkpoint", first=1, extract=_extract).awaitTermination()
+    return reports(spark, root).filter("segment > 0").drop("segment")
+
+
+@query("""WITH pieces AS (SELECT doc_id // 20 AS n, string_agg(coalesce(text, ''), chr(10) ORDER BY doc_id) AS content FROM documents GROUP BY 1)
+SELECT 'd' || CAST(n % 4 AS VARCHAR) || '/f' || CAST(n AS VARCHAR) || CASE n % 3 WHEN 0 THEN '.md' WHEN 1 THEN '.txt' ELSE '.log' END AS path, CASE n % 3 WHEN 0 THEN 'md' WHEN 1 THEN 'txt' ELSE 'log' END AS suffix, sha256(content) AS sha256,
+CASE WHEN n % 3 = 2 THEN 'unsupported type .log' END AS reason, CAST(octet_length(encode(content)) AS INTEGER) AS bytes FROM pieces""")
+def docs_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of twenty documents each, written and read again by the data source."""
+    root, n = shared_dir(spark, "docs"), F.floor(F.col("doc_id") / 20)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")))), lambda x: x["text"])
+    files = table(spark, sf_dir, "documents").groupBy(n.alias("n")).agg(F.array_join(texts, "\n").alias("content"))
+    suffix = F.get(F.array(*map(F.lit, (".md", ".txt", ".log"))), (F.col("n") % 3).cast("int"))
+    path = F.concat(F.lit("d"), (F.col("n") % 4).cast("string"), F.lit("/f"), F.col("n").cast("string"), suffix)
+    write_text_files(files.select(path.alias("path"), "content"), root).count()
+    register(spark)
+    return spark.read.format("quarry-docs").load(root).select("path", "suffix", "sha256", "reason", F.octet_length("content").alias("bytes"))
 
 
 @query("SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS numbers FROM (SELECT doc_id, generate_subscripts(n, 1) AS i, unnest(n) AS x FROM (SELECT doc_id, regexp_extract_all(text, '(?:^|[^\\p{L}\\p{N}_.])([0-9]+(?:\\.[0-9]+)?)', 1) AS n FROM documents)) GROUP BY doc_id")

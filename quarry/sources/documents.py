@@ -104,14 +104,8 @@ def text_sections(files: DataFrame) -> DataFrame:
     return sections(texts, headings="suffix = 'md'").select("path", F.lit(1).alias("page"), F.col("place").cast("long").alias("place"), "section", "text")
 
 
-def ingest(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[str]] = pdf_pages, chunk: Callable[[DataFrame], DataFrame] = cut_chunks, prune: bool = False, index: str | None = None) -> tuple[Knowledge, DataFrame]:
-    """Knowledge after an ingest of files (with_reasons' columns), and a report: path, reason (null if ingested), pages, chunks, spec_rows, skipped_rows.
-
-    Chunks and specs of new and changed files replace all that was known of the same path; a file that cannot
-    be read, or that gives nothing, leaves what was known. Files that are gone keep their rows unless prune is
-    set. What a run reads is written before it is counted and joined, so every file is parsed once. index: the
-    root of a kept index of the chunks (operators.inverted), which gets a segment of what is new and marks for what is gone.
-    """
+def parsed(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[str]] = pdf_pages, chunk: Callable[[DataFrame], DataFrame] = cut_chunks) -> tuple[Knowledge, DataFrame]:
+    """What new and changed files give, and the report of ingest(). What a run reads is written before it is counted and joined, so every file is parsed once."""
     rows = changed(files, known.files)
     work = rows.filter(F.col("reason").isNull() & (F.col("status") != "unchanged"))
     paged = written(pages(work.filter(F.col("suffix").isin(*PAGES)), extract), "pages")
@@ -134,16 +128,26 @@ def ingest(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[s
     reason = F.coalesce("reason", F.when(F.col("status") == "unchanged", "unchanged"), "error", F.when(none, NO_TEXT))
     count = lambda c: F.when(reason.isNull(), F.coalesce(c, F.lit(0))).otherwise(0).cast("long").alias(c)
     report = written(told.select("path", "sha256", reason.alias("reason"), count("pages"), count("chunks"), count("spec_rows"), F.coalesce("skipped_rows", F.lit(0)).cast("long").alias("skipped_rows")), "report")
+    done = report.filter("reason is null").select("path", "sha256", "pages", "chunks", "spec_rows")
+    return Knowledge(done, new_chunks, new_specs), report.drop("sha256")
+
 
-    done = report.filter("reason is null")
-    gone = done.select("path")
+def ingest(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[str]] = pdf_pages, chunk: Callable[[DataFrame], DataFrame] = cut_chunks, prune: bool = False, index: str | None = None) -> tuple[Knowledge, DataFrame]:
+    """Knowledge after an ingest of files (with_reasons' columns), and a report: path, reason (null if ingested), pages, chunks, spec_rows, skipped_rows.
+
+    Chunks and specs of new and changed files replace all that was known of the same path; a file that cannot
+    be read, or that gives nothing, leaves what was known. Files that are gone keep their rows unless prune is
+    set. index: the root of a kept index of the chunks (operators.inverted), which gets a segment of what is new
+    and marks for what is gone.
+    """
+    fresh, report = parsed(files, known, extract, chunk)
+    gone = fresh.files.select("path")
     if prune:
         present = files.select("path").distinct()
         gone = gone.unionByName(known.files.select("path").join(present, "path", "left_anti"))
         known = Knowledge(*(x.join(present, "path", "left_semi") for x in known))
-    kept = Knowledge(*(x.join(done.select("path"), "path", "left_anti") for x in known))
+    kept = Knowledge(*(x.join(fresh.files.select("path"), "path", "left_anti") for x in known))
     if index is not None:
         row = F.concat_ws("\n", "path", F.col("place").cast("string"), F.col("ord").cast("string"))
-        inverted.add(new_chunks.withColumn("row", row), index, "path", "row", ["text", "section"], gone=gone, stem=True)
-    fresh = (done.select("path", "sha256", "pages", "chunks", "spec_rows"), new_chunks, new_specs)
-    return Knowledge(*(old.unionByName(new) for old, new in zip(kept, fresh))), report.drop("sha256")
+        inverted.add(fresh.chunks.withColumn("row", row), index, "path", "row", ["text", "section"], gone=gone, stem=True)
+    return Knowledge(*(old.unionByName(new) for old, new in zip(kept, fresh))), report

@@ -89,7 +89,7 @@ def write_text_files(files: DataFrame, root: str) -> DataFrame:
             sizes = []
             for path, content in zip(part["path"], part["content"]):
                 fs.create_dir(f"{folder}/{path}".rpartition("/")[0], recursive=True)
-                with fs.open_output_stream(f"{folder}/{path}") as out:
+                with fs.open_output_stream(f"{folder}/{path}", compression=None) as out:
                     sizes.append(out.write(content.encode("utf-8")))
             yield pd.DataFrame({"path": part["path"], "bytes": sizes})
 

@@ -10,7 +10,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import inverted, merge, pool, quality, retrieval, shared
-from quarry.sources import documents, layout, seed, sinks, tables, versions
+from quarry.sources import datasource, documents, layout, seed, sinks, tables, versions
+from quarry.streaming import ingest
 
 LAYOUT = """   MAKE      MODEL        STYLES       WB                              ALT MODELS        REMARKS
 ACME      Roadster     Coupe        101.2   u   r,4   2001 2005   Spyder            note here     000123
@@ -379,3 +380,88 @@ def test_ingest_keeps_an_index(spark, tmp_path):
     assert hits() == ["a.md", "c.txt"]
     known = ingest({"a.md": "# Earth\nNothing.", "b.txt": "Fuse and ground straps."}, known)
     assert hits() == ["b.txt"] and known.chunks.count() == 2
+
+
+def files_at(root, files):
+    for name, text in files.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(text.encode())
+
+
+def test_data_source_reads_what_read_files_reads(spark, tmp_path):
+    files_at(tmp_path, {"a.md": "# A\nx", "sub/b.TXT": "é", "sub/deep/c": "none", "d.png": "", "e.tar.gz": "z", ".hidden": "h"} | {f"many/{i}.txt": "w" * i for i in range(40)})
+    datasource.register(spark)
+    own = {tuple(r) for r in spark.read.format("quarry-docs").option("partitionBytes", 200).load(str(tmp_path)).select("path", "suffix", "sha256", F.col("content").cast("string"), "reason").collect()}
+    other = {tuple(r) for r in documents.read_files(spark, str(tmp_path)).select("path", "suffix", "sha256", F.col("content").cast("string"), "reason").collect()}
+    assert {r for r in own if not r[0].startswith(".") and r[3]} == other and len(own) == 46
+    assert [tuple(r) for r in spark.read.format("quarry-docs").load(str(tmp_path / "none")).collect()] == [(str(tmp_path / "none"), "", "", None, "not a directory")]
+
+
+def test_data_source_opens_only_files_that_are_asked_for(spark, tmp_path, monkeypatch):
+    files_at(tmp_path, {f"{d}/{i}.{s}": "text" for d in "ab" for i in range(5) for s in ("md", "txt", "csv")})
+    datasource.register(spark)
+    source = lambda **o: spark.read.format("quarry-docs").options(**o).load(str(tmp_path))
+    conditions = [("suffix = 'md'", 10), ("suffix IN ('md', 'csv') AND path LIKE 'a/%'", 10), ("path = 'b/3.txt'", 1), ("path LIKE '%.csv' AND length(content) > 3", 10), ("suffix = 'md' OR path = 'a/0.txt'", 11), ("true", 30)]
+    rows = source()
+    for condition, n in conditions:
+        assert rows.filter(condition).count() == n and source(pushFilters="true").filter(condition).count() == n
+    assert source(prefix="a/", suffixes="md, TXT").count() == 10 and source(suffixes="png").count() == 0
+    opened = []
+    group = datasource.read_group
+    monkeypatch.setattr(datasource, "read_group", lambda root, paths: (opened.extend(paths), group(root, paths))[1])
+    reader = datasource.PushingReader(str(tmp_path), 3, [])
+    left = list(reader.pushFilters([datasource.EqualTo(("suffix",), "md"), datasource.StringStartsWith(("path",), "b/"), datasource.EqualTo(("sha256",), "x")]))
+    assert [f.attribute for f in left] == [("sha256",)]
+    rows = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert sorted(opened) == [f"b/{i}.md" for i in range(5)] and len(rows) == 5 and len(reader.partitions()) == 5
+
+
+def test_streams_of_files_bring_each_change_once(spark, tmp_path):
+    docs, out, state = tmp_path / "docs", str(tmp_path / "out"), str(tmp_path / "state")
+    datasource.register(spark)
+
+    def arrive(files, **how):
+        files_at(docs, files)
+        stream = spark.readStream.format("quarry-docs").load(str(docs))
+        ingest.ingest_stream(stream, out, state, **how).awaitTermination()
+
+    arrive({"a.md": "# Earth\nThe ground strap.", "b.txt": "Fuse seven.", "c.png": "?"})
+    arrive({"b.txt": "Fuse eight.", "d.txt": "Ground it."})
+    arrive({})
+    kept = ingest.knowledge(spark, out)
+    assert sorted((r.path, r.text) for r in kept.chunks.collect()) == [("a.md", "The ground strap."), ("b.txt", "Fuse eight."), ("d.txt", "Ground it.")]
+    assert sorted((r.segment, r.path, r.reason) for r in ingest.reports(spark, out).collect()) == [(0, "a.md", None), (0, "b.txt", None), (0, "c.png", "unsupported type .png"), (1, "b.txt", None), (1, "d.txt", None)]
+    asked = spark.createDataFrame([(0, "ground"), (1, "seven eight")], "query_id long, query string")
+    assert sorted((r.query_id, r.row.split("\n")[0]) for r in inverted.search(asked, f"{out}/index").collect()) == [(0, "a.md"), (0, "d.txt"), (1, "b.txt")]
+
+
+def test_a_batch_that_breaks_is_run_again_and_counts_once(spark, tmp_path, monkeypatch):
+    """Broken behind any of its writes, and run again by a restart: the same tables as without the break."""
+    files = {"a.md": "# Earth\nThe ground strap.", "b.txt": "Fuse seven.", "t.csv": "Parameter,Nominal,Units\nsupply,5,V\n"}
+    files_at(tmp_path / "docs", files)
+    datasource.register(spark)
+
+    def run(name):
+        stream = spark.readStream.format("quarry-docs").load(str(tmp_path / "docs"))
+        ingest.ingest_stream(stream, str(tmp_path / name), str(tmp_path / f"{name}-state")).awaitTermination()
+
+    run("whole")
+    for point in ("inverted.add", "_path"):
+        with monkeypatch.context() as m:
+
+            def broken(*a, own=inverted.add, **k):
+                if point == "inverted.add":
+                    raise RuntimeError("lost")
+                return own(*a, **k)
+
+            m.setattr(ingest.inverted, "add", broken)
+            if point == "_path":
+                real = ingest._path
+                m.setattr(ingest, "_path", lambda s, n: (_ for _ in ()).throw(RuntimeError("lost")) if "/done/." in n and "index" not in n else real(s, n))
+            with pytest.raises(Exception, match="lost"):
+                run(f"broken-{point}")
+            assert ingest.knowledge(spark, str(tmp_path / f"broken-{point}")).chunks.count() == 0
+        run(f"broken-{point}")
+        for own, other in zip(ingest.knowledge(spark, str(tmp_path / "whole")), ingest.knowledge(spark, str(tmp_path / f"broken-{point}"))):
+            assert sorted(map(str, own.collect())) == sorted(map(str, other.collect())) != []
+        assert list(inverted.segments(spark, str(tmp_path / f"broken-{point}/index"))) == [1]
