@@ -13,6 +13,10 @@ from .shared import fresh
 PLANNED_OUTPUT, MOST_OUTPUT, SIBLINGS = 3500, 8000, 8
 
 
+#: Kinds of results.
+RESULTS = ["ok", "max_tokens", "refusal", "errored", "canceled", "expired"]
+
+
 def custom_id(cluster: Column | str, job: Column | str) -> Column:
     """At most 51 characters: the cluster's slug and ten hex digits of the hash of cluster and job."""
     digest = F.substring(F.sha2(F.concat(col(cluster), F.lit("|"), col(job)), 256), 1, 10)
@@ -58,6 +62,13 @@ def batch_summary(rows: DataFrame) -> DataFrame:
     return rows.groupBy("batch_id", "status").agg(F.count("*").alias("n"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
 
 
+def batch_counters(rows: DataFrame) -> DataFrame:
+    """A row per batch with a column for each kind of result: how many there are, and what they cost; other kinds count as other."""
+    kind = F.when(F.col("status").isin(RESULTS), F.col("status")).otherwise("other")
+    wide = rows.withColumn("kind", kind).groupBy("batch_id").pivot("kind", [*RESULTS, "other"]).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("cost_usd"), 4).alias("cost_usd"))
+    return wide.na.fill(0)
+
+
 def spread_sample(rows: DataFrame, limit: int) -> DataFrame:
     """Every n-th target in order, at most limit."""
     step = max(1, rows.count() // max(1, limit))

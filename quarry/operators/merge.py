@@ -26,6 +26,25 @@ def replace_tier(existing: DataFrame, new: DataFrame, old: Column) -> DataFrame:
     return existing.filter(~F.coalesce(old, F.lit(False))).unionByName(new.select(*existing.columns))
 
 
+def reload_tiers(new: DataFrame, path: str, tier: str, tiers: list[str]) -> None:
+    """Replace some tiers of a table that is partitioned by tier, and leave the files of the others as they are.
+
+    Partitions of new are overwritten one by one; a tier of the list without new rows loses its own. Rows of a tier
+    that is not listed are refused before anything is written.
+    """
+    spark = new.sparkSession
+    own = written(new, "tier")
+    found = {r[0] for r in own.select(tier).distinct().limit(len(tiers) + 1).collect()}
+    if not found <= set(tiers):
+        raise ValueError(f"rows of other tiers than {', '.join(tiers)}")
+    own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(tier).parquet(path)
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    escape = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for name in set(tiers) - found:
+        fs.delete(root.suffix(f"/{tier}={escape(name)}"), True)
+
+
 def placed(rows: DataFrame, order: list[Column | str], column: str = "_place") -> DataFrame:
     """rows with a new column, their places from 0 in a stated order, as a table in the shared folder.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import gates, outputs, relational, streams, texts
+from . import gates, outputs, relational, streams, surface, texts
 
-QUERIES = {**relational.QUERIES, **texts.QUERIES, **gates.QUERIES, **outputs.QUERIES, **streams.QUERIES}
-ORACLE_SQL = {**relational.ORACLE_SQL, **texts.ORACLE_SQL, **gates.ORACLE_SQL, **outputs.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES = {**relational.QUERIES, **texts.QUERIES, **gates.QUERIES, **outputs.QUERIES, **streams.QUERIES, **surface.QUERIES}
+ORACLE_SQL = {**relational.ORACLE_SQL, **texts.ORACLE_SQL, **gates.ORACLE_SQL, **outputs.ORACLE_SQL, **streams.ORACLE_SQL, **surface.ORACLE_SQL}

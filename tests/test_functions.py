@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions import audit, extraction, gates, matching, stemming, text
+from quarry.functions import audit, collate, extraction, gates, matching, sql, stemming, text
+from quarry.operators import retrieval
 
 
 def one(spark, column):
@@ -117,3 +118,43 @@ def test_merge_extracted(spark):
     got = merge('{"readings":[{"value":"2.5","unit":"null","state":"ODD"},{"value":"x"},{"unit":"V"}],"dtcs":["p0001","u0100"],"yes_no":true}')
     assert [(r.value, r.unit, r.state) for r in got.readings] == [(1.0, "V", None), (2.5, None, "CRANKING")] and got.codes == ["P0001", "U0100"] and got.yes_no is True
     assert len(merge("no json").readings) == 1
+
+
+def test_sql_functions_are_the_column_expressions(spark):
+    sql.register(spark)
+    rows = spark.createDataFrame([("A-b  C_d", "q 1", "", 1234567.0), (None, None, None, None), ("Mercedes-Benz ", "é", "KOEO", 0.1)], "x string, q string, s string, n double")
+    found = spark.sql("SELECT slug(x), norm_make(x), norm_model(x), spec_key(x, q, s), general_number(n) FROM {rows}", rows=rows)
+    want = rows.select(text.slug("x"), matching.norm_make("x"), matching.norm_model("x"), text.spec_key("x", "q", "s"), text.general_number("n"))
+    assert list(map(tuple, found.collect())) == list(map(tuple, want.collect()))
+    assert "Python" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chunks_as_a_table_function(spark):
+    sql.register(spark)
+    rows = spark.createDataFrame([(0, "word " * 600), (1, ""), (2, None), (3, " one  two ")], "k int, t string")
+    found = spark.sql("SELECT k, place, c.text FROM {rows}, LATERAL chunk_text(t) c", rows=rows).collect()
+    want = retrieval.chunks(rows, "t").select("k", "ord", "t").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(found) > 4
+    short = spark.sql("SELECT * FROM chunk_text('aaa bbb ccc ddd', 7, 2)").collect()
+    assert [len(r.text) <= 7 for r in short] == [True] * len(short) and "".join(r.text[0] for r in short) == "abcd"
+    for wrong in ("chunk_text(5)", "chunk_text('a', 5, 5)", "chunk_text('a', 'b')"):
+        with pytest.raises(Exception, match="chunk_text|size and overlap"):
+            spark.sql(f"SELECT * FROM {wrong}").collect()
+
+
+def test_collations(spark):
+    rows = spark.createDataFrame([("Straße", "STRASSE"), ("École", "ecole"), ("İ", "i"), (None, "x"), ("Σίσυφος", "ΣΊΣΥΦΟΣ")], "a string, b string")
+    got = rows.select((collate.folded("a") == collate.folded("b")).alias("folded"), (collate.plain("a") == collate.plain("b")).alias("plain")).collect()
+    assert list(map(tuple, got)) == [(True, True), (False, True), (False, True), (None, None), (True, True)]
+    words = ["z", "Ä", "a", "ä", "A", "o", "ö"]
+    order = lambda locale: [r.w for r in spark.createDataFrame([(w,) for w in words], "w string").orderBy(collate.ordered("w", locale)).collect()]
+    assert order("de") == ["a", "A", "ä", "Ä", "o", "ö", "z"] and order("sv") == ["a", "A", "o", "z", "ä", "Ä", "ö"]
+
+
+def test_open_answers(spark):
+    answers = ['{"readings":[{"value":1.25,"unit":"V"},{"value":"x"},null]}', "{", None, "[]", "7", '{"readings":{"value":1}}', '{"result":{"readings":[3]}}', ""]
+    rows = spark.createDataFrame(list(enumerate(answers)), "k int, a string").select("k", extraction.open_answer("a").alias("o"))
+    got = {r.k: (r.form, r.v, r.t) for r in rows.select("k", "o.form", F.col("o.readings.value").alias("v"), F.col("o.readings.text").alias("t")).collect()}
+    assert got[0][:2] == ("object", [1.25, None, None]) and got[0][2][1] == '{"value":"x"}'
+    assert [got[k][0] for k in range(8)] == ["object", "broken", None, "array", "scalar", "object", "object", "broken"]
+    assert got[6][1] == [3.0] and all(got[k][1] == [] for k in (1, 2, 3, 4, 5, 7))

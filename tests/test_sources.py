@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import inverted, merge, pool, quality, retrieval, shared
+from quarry.operators import inverted, merge, pool, quality, retrieval, shared, submission
 from quarry.sources import datasource, documents, layout, seed, sinks, tables, versions
 from quarry.streaming import ingest
 
@@ -465,3 +465,39 @@ def test_a_batch_that_breaks_is_run_again_and_counts_once(spark, tmp_path, monke
         for own, other in zip(ingest.knowledge(spark, str(tmp_path / "whole")), ingest.knowledge(spark, str(tmp_path / f"broken-{point}"))):
             assert sorted(map(str, own.collect())) == sorted(map(str, other.collect())) != []
         assert list(inverted.segments(spark, str(tmp_path / f"broken-{point}/index"))) == [1]
+
+
+def test_a_tier_is_reloaded_without_touching_the_others(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.createDataFrame([(1, "edc"), (2, "curated"), (3, "x y/z"), (4, "over")], "k long, tier string").write.partitionBy("tier").parquet(path)
+    names = lambda: {str(p) for p in (tmp_path / "t").rglob("*.parquet")}
+    before = names()
+    merge.reload_tiers(spark.createDataFrame([(5, "curated"), (6, "curated")], "k long, tier string"), path, "tier", ["curated", "x y/z"])
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == [(1, "edc"), (4, "over"), (5, "curated"), (6, "curated")]
+    kept = {n for n in before if "tier=edc" in n or "tier=over" in n}
+    assert kept <= names() and len(kept) == 2
+    with pytest.raises(ValueError, match="other tiers"):
+        merge.reload_tiers(spark.createDataFrame([(5, "edc")], "k long, tier string"), path, "tier", ["curated"])
+    merge.reload_tiers(spark.createDataFrame([], "k long, tier string"), path, "tier", ["curated"])
+    assert sorted(r.k for r in spark.read.parquet(path).collect()) == [1, 4]
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_batches_keep_both_bounds_and_nothing_is_sent_twice(spark, monkeypatch, block):
+    monkeypatch.setattr(submission, "BLOCK", block)
+    rng = random.Random(5)
+    rows = [(f"c{i}", i, "é" * rng.choice([1, 3, 10, 30])) for i in range(120)] + [("big", 500, "x" * 95), ("full", 501, "x" * 100)]
+    targets = spark.createDataFrame(rows, "custom_id string, k long, value string")
+    found = submission.cut(targets, ["k"], 9, 100, first=4).collect()
+    assert sorted(r.custom_id for r in found) == sorted(r[0] for r in rows)
+    batches = {}
+    for r in found:
+        batches.setdefault(r.batch, []).append(r)
+    assert sorted(batches) == list(range(4, 4 + len(batches)))
+    for own in batches.values():
+        assert len(own) <= 9 and sum(len(r.value.encode()) for r in own) <= 100
+    small = sorted((r.k, r.batch) for r in found if len(r.value.encode()) <= 50)
+    assert [b for _, b in small] == sorted(b for _, b in small) and len(batches) < 70
+    with pytest.raises(ValueError, match="larger"):
+        submission.cut(targets, ["k"], 9, 99)
+    assert submission.cut(targets.limit(0), ["k"], 9, 100).count() == 0
