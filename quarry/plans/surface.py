@@ -1,16 +1,21 @@
-"""Queries of the SQL surface, collations, open JSON, tiers and batches, with the same results in SQL."""
+"""Queries of the SQL surface, collations, open JSON, tiers, batches, scans and final orders, with the same results in SQL."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import collate, extraction, sql
-from quarry.operators import jobs, merge, submission
+from quarry.operators import jobs, merge, packs, submission
 from quarry.operators.shared import shared_dir, written
+from quarry.sources.documents import Knowledge, ingest, no_knowledge, with_reasons
+from quarry.sources.sinks import flat_rows, write_text_files
 
 from . import outputs, relational, texts
-from .entities import table
+from .entities import ALL, clusters, membership, table, vehicles
+from .gates import PACK
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -125,3 +130,38 @@ def batch_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.get(F.array(*map(F.lit, _kinds)), (F.col("o_orderkey") % 6).cast("int"))
     rows = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("batch_id"), status.alias("status"), F.col("o_totalprice").alias("cost_usd"))
     return jobs.batch_counters(rows)
+
+
+@query(f"""WITH {ALL}, pairs AS (SELECT make, model, year_start, id, cluster_id FROM vehicles LEFT JOIN membership ON id = vehicle_id AND scope = 'engine-loop')
+SELECT CAST(row_number() OVER (ORDER BY make, model, year_start, id, cluster_id NULLS FIRST) AS BIGINT) AS line, id, cluster_id FROM pairs""")
+def ordered_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat export's lines in its final order, by make, model and first year, numbered by ranges."""
+    edges = membership(spark, sf_dir).filter("scope = 'engine-loop'")
+    rows = flat_rows(vehicles(spark, sf_dir), clusters(spark, sf_dir), edges, keep_alone=True)
+    return merge.numbered(rows, ["make", "model", "year_start", "id", "cluster_id"], column="line").select("line", "id", "cluster_id")
+
+
+@query("""SELECT 'p' || CAST(s_suppkey AS VARCHAR) || '.json' AS file, 'p' || CAST(s_suppkey AS VARCHAR) AS id, CAST(4 AS INTEGER) AS gates, CASE WHEN s_suppkey % 2 = 0 THEN 'no start' ELSE 'stalls' END AS symptom,
+CAST(row_number() OVER (ORDER BY 'p' || CAST(s_suppkey AS VARCHAR) || '.json') AS BIGINT) AS place FROM supplier""")
+def pack_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pack file for each supplier, scanned in the order of names."""
+    key, root = F.col("s_suppkey"), shared_dir(spark, "packs")
+    name = F.concat(F.lit("p"), key.cast("string"))
+    symptom = F.when(key % 2 == 0, "no start").otherwise("stalls")
+    text = F.replace(F.replace(F.lit(json.dumps(PACK, indent=1)), F.lit('"events_pack"'), F.concat(F.lit('"'), name, F.lit('"'))), F.lit('"event"'), F.concat(F.lit('"'), symptom, F.lit('"')))
+    write_text_files(table(spark, sf_dir, "supplier").select(F.concat(name, F.lit(".json")).alias("path"), text.alias("content")), root).count()
+    found = packs.read_packs(spark, root).select("file", "id", F.size("gates").alias("gates"), F.get("symptoms", F.lit(0)).alias("symptom"))
+    return merge.numbered(found, ["file"], column="place")
+
+
+@query("""WITH files AS (SELECT doc_id, 'f' || CAST(doc_id AS VARCHAR) || '.txt' AS path, doc_id % 5 = 0 AS gone, CASE WHEN doc_id % 3 = 0 THEN 'changed to one line' ELSE 'note ' || CAST(doc_id AS VARCHAR) END AS text FROM documents)
+SELECT path, CAST(1 AS BIGINT) AS chunks, text FROM files WHERE NOT gone""")
+def pruned_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of files behind a second ingest: of changed ones the new chunks only, of files that are gone nothing."""
+    key = F.col("doc_id")
+    own = table(spark, sf_dir, "documents").select(key, F.concat(F.lit("f"), key.cast("string"), F.lit(".txt")).alias("path"), F.concat(F.lit("note "), key.cast("string")).alias("text"))
+    files = lambda rows, text: with_reasons(rows.select("path", text.cast("binary").alias("content")))
+    known, _ = ingest(files(own, F.when(key % 3 == 0, F.repeat(F.lit("many words "), 200)).otherwise(F.col("text"))), no_knowledge(spark))
+    known = Knowledge(*(written(x, "known") for x in known))
+    known, _ = ingest(files(own.filter(key % 5 > 0), F.when(key % 3 == 0, "changed to one line").otherwise(F.col("text"))), known, prune=True)
+    return known.files.join(known.chunks.select("path", "text"), "path").select("path", "chunks", "text")

@@ -136,7 +136,7 @@ def test_chunks_as_a_table_function(spark):
     want = retrieval.chunks(rows, "t").select("k", "ord", "t").collect()
     assert sorted(map(tuple, found)) == sorted(map(tuple, want)) and len(found) > 4
     short = spark.sql("SELECT * FROM chunk_text('aaa bbb ccc ddd', 7, 2)").collect()
-    assert [len(r.text) <= 7 for r in short] == [True] * len(short) and "".join(r.text[0] for r in short) == "abcd"
+    assert [len(r.text) <= 7 for r in short] == [True] * len(short) and short[0].text == "aaa" and short[-1].text.endswith("ddd")
     for wrong in ("chunk_text(5)", "chunk_text('a', 5, 5)", "chunk_text('a', 'b')"):
         with pytest.raises(Exception, match="chunk_text|size and overlap"):
             spark.sql(f"SELECT * FROM {wrong}").collect()
