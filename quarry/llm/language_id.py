@@ -20,7 +20,7 @@ for every length.
 Learned from: text and lang only, of rows whose crc32(doc_id as text) mod FOLDS is not HELD_OUT. The
 sample is, for each label, at most SAMPLE_DOCS texts chosen by hash, of each a stretch of at most
 SAMPLE_CHARS characters from a hashed place, and as many others for calibration. Every label is learned; the
-model grows with the number of labels only.
+model, about 1 MB a label, grows with the number of labels only, and a worker keeps the tables of KEPT_READERS.
 
 Defined cases: a null text, or one without letters, is `und` with score 0 and is rejected; an empty table
 gives no rows; ties go to the language first in the alphabet; repeated rows get the same result; without
@@ -51,6 +51,8 @@ STRETCH, WARM = 512, 32
 #: Symbols that go through the automata at once.
 GROUP_CHARS = 1 << 21
 REJECT, SLACK, PRIOR, FLOOR = 1.85, 1.1, 16, 3.5
+#: Languages whose tables (about 7 MB each) a worker keeps; of more, one at a time is made, so that memory stays within bounds.
+KEPT_READERS = 24
 #: More labels than these are joined by a shuffle.
 MANY_LABELS = 20_000
 PIECES = (8, 16, 32, 64, 128, 256)
@@ -251,10 +253,13 @@ class Model:
         keep[begins] = True
         return found[keep], np.add.reduceat(keep, begins) if len(texts) else lengths
 
-    def _readers(self) -> list[Reader]:
+    def _readers(self) -> Iterator[Reader]:
+        """The languages' tables in turn: KEPT_READERS of them are kept, those of more languages are made for each group of texts."""
         if "readers" not in self.__dict__:
-            self.readers = [Reader(*a, len(self.letters) + 2) for a in self.automata]
-        return self.readers
+            self.readers = [Reader(*a, len(self.letters) + 2) for a in self.automata[:KEPT_READERS]]
+        yield from self.readers
+        for a in self.automata[KEPT_READERS:]:
+            yield Reader(*a, len(self.letters) + 2)
 
     def parse(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of each text under each language, under all together, and the texts' numbers of symbols (0 without letters)."""

@@ -207,6 +207,15 @@ def test_forty_languages(spark):
     held = [r for r in rows if got[r[0]].held_out]
     assert len(held) > 200 and np.mean([got[d].lang_pred == lang for d, _, lang in held]) >= 0.98
     assert not any(got[d].rejected for d, _, _ in held)
+    texts = [t for _, t, _ in rows[::50]]
+    want = model.predict(texts)
+    assert len(list(model._readers())) == 40 and len(model.readers) == language_id.KEPT_READERS  # the others are made one by one
+    every = language_id.Model.__new__(language_id.Model)
+    every.__dict__ |= {k: v for k, v in model.__dict__.items() if k != "readers"} | {"readers": [language_id.Reader(*a, len(model.letters) + 2) for a in model.automata], "automata": model.automata}
+    limit, language_id.KEPT_READERS = language_id.KEPT_READERS, 40
+    found = every.predict(texts)
+    language_id.KEPT_READERS = limit
+    assert found[0] == want[0] and (found[1] == want[1]).all() and (found[2] == want[2]).all()
 
 
 def test_rejection_by_whole_texts_of_any_length(spark):
