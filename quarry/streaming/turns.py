@@ -9,7 +9,7 @@ only states that a turn changes are written.
 * A pack is taken at the first turn that names a symptom of it; before that there is nothing to do but to answer.
 * What a turn tells is proposed, and the next turn is its yes, its no, or something else, which drops it. A direct yes
   or no to a yes/no gate is its own confirmation.
-* A reading goes to the gate not yet passed or read that it fits best; where two fit equally well, to the current gate
+* A reading goes to the gate not yet passed that it fits best; where two fit equally well, to the current gate
   or to none. While a gate waits for its limits, numbers are these limits.
 * A turn gives one row: context, commits, problem, status, gate, and in asks what to look for in the documents.
 
@@ -124,7 +124,9 @@ class Talk:
             if gate["type"] == "window" and len(values) >= 2:
                 return dict(zip(("low", "high"), sorted(values[:2])))
         facts = self.session.facts
-        open_gates = [g for name, g in self.session.gates.items() if name not in facts["passed"] and name not in facts["values"]]
+        # a reading that is held may be told anew, one of the current gate that waits for its limits may not
+        read = {facts["at"]} & facts["values"].keys()
+        open_gates = [g for name, g in self.session.gates.items() if name not in facts["passed"] and name not in read]
         readings = []
         for r in told["readings"]:
             ranked = sorted(((self.score(g, r), g["id"]) for g in open_gates), reverse=True)

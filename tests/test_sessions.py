@@ -189,6 +189,8 @@ SCRIPT = [
     ("what now", ("TURN", [], "NEED_READING", "CODES")),
     ("battery reads 12.4 V key on, wire is 3 ohm, p0420", ("CHAT-CONFIRM", [], "NEED_READING", "CODES")),
     ("yes", ("CHAT-CONFIRM", ["PENDING-BATT", "PENDING-WIRE"], "NEED_READING", "CODES")),
+    ("battery reads 12.2 V key on", ("CHAT-CONFIRM", [], "NEED_READING", "CODES")),
+    ("ok", ("CHAT-CONFIRM", ["PENDING-BATT"], "NEED_READING", "CODES")),
     ("no", ("TURN", ["GATE-CODES-NO"], "NEED_DTCS", "BATT")),
     ("dtcs captured", ("TURN", [], "NEED_ACK", "BATT")),
     ("ack", ("TURN", ["RISK-ACK-BATT", "GATE-BATT-PASS"], "NEED_SPEC", "WIRE")),
@@ -200,7 +202,7 @@ SCRIPT = [
 ]
 
 
-@pytest.mark.parametrize("cuts", [(0, 15), (0, 6, 11, 15)])
+@pytest.mark.parametrize("cuts", [(0, 17), (0, 6, 13, 17)])
 def test_turns_of_a_script(spark, tmp_path, cuts):
     """One script for two sessions, in one run or with restarts in the middle of proposals: contexts, commits, statuses and gates, row by row."""
     for low, high in zip(cuts, cuts[1:]):
@@ -216,7 +218,7 @@ def test_turns_of_a_script(spark, tmp_path, cuts):
     assert {r.problem for r in got if r.session == "c"} == {"no turn"} and {r.status for r in got if r.session == "d"} == {"INTAKE"}
     chunks = spark.createDataFrame([("m p.1", "The  ground\nstrap " + "long " * 90), ("m p.2", "Battery voltage, measured."), ("m p.3", "Codes here.")], "cite string, text string")
     found = {(r.turn, r.place): r for r in turns.snippets(events.filter("session = 'a'"), chunks, "cite", "text").collect()}
-    assert found[2, 1].snippet == ("The ground strap " + "long " * 90)[:240] and found[1, 1].cite == "m p.3" and (6, 1) in found and (9, 1) not in found
+    assert found[2, 1].snippet == ("The ground strap " + "long " * 90)[:240] and found[1, 1].cite == "m p.3" and (6, 1) in found and (11, 1) not in found
     assert {r.session for r in turns.newest(events, 2).collect()} == {"a", "b"}
 
 
