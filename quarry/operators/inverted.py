@@ -23,8 +23,8 @@ from .retrieval import asked_terms, scored, terms
 from .shared import written
 
 BUCKETS = 256
-#: Tasks that write one bucket, so that none writes all rows of a common term.
-SALTS = 8
+#: Terms of texts in a bucket for each task that writes it: one common term is no task's alone, and small segments have few files.
+SALTED, MOST_SALTS = 100_000, 256
 
 
 def _path(spark: SparkSession, name: str):
@@ -65,7 +65,9 @@ def _bucket(term: Column | str) -> Column:
 
 def _write(spark: SparkSession, root: str, number: int, postings: DataFrame, rows: DataFrame, gone: DataFrame, stem: bool, replaces: list[int]) -> None:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = postings.withColumn("bucket", _bucket("term")).repartition(parts, "bucket", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
+    n_terms = rows.agg(F.sum("length")).first()[0] or 0
+    salts = max(1, min(MOST_SALTS, n_terms // (BUCKETS * SALTED)))
+    spread = postings.withColumn("bucket", _bucket("term")).repartition(parts, "bucket", F.pmod(F.xxhash64("row"), F.lit(salts)))
     spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/segment={number}")
     rows.write.mode("overwrite").parquet(f"{root}/rows/segment={number}")
     gone.write.mode("overwrite").parquet(f"{root}/gone/segment={number}")
