@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.merge import numbered
 
-from .common import filesystem, partitions, shared_dir, text_of, worker_state, written
+from .common import filesystem, shared_dir, text_of, worker_state, written
 
 TOP = 20
 #: Terms of the items that a task looks up at once.
