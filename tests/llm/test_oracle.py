@@ -41,6 +41,8 @@ def made(tmp_path_factory):
             w[rng.randrange(len(w))] = rng.choice(words)
         docs.append((d, None if d == 3 else "" if d == 4 else " \n".join([" ".join(w[:9]), " ".join(w[9:])]), "en", "s", 1))
     pd.DataFrame(docs, columns=["doc_id", "text", "lang", "source", "n_chars"]).to_parquet(folder / "documents.parquet")
+    items = [(i, rng.choice([" ", ", ", "_"]).join(rng.choices([*words, "nowhere"], k=rng.randint(1, 12)))) for i in range(20)] + [(20, None), (21, "-"), (3, "W1 w1")]
+    pd.DataFrame(items, columns=["item_id", "text"]).to_parquet(folder / "benchmark.parquet")
     talk = []
     for c in range(30):
         said = []
