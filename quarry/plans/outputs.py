@@ -55,7 +55,7 @@ def spec_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(size % 2 == 0, " Make ,YEARS,ecu,Parameter,Nominal,Minimum,vmax,Units,condition\n").otherwise("make,yr,family,quantity,value,min,maximum,unit,state\n")
     first = F.concat(make, F.lit(","), years, F.lit(",,"), name, F.lit(",nan,"), size.cast("string"), F.lit(",60,V,key off\n"))
     second = F.concat(make, F.lit(",,ECU "), (size % 4).cast("string"), F.lit(",Bus load,"), F.when(size % 5 > 0, F.concat(size.cast("string"), F.lit(".5"))).otherwise("unknown"), F.lit(",,,ohm,\n"))
-    files = table(spark, sf_dir, "part").select(F.concat(F.lit("docs/f"), key, F.lit(".csv")).alias("path"), F.lit("csv").alias("suffix"), F.concat(head, first, second, F.lit(",,,,5,,,,\n")).cast("binary").alias("content"))
+    files = table(spark, sf_dir, "part").select(F.concat(F.lit("docs/f"), key, F.lit(".csv")).alias("path"), F.lit("csv").alias("suffix"), F.concat(head, first, second, F.lit(",,,,5,,,,\n")).cast("binary").alias("content")).repartition("path")
     good, _, _ = tables.specs_of_cells(tables.cells_of(files))
     return good.select("source_file", "row", "make", "year_start", "year_end", "quantity", "value", "vmin", "vmax", "unit", "spec_key")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import csv
 import io
+import itertools
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,8 @@ ALIASES = {
     "measurement_state": ("measurement_state", "state", "condition"), "page": ("page", "pg"),
 }
 
+#: Rows of tables that a task hands over at once.
+ROWS_AT_ONCE = 4096
 NO_SPECS = "a spec table needs a quantity and a value, min or max"
 
 
@@ -61,18 +64,25 @@ def _csv_cells(content: bytes) -> list[list[str | None]]:
 
 
 def cells_of(files: DataFrame) -> DataFrame:
-    """path, row, cells (array of text), error of table files (path, suffix, content). A file is one unit of work; one that cannot be read is a row with its error."""
+    """path, row, cells (array of text), error of table files (path, suffix, content). A file is one unit of work; one that cannot be read is a row with its error. Rows of many files travel together."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def lines(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for part in parts:
-            for path, suffix, content in zip(part["path"], part["suffix"], part["content"]):
+            for path, suffix, content in zip(*part.columns):
                 try:
-                    rows, error = (_xlsx_cells if suffix == "xlsx" else _csv_cells)(bytes(content)), None
+                    rows, error = (_xlsx_cells if suffix.as_py() == "xlsx" else _csv_cells)(content.as_py()), None
                 except (csv.Error, ElementTree.ParseError, zipfile.BadZipFile, KeyError, ValueError, IndexError) as e:
                     rows, error = [[]], f"unreadable table: {e}"
-                yield pd.DataFrame({"path": path, "row": range(len(rows)), "cells": rows, "error": error})
+                for i, cells in enumerate(rows):
+                    yield path.as_py(), i, cells, error
 
-    return files.select("path", "suffix", "content").mapInPandas(run, "path string, row long, cells array<string>, error string")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema({"path": pa.string(), "row": pa.int64(), "cells": pa.list_(pa.string()), "error": pa.string()})
+        told = lines(parts)
+        while held := list(itertools.islice(told, ROWS_AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), schema.types)], schema=schema)
+
+    return files.select("path", "suffix", "content").mapInArrow(run, "path string, row long, cells array<string>, error string")
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
