@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,8 @@ from quarry.functions.text import col
 from .shared import written
 
 SIZE, OVERLAP, REACH = 800, 100, 120
+#: About so many characters are cut side by side, however many texts a batch has.
+CHARACTERS_AT_ONCE = 1 << 20
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Words that a query does without.
 STOP_WORDS = [
@@ -59,7 +63,10 @@ def windows(texts: list[str], size: int = SIZE, overlap: int = OVERLAP, reach: i
 
 def chunk_array(text: Column | str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(windows([x or "" for x in texts]), index=texts.index, dtype=object)
+        own = [x or "" for x in texts]
+        groups = np.cumsum([len(x) for x in own]) // CHARACTERS_AT_ONCE if own else np.zeros(0, np.int64)
+        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(own)]
+        return pd.Series([w for a, b in itertools.pairwise(edges) for w in windows(own[a:b])], index=texts.index, dtype=object)
 
     return F.pandas_udf(run, "array<string>")(text)
 
