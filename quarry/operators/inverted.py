@@ -16,7 +16,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.stemming import fold_and_stem
+from quarry.functions.stemming import term_counts
 from quarry.functions.text import col
 
 from .retrieval import asked_terms, scored, terms
@@ -68,7 +68,7 @@ def _write(spark: SparkSession, root: str, number: int, postings: DataFrame, row
     n_terms = rows.agg(F.sum("length")).first()[0] or 0
     salts = max(1, min(MOST_SALTS, n_terms // (BUCKETS * SALTED)))
     spread = postings.withColumn("bucket", _bucket("term")).repartition(parts, "bucket", F.pmod(F.xxhash64("row"), F.lit(salts)))
-    spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/postings/segment={number}")
+    spread.sortWithinPartitions("bucket", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{root}/postings/segment={number}")
     rows.write.mode("overwrite").parquet(f"{root}/rows/segment={number}")
     gone.write.mode("overwrite").parquet(f"{root}/gone/segment={number}")
     sizes = [spark.read.schema("owner string").parquet(f"{root}/{kind}/segment={number}").count() for kind in ("rows", "gone")]
@@ -85,8 +85,8 @@ def _write(spark: SparkSession, root: str, number: int, postings: DataFrame, row
 def add(rows: DataFrame, root: str, owner: str, row: str, text: Column | str | list[str], gone: DataFrame | None = None, stem: bool = False, number: int | None = None) -> int:
     """Write rows as a segment, in place of all that their owners had, and drop the owners of gone; returns its number.
 
-    text may be several columns that count as one. With stem the index holds folded stems, each distinct term
-    stemmed once. number: a number of the caller's, above those there are; a segment that counts already is left alone.
+    text may be several columns that count as one. With stem the index holds folded stems. A row's terms
+    are counted where it is read, so only postings are moved, and once. number: a number of the caller's, above those there are; a segment that counts already is left alone.
     """
     spark = rows.sparkSession
     known = segments(spark, root)
@@ -97,12 +97,8 @@ def add(rows: DataFrame, root: str, owner: str, row: str, text: Column | str | l
         raise ValueError("numbers ascend, and an index holds stems or forms")
     text = F.concat_ws(" ", *text) if isinstance(text, list) else col(text)
     own = rows.select(F.col(owner).cast("string").alias("owner"), F.col(row).cast("string").alias("row"), terms(F.coalesce(text, F.lit(""))).alias("terms"))
-    own = written(own.withColumn("length", F.size("terms").cast("long")), "index-rows")
-    words = own.select("owner", "row", "length", F.explode("terms").alias("term"))
-    if stem:
-        forms = written(words.select("term").distinct().withColumn("stem", fold_and_stem("term")), "stems")
-        words = words.join(forms, "term").select("owner", "row", "length", F.col("stem").alias("term"))
-    postings = words.groupBy("term", "owner", "row", "length").agg(F.count("*").alias("tf"))
+    own = written(own.select("owner", "row", F.size("terms").cast("long").alias("length"), term_counts("terms", stem).alias("counts")), "index-rows")
+    postings = own.select("owner", "row", "length", F.inline("counts")).select("term", "owner", "row", "length", "tf")
     named = own.select("owner")
     if gone is not None:
         named = named.unionByName(gone.select(F.col(owner).cast("string").alias("owner")))

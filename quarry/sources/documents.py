@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip
 from quarry.operators import inverted
+from quarry.operators.retrieval import CHARACTERS_AT_ONCE
 from quarry.operators.retrieval import chunks as cut_chunks
 from quarry.operators.shared import written
 
-from .tables import cells_of, specs_of_cells
+from .tables import ROWS_AT_ONCE, cells_of, specs_of_cells
 
 TEXT, TABLES, PAGES = ("md", "txt"), ("csv", "xlsx"), ("pdf",)
 HEADING = r"^#{1,6}\s+(.*\S)\s*$"
@@ -61,30 +62,42 @@ def changed(files: DataFrame, known: DataFrame) -> DataFrame:
     return rows.withColumn("status", F.when(F.col("known_sha").isNull(), "new").when(F.col("known_sha") != F.col("sha256"), "changed").otherwise("unchanged")).drop("known_sha")
 
 
-def sections(rows: DataFrame, key: str = "path", text: str = "text", headings: str | None = None) -> DataFrame:
-    """key, place, section, text: a text cut at its headings. headings: a condition for rows that have any."""
-    lines = rows.select(key, F.expr(headings or "true").alias("_has"), F.posexplode(F.split(F.col(text), r"\r\n|\r|\n")).alias("line", "words"))
-    lines = lines.withColumn("_head", F.when(F.col("_has"), F.nullif(F.regexp_extract("words", HEADING, 1), F.lit(""))))
-    over = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("place", F.sum(F.when(F.col("_head").isNotNull(), 1).otherwise(0)).over(over))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_head").isNull(), F.struct("line", "words")))), lambda x: x["words"]), "\n")
-    parts = lines.groupBy(key, "place").agg(F.coalesce(F.max("_head"), F.lit("")).alias("section"), strip(body).alias("text"))
-    return parts.filter("text <> ''")
+def sections(rows: DataFrame, key: str = "path", text: str = "text", headings: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns of keep, place, section, text: a text cut at its headings, where it is read. headings: a condition for rows that have any."""
+    own = rows.select(key, *keep, F.expr(headings or "true").alias("_has"), F.split(F.col(text), r"\r\n|\r|\n").alias("_lines")).filter("_lines is not null")
+    own = own.withColumn("_heads", F.when(F.col("_has"), F.transform("_lines", lambda x: F.nullif(F.regexp_extract(x, HEADING, 1), F.lit("")))))
+    at = F.filter(F.transform("_heads", lambda h, i: F.when(h.isNotNull(), i)), lambda i: i.isNotNull())
+    own = own.withColumn("_at", F.coalesce(at, F.array().cast("array<int>")))
+    bounds = F.zip_with(F.concat(F.array(F.lit(-1)), "_at"), F.concat("_at", F.array(F.size("_lines"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    body = lambda x: strip(F.array_join(F.slice("_lines", x["a"] + 2, x["b"] - x["a"] - 1), "\n"))
+    part = lambda x, i: F.struct(i.cast("long").alias("place"), F.coalesce(F.get("_heads", x["a"]), F.lit("")).alias("section"), body(x).alias("text"))
+    return own.select(key, *keep, F.inline(F.transform(bounds, part))).filter("text <> ''")
 
 
 def pages(files: DataFrame, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """path, page, text, error of paged files by an extractor that gives a text for each page. Pages count from 1; a file that cannot be read is one row with its error."""
+    """path, sha256, page, text, error of paged files by an extractor that gives a text for each page. Pages count from 1; a file that cannot be read is one row with its error.
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    About a million characters travel together, however large the batch that they came in.
+    """
+    schema = pa.schema({"path": pa.string(), "sha256": pa.string(), "page": pa.int32(), "text": pa.string(), "error": pa.string()})
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for part in parts:
-            for path, content in zip(part["path"], part["content"]):
+            for path, sha256, content in zip(*part.columns):
                 try:
-                    texts, error = extract(bytes(content)), None
+                    texts, error = extract(content.as_py()), None
                 except Exception as e:  # what an extractor raises for a malformed file is its own
                     texts, error = [""], f"unreadable pdf: {e}"
-                yield pd.DataFrame({"path": path, "page": range(1, len(texts) + 1), "text": texts, "error": error})
+                held += [(path.as_py(), sha256.as_py(), i, text, error) for i, text in enumerate(texts, 1)]
+                size += sum(map(len, texts))
+                if size >= CHARACTERS_AT_ONCE or len(held) >= ROWS_AT_ONCE:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), schema.types)], schema=schema)
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held), schema.types)], schema=schema)
 
-    return files.select("path", "content").mapInPandas(run, "path string, page int, text string, error string")
+    return files.select("path", "sha256", "content").mapInArrow(run, "path string, sha256 string, page int, text string, error string")
 
 
 def pdf_pages(content: bytes) -> list[str]:
@@ -99,9 +112,9 @@ def pdf_pages(content: bytes) -> list[str]:
 
 
 def text_sections(files: DataFrame) -> DataFrame:
-    """path, page (always 1), place, section, text of text files; bytes that are no UTF-8 are replaced."""
-    texts = files.filter(F.col("suffix").isin(*TEXT)).select("path", "suffix", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    return sections(texts, headings="suffix = 'md'").select("path", F.lit(1).alias("page"), F.col("place").cast("long").alias("place"), "section", "text")
+    """path, sha256, page (always 1), place, section, text of text files; bytes that are no UTF-8 are replaced."""
+    texts = files.filter(F.col("suffix").isin(*TEXT)).select("path", "sha256", "suffix", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return sections(texts, headings="suffix = 'md'", keep=["sha256"]).select("path", "sha256", F.lit(1).alias("page"), "place", "section", "text")
 
 
 def parsed(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[str]] = pdf_pages, chunk: Callable[[DataFrame], DataFrame] = cut_chunks) -> tuple[Knowledge, DataFrame]:
@@ -109,15 +122,14 @@ def parsed(files: DataFrame, known: Knowledge, extract: Callable[[bytes], list[s
     rows = changed(files, known.files)
     work = rows.filter(F.col("reason").isNull() & (F.col("status") != "unchanged"))
     paged = written(pages(work.filter(F.col("suffix").isin(*PAGES)), extract), "pages")
-    parts = text_sections(work).unionByName(paged.filter("error is null").select("path", "page", F.col("page").cast("long").alias("place"), F.lit("").alias("section"), "text"))
-    hashes = work.select("path", "sha256")
-    new_chunks = written(chunk(parts).join(hashes, "path"), "chunks")
+    parts = text_sections(work).unionByName(paged.filter("error is null").select("path", "sha256", "page", F.col("page").cast("long").alias("place"), F.lit("").alias("section"), "text"))
+    new_chunks = written(chunk(parts).select("path", "page", "place", "section", "ord", "text", "sha256"), "chunks")
     cells = written(cells_of(work.filter(F.col("suffix").isin(*TABLES))), "cells")
     good, bad, unusable = specs_of_cells(cells.filter("error is null"))
     new_specs = written(good, "specs")
 
-    # pages without text have no chunk but count
-    n_pages = parts.groupBy("path").agg(F.count_distinct("page").alias("pages"))
+    # pages without text have no chunk but count; a text file's page has one
+    n_pages = paged.filter("error is null").select("path", "page").unionByName(new_chunks.select("path", "page")).groupBy("path").agg(F.count_distinct("page").alias("pages"))
     n_chunks = new_chunks.groupBy("path").agg(F.count("*").alias("chunks"))
     n_specs, n_bad = new_specs.groupBy("path").agg(F.count("*").alias("spec_rows")), bad.groupBy("path").agg(F.count("*").alias("skipped_rows"))
     errors = paged.filter("error is not null").select("path", "error").unionByName(cells.filter("error is not null").select("path", "error")).unionByName(unusable)

@@ -59,7 +59,7 @@ def upsert(files: DataFrame, number: int, root: str, extract: Callable[[bytes],
         return
     fresh, report = parsed(files, knowledge(spark, root), extract, chunk)
     for name, rows in zip(TABLES, fresh):
-        rows.write.mode("overwrite").parquet(f"{root}/{name}/segment={number}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}/segment={number}")
     report.write.mode("overwrite").parquet(f"{root}/report/segment={number}")
     if index:
         new = spark.read.schema(CHUNK_ROWS).parquet(f"{root}/chunks/segment={number}")
