@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from quarry.functions.stemming import fold_and_stem
 from quarry.functions.text import col
@@ -61,20 +65,36 @@ def windows(texts: list[str], size: int = SIZE, overlap: int = OVERLAP, reach: i
     return found
 
 
+def _groups(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Begin and end of groups of texts with about CHARACTERS_AT_ONCE."""
+    groups = np.cumsum(lengths) // CHARACTERS_AT_ONCE
+    return itertools.pairwise([0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(lengths)])
+
+
 def chunk_array(text: Column | str) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         own = [x or "" for x in texts]
-        groups = np.cumsum([len(x) for x in own]) // CHARACTERS_AT_ONCE if own else np.zeros(0, np.int64)
-        edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(own)]
-        return pd.Series([w for a, b in itertools.pairwise(edges) for w in windows(own[a:b])], index=texts.index, dtype=object)
+        cut = (windows(own[a:b]) for a, b in _groups(np.array([len(x) for x in own], np.int64)))
+        return pd.Series([w for group in cut for w in group], index=texts.index, dtype=object)
 
     return F.pandas_udf(run, "array<string>")(text)
 
 
 def chunks(sections: DataFrame, text: str = "text") -> DataFrame:
-    """A row per chunk with its place (ord) in its section; sections' other columns stay."""
+    """A row per chunk with its place (ord) in its section; sections' other columns stay. Chunks of about a million characters travel together."""
     others = [c for c in sections.columns if c != text]
-    return sections.select(*others, F.posexplode(chunk_array(text)).alias("ord", text))
+    schema = StructType([*(StructField(f.name, f.dataType) for f in sections.select(*others).schema), StructField("ord", IntegerType()), StructField(text, StringType())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for a, b in _groups(pc.utf8_length(part.column(len(others))).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)):
+                own = part.slice(a, b - a)
+                cut = windows([x or "" for x in own.column(len(others)).to_pylist()])
+                row = pa.array(np.repeat(np.arange(len(cut)), [len(x) for x in cut]))
+                places = pa.array([i for x in cut for i in range(len(x))], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(own.column(i).take(row) for i in range(len(others))), places, pa.array([w for x in cut for w in x], pa.string())], names=schema.names)
+
+    return sections.select(*others, text).mapInArrow(run, schema)
 
 
 def terms(text: Column | str) -> Column:
