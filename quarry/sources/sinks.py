@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,17 +84,19 @@ def bundle(template: str, parts: dict[str, object], required: str = "__DATA__")
 def write_text_files(files: DataFrame, root: str) -> DataFrame:
     """Write content to root/path for every row of files (path, content), each in its task; returns path and bytes. A repeated task writes the same again."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = (pafs.LocalFileSystem(), "/" + root.removeprefix("file:").lstrip("/")) if root.startswith(("file:", "/")) else pafs.FileSystem.from_uri(root)
         for part in parts:
             sizes = []
-            for path, content in zip(part["path"], part["content"]):
+            for path, content in zip(*part.columns):  # one at a time, out of the batch's own memory
                 fs.create_dir(f"{folder}/{path}".rpartition("/")[0], recursive=True)
                 with fs.open_output_stream(f"{folder}/{path}", compression=None) as out:
-                    sizes.append(out.write(content.encode("utf-8")))
-            yield pd.DataFrame({"path": part["path"], "bytes": sizes})
+                    sizes.append(out.write(content.as_buffer()))
+            done = pa.RecordBatch.from_arrays([pa.array(part.column(0).to_pylist(), pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+            part = path = content = None  # the next batch comes in when this one is gone
+            yield done
 
-    return files.select("path", "content").mapInPandas(run, "path string, bytes long")
+    return files.select("path", "content").mapInArrow(run, "path string, bytes long")
 
 
 def write_job_files(rows: DataFrame, root: str) -> None:

@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from quarry.operators import retrieval
-from quarry.sources import documents
+from quarry.sources import documents, sinks
 
 
 def run_of(monkeypatch, frame, make):
@@ -30,3 +30,20 @@ def test_chunks_and_pages_travel_in_bounded_batches(spark, monkeypatch):
     found = list(run(iter([batch])))
     assert len(found) > 4 and sum(b.num_rows for b in found) == 2 * len(texts) - 1
     assert found[-1].to_pylist()[-1]["error"].startswith("unreadable pdf")
+
+
+def test_files_are_written_without_copies_of_a_batch(spark, tmp_path, monkeypatch):
+    frame = spark.createDataFrame([("p", "x")], "path string, content string")
+    run = run_of(monkeypatch, frame, lambda f: sinks.write_text_files(f, str(tmp_path)))
+    texts = ["é" * 5_000_000, "", "end\r\n"]
+    base, tracked = pa.total_allocated_bytes(), []
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(["a/b.txt", "c.txt", "a/d.txt"]), pa.array(texts)], names=["path", "content"])
+
+    def batches():
+        for _ in range(3):
+            yield make()
+            tracked.append(pa.total_allocated_bytes() - base)
+
+    assert [b.to_pydict() for b in run(batches())] == [{"path": ["a/b.txt", "c.txt", "a/d.txt"], "bytes": [10_000_000, 0, 5]}] * 3
+    assert max(tracked) < 5_000_000  # nothing of a batch is held when the next is asked for
+    assert [(tmp_path / p).read_bytes().decode() for p in ("a/b.txt", "c.txt", "a/d.txt")] == texts
