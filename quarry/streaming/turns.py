@@ -21,8 +21,10 @@ at once; a turn without number, or not above the last, is reported and changes n
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,21 @@ def said(turns: DataFrame, symptoms: dict[str, list[str]]) -> DataFrame:
     return pack_rules.route(rows, symptoms).withColumn("pick", F.when(pick != "", pick.cast("int")))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """session, turn, and the rest of said() as one JSON text: a worker takes rows apart cell by cell, which costs more than what it does with them."""
+    rest = F.struct(*(c for c in rows.columns if c not in ("session", "turn")))
+    return rows.select("session", "turn", F.to_json(rest, {"ignoreNullFields": "false"}).alias("told"))
+
+
+@lru_cache(1024)
+def unpacked(told: str) -> dict:
+    """What a text says, to be read only: equal texts share it."""
+    found = json.loads(told)
+    for reading in found["readings"]:
+        reading["value"] = float(reading["value"])  # "Infinity" is a string in JSON
+    return found
+
+
 class Talk:
     """One session between turns: its facts, its vehicle, and what it makes of a turn."""
 
@@ -63,9 +80,9 @@ class Talk:
         self.session = Session(packs[pack], facts, intake=False) if pack else None
         self.turn = facts["turn"] if facts else -1
 
-    def take(self, told: Row) -> tuple:
+    def take(self, told: dict) -> tuple:
         """context, commits, problem, asks, width."""
-        self.vehicle = self.vehicle or (tuple(told["vehicle"]) if told["vehicle"]["make"] else None)
+        self.vehicle = self.vehicle or (tuple(told["vehicle"][k] for k in ("make", "model", "year")) if told["vehicle"]["make"] else None)
         if self.session is None and told["pack"]:
             self.pack, self.session = told["pack"], Session(self.packs[told["pack"]], None, intake=False)
         if self.session is None:
@@ -89,7 +106,7 @@ class Talk:
             self.session.problems = [problem]
         return commits
 
-    def _heard(self, told: Row) -> tuple[str, list[str]]:
+    def _heard(self, told: dict) -> tuple[str, list[str]]:
         session, answers = self.session, told["answers"]
         if session.facts["proposed"] is not None:
             if answers["yes"]:
@@ -113,9 +130,9 @@ class Talk:
             return "CHAT-Q", []
         return "TURN", []
 
-    def _plan(self, told: Row, status: str, gate: dict | None) -> dict | None:
+    def _plan(self, told: dict, status: str, gate: dict | None) -> dict | None:
         """What a turn proposes: limits where these are waited for, else each reading with its gate, and codes."""
-        if status == "TERMINAL":
+        if status == "TERMINAL" or not told["readings"] and not told["codes"]:
             return None
         values = [r["value"] for r in told["readings"]]
         if status == "NEED_SPEC" and values:
@@ -135,7 +152,7 @@ class Talk:
         codes = " ".join(told["codes"])
         return {"readings": readings or None, "text": codes or None} if readings or codes else None
 
-    def score(self, gate: dict, reading: Row) -> float:
+    def score(self, gate: dict, reading: dict) -> float:
         """How well a reading fits a gate: two for its state, one for each shared word, half for the current gate."""
         wrong_unit = reading["unit"] and reading["unit"].casefold() != (gate.get("unit") or "").casefold()
         if gate["type"] == "boolean" or wrong_unit or reading["state"] and reading["state"] != gate.get("condition"):
@@ -158,8 +175,6 @@ class Turns(StatefulProcessor):
         self.proposed = handle.getListState("proposed", PROPOSED, self.ttl)
 
     def _load(self) -> Talk:
-        if not self.place.exists():
-            return Talk(self.packs, None)
         pack, at, noted, turn, make, model, year, known = self.place.get()
         vehicle = (make, model, year) if known else None
         if pack is None:
@@ -217,10 +232,11 @@ class Turns(StatefulProcessor):
                 state.put(after[name]) if after[name] else state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        talk = self._load()
-        before = self._stored(talk) if self.place.exists() else {}
-        for told in sorted(rows, key=lambda r: (r["turn"] is None, r["turn"] or 0)):
-            turn = told["turn"]
+        known = self.place.exists()
+        talk = self._load() if known else Talk(self.packs, None)
+        before = self._stored(talk) if known else {}
+        for row in sorted(rows, key=lambda r: (r["turn"] is None, r["turn"] or 0)):
+            turn = row["turn"]
             if turn is None or turn <= talk.turn:
                 found = "TURN", [], "no turn" if turn is None else "late turn", None, None
             else:
@@ -230,7 +246,7 @@ class Turns(StatefulProcessor):
                 if talk.session:
                     talk.session.facts["turn"] = turn
                 try:
-                    found = talk.take(told)
+                    found = talk.take(unpacked(row["told"]))
                 except Exception as wrong:  # one turn must not end the sessions of a stream
                     found = "TURN", [], f"{type(wrong).__name__}: {wrong}", None, None
                 if talk.session:
@@ -246,7 +262,7 @@ class Turns(StatefulProcessor):
 
 def turn_stream(turns: DataFrame, packs: list[dict], silence: int | None = None, ttl_ms: int | None = None) -> DataFrame:
     """A row per turn (OUTPUT) of a stream of turns; packs in the order in which their symptoms are looked for."""
-    rows = said(turns, {p["id"]: p["symptoms"] for p in packs})
+    rows = packed(said(turns, {p["id"]: p["symptoms"] for p in packs}))
     processor = Turns({p["id"]: p for p in packs}, silence, ttl_ms)
     return rows.groupBy("session").transformWithState(processor, OUTPUT, "append", "processingTime" if ttl_ms else "none")
 

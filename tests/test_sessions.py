@@ -229,3 +229,17 @@ def test_silence_ends_a_session(spark, tmp_path):
     turns.run_turns(turns.turn_stream(stream, [BENCH], silence=5, ttl_ms=60_000), f"{tmp_path}/out", f"{tmp_path}/state", one_batch=True)
     got = {r.turn: (r.status, [c.removeprefix("DEV-BRANCH-") for c in r.commits]) for r in spark.read.schema(turns.OUTPUT).parquet(f"{tmp_path}/out").collect()}
     assert got == {0: ("NEED_READING", []), 3: ("NEED_READING", []), 9: ("INTAKE", []), 10: ("NEED_READING", []), 12: ("NEED_DTCS", ["GATE-CODES-NO"])}
+
+
+def test_what_is_said_travels_as_one_text(spark, tmp_path):
+    """A worker gets three cells a turn, whatever is said; a vehicle is kept by its values, and a number beyond all doubles ends nothing."""
+    rows = [("a", 0, "2008 Honda Civic no start"), ("a", 1, "battery reads " + "9" * 400 + " V"), ("a", 2, "no"), ("b", 0, None)]
+    spark.createDataFrame(rows, "session string, turn long, text string").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("session string, turn long, text string").parquet(f"{tmp_path}/in")
+    assert turns.packed(turns.said(stream, {})).columns == ["session", "turn", "told"]
+    turns.run_turns(turns.turn_stream(stream, [BENCH]), f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {(r.session, r.turn): (r.status, r.problem) for r in spark.read.schema(turns.OUTPUT).parquet(f"{tmp_path}/out").collect()}
+    assert got == {("a", 0): ("NEED_READING", None), ("a", 1): ("NEED_READING", None), ("a", 2): ("NEED_READING", None), ("b", 0): ("INTAKE", None)}
+    talk = turns.Talk({}, None)
+    talk.take({"vehicle": {"make": "Honda", "model": "Civic", "year": 2008}, "pack": None, "text": "x"})
+    assert talk.vehicle == ("Honda", "Civic", 2008)
