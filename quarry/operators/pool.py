@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 from quarry.functions.matching import model_matches, norm_make
 from quarry.functions.text import tags
 
-from .shared import fresh
+from .shared import fresh, written
+
+#: As many of the subjects' clusters are sent to every task; more are joined by Spark's own choice.
+FEW_CLUSTERS = 500_000
 
 
 def subjects(vehicles: DataFrame, make: str, model: str, year: int, separators: bool = False) -> DataFrame:
@@ -38,12 +41,14 @@ def sibling_pool(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame
     The survivor is the first by type, cluster, make, model, first year and id.
     """
     ids = found.select(F.col("id").alias("vehicle_id"))
-    shared = membership.join(ids, "vehicle_id", "left_semi").select("cluster_id").distinct()
+    shared = written(membership.join(ids, "vehicle_id", "left_semi").select("cluster_id").distinct(), "shared")
+    if shared.count() <= FEW_CLUSTERS:  # then members stay dealt out by vehicle
+        shared = F.broadcast(shared)
     peers = membership.join(shared, "cluster_id", "left_semi").join(ids, "vehicle_id", "left_anti")
     rows = peers.join(vehicles, peers["vehicle_id"] == vehicles["id"]).join(clusters.select("cluster_id", "type", "label"), "cluster_id")
     rows = rows.withColumns({"note": F.coalesce("note", F.lit("")), "label": F.coalesce("label", F.lit("")), "bucket": F.col("type") if case_sensitive else bucket(F.col("type"))})
     fold = (lambda c: F.col(c)) if case_sensitive else (lambda c: F.lower(c))
-    order = ["type", "cluster_id", F.lower("make"), F.lower("model"), "year_start", "id"]
+    order = ["type", "cluster_id", "year_start", "id"]  # make and model in lower case are one in each key
     return keep_first(rows, ["bucket", fold("make"), fold("model"), fold("note")], order).select("bucket", "cluster_id", "make", "model", "styles", "year_start", "year_end", "confidence", "note", "label")
 
 

@@ -35,6 +35,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return fs.makeQualified(path).toString()
 
 
+#: About so many rows of a large table come to a task of a join or a grouping.
+ROWS_A_TASK = 500_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int | None:
+    """How many tasks so many rows are dealt out to, at least the session's number of partitions; None where one task can take all."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_A_TASK)) if rows > ROWS_A_TASK else None
+
+
+def dealt(df: DataFrame, tasks: int | None, *keys: str) -> DataFrame:
+    """df dealt out by keys among so many tasks, which Spark does not put together again; as it is with None."""
+    return df.repartition(tasks, *keys) if tasks else df
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each made longer until no column of df has it in any case."""
     taken = {c.lower() for c in df.columns}

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.operators.shared import dealt, tasks_for
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def line_tasks(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks for work on all line items; they are counted in the files' footers."""
+    return tasks_for(spark, table(spark, sf_dir, "lineitem").count())
+
+
 def vehicles(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.min(F.year("l_shipdate")).alias("y0"), F.max(F.year("l_shipdate")).alias("y1"))
     size = F.col("p_size")
@@ -26,7 +33,9 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("note"))
+    """Edges, dealt out by vehicle once, so that neither their grouping nor a join with vehicles moves or sorts them again."""
+    lines = dealt(table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag"), line_tasks(spark, sf_dir), "l_partkey")
+    pairs = lines.groupBy("l_partkey", "l_suppkey").agg(F.min("l_returnflag").alias("note"))
     scope = F.when(F.col("l_suppkey") % 3 == 0, "engine-loop").otherwise("structural")
     return pairs.select(F.col("l_partkey").alias("vehicle_id"), F.col("l_suppkey").cast("string").alias("cluster_id"), scope.alias("scope"), F.lit("edc").alias("confidence"), "note")
 

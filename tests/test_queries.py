@@ -51,3 +51,15 @@ def test_pool_plan_has_no_python_and_no_nested_loop(spark):
     df = registry.QUERIES["donor_pool"](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+@pytest.mark.parametrize("name", ["donor_pool", "cross_targets", "pending_targets", "cost_plan"])
+def test_members_are_dealt_by_their_number(spark, duck, monkeypatch, name):
+    """The tasks of members and targets grow with the line items, not with the session's partitions, and tell the same rows."""
+    from quarry.operators import shared
+    from quarry.plans import entities
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 300)
+    tasks = -(-spark.read.parquet(f"{FOLDER}/lineitem.parquet").count() // 300)
+    assert tasks > 8 and entities.membership(spark, FOLDER).rdd.getNumPartitions() == tasks
+    test_equals_sql(spark, duck, name)
