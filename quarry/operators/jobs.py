@@ -23,13 +23,13 @@ def custom_id(cluster: Column | str, job: Column | str) -> Column:
     return F.concat(F.substring(slug(cluster, "-"), 1, 40), F.lit("_"), digest)
 
 
-def targets(flat: DataFrame, jobs: DataFrame, scopes: list[str], clusters: list[str] | None = None) -> DataFrame:
-    """scope, cluster_id, job, ord, labels, custom_id. flat has ord next to a flat export's columns; jobs has scope, job, ord."""
+def targets(flat: DataFrame, jobs: DataFrame, scopes: list[str], clusters: list[str] | None = None, tasks: int | None = None) -> DataFrame:
+    """scope, cluster_id, job, ord, labels, custom_id; tasks: as first_labels has it. flat has ord next to a flat export's columns; jobs has scope, job, ord."""
     rows = flat.filter(F.col("scope").isin(scopes) & (F.coalesce("cluster_id", F.lit("")) != ""))
     if clusters:
         rows = rows.filter(F.col("cluster_id").isin(clusters))
     rows = rows.withColumn("label", year_label("year_start", "year_end", "make", "model", "note"))
-    groups = first_labels(rows, ["scope", "cluster_id"], "label", "ord", SIBLINGS)
+    groups = first_labels(rows, ["scope", "cluster_id"], "label", "ord", SIBLINGS, tasks)
     return groups.join(jobs.withColumnRenamed("ord", "job_ord"), "scope").withColumn("custom_id", custom_id("cluster_id", "job"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .pool import keep_first
-from .shared import fresh, written
+from .shared import dealt, fresh, written
 
 
 def insert_or_ignore(existing: DataFrame, new: DataFrame, keys: list[str], order: list[Column | str]) -> DataFrame:
@@ -91,8 +91,12 @@ def stride_sample(rows: DataFrame, by: list[str], order: list[Column | str], lim
     return joined.filter((nth % step == 0) & (nth < step * limit)).select(*(F.col(f"`{c}`") for c in rows.columns))
 
 
-def first_labels(rows: DataFrame, by: list[str], label: str, order: Column | str, limit: int = 8) -> DataFrame:
-    """The first distinct labels of each group, in order of first mention, as an array of at most limit."""
+def first_labels(rows: DataFrame, by: list[str], label: str, order: Column | str, limit: int = 8, tasks: int | None = None) -> DataFrame:
+    """The first distinct labels of each group, in order of first mention, as an array of at most limit.
+
+    With a number of tasks the rows are dealt out among these by group once, for all that follows.
+    """
+    rows = dealt(rows, tasks, *by)
     at, nth = fresh(rows, "_at", "_place")
     firsts = rows.groupBy(*by, label).agg(F.min(order).alias(at))
     place = F.row_number().over(Window.partitionBy(*by).orderBy(at, label))

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from quarry.functions.matching import model_matches, parse_subject
 from quarry.functions.text import general_number, slug, spec_key
 from quarry.operators import jobs, merge, pool, quality
+from quarry.operators.shared import written
 from quarry.sources.seed import as_tables, seed_vehicles
 from quarry.sources.sinks import flat_rows
 
-from .entities import ALL, ORDER_MEMBERS, VEHICLES, clusters, membership, order_members, table, vehicles
+from .entities import ALL, ORDER_MEMBERS, VEHICLES, clusters, line_tasks, membership, order_members, table, vehicles
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -297,10 +298,11 @@ pending AS (SELECT * FROM targets WHERE custom_id NOT IN (SELECT custom_id FROM
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = membership(spark, sf_dir).join(vehicles(spark, sf_dir), F.col("id") == F.col("vehicle_id")).withColumn("ord", F.col("vehicle_id"))
-    return jobs.targets(flat, spark.createDataFrame(JOBS, "scope string, job string, ord int"), ["structural", "engine-loop"])
+    return jobs.targets(flat, spark.createDataFrame(JOBS, "scope string, job string, ord int"), ["structural", "engine-loop"], tasks=line_tasks(spark, sf_dir))
 
 
 def _pending(rows: DataFrame) -> DataFrame:
+    rows = written(rows, "targets")  # they are asked three times
     number = F.col("cluster_id").cast("long")
     done = rows.filter(number % 5 == 0).select("custom_id", F.lit("ok").alias("status"))
     requests = rows.filter(number % 3 == 1).select("custom_id", (number % 4).alias("batch_id"))
