@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import first_number, strip
 
+from .shared import dealt
+
 METHOD = "consistency-check"
 SPREAD = 1.0
 
 
-def duplicate_tuples(membership: DataFrame, vehicles: DataFrame, keys: list[str]) -> DataFrame:
-    """Combinations of keys that occur more than once among members."""
-    return membership.join(vehicles, membership["vehicle_id"] == vehicles["id"]).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+def duplicate_tuples(membership: DataFrame, vehicles: DataFrame, keys: list[str], tasks: int | None = None) -> DataFrame:
+    """Combinations of keys that occur more than once among members; with a number of tasks, these are dealt out among so many."""
+    return dealt(membership.join(vehicles, membership["vehicle_id"] == vehicles["id"]).select(*keys), tasks, *keys).groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def value_set(column: Column, marks: str = ",") -> Column:
@@ -74,9 +76,9 @@ def verdict_report(log: DataFrame) -> DataFrame:
 TUPLE = ["make", "model", "styles", "year_start", "year_end", "cluster_id"]
 
 
-def validate(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame, log: DataFrame, date: Column) -> tuple[DataFrame, DataFrame]:
+def validate(vehicles: DataFrame, clusters: DataFrame, membership: DataFrame, log: DataFrame, date: Column, tasks: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Membership and verdict log after a check of all structural clusters; earlier flags are replaced. Members that occur twice are refused."""
-    twice = duplicate_tuples(membership, vehicles, TUPLE).count()
+    twice = duplicate_tuples(membership, vehicles, TUPLE, tasks).count()
     if twice:
         raise ValueError(f"{twice} combinations of vehicle and cluster occur more than once")
     structural = clusters.filter("type = 'structural'").select("cluster_id")

@@ -11,7 +11,7 @@ from quarry.operators import jobs, pool, quality
 from quarry.operators.shared import shared_dir
 from quarry.sources import sinks, tables
 
-from .entities import ALL, clusters, membership, table, vehicles
+from .entities import ALL, clusters, line_tasks, membership, table, vehicles
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -149,8 +149,9 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     cars, groups = vehicles(spark, sf_dir).withColumn("model", F.concat("model", F.lit(" "), F.col("id").cast("string"))), clusters(spark, sf_dir)
     edges = membership(spark, sf_dir).dropDuplicates(["vehicle_id", "cluster_id"])
     log = spark.createDataFrame([], "date string, part string, method string, cluster_id string, result string, notes string")
-    edges, log = quality.validate(cars, groups, edges, log, F.lit("2024-01-01"))
-    return quality.summary(groups, *quality.validate(cars, groups, edges, log, F.lit("2024-01-02")))
+    tasks = line_tasks(spark, sf_dir)
+    edges, log = quality.validate(cars, groups, edges, log, F.lit("2024-01-01"), tasks)
+    return quality.summary(groups, *quality.validate(cars, groups, edges, log, F.lit("2024-01-02"), tasks))
 
 
 @query("""SELECT scope, cluster_id, job FROM (SELECT o_orderpriority AS scope, CAST(o_custkey AS VARCHAR) AS cluster_id, min(o_orderkey) AS o FROM orders GROUP BY 1, 2), (VALUES ('1-URGENT', 'brakes'), ('1-URGENT', 'fuel'), ('2-HIGH', 'brakes'), ('3-MEDIUM', 'fuel')) j(s, job)

@@ -53,7 +53,7 @@ def test_pool_plan_has_no_python_and_no_nested_loop(spark):
     assert "Python" not in plan and "Arrow" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("name", ["donor_pool", "cross_targets", "pending_targets", "cost_plan"])
+@pytest.mark.parametrize("name", ["donor_pool", "cross_targets", "pending_targets", "cost_plan", "validation_summary"])
 def test_members_are_dealt_by_their_number(spark, duck, monkeypatch, name):
     """The tasks of members and targets grow with the line items, not with the session's partitions, and tell the same rows."""
     from quarry.operators import shared
