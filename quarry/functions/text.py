@@ -52,15 +52,23 @@ def year_range(x: Column | str) -> tuple[Column, Column]:
 
 
 def general_number(x: Column | str) -> Column:
-    """At most six significant digits (ties of the shortest decimal form go to even) without trailing zeros, with an exponent for very large or small values."""
+    """At most six significant digits (ties of the shortest decimal form go to even) without trailing zeros, with an exponent for very large or small values.
+
+    The digits are one whole number, cut as text: a formatter and patterns for each number would take most of a query's time.
+    """
     x = col(x).cast("double")
-    size = F.floor(F.log10(F.abs(x)))
-    rounded = F.when(x == 0, F.lit(0.0)).otherwise(F.bround(x * F.pow(F.lit(10.0), 5 - size)) / F.pow(F.lit(10.0), 5 - size))
-    top = F.when(rounded == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(rounded))))
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.10f", rounded), r"0+$", ""), r"\.$", "")
-    mantissa = F.regexp_replace(F.regexp_replace(F.format_string("%.5f", rounded / F.pow(F.lit(10.0), top)), r"0+$", ""), r"\.$", "")
-    scientific = F.concat(mantissa, F.lit("e"), F.when(top < 0, "-").otherwise("+"), F.lpad(F.abs(top).cast("string"), 2, "0"))
-    return F.when((top >= -4) & (top < 6), plain).otherwise(scientific)
+    power = F.floor(F.log10(F.abs(x))).cast("double")  # null for 0
+    ten = lambda n: F.pow(F.lit(10.0), n)
+    scaled = F.abs(x) / ten(F.greatest(power - 5, F.lit(0.0))) * ten(F.least(F.greatest(5 - power, F.lit(0.0)), F.lit(300.0))) * ten(F.greatest(-295 - power, F.lit(0.0)))  # powers up to 22 are exact, above 308 there are none
+    digits = F.rint(scaled).try_cast("long")  # null for what is not finite
+    top = (power + F.when(digits >= 1_000_000, 1).when(digits < 1_000_000, 0)).cast("int")  # null where there are no digits
+    text = digits.cast("string")  # six digits, or 1 and zeros
+    pointed = lambda x, n: F.rtrim(F.rtrim(F.concat(F.substring(x, F.lit(1), n), F.lit("."), F.substring(x, n + 1, F.lit(12))), F.lit("0")), F.lit("."))
+    plain = pointed(F.concat(F.substring(F.lit("0000"), F.lit(1), -top), text), F.greatest(top, F.lit(0)) + 1)
+    scientific = F.concat(pointed(text, F.lit(1)), F.when(top < 0, "e-").otherwise("e+"), F.when(F.abs(top) < 10, "0").otherwise(""), F.abs(top).cast("string"))
+    sign = F.when(x < 0, "-").otherwise("")
+    other = F.when(x == 0, F.when(F.startswith(x.cast("string"), F.lit("-")), "-0").otherwise("0")).when(F.isnan(x), "nan").when(x.isNotNull(), F.concat(sign, F.lit("inf")))
+    return F.when((top >= -4) & (top < 6), F.concat(sign, plain)).when(top.isNotNull(), F.concat(sign, scientific)).otherwise(other)
 
 
 def citation(file: Column | str, page: Column | str) -> Column:

@@ -1,3 +1,6 @@
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +51,18 @@ def test_general_number(spark, x):
     assert one(spark, text.general_number(F.lit(x))) == f"{x:g}"
 
 
+def test_general_numbers_of_all_sizes(spark):
+    """As %g has them, from the smallest to the largest, and what is no number; in the plan no formatter and no pattern."""
+    rng = random.Random(4)
+    found = [0.0, -0.0, float("inf"), -float("inf"), float("nan"), 5e-324, -2.5e-310, 1.7976931348623157e308, 999999.5, 9999995.0, 1234565.0, 1e-4, 9.9999996e-5, -123456.4, 0.1 + 0.7]
+    found += [s * 10.0**k for k in range(-323, 309) for s in (1, -1)] + [math.nextafter(10.0**k, to) for k in range(-300, 308) for to in (0.0, math.inf)]
+    found += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(2000)] + [rng.uniform(-1, 1) * 10.0 ** rng.randint(-7, 9) for _ in range(2000)]
+    rows = spark.createDataFrame([(x,) for x in [*found, None]], "x double").select("x", text.general_number("x").alias("g"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "format_string" not in plan and "regexp" not in plan
+    assert [(r.x, r.g) for r in rows.collect() if r.x is None or r.g != f"{r.x:g}"] == [(None, None)]
+
+
 def test_tags(spark):
     assert [tuple(t) for t in one(spark, text.tags(F.lit("a: n1 ; b;;c:x:y")))] == [("a", "n1"), ("b", ""), ("c", "x:y")]
 
