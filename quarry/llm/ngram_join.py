@@ -7,17 +7,19 @@ of each document. Texts with equal sets are one node from the start. The steps:
    counts shingles that are common within a task.
 2. Linked sets share one of the first n/5 + 1 shingles in any fixed order (prefix filter). Known common
    shingles come last in the order, the commonest of all at its end. Prefix entries go to the task of their
-   shingle as packed arrays.
+   shingle as packed arrays. Where more than LARGE prefixes turn out to share a shingle that was not known as
+   common, all that COMMON prefixes share become known, and prefixes are taken anew.
 3. Sets under one shingle are candidates if sizes allow it and the sketches differ in no more bits than
-   linked sets could. Where a shingle holds more than LARGE sets, all of compatible size are candidates.
+   linked sets could. Where a shingle still holds more than LARGE sets, all of compatible size are candidates.
    Components of candidates bound what is compared next.
 4. Within each candidate component the sparse document by shingle incidence matrix is multiplied by its
    transpose, in blocks of documents: columns (shingles) with the same documents are one column with a
    weight, and each column adds its weight to the pairs of its own documents only. Overlap counts below the
    bound that the two sizes set are dropped. A component of more than BLOCK sets is dealt into random
    blocks, several times over; what then is not in its main part is compared with all sets of that
-   component whose size allows a link, again in blocks. So every pair that could link is either known to
-   be connected or compared, and no pair is ever written out.
+   component whose size allows a link, again in blocks, of which no more are dealt out at once than about two
+   copies of those sets. So every pair that could link is either known to be connected or compared, and no
+   pair is ever written out.
 
 The order, the sketches and the blocks only save work; every link is found, none is guessed.
 
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_shuffles, partitions, text_of, texts_of, worker_state, written
+from .common import delete_written, free_shuffles, partitions, text_of, texts_of, worker_state, written
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -45,6 +47,8 @@ LOCAL_COMMON, COMMON = 4, 64
 #: Common shingles to know of at most (16 bytes each to every task); the rest only cost time.
 COMMON_KNOWN = 1 << 20
 STRETCH_SHINGLES = 2 << 20
+#: Times that prefixes are taken at most; what then is in too many prefixes only costs time.
+ROUNDS = 4
 #: Prefix entries that a task packs at once.
 PACKED_ENTRIES = 1 << 18
 LARGE = 512
@@ -167,7 +171,7 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def postings(entries: DataFrame) -> DataFrame:
-    """Rows (posting, a, b): members a of a posting of at most LARGE sets, or with posting null a pair of candidates. Buckets come one after the other and are all that a task holds."""
+    """Rows (posting, a, b): members a of a posting of at most LARGE sets; with posting null a pair of candidates; with a null a shingle that b prefixes share, COMMON or more. Buckets come one after the other and are all that a task holds."""
 
     def bucket(held: list[bytes]) -> Iterator[pa.RecordBatch]:
         counts = [len(data) // 20 for data in held]
@@ -176,10 +180,16 @@ def postings(entries: DataFrame) -> DataFrame:
         order = np.lexsort((key[:, 1], size, key[:, 0]))
         key, size = key[order], size[order]
         new = np.append(True, (key[1:] != key[:-1]).any(axis=1))  # one of equal sets
-        key, size = key[new], size[new]
+        key, size = key[new], size[new].astype(np.int64)
+        names = ["posting", "a", "b"]
         begins, lengths = _runs(key[:, 0])
+        often = lengths >= COMMON
+        if often.any():
+            yield pa.RecordBatch.from_arrays([pa.array(key[begins[often], 0].view(np.int64)), pa.nulls(int(often.sum()), pa.int64()), pa.array(lengths[often])], names)
+        # a shingle's sets by size; where none before is large enough for a link, another posting begins
+        apart = (key[1:, 0] != key[:-1, 0]) | (5 * size[:-1] < 4 * size[1:])
+        begins, lengths = _runs(np.cumsum(np.append(True, apart)))
         member = key[:, 1].view(np.int64)
-        names, kinds = ["posting", "a", "b"], [pa.int64()] * 3
         small = (lengths > 1) & (lengths <= LARGE)
         if small.any():
             mark = np.repeat(small, lengths)
@@ -192,12 +202,8 @@ def postings(entries: DataFrame) -> DataFrame:
             rows = np.repeat(keep, length)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, length)[rows].view(np.int64)), pa.array(own[rows]), pa.nulls(int(rows.sum()), pa.int64())], names)
         for begin, length in zip(begins[lengths > LARGE].tolist(), lengths[lengths > LARGE].tolist()):
-            n = size[begin : begin + length].astype(np.int64)
-            apart = np.append(True, 5 * n[:-1] < 4 * n[1:])  # no set before is large enough
-            head = member[begin : begin + length][np.maximum.accumulate(np.where(apart, np.arange(length), 0))]
-            tail = member[begin : begin + length]
-            pair = ~apart
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(pair.sum()), kinds[0]), pa.array(head[pair]), pa.array(tail[pair])], names)
+            head, tail = member[begin], member[begin + 1 : begin + length]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(tail), pa.int64()), pa.array(np.full(len(tail), head)), pa.array(tail)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -215,6 +221,25 @@ def postings(entries: DataFrame) -> DataFrame:
     return entries.sortWithinPartitions("bucket").mapInArrow(run, "posting long, a long, b long")
 
 
+def counted(rows: DataFrame, value: str, n: str) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles with the highest counts, COMMON_KNOWN at most: values, ascending, and counts."""
+    top = rows.select(F.col(value).alias("value"), F.col(n).alias("n")).orderBy(F.desc("n"), "value").limit(COMMON_KNOWN).toArrow()
+    values, counts = (np.asarray(top.column(c).combine_chunks(), np.int64) for c in ("value", "n"))
+    order = np.argsort(values.view(np.uint64))
+    return values[order].view(np.uint64), counts[order]
+
+
+def also_known(known: tuple[np.ndarray, np.ndarray], shared: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray] | None:
+    """known with the shingles that COMMON prefixes share; None where all that more than LARGE share were known."""
+    if np.isin(shared[0][shared[1] > LARGE], known[0]).all():
+        return None
+    values, place = np.unique(np.concatenate([known[0], shared[0]]), return_inverse=True)
+    counts = np.zeros(len(values), np.int64)
+    np.maximum.at(counts, place, np.concatenate([known[1], shared[1]]))
+    keep = np.sort(np.argsort(-counts, kind="stable")[:COMMON_KNOWN])
+    return values[keep], counts[keep]
+
+
 def grouped(rows: DataFrame, keys: list[str], order: list[str], work: Callable[[pa.Table], Iterator[tuple[np.ndarray, ...]]], names: tuple[str, ...] = ("a", "b")) -> DataFrame:
     """work on each group of rows with equal keys, one after the other: a shuffle, a sort and one pass over Arrow batches."""
 
@@ -366,15 +391,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     profile = written(profiles(texts), "profiles")
     own = profile.filter("not common").select("doc_id", "signature", "n", "sketch")
     nodes = written(own.filter("n > 0 and doc_id is not null").groupBy("signature").agg(F.min("doc_id").alias("node"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
-    common = profile.filter("common").groupBy("signature").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).orderBy(F.desc("n"), "signature").limit(COMMON_KNOWN)
-    common = np.array([tuple(r) for r in common.select("signature", "n").collect()], np.int64).reshape(-1, 2)
-    order = np.argsort(common[:, 0].copy().view(np.uint64))
-    known = common[order, 0].copy().view(np.uint64), common[order, 1].copy()
+    known = counted(profile.filter("common").groupBy("signature").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON), "signature", "n")
 
     parts = partitions(spark)
-    entries = prefix_entries(texts, known, 8 * parts).repartition(parts, "bucket")
-    found = written(postings(entries), "postings")
-    members = found.filter("posting is not null").select("posting", F.col("a").alias("signature")).distinct().join(nodes, "signature")
+    for left in reversed(range(ROUNDS)):
+        entries = prefix_entries(texts, known, 8 * parts).repartition(parts, "bucket")
+        found = written(postings(entries), "postings")
+        more = also_known(known, counted(found.filter("a is null"), "posting", "b")) if left else None
+        if more is None:
+            break
+        known = more
+        delete_written(found)
+        free_shuffles(spark)
+    members = found.filter("posting is not null and a is not null").select("posting", F.col("a").alias("signature")).distinct().join(nodes, "signature")
     near = grouped(members, ["posting"], ["n", "signature"], similar_sketches)
     candidates = components(near.union(found.filter("posting is null").select("a", "b")))
 
@@ -396,9 +425,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     free_shuffles(spark)
 
     if large.limit(1).count():
-        found = written(grouped(_strays(compared, components(links)), ["part", "near", "row", "column"], ["stray", "node"], links_between), "links")
-        links = links.union(found)
-        free_shuffles(spark)
+        for dealt in _strays(compared, components(links)):
+            links = links.union(written(grouped(dealt, ["part", "near", "row", "column"], ["stray", "node"], links_between), "links"))
+            free_shuffles(spark)
 
     linked = components(links)
     final = nodes.select("signature", "node").join(linked, "node", "left").select("signature", F.coalesce("component", "node").alias("component_id"))
@@ -406,8 +435,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return own.join(final, "signature", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), F.col("doc_id"))).alias("component_id"))
 
 
-def _strays(compared: DataFrame, labels: DataFrame) -> DataFrame:
-    """What is still to compare in large parts: blocks of sets outside the part's main component by blocks of all its sets in the same or a neighbouring band of sizes (near is the stray's)."""
+def _strays(compared: DataFrame, labels: DataFrame) -> Iterator[DataFrame]:
+    """What is still to compare in large parts: blocks of sets outside the part's main component by blocks of all its sets in the same or a neighbouring band of sizes (near is the stray's).
+
+    Each text goes to as many blocks as the other side has. So that this takes no more than about two copies of the parts'
+    texts at once, the columns of blocks are dealt out one share after the other.
+    """
     placed = compared.filter("size is not null").select("part", "node", "band").distinct().join(labels, "node", "left").select("part", "node", "band", F.coalesce("component", "node").alias("label"))
     placed = written(placed, "placed")
     counts = placed.groupBy("part", "label").agg(F.count("*").alias("n"))
@@ -416,9 +449,17 @@ def _strays(compared: DataFrame, labels: DataFrame) -> DataFrame:
     around = marked.withColumn("near", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))))
     sizes = around.groupBy("part", "near").agg(F.count_if((F.col("label") != F.col("main")) & (F.col("near") == F.col("band"))).alias("strays"), F.count("*").alias("others")).filter("strays > 0")
     blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sizes = written(sizes.select("part", "near", blocks("strays").alias("rows"), blocks("others").alias("columns")), "stray-blocks")
+    sizes = written(sizes.select("part", "near", "strays", "others", blocks("strays").alias("rows"), blocks("others").alias("columns")), "stray-blocks")
+    copies, others = sizes.agg(F.sum(F.col("strays") * F.col("columns") + F.col("others") * F.col("rows")), F.sum("others")).first()
+    shares = -(-copies // (2 * others)) if copies else 0
     deal = F.xxhash64("node")
-    stray = marked.filter("label <> main").withColumn("near", F.col("band")).join(sizes, ["part", "near"])
-    stray = stray.select("part", "near", F.pmod(deal, F.col("rows")).cast("int").alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"), "node", F.lit(True).alias("stray"))
-    other = around.join(sizes, ["part", "near"]).select("part", "near", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), F.pmod(deal, F.col("columns")).cast("int").alias("column"), "node", F.lit(False).alias("stray"))
-    return written(stray.union(other), "strays").join(compared.select("node", "text"), "node")
+    sizes = sizes.drop("strays", "others")
+    for share in range(shares):
+        columns = F.when(F.col("columns") > share, F.sequence(F.lit(share), F.col("columns") - 1, F.lit(shares)))
+        stray = marked.filter("label <> main").withColumn("near", F.col("band")).join(sizes, ["part", "near"])
+        stray = stray.select("part", "near", F.pmod(deal, F.col("rows")).cast("int").alias("row"), F.explode(columns).alias("column"), "node", F.lit(True).alias("stray"))
+        other = around.join(sizes, ["part", "near"]).withColumn("column", F.pmod(deal, F.col("columns")).cast("int")).filter(F.col("column") % shares == share)
+        other = other.select("part", "near", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "column", "node", F.lit(False).alias("stray"))
+        dealt = written(stray.union(other), "strays")
+        yield dealt.join(compared.select("node", "text"), "node")
+        delete_written(dealt)

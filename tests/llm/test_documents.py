@@ -86,6 +86,66 @@ def test_texts_of_common_passages_only(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def watched(monkeypatch):
+    """The rows of each table that the join writes from now on, by name."""
+    rows, write = {}, ngram_join.written
+
+    def written(df, name):
+        out = write(df, name)
+        rows.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", written)
+    return rows
+
+
+def components_of(spark, rows):
+    return {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def around_a_passage(n, extra=()):
+    """Texts of 80 shingles, of which all share 20; by extra, near copies of some."""
+    passage = " ".join(f"p{i}" for i in range(24))
+    rows = [(d, " ".join(f"a{d}x{i}" for i in range(60)) + f" {passage}") for d in range(n)]
+    return rows + [(1000 + d, rows[d][1] + " more") for d in extra]
+
+
+def test_a_passage_common_in_no_task(spark, monkeypatch):
+    """What many prefixes share without being common in any task becomes known; texts that share no more are no candidates."""
+    monkeypatch.setattr(ngram_join, "LOCAL_COMMON", 1000)
+    monkeypatch.setattr(ngram_join, "COMMON", 4)
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    rows, written = around_a_passage(40, (3, 30)), watched(monkeypatch)
+    assert components_of(spark, rows) == brute(rows)
+    assert written["compared"][-1] == 4 and "strays" not in written
+
+
+def test_known_shingles():
+    known, shared = (np.array([2, 9], np.uint64), np.array([100, 80])), (np.array([2, 5, 7], np.uint64), np.array([900, 600, 70]))
+    assert [x.tolist() for x in ngram_join.also_known(known, shared)] == [[2, 5, 7, 9], [900, 600, 70, 80]]
+    assert ngram_join.also_known((np.array([2, 5], np.uint64), np.array([64, 64])), shared) is None
+    assert ngram_join.also_known((np.zeros(0, np.uint64), np.zeros(0, np.int64)), (np.zeros(0, np.uint64), np.zeros(0, np.int64))) is None
+
+
+def test_strays_are_dealt_out_in_shares(spark, monkeypatch):
+    """A part of unlinked texts: blocks by blocks take as many copies as the part has blocks, but only about two of them at once (blocks this small are uneven)."""
+    monkeypatch.setattr(ngram_join, "LOCAL_COMMON", 1000)
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    monkeypatch.setattr(ngram_join, "ROUNDS", 1, raising=False)
+    rows, written = around_a_passage(40, (1, 2, 3)), watched(monkeypatch)
+    assert components_of(spark, rows) == brute(rows)
+    assert sum(written["strays"]) > 10 * len(rows) and max(written["strays"]) < 8 * len(rows)
+
+
+def test_sets_of_incompatible_sizes_are_no_posting(spark, monkeypatch):
+    words = [f"w{i}" for i in range(25)]
+    rows, written = [(i, " ".join(words[i : i + 5])) for i in range(21)] + [(99, " ".join(words))], watched(monkeypatch)
+    assert components_of(spark, rows) == brute(rows)
+    assert written["postings"] == [0]
+
+
 def test_order_of_the_prefix_filter():
     s, known, counts = np.array([1, 3, 5, 7, 9], np.uint64), np.array([3, 5, 9], np.uint64), np.array([70, 64, 70])
     assert ngram_join.in_order(s, known, counts).tolist() == [1, 7, 5, 3, 9]
