@@ -121,6 +121,18 @@ def test_a_passage_common_in_no_task(spark, monkeypatch):
     assert written["compared"][-1] == 4 and "strays" not in written
 
 
+def test_the_pipeline_compares_no_texts_for_a_passage(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(ngram_join, "LOCAL_COMMON", 1000)
+    monkeypatch.setattr(ngram_join, "COMMON", 4)
+    monkeypatch.setattr(ngram_join, "LARGE", 8)
+    rows, written = around_a_passage(40, (3, 30)), watched(monkeypatch)
+    kept = corpus_pipeline.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+    assert written["compared"][-1] == 4
+
+
 def test_known_shingles():
     known, shared = (np.array([2, 9], np.uint64), np.array([100, 80])), (np.array([2, 5, 7], np.uint64), np.array([900, 600, 70]))
     assert [x.tolist() for x in ngram_join.also_known(known, shared)] == [[2, 5, 7, 9], [900, 600, 70, 80]]
